@@ -66,8 +66,8 @@ def branches(messages: DataFrame, keep: int = 1) -> DataFrame:
     members = leaves.withColumn("branch", F.row_number().over(best)).where(F.col("branch") <= keep).select("conv_id", "branch", "node")
     for level in reversed(jumps):
         a, b = members.alias("a"), level.where("to IS NOT NULL").alias("b")
-        members = members.unionByName(a.join(b, F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("a.node") == F.col("b.node"))).select("a.conv_id", "branch", F.col("b.to").alias("node")))
-    a, b, c = cut(members).alias("a"), ends.alias("b"), rows.alias("c")
+        members = cut(members.unionByName(a.join(b, F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("a.node") == F.col("b.node"))).select("a.conv_id", "branch", F.col("b.to").alias("node"))))
+    a, b, c = members.alias("a"), ends.alias("b"), rows.alias("c")
     at = lambda x: F.col("a.conv_id").eqNullSafe(F.col(f"{x}.conv_id")) & (F.col("a.node") == F.col(f"{x}.node"))
     return a.join(b, at("b")).join(c, at("c")).select("a.conv_id", "branch", F.col("steps").alias("depth"), "role", "text")
 
