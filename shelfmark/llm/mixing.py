@@ -24,7 +24,7 @@ from .common import cut
 
 BLOCK, PERIOD = 16, 1000
 #: Documents that one bucket of a source holds, about; a bucket is what one task sorts at once.
-BUCKET = 20_000
+BUCKET = 1000
 
 
 def shares(counts: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, period: int = PERIOD) -> DataFrame:
