@@ -142,3 +142,22 @@ def rolling(values: np.ndarray, width: int, base: int = 0xC2B2AE3D27D4EB4F) -> n
             part = part[:-size] * _U(pow(base, size, 1 << 64)) + part[size:]
             size *= 2
     return out[: len(values) - width + 1]
+
+
+def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
+    """Position of the leftmost smallest of each `width` consecutive values, by doubling."""
+    best, at, size = values, np.arange(len(values), dtype=np.int64), 1
+    while size < width:
+        step = min(size, width - size)
+        right = best[step:] < best[:-step]
+        at = np.where(right, at[step:], at[:-step])
+        best = np.where(right, best[step:], best[:-step])
+        size += step
+    return at
+
+
+def exact_copies(docs: DataFrame) -> DataFrame:
+    """own, first, copies of every document whose whole text another has too: the smallest id of the group and its size."""
+    rows = cut(docs.select("doc_id", F.md5("text").alias("digest"), F.length("text").alias("length")))
+    groups = rows.groupBy("digest", "length").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    return rows.join(groups, ["digest", "length"]).select(F.col("doc_id").alias("own"), "first", "copies")
