@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, media, mixing, neighbours, quality, secrets, simhash, substrings
+from . import bpe, chat, media, mixing, neighbours, quality, secrets, simhash, substrings, suffixes
 from .common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -22,6 +22,10 @@ def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(substrings.remove_repeats(table(spark, sf_dir, "documents")))
 
 
+def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(suffixes.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -69,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash_neardup": simhash_neardup,
         "op2_substring_dedup": substring_dedup,
         "op3_quality_classifier": quality_classifier,
+        "op4_suffix_dedup": suffix_dedup,
         "op5_media_columns": media_columns,
         "op6_bpe_codec": bpe_codec,
         "op7_secret_scan": secret_scan,
