@@ -53,13 +53,15 @@ def branches(messages: DataFrame, keep: int = 1) -> DataFrame:
     jump = a.join(b, F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("a.parent") == F.col("b.known")), "left").select("a.conv_id", "node", F.col("known").alias("to"), F.lit(1).cast("long").alias("steps"), F.col("score").alias("total"))
     jumps, waiting = [cut(jump)], -1
     while True:
-        open_ = jumps[-1].where("to IS NOT NULL").count()
+        still = jumps[-1].where("to IS NOT NULL")
+        open_ = still.count()
         if not open_ or open_ == waiting and len(jumps) > 40:
             break
         waiting = open_
-        a, b = jumps[-1].alias("a"), jumps[-1].alias("b")
-        jumps.append(cut(a.join(b, F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("a.to") == F.col("b.node")), "left").select("a.conv_id", "a.node", "b.to", (F.col("a.steps") + F.coalesce("b.steps", F.lit(0))).alias("steps"), (F.col("a.total") + F.coalesce("b.total", F.lit(0.0))).alias("total"))))
-    ends = jumps.pop().where("to IS NULL")
+        a, b = still.alias("a"), jumps[-1].alias("b")
+        moved = a.join(b, F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("a.to") == F.col("b.node"))).select("a.conv_id", "a.node", "b.to", (F.col("a.steps") + F.col("b.steps")).alias("steps"), (F.col("a.total") + F.col("b.total")).alias("total"))
+        jumps.append(cut(jumps[-1].where("to IS NULL").unionByName(moved)))
+    ends = jumps[-1].where("to IS NULL")
     parents = jump.where("to IS NOT NULL").select(F.col("conv_id").alias("c"), F.col("to").alias("answered")).distinct()
     leaves = ends.join(parents, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("node") == F.col("answered")), "left_anti")
     best = Window.partitionBy("conv_id").orderBy(F.desc(F.col("total") / F.col("steps")), F.desc("steps"), "node")
