@@ -145,19 +145,42 @@ def rolling(values: np.ndarray, width: int, base: int = 0xC2B2AE3D27D4EB4F) -> n
 
 
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
-    """Position of the leftmost smallest of each `width` consecutive values, by doubling."""
-    best, at, size = values, np.arange(len(values), dtype=np.int64), 1
+    """Position of the leftmost smallest, by the upper 32 bits, of each `width` consecutive values, by doubling."""
+    best, size = (values & _U(0xFFFFFFFF00000000)) | np.arange(len(values), dtype=np.uint64), 1
     while size < width:
         step = min(size, width - size)
-        right = best[step:] < best[:-step]
-        at = np.where(right, at[step:], at[:-step])
-        best = np.where(right, best[step:], best[:-step])
+        best = np.minimum(best[step:], best[:-step])
         size += step
-    return at
+    return (best & _U(0xFFFFFFFF)).astype(np.int64)
 
 
-def exact_copies(docs: DataFrame) -> DataFrame:
+def numbered(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The rows' numbers and texts of a batch of (id, text, …)."""
+    return pa.record_batch([pa.array(np.arange(batch.num_rows)), batch.column(1)], names=["row", "text"])
+
+
+class Wanted:
+    """Which values each row of a column of lists holds; a null list holds none."""
+
+    def __init__(self, lists: pa.ListArray):
+        sizes = np.array([len(x) if x.is_valid else 0 for x in lists], np.int64)
+        self.keys = self._key(np.repeat(np.arange(len(lists)), sizes), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+        self.any = sizes > 0
+
+    @staticmethod
+    def _key(rows: np.ndarray, values: np.ndarray) -> np.ndarray:
+        return mix(values ^ mix(rows.astype(np.uint64) + _U(1)))
+
+    def has(self, rows: np.ndarray, values: np.ndarray) -> np.ndarray:
+        return np.isin(self._key(rows, values), self.keys)
+
+
+def digest_sizes(docs: DataFrame) -> DataFrame:
+    """doc_id, digest and length of every whole text."""
+    return cut(docs.select("doc_id", F.unhex(F.md5("text")).alias("digest"), F.octet_length("text").alias("length")))
+
+
+def exact_copies(sizes: DataFrame) -> DataFrame:
     """own, first, copies of every document whose whole text another has too: the smallest id of the group and its size."""
-    rows = cut(docs.select("doc_id", F.md5("text").alias("digest"), F.length("text").alias("length")))
-    groups = rows.groupBy("digest", "length").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    return rows.join(groups, ["digest", "length"]).select(F.col("doc_id").alias("own"), "first", "copies")
+    groups = sizes.groupBy("digest", "length").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    return sizes.join(groups, ["digest", "length"]).select(F.col("doc_id").alias("own"), "first", "copies")

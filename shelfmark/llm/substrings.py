@@ -1,12 +1,14 @@
 """Substring de-duplication on words by De Bruijn compaction.
 
-Windows of `length` words are the edges of a De Bruijn graph. Only windows that can repeat are made: each window has an
-anchor, the smallest hash of its `gram` words, which equal windows share; anchors that occur once anywhere rule their
-windows out, exactly. Of texts with exact copies only the first makes edges. The edges are counted, with their first
-occurrence and what goes before them; an edge all of whose occurrences follow the same edge, as often as that occurs, is
-inside a nonbranching path. A join of the edges with themselves by source coordinates finds those, so paths compact to their
-first edges, and only these are joined with the occurrences: a row is then a whole repeated span with its source. Spans and
-sources are read at their coordinates once more and compared by a second, independent hash before anything is removed.
+Windows of `length` words are the edges of a De Bruijn graph. Each window has an anchor, the smallest hash of its `gram`
+words, which equal windows share; anchors that occur once anywhere rule their windows out, exactly. Of texts with exact
+copies only the first makes edges. The windows of one anchor's place follow each other and travel as one piece, and equal
+pieces are one, with their first place: in all other places the whole piece repeats. The edges of the distinct pieces are
+then counted, with their first place and what goes before them. An edge all of whose occurrences follow the same edge, as
+often as that occurs, is inside a nonbranching path. A join of the edges with themselves by source coordinates finds those,
+so paths compact to their first edges, and only these are joined with the occurrences: a row is then a repeated span with
+its source. Spans and sources are read at their coordinates once more and compared by a second, independent hash before
+anything is removed.
 
 A null text is an empty one. Texts shorter than a window keep all words. A null doc_id sorts before all others; documents
 that share an id count as one document's copies of it and get a row each. An empty table gives an empty result; further
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, exact_copies, id_text, mix, rolling, sliding_argmin, span_hashes, text_chunks, word_bounds
+from .common import Wanted, cut, digest_sizes, exact_copies, id_text, mix, numbered, rolling, sliding_argmin, span_hashes, text_chunks, word_bounds
 
 LENGTH, GRAM = 20, 8
 
@@ -41,14 +43,21 @@ def _windows(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     return starts, ends, words, first, begin, doc, (grams[where] if len(begin) else np.zeros(0, np.uint64)), where
 
 
+def _runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
+    """Runs of windows of one anchor's place: document, first word in it, number of windows, anchor; and all edges in order."""
+    _, _, words, first, begin, doc, anchor, where = _windows(data, offsets, length, gram)
+    new = np.ones(len(where), bool)
+    new[1:] = (where[1:] != where[:-1]) | (doc[1:] != doc[:-1])
+    heads = np.flatnonzero(new)
+    edges = mix(rolling(words, length))[begin] if len(begin) else np.zeros(0, np.uint64)
+    return doc[heads], begin[heads] - first[doc[heads]], np.diff(np.append(heads, len(where))), anchor[heads], edges, heads
+
+
 def _anchors(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, data, offsets in text_chunks(batches):
-            *_, doc, value, where = _windows(data, offsets, length, gram)
-            new = np.ones(len(where), bool)
-            new[1:] = (where[1:] != where[:-1]) | (doc[1:] != doc[:-1])
-            # A later window may come back to an anchor only after a smaller one between, which can't be: positions only grow.
-            yield pa.record_batch([pa.array(ids[doc[new]], pa.int64()), pa.array(value[new].view(np.int64))], names=["doc_id", "anchor"])
+            doc, _, _, anchor, *_ = _runs(data, offsets, length, gram)
+            yield pa.record_batch([pa.array(ids[doc], pa.int64(), from_pandas=True), pa.array(anchor.view(np.int64))], names=["doc_id", "anchor"])
 
     return run
 
@@ -56,26 +65,28 @@ def _anchors(length: int, gram: int):
 def repeated_anchors(docs: DataFrame, anchors) -> DataFrame:
     """own, anchors (array): the anchors of each document that occur more than once anywhere."""
     found = docs.mapInArrow(anchors, "doc_id long, anchor long")
-    often = cut(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
+    often = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     return found.join(often, "anchor", "left_semi").groupBy(F.col("doc_id").alias("own")).agg(F.collect_set("anchor").alias("anchors"))
 
 
-def _edges(length: int, gram: int):
+def _pieces(length: int, gram: int):
+    """Pieces whose anchor repeats: place, number of windows, identity, and their edges."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known = batch.column(2)
-            for at in range(batch.num_rows):
-                wanted = np.asarray(known[at].values.to_numpy(zero_copy_only=False), np.int64).view(np.uint64)
-                for ids, data, offsets in text_chunks([batch.slice(at, 1).select([0, 1])]):
-                    _, _, words, first, begin, _, value, _ = _windows(data, offsets, length, gram)
-                    if not len(begin):
-                        continue
-                    hashes = mix(rolling(words, length))
-                    own = np.isin(value, wanted)
-                    before = np.zeros(len(begin), np.uint64)
-                    before[1:] = hashes[begin[1:] - 1]
-                    n = int(own.sum())
-                    yield pa.record_batch([pa.array(np.repeat(ids, n), pa.int64(), from_pandas=True), pa.array(begin[own].astype(np.int32)), pa.array(hashes[begin[own]].view(np.int64)), pa.array(before[own].view(np.int64))], names=["doc_id", "start", "edge", "before"])
+            wanted = Wanted(batch.column(2))
+            batch = batch.filter(pa.array(wanted.any))
+            wanted = Wanted(batch.column(2))
+            for rows, data, offsets in text_chunks([numbered(batch)]):
+                doc, start, n, anchor, edges, heads = _runs(data, offsets, length, gram)
+                own = np.flatnonzero(wanted.has(rows[doc], anchor))
+                powers = np.multiply.accumulate(np.append(np.uint64(1), np.full(int(n.max(initial=1)), 0xC2B2AE3D27D4EB4F, np.uint64)))
+                sums = np.add.reduceat(edges * powers[np.arange(len(edges)) - np.repeat(heads, n)], heads) if len(heads) else np.zeros(0, np.uint64)
+                identity = mix(sums + n.astype(np.uint64))
+                chosen = np.zeros(len(heads), bool)
+                chosen[own] = True
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n[own])), pa.int32()), pa.array(edges[np.repeat(chosen, n)].view(np.int64)))
+                yield pa.record_batch([batch.column(0).take(pa.array(rows[doc[own]])), pa.array(start[own], pa.int32()), pa.array(n[own], pa.int32()), pa.array(identity[own].view(np.int64)), lists], names=["doc_id", "start", "windows", "piece", "edges"])
 
     return run
 
@@ -85,33 +96,42 @@ def _checks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(batch.num_rows):
             wanted = batch.column(2)[at].as_py()
-            for ids, data, offsets in text_chunks([batch.slice(at, 1).select([0, 1])]):
-                starts, ends, _ = word_bounds(data, offsets)
-                text = data.tobytes()
-                begin, words = [w["start"] for w in wanted], [w["words"] for w in wanted]
-                check = [hashlib.blake2b(b" ".join(text[a:b].split()), digest_size=8).digest() for a, b in ((starts[s], ends[s + n - 1]) for s, n in zip(begin, words))]
-                yield pa.record_batch([pa.array(np.repeat(ids, len(begin)), pa.int64(), from_pandas=True), pa.array(begin, pa.int32()), pa.array(words, pa.int32()), pa.array(np.frombuffer(b"".join(check), "<i8"))], names=["doc_id", "start", "words", "check"])
+            if not wanted:
+                continue
+            words = batch.column(1)[at].as_py().encode().split()
+            begin, size = [w["start"] for w in wanted], [w["words"] for w in wanted]
+            check = b"".join(hashlib.blake2b(b" ".join(words[s : s + n]), digest_size=8).digest() for s, n in zip(begin, size))
+            ids = pa.array([batch.column(0)[at].as_py()] * len(begin), pa.int64())
+            yield pa.record_batch([ids, pa.array(begin, pa.int32()), pa.array(size, pa.int32()), pa.array(np.frombuffer(check, "<i8"))], names=["doc_id", "start", "words", "check"])
 
 
 def repeated_spans(docs: DataFrame, copies: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, start, words: spans of words whose windows all start earlier too. `docs`: doc_id, text; copies are left out."""
+    """doc_id, start, words: spans of words whose windows all start earlier too. `docs`: doc_id, text; copies are left out.
+
+    Texts are joined by left joins on the id alone, without further conditions, so that one shuffle of them serves all."""
     later = copies.where("own <> first").select("own")
     known = repeated_anchors(docs, _anchors(length, gram)).join(later, "own", "left_anti")
-    candidates = docs.join(known, docs["doc_id"] == known["own"]).select("doc_id", "text", "anchors")
-    edges = cut(candidates.mapInArrow(_edges(length, gram), "doc_id long, start int, edge long, before long"))
-    counted = edges.groupBy("edge").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "start")).alias("source"), F.min("before").alias("before"), F.max("before").alias("other")).where("n > 1")
-    repeated = cut(counted.select("edge", "n", F.col("source.doc_id").alias("s_doc"), F.col("source.start").alias("s_start"), "before", (F.col("before") == F.col("other")).alias("one_way")))
+    candidates = docs.join(known, docs["doc_id"] == known["own"], "left").select("doc_id", "text", "anchors")
+    pieces = cut(candidates.mapInArrow(_pieces(length, gram), "doc_id long, start int, windows int, piece long, edges array<long>"))
+    first = pieces.groupBy("piece").agg(F.min(F.struct("doc_id", "start")).alias("source"), F.first("edges").alias("edges"))
+    first = first.select("piece", F.col("source.doc_id").alias("s_doc"), F.col("source.start").alias("s_start"), "edges")
+    again = pieces.select("doc_id", "start", (F.col("windows") + (length - 1)).alias("words"), "piece").join(first.select("piece", "s_doc", "s_start"), "piece").where("doc_id <> s_doc OR start <> s_start")
+    steps = first.select(F.col("s_doc").alias("doc_id"), "s_start", F.posexplode(F.transform("edges", lambda e, i: F.struct(e.alias("edge"), F.when(i > 0, F.get("edges", i - 1)).alias("before")))).alias("i", "e"))
+    edges = steps.select("doc_id", (F.col("s_start") + F.col("i")).alias("start"), "e.edge", "e.before")
+    counted = edges.groupBy("edge").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "start")).alias("source"), F.min("before").alias("before"), F.max("before").alias("other"), F.count("before").alias("led")).where("n > 1")
+    repeated = counted.select("edge", "n", F.col("source.doc_id").alias("s_doc"), F.col("source.start").alias("s_start"), "before", ((F.col("before") == F.col("other")) & (F.col("led") == F.col("n"))).alias("one_way"))
     ahead = repeated.select(F.col("s_doc").alias("p_doc"), (F.col("s_start") + 1).alias("p_next"), F.col("n").alias("p_n"), F.col("edge").alias("p_edge"))
     inside = F.coalesce(F.col("one_way") & (F.col("p_n") == F.col("n")) & (F.col("p_edge") == F.col("before")), F.lit(False))
     joined = repeated.join(ahead, (F.col("s_doc") == F.col("p_doc")) & (F.col("s_start") == F.col("p_next")), "left").select("edge", "s_doc", "s_start", inside.alias("inside"))
     along = Window.partitionBy("s_doc").orderBy("s_start")
-    numbered = joined.withColumn("path", F.sum((~F.col("inside")).cast("int")).over(along))
-    paths = numbered.groupBy("s_doc", "path").agg(F.min("s_start").alias("s_start"), F.count(F.lit(1)).cast("int").alias("edges"), F.min_by("edge", "s_start").alias("edge"))
-    spans = edges.select("doc_id", "start", "edge").join(paths, "edge").where("doc_id <> s_doc OR start <> s_start")
-    spans = cut(spans.select("doc_id", "start", (F.col("edges") + (length - 1)).alias("words"), "s_doc", "s_start"))
+    numbers = joined.withColumn("path", F.sum((~F.col("inside")).cast("int")).over(along))
+    paths = numbers.groupBy("s_doc", "path").agg(F.min("s_start").alias("s_start"), F.count(F.lit(1)).cast("int").alias("edges"), F.min_by("edge", "s_start").alias("edge"))
+    partly = edges.select("doc_id", "start", "edge").join(paths, "edge").where("doc_id <> s_doc OR start <> s_start")
+    columns = ["doc_id", "start", "words", "s_doc", "s_start"]
+    spans = cut(again.select(columns).unionByName(partly.select("doc_id", "start", (F.col("edges") + (length - 1)).alias("words"), "s_doc", "s_start")))
     wanted = spans.select("doc_id", "start", "words").unionByName(spans.select(F.col("s_doc").alias("doc_id"), F.col("s_start").alias("start"), "words")).distinct()
     asked = wanted.groupBy(F.col("doc_id").alias("own")).agg(F.collect_list(F.struct("start", "words")).alias("asked"))
-    checks = cut(docs.join(asked, docs["doc_id"] == asked["own"]).select("doc_id", "text", "asked").mapInArrow(_checks, "doc_id long, start int, words int, check long"))
+    checks = docs.join(asked, docs["doc_id"] == asked["own"], "left").select("doc_id", "text", "asked").mapInArrow(_checks, "doc_id long, start int, words int, check long")
     source = checks.select(F.col("doc_id").alias("s_doc"), F.col("start").alias("s_start"), "words", F.col("check").alias("s_check"))
     return spans.join(checks, ["doc_id", "start", "words"]).join(source, ["s_doc", "s_start", "words"]).where("check = s_check").select("doc_id", "start", "words")
 
@@ -142,7 +162,7 @@ def _keep(length: int):
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words, joined by one space, of every document."""
     rows = id_text(docs)
-    copies = cut(exact_copies(rows))
+    copies = cut(exact_copies(digest_sizes(rows)))
     spans = repeated_spans(rows, copies, length, gram).groupBy(F.col("doc_id").alias("own")).agg(F.collect_list(F.struct("start", "words")).alias("spans"))
     later = copies.where("own <> first").select(F.col("own").alias("later")).distinct()
     whole = rows.join(spans, rows["doc_id"] == spans["own"], "left").join(later, F.col("doc_id") == F.col("later"), "left")

@@ -25,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTES, cut, exact_copies, id_text, mix, rolling, sliding_argmin, text_chunks
+from .common import _BYTES, Wanted, cut, digest_sizes, exact_copies, id_text, mix, numbered, rolling, sliding_argmin, text_chunks
 from .induced import shared_neighbours
 from .substrings import repeated_anchors
 
 LENGTH, GRAM = 200, 48
-#: Bytes of pieces in a shard, about; bytes of tuples that the queues of a shard hold in memory.
-SHARD, QUEUES = 6 << 20, 192 << 20
+#: Bytes of texts for each shard, of which pieces are a part; bytes of tuples that the queues of a shard hold in memory.
+SHARD, QUEUES = 8 << 20, 64 << 20
 
 
 def _runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
@@ -61,15 +61,14 @@ def _anchors(length: int, gram: int):
 def _pieces(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known = batch.column(2)
-            for at in range(batch.num_rows):
-                wanted = np.asarray(known[at].values.to_numpy(zero_copy_only=False), np.int64).view(np.uint64)
-                for ids, data, offsets in text_chunks([batch.slice(at, 1).select([0, 1])]):
-                    _, begin, n, anchor = _runs(data, offsets, length, gram)
-                    own = np.flatnonzero(np.isin(anchor, wanted))
-                    text = data.tobytes()
-                    pieces = [text[b : b + m + length - 1] for b, m in zip(begin[own].tolist(), n[own].tolist())]
-                    yield pa.record_batch([pa.array(np.repeat(ids, len(own)), pa.int64(), from_pandas=True), pa.array(begin[own], pa.int32()), pa.array(anchor[own].view(np.int64)), pa.array(pieces, pa.binary())], names=["doc_id", "start", "anchor", "piece"])
+            batch = batch.filter(pa.array(Wanted(batch.column(2)).any))
+            wanted = Wanted(batch.column(2))
+            for rows, data, offsets in text_chunks([numbered(batch)], 1 << 20):
+                doc, begin, n, anchor = _runs(data, offsets, length, gram)
+                own = np.flatnonzero(wanted.has(rows[doc], anchor))
+                text = data.tobytes()
+                pieces = [text[b : b + m + length - 1] for b, m in zip(begin[own].tolist(), n[own].tolist())]
+                yield pa.record_batch([batch.column(0).take(pa.array(rows[doc[own]])), pa.array(begin[own] - offsets[doc[own]], pa.int32()), pa.array(anchor[own].view(np.int64)), pa.array(pieces, pa.binary())], names=["doc_id", "start", "anchor", "piece"])
 
     return run
 
@@ -117,17 +116,17 @@ def _sort_shards(length: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, copies: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
+def repeated_spans(docs: DataFrame, copies: DataFrame, sizes: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
     """doc_id, start, windows: runs of window starts, in bytes, whose windows occur elsewhere too. Of copies only the first
     takes part."""
     later = copies.where("own <> first").select("own")
     known = repeated_anchors(docs, _anchors(length, gram)).join(later, "own", "left_anti")
-    candidates = docs.join(known, docs["doc_id"] == known["own"]).select("doc_id", "text", "anchors")
+    candidates = docs.join(known, docs["doc_id"] == known["own"], "left").select("doc_id", "text", "anchors")
     pieces = candidates.mapInArrow(_pieces(length, gram), "doc_id long, start int, anchor long, piece binary")
     key = F.unhex(F.concat(F.md5("piece"), F.lpad(F.hex("anchor"), 16, "0")))
-    distinct = cut(pieces.groupBy("anchor", "piece").agg(F.count(F.lit(1)).alias("n")).withColumn("key", key))
-    places = cut(pieces.select("doc_id", "start", key.alias("key")))
-    shards = max(1, -(-(distinct.agg(F.sum(F.length("piece") + 1)).first()[0] or 0) // shard))
+    distinct = pieces.groupBy("anchor", "piece").agg(F.count(F.lit(1)).alias("n")).withColumn("key", key)
+    places = pieces.select("doc_id", "start", key.alias("key"))
+    shards = max(1, -(-(sizes.agg(F.sum("length")).first()[0] or 0) // shard))
     dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).select("shard", "piece", "n", "key")
     runs = dealt.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_sort_shards(length), "key binary, `from` int, windows int")
     return places.join(runs, "key").select("doc_id", (F.col("start") + F.col("from")).alias("start"), "windows")
@@ -157,8 +156,9 @@ def _keep(length: int):
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the kept bytes of every document."""
     rows = id_text(docs)
-    copies = cut(exact_copies(rows))
-    spans = repeated_spans(rows, copies, length, gram).groupBy(F.col("doc_id").alias("own")).agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
+    sizes = digest_sizes(rows)
+    copies = cut(exact_copies(sizes))
+    spans = repeated_spans(rows, copies, sizes, length, gram).groupBy(F.col("doc_id").alias("own")).agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
     copied = copies.select(F.col("own").alias("copied")).distinct()
     whole = rows.join(spans, rows["doc_id"] == spans["own"], "left").join(copied, F.col("doc_id") == F.col("copied"), "left")
     return whole.select("doc_id", "text", "spans", F.col("copied").isNotNull().alias("copy")).mapInArrow(_keep(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
