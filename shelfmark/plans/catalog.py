@@ -88,22 +88,22 @@ query("top_k_search", "files", _found("log", sort="name", limit=50), _where(f"{L
 
 # Columns
 _columns = {
-    "file_stem": (P.file_stem(F.col("name")), STEM),
-    "extension": (P.extension(F.col("name"), F.col("is_directory")), EXT),
-    "parent_path": (P.parent_path(F.col("full_path")), PARENT),
-    "drive_letter": (P.drive_letter(F.col("full_path")), "upper(substr(full_path, 1, 1))"),
-    "volume_prefix": (P.volume_prefix(F.col("full_path")), "lower(substr(full_path, 1, 2))"),
-    "volume_key": (P.volume_key(F.col("full_path")), "upper(substr(full_path, 1, 2))"),
-    "normalize_extended": (P.normalize_extended(F.concat(F.lit("\\\\?\\"), "full_path")), "lower(full_path)"),
-    "format_size": (P.format_size(F.col("size")), f"CASE {SIZE} ELSE concat(size, ' B') END"),
-    "format_count": (P.format_count(F.col("size")), "format('{:,}', size)"),
-    "highlight_name": (P.highlight_name(F.col("name"), ["ring", "red"]), "regexp_replace(name, '((?:red|ring)+)', '[\\1]', 'gi')"),
-    "file_uri": (P.file_uri(F.col("full_path")), "concat('file:///', replace(replace(replace(full_path, chr(92), '/'), ' ', '%20'), '#', '%23'))"),
-    "clamp_size": (P.clamp_size(F.col("size") - 1000), "greatest(size - 1000, 0)"),
-    "regexp_function": (F.rlike("name", F.lit("(?U)[0-9]{2}")), "regexp_matches(name, '[0-9]{2}')"),
+    "file_stem": (lambda: P.file_stem(F.col("name")), STEM),
+    "extension": (lambda: P.extension(F.col("name"), F.col("is_directory")), EXT),
+    "parent_path": (lambda: P.parent_path(F.col("full_path")), PARENT),
+    "drive_letter": (lambda: P.drive_letter(F.col("full_path")), "upper(substr(full_path, 1, 1))"),
+    "volume_prefix": (lambda: P.volume_prefix(F.col("full_path")), "lower(substr(full_path, 1, 2))"),
+    "volume_key": (lambda: P.volume_key(F.col("full_path")), "upper(substr(full_path, 1, 2))"),
+    "normalize_extended": (lambda: P.normalize_extended(F.concat(F.lit("\\\\?\\"), "full_path")), "lower(full_path)"),
+    "format_size": (lambda: P.format_size(F.col("size")), f"CASE {SIZE} ELSE concat(size, ' B') END"),
+    "format_count": (lambda: P.format_count(F.col("size")), "format('{:,}', size)"),
+    "highlight_name": (lambda: P.highlight_name(F.col("name"), ["ring", "red"]), "regexp_replace(name, '((?:red|ring)+)', '[\\1]', 'gi')"),
+    "file_uri": (lambda: P.file_uri(F.col("full_path")), "concat('file:///', replace(replace(replace(full_path, chr(92), '/'), ' ', '%20'), '#', '%23'))"),
+    "clamp_size": (lambda: P.clamp_size(F.col("size") - 1000), "greatest(size - 1000, 0)"),
+    "regexp_function": (lambda: F.rlike("name", F.lit("(?U)[0-9]{2}")), "regexp_matches(name, '[0-9]{2}')"),
 }
 for _name, (_column, _sql) in _columns.items():
-    query(_name, "files", _files(lambda f, c=_column: f.withColumn("value", c), "full_path", "value"), f"SELECT full_path, {_sql} AS value FROM files")
+    query(_name, "files", _files(lambda f, c=_column: f.withColumn("value", c()), "full_path", "value"), f"SELECT full_path, {_sql} AS value FROM files")
 query("ancestor_paths", "files", _files(lambda f: f.select("full_path", F.explode(P.ancestor_paths(F.col("full_path"))).alias("ancestor")), "full_path", "ancestor"), "SELECT full_path, array_to_string(list_slice(string_split(full_path, chr(92)), 1, i), chr(92)) AS ancestor FROM files, generate_series(2, 9) t(i) WHERE i < len(string_split(full_path, chr(92)))")
 query("classify_path", "files unc_paths", lambda v: v("files").select("full_path").unionByName(v("unc_paths").select("full_path")).distinct().withColumn("value", P.classify_path(F.col("full_path"))), "SELECT DISTINCT full_path, CASE WHEN starts_with(full_path, concat(chr(92), chr(92))) THEN 'unc' ELSE 'local' END AS value FROM (SELECT full_path FROM files UNION ALL SELECT full_path FROM unc_paths)")
 query("volume_type", "volumes", lambda v: v("volumes").select("id", P.volume_type_norm(F.upper("volume_type")).alias("kind"), P.volume_type_label(F.col("volume_type")).alias("shown"), P.mount_label(F.col("mount_point"), F.col("label")).alias("mount")), "SELECT id, volume_type AS kind, CASE volume_type WHEN 'ntfs' THEN 'NTFS' ELSE concat(upper(substr(volume_type, 1, 1)), substr(volume_type, 2)) END AS shown, concat_ws(' ', mount_point, label) AS mount FROM volumes")
