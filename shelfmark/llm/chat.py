@@ -51,13 +51,11 @@ def branches(messages: DataFrame, keep: int = 1) -> DataFrame:
     nodes = rows.select("conv_id", F.col("node").alias("known"))
     a, b = rows.alias("a"), nodes.alias("b")
     jump = a.join(b, F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("a.parent") == F.col("b.known")), "left").select("a.conv_id", "node", F.col("known").alias("to"), F.lit(1).cast("long").alias("steps"), F.col("score").alias("total"))
-    jumps, waiting = [cut(jump)], -1
+    jumps, rounds = [cut(jump)], rows.count().bit_length()  # no path is longer than all messages; cycles end here too
     while True:
         still = jumps[-1].where("to IS NOT NULL")
-        open_ = still.count()
-        if not open_ or open_ == waiting and len(jumps) > 40:
+        if len(jumps) > rounds or still.isEmpty():
             break
-        waiting = open_
         a, b = still.alias("a"), jumps[-1].alias("b")
         moved = a.join(b, F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("a.to") == F.col("b.node"))).select("a.conv_id", "a.node", "b.to", (F.col("a.steps") + F.col("b.steps")).alias("steps"), (F.col("a.total") + F.col("b.total")).alias("total"))
         jumps.append(cut(jumps[-1].where("to IS NULL").unionByName(moved)))
