@@ -116,7 +116,7 @@ def debounce_stream(events: DataFrame, milliseconds: int):
                 yield self._rows([(key[0], *now)])
 
         def _rows(self, rows):
-            return pd.DataFrame({"path": [r[0] for r in rows], "first_ts": pd.to_datetime([r[1] for r in rows], unit="ms"), "kind": [r[2] for r in rows], "n": [r[3] for r in rows]})
+            return pd.DataFrame({"path": pd.Series([r[0] for r in rows], dtype=object), "first_ts": pd.to_datetime(pd.Series([r[1] for r in rows], dtype="int64"), unit="ms"), "kind": pd.Series([r[2] for r in rows], dtype=object), "n": pd.Series([r[3] for r in rows], dtype="int32")})
 
         def close(self):
             pass
