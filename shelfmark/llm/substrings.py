@@ -117,8 +117,10 @@ def repeated_spans(docs: DataFrame, copies: DataFrame, length: int = LENGTH, gra
     first = first.select("piece", F.col("source.doc_id").alias("s_doc"), F.col("source.start").alias("s_start"), "edges")
     again = pieces.select("doc_id", "start", (F.col("windows") + (length - 1)).alias("words"), "piece").join(first.select("piece", "s_doc", "s_start"), "piece").where("doc_id <> s_doc OR start <> s_start")
     steps = first.select(F.col("s_doc").alias("doc_id"), "s_start", F.posexplode(F.transform("edges", lambda e, i: F.struct(e.alias("edge"), F.when(i > 0, F.get("edges", i - 1)).alias("before")))).alias("i", "e"))
-    edges = steps.select("doc_id", (F.col("s_start") + F.col("i")).alias("start"), "e.edge", "e.before")
-    counted = edges.groupBy("edge").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "start")).alias("source"), F.min("before").alias("before"), F.max("before").alias("other"), F.count("before").alias("led")).where("n > 1")
+    all_edges = steps.select("doc_id", (F.col("s_start") + F.col("i")).alias("start"), "e.edge", "e.before")
+    often = all_edges.groupBy("edge").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("edge")
+    edges = cut(all_edges.join(often, "edge", "left_semi"))
+    counted = edges.groupBy("edge").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "start")).alias("source"), F.min("before").alias("before"), F.max("before").alias("other"), F.count("before").alias("led"))
     repeated = counted.select("edge", "n", F.col("source.doc_id").alias("s_doc"), F.col("source.start").alias("s_start"), "before", ((F.col("before") == F.col("other")) & (F.col("led") == F.col("n"))).alias("one_way"))
     ahead = repeated.select(F.col("s_doc").alias("p_doc"), (F.col("s_start") + 1).alias("p_next"), F.col("n").alias("p_n"), F.col("edge").alias("p_edge"))
     inside = F.coalesce(F.col("one_way") & (F.col("p_n") == F.col("n")) & (F.col("p_edge") == F.col("before")), F.lit(False))
