@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -43,12 +44,19 @@ def checkpoint_root(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a checkpoint in the shared folder."""
+def cut(df: DataFrame, free: bool = False) -> DataFrame:
+    """Cuts the lineage by a checkpoint in the shared folder. `free`: asks for the shuffle files behind it back at once.
+
+    Spark deletes them when the driver's garbage collection finds their plan unused, which may come only after the job."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(checkpoint_root(spark))
-    return df.checkpoint()
+    done = df.checkpoint()
+    if free:
+        del df
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    return done
 
 
 def text_chunks(batches: Iterable[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:

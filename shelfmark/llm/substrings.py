@@ -112,14 +112,14 @@ def repeated_spans(docs: DataFrame, copies: DataFrame, length: int = LENGTH, gra
     later = copies.where("own <> first").select("own")
     known = repeated_anchors(docs, _anchors(length, gram)).join(later, "own", "left_anti")
     candidates = docs.join(known, docs["doc_id"] == known["own"], "left").select("doc_id", "text", "anchors")
-    pieces = cut(candidates.mapInArrow(_pieces(length, gram), "doc_id long, start int, windows int, piece long, edges array<long>"))
+    pieces = cut(candidates.mapInArrow(_pieces(length, gram), "doc_id long, start int, windows int, piece long, edges array<long>"), free=True)
     first = pieces.groupBy("piece").agg(F.min(F.struct("doc_id", "start")).alias("source"), F.first("edges").alias("edges"))
     first = first.select("piece", F.col("source.doc_id").alias("s_doc"), F.col("source.start").alias("s_start"), "edges")
     again = pieces.select("doc_id", "start", (F.col("windows") + (length - 1)).alias("words"), "piece").join(first.select("piece", "s_doc", "s_start"), "piece").where("doc_id <> s_doc OR start <> s_start")
     steps = first.select(F.col("s_doc").alias("doc_id"), "s_start", F.posexplode(F.transform("edges", lambda e, i: F.struct(e.alias("edge"), F.when(i > 0, F.get("edges", i - 1)).alias("before")))).alias("i", "e"))
     all_edges = steps.select("doc_id", (F.col("s_start") + F.col("i")).alias("start"), "e.edge", "e.before")
     often = all_edges.groupBy("edge").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("edge")
-    edges = cut(all_edges.join(often, "edge", "left_semi"))
+    edges = cut(all_edges.join(often, "edge", "left_semi"), free=True)
     counted = edges.groupBy("edge").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "start")).alias("source"), F.min("before").alias("before"), F.max("before").alias("other"), F.count("before").alias("led"))
     repeated = counted.select("edge", "n", F.col("source.doc_id").alias("s_doc"), F.col("source.start").alias("s_start"), "before", ((F.col("before") == F.col("other")) & (F.col("led") == F.col("n"))).alias("one_way"))
     ahead = repeated.select(F.col("s_doc").alias("p_doc"), (F.col("s_start") + 1).alias("p_next"), F.col("n").alias("p_n"), F.col("edge").alias("p_edge"))
@@ -130,7 +130,7 @@ def repeated_spans(docs: DataFrame, copies: DataFrame, length: int = LENGTH, gra
     paths = numbers.groupBy("s_doc", "path").agg(F.min("s_start").alias("s_start"), F.count(F.lit(1)).cast("int").alias("edges"), F.min_by("edge", "s_start").alias("edge"))
     partly = edges.select("doc_id", "start", "edge").join(paths, "edge").where("doc_id <> s_doc OR start <> s_start")
     columns = ["doc_id", "start", "words", "s_doc", "s_start"]
-    spans = cut(again.select(columns).unionByName(partly.select("doc_id", "start", (F.col("edges") + (length - 1)).alias("words"), "s_doc", "s_start")))
+    spans = cut(again.select(columns).unionByName(partly.select("doc_id", "start", (F.col("edges") + (length - 1)).alias("words"), "s_doc", "s_start")), free=True)
     wanted = spans.select("doc_id", "start", "words").unionByName(spans.select(F.col("s_doc").alias("doc_id"), F.col("s_start").alias("start"), "words")).distinct()
     asked = wanted.groupBy(F.col("doc_id").alias("own")).agg(F.collect_list(F.struct("start", "words")).alias("asked"))
     checks = docs.join(asked, docs["doc_id"] == asked["own"], "left").select("doc_id", "text", "asked").mapInArrow(_checks, "doc_id long, start int, words int, check long")
