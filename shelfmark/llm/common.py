@@ -59,6 +59,13 @@ def cut(df: DataFrame, free: bool = False) -> DataFrame:
     return done
 
 
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """Written as Parquet to a new shared folder and read again: for rows that several branches read, made once."""
+    where = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(where)
+    return df.sparkSession.read.parquet(where)
+
+
 def text_chunks(batches: Iterable[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """From batches of (id, text): ids, UTF-8 bytes, and int64 offsets, for whole documents of about `limit` bytes together."""
     for batch in batches:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Wanted, cut, digest_sizes, exact_copies, id_text, mix, numbered, rolling, sliding_argmin, span_hashes, text_chunks, word_bounds
+from .common import Wanted, cut, digest_sizes, exact_copies, id_text, mix, numbered, rolling, sliding_argmin, span_hashes, stored, text_chunks, word_bounds
 
 LENGTH, GRAM = 20, 8
 
@@ -64,7 +64,7 @@ def _anchors(length: int, gram: int):
 
 def repeated_anchors(docs: DataFrame, anchors) -> DataFrame:
     """own, anchors (array): the anchors of each document that occur more than once anywhere."""
-    found = docs.mapInArrow(anchors, "doc_id long, anchor long")
+    found = stored(docs.mapInArrow(anchors, "doc_id long, anchor long"), "anchors")
     often = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     return found.join(often, "anchor", "left_semi").groupBy(F.col("doc_id").alias("own")).agg(F.collect_set("anchor").alias("anchors"))
 
