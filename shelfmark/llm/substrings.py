@@ -65,7 +65,8 @@ def _anchors(length: int, gram: int):
 def repeated_anchors(docs: DataFrame, anchors) -> DataFrame:
     """own, anchors (array): the anchors of each document that occur more than once anywhere."""
     found = stored(docs.mapInArrow(anchors, "doc_id long, anchor long"), "anchors")
-    often = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    # Stored too: a join of two plain shuffles is one whose hot anchor adaptive execution can split, or broadcasts by true size.
+    often = stored(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "repeated-anchors")
     return found.join(often, "anchor", "left_semi").groupBy(F.col("doc_id").alias("own")).agg(F.collect_set("anchor").alias("anchors"))
 
 
