@@ -59,11 +59,16 @@ def cut(df: DataFrame, free: bool = False) -> DataFrame:
     return done
 
 
-def stored(df: DataFrame, purpose: str) -> DataFrame:
-    """Written as Parquet to a new shared folder and read again: for rows that several branches read, made once."""
-    where = shared_dir(df.sparkSession, purpose)
+def stored(df: DataFrame, purpose: str, free: bool = False) -> DataFrame:
+    """Written as Parquet to a new shared folder and read again: for rows that several branches read, made once. `free` is
+    that of `cut`."""
+    spark, where = df.sparkSession, shared_dir(df.sparkSession, purpose)
     df.write.parquet(where)
-    return df.sparkSession.read.parquet(where)
+    if free:
+        del df
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    return spark.read.parquet(where)
 
 
 def text_chunks(batches: Iterable[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:

@@ -2,7 +2,7 @@
 
 A fingerprint bit is the majority of that bit over the hashes of a document's word shingles. Two fingerprints within the
 radius agree in at least one of radius + 1 blocks of bits, so the distinct fingerprints are dealt by each block's value;
-documents with equal fingerprints are one from here on. (A radius too wide for that takes sampled bits instead.) Each value's fingerprints form a BK-tree: a child's key is its
+documents with equal fingerprints are one from here on. Each value's fingerprints form a BK-tree: a child's key is its
 integer Hamming distance to the parent, and a search follows only edges whose key is within the radius of the query's own
 distance. Trees go to tasks by shuffle, several to a shard, never to all tasks: their size grows with the corpus. A value
 with more than `TREE` fingerprints becomes several trees, each searched by the others' fingerprints in a task of its own.
@@ -180,18 +180,6 @@ def exact_blocks(radius: int = RADIUS) -> list[list[int]]:
     return [[((1 << b) - 1) ^ ((1 << a) - 1)] for a, b in zip(bounds, bounds[1:])]
 
 
-def sampled_blocks(rows: int, lanes: int, agree: float, miss: float = 0.01, seed: int = 5) -> list[list[int]]:
-    """Masks of random bits for wide radii, which blocks can't cover: as many bits as leave a few of `rows` fingerprints to
-    a value, as many masks as let a pair whose bits agree with chance `agree` pass all of them by with chance `miss`."""
-    bits = min(lanes * 64 // 2, max(12, int(np.ceil(np.log2(max(rows, 2)))) - 2))
-    rng, n = np.random.default_rng(seed), int(np.ceil(np.log(miss) / np.log1p(-(agree**bits))))
-    masks = []
-    for _ in range(n):
-        chosen = rng.choice(lanes * 64, bits, replace=False)
-        masks.append([sum(1 << int(b % 64) for b in chosen if b // 64 == lane) for lane in range(lanes)])
-    return masks
-
-
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -216,31 +204,21 @@ def links(distinct: DataFrame, masks: list[list[int]], radius: int = RADIUS, tre
     return rows.groupBy("shard").applyInPandas(_shard_links(radius, lanes), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = WIDTH, lanes: int = 1, agree: float | None = None) -> DataFrame:
-    """doc_id, f0, …, component_id: the smallest doc_id that links reach. Rows without an id take part in no link.
-
-    With one lane and no `agree` all fingerprints within the radius are linked; with `agree`, the chance that a bit of a
-    wanted pair agrees, those that sampled bits bring together, 99 of 100 such pairs."""
-    names = [f"f{i}" for i in range(lanes)]
-    rows = cut(fingerprints(docs, width, lanes))
-    distinct = cut(rows.groupBy(*names).agg(F.min("doc_id").alias("node")))
-    masks = exact_blocks(radius) if agree is None else sampled_blocks(distinct.count(), lanes, agree)
-    labels = components(links(distinct.where("node IS NOT NULL"), masks, radius))
-    found = distinct.join(labels, "node", "left").select(*names, F.coalesce("label", "node").alias("component_id"))
-    return rows.join(found, names).select("doc_id", *names, "component_id")
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = WIDTH) -> DataFrame:
+    """doc_id, f0, component_id: the smallest doc_id that links reach. Rows without an id take part in no link."""
+    rows = cut(fingerprints(docs, width))
+    distinct = cut(rows.groupBy("f0").agg(F.min("doc_id").alias("node")))
+    labels = components(links(distinct.where("node IS NOT NULL"), exact_blocks(radius), radius))
+    found = distinct.join(labels, "node", "left").select("f0", F.coalesce("label", "node").alias("component_id"))
+    return rows.join(found, "f0").select("doc_id", "f0", "component_id")
 
 
 def digests(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: For near copies: five-word shingles in 128 bits. Texts that share 0.8 of their shingles have an angle of arccos(8/9), so
-#: 0.151 of their bits differ; the radius is that share and two standard deviations.
-COPY_WIDTH, COPY_LANES, COPY_RADIUS, COPY_AGREE = 5, 2, 27, 0.849
-
-
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The documents, all columns as they are, but for those with a near copy of a smaller id. Rows without an id stay."""
-    found = near_duplicates(docs, COPY_RADIUS, COPY_WIDTH, COPY_LANES, COPY_AGREE)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    """The documents without near copies; fingerprints only estimate a similarity, so `copies` compares the sets of shingles."""
+    from . import copies
+
+    return copies.drop_near_copies(docs)
