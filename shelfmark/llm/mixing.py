@@ -3,12 +3,13 @@
 Each source's documents, in the order of a hash of their id, form blocks of `block` documents. With weight w its j-th block
 is released at slot floor((j-1)/w) and due by slot ceil(j/w). One block goes into each slot: of the released ones, that with
 the earliest deadline. As the weights sum to one this meets all deadlines, so after any number of slots each source is less
-than one block from its share. Weights are rounded to whole blocks of a period of `period` slots; the schedule repeats, so
-one period is scheduled, as a fold over its slots, and every block finds its slot by arithmetic.
+than one block from its share. Weights are whole numbers out of `period`, which is so large that over a whole corpus of 2^26
+blocks rounding is less than a thirtieth of a block; nothing repeats. The schedule is a fold over the blocks, one after the
+other, in parts of `PART`: a row of three numbers per block, so 1/16 of the documents.
 
 When a source has no more blocks its slots stay empty and the others keep their proportions; every document is placed, none
 is dropped or repeated. A null source is a source of its own. A source without a positive target weight gets the smallest
-weight, one block a period. Repeated rows are placed each; an empty table gives an empty result; a document's other columns
+weight, 1 of `period`. Repeated rows are placed each; an empty table gives an empty result; a document's other columns
 are kept as they are.
 
 The counts table has a row per source; its size is that of the list of sources, not of the documents. Positions within a
@@ -22,51 +23,68 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-BLOCK, PERIOD = 16, 1000
+BLOCK, PERIOD = 16, 1 << 31
+#: Blocks that one part of the fold schedules; an array of this size is copied for each.
+PART = 256
 #: Documents that one bucket of a source holds, about; a bucket is what one task sorts at once.
 BUCKET = 1000
 
 
 def shares(counts: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, period: int = PERIOD) -> DataFrame:
-    """Adds `blocks`, a source's blocks in each period: by the given target weights, or the counts to a power.
+    """Adds `share`, a source's weight in whole numbers: by the given target weights, or the counts to a power.
 
-    Largest remainders fill the period; each source has a block at least, and the period grows where sources outnumber it.
+    Largest remainders fill the period; each source has 1 at least.
     """
     wish = F.pow(F.col("n").cast("double"), F.lit(power))
     if weights is not None:
         given = F.create_map(*(F.lit(x) for pair in weights.items() for x in pair)) if weights else F.lit(None).cast("map<string,double>")
         wish = F.greatest(F.coalesce(F.try_element_at(given, F.col("source")).cast("double"), F.lit(0.0)), F.lit(0.0))
     every = Window.partitionBy(F.lit(0))  # one row per source
-    rows = counts.withColumn("wish", wish).withColumn("sources", F.count(F.lit(1)).over(every)).withColumn("all", F.sum("wish").over(every))
-    spare = F.greatest(F.lit(period) - F.col("sources"), F.lit(0))
-    exact = F.when(F.col("all") > 0, F.col("wish") / F.col("all") * spare).otherwise(F.lit(0.0))
-    rows = rows.withColumn("exact", exact).withColumn("left", F.when(F.col("all") > 0, spare).otherwise(0) - F.sum(F.floor("exact")).over(every))
+    rows = counts.withColumn("wish", wish).withColumn("all", F.sum("wish").over(every))
+    rows = rows.withColumn("exact", F.when(F.col("all") > 0, F.col("wish") / F.col("all") * period).otherwise(F.lit(0.0)))
+    rows = rows.withColumn("left", F.when(F.col("all") > 0, F.lit(period)).otherwise(0) - F.sum(F.floor("exact")).over(every))
     by_rest = Window.partitionBy(F.lit(0)).orderBy(F.desc(F.col("exact") - F.floor("exact")), F.col("source"))
-    return rows.withColumn("blocks", (1 + F.floor("exact") + (F.row_number().over(by_rest) <= F.col("left")).cast("int")).cast("long")).drop("wish", "sources", "all", "exact", "left")
+    return rows.withColumn("share", F.greatest(F.floor("exact") + (F.row_number().over(by_rest) <= F.col("left")).cast("int"), F.lit(1)).cast("long")).drop("wish", "all", "exact", "left")
 
 
-def schedule(shared: DataFrame) -> DataFrame:
-    """Each source's slots within a period: source, blocks, period, slots (array, one of each block).
+def schedule(shared: DataFrame, block: int = BLOCK) -> DataFrame:
+    """source, j (from 0), slot of every block of the sources (source, n, share).
 
-    A fold over the slots: state is how many blocks each source has had. At slot t the next block of a source with b blocks
-    in period p is released if done * p <= t * b, and its deadline is ceil((done + 1) * p / b).
+    A fold over the blocks. State is the next slot and each unfinished source's next block: released at j * period div share,
+    due at the quotient of j + 1 rounded up. Where none is released yet, slots stay empty up to the first release.
     """
-    listed = shared.groupBy().agg(F.array_sort(F.collect_list(F.struct("source", "blocks"))).alias("s")).select("s", F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x["blocks"]).alias("period"))
-
-    def step(had: Column, t: Column) -> Column:
-        def wish(d: Column, i: Column) -> Column:
-            b = F.get(F.col("s.blocks"), i)
-            return F.when((d < b) & (d * F.col("period") <= t * b), F.struct(F.ceil((d + 1) * F.col("period") / b).alias("due"), i.alias("i")))
-
-        wants = F.transform(had["done"], wish)
-        won = F.array_min(F.filter(wants, lambda x: x.isNotNull()))["i"]
-        return F.struct(F.transform(had["done"], lambda d, i: F.when(i == won, d + 1).otherwise(d)).alias("done"), F.concat(had["order"], F.array(won)).alias("order"))
-
-    start = F.struct(F.transform("s", lambda _: F.lit(0).cast("long")).alias("done"), F.array().cast("array<int>").alias("order"))
-    folded = listed.select("s", "period", F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("period") - 1), start, step, lambda x: x["order"]).alias("order"))
-    each = folded.select("period", "order", F.posexplode("s").alias("i", "x"))
-    slots = F.filter(F.transform("order", lambda w, t: F.when(w == F.col("i"), t)), lambda t: t.isNotNull())
-    return each.select(F.col("x.source").alias("source"), F.col("x.blocks").alias("blocks"), "period", slots.alias("slots"))
+    source = F.struct("source", "share", F.ceil(F.col("n") / block).cast("long").alias("blocks"))
+    listed = shared.groupBy().agg(F.array_sort(F.collect_list(source)).alias("s"), F.sum("share").alias("period"), F.sum(F.ceil(F.col("n") / block)).alias("all")).where("all > 0")
+    entry = "array<struct<i:int,j:bigint,slot:bigint>>"
+    bind = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # noqa: E731  evaluates value once
+
+    def head(i: Column, j: Column, share: Column, blocks: Column) -> Column:
+        release = F.call_function("div", j * F.col("period"), share)
+        due = F.call_function("div", (j + 1) * F.col("period") + share - 1, share)
+        return F.struct(release.alias("release"), due.alias("due"), i.alias("i"), j.alias("j"), share.alias("share"), blocks.alias("blocks"))
+
+    def step(had: Column, _: Column) -> Column:
+        def place(slot: Column) -> Column:
+            ready = F.transform(F.filter(had["heads"], lambda x: x["release"] <= slot), lambda x: F.struct(x["due"].alias("due"), x["i"].alias("i"), x["j"].alias("j")))
+            return bind(F.array_min(ready), lambda won: F.struct(
+                (slot + 1).alias("slot"),
+                F.filter(F.transform(had["heads"], lambda x: F.when(x["i"] == won["i"], head(x["i"], x["j"] + 1, x["share"], x["blocks"])).otherwise(x)), lambda x: x["j"] < x["blocks"]).alias("heads"),
+                F.concat(had["part"], F.array(F.struct(won["i"].alias("i"), won["j"].alias("j"), slot.alias("slot")))).alias("part"),
+            ))
+
+        slot = F.greatest(had["slot"], F.array_min(F.transform(had["heads"], lambda x: x["release"])))
+        return F.when(F.size(had["heads"]) == 0, had).otherwise(bind(slot, place))
+
+    def part(had: Column, _: Column) -> Column:
+        start = F.struct(had["slot"].alias("slot"), had["heads"].alias("heads"), F.array().cast(entry).alias("part"))
+        done = F.aggregate(F.sequence(F.lit(1), F.lit(PART)), start, step)
+        return bind(done, lambda x: F.struct(x["slot"].alias("slot"), x["heads"].alias("heads"), F.concat(had["parts"], F.array(x["part"])).alias("parts")))
+
+    heads = F.transform("s", lambda x, i: head(i, F.lit(0).cast("long"), x["share"], x["blocks"]))
+    start = F.struct(F.lit(0).cast("long").alias("slot"), heads.alias("heads"), F.array().cast(f"array<{entry}>").alias("parts"))
+    folded = listed.select(F.col("s.source").alias("names"), F.aggregate(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("all") / PART) - 1), start, part, lambda x: x["parts"]).alias("parts"))
+    each = folded.select("names", F.explode("parts").alias("part")).select("names", F.explode("part").alias("x"))
+    return each.select(F.get("names", F.col("x.i")).alias("source"), F.col("x.j").alias("j"), F.col("x.slot").alias("slot"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int = PERIOD, bucket: int = BUCKET) -> DataFrame:
@@ -74,20 +92,26 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
     mix_slot and mix_position. Ordering by mix_position interleaves the sources. The columns doc_id and source are read."""
     rows = docs.withColumn("_hash", F.xxhash64(F.col("doc_id")))
     counts = cut(docs.groupBy("source").agg(F.count(F.lit(1)).alias("n")))
-    plan = cut(schedule(shares(counts, weights, period=period)))
+    shared = cut(shares(counts, weights, period=period))
+    slots = cut(schedule(shared, block))
     most = counts.agg(F.max("n")).first()[0] or 0
     width = max(1, -(-most // bucket))
     rows = rows.withColumn("_bucket", F.floor((F.col("_hash").cast("double") / 2.0**64 + 0.5) * width).cast("long"))
     sizes = cut(rows.groupBy("source", "_bucket").agg(F.count(F.lit(1)).alias("_in")))
     before = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(F.col("source").alias("_s"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_in").over(before), F.lit(0)).alias("_before"))
+    offsets = sizes.select(F.col("source").alias("_s"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_in").over(before), F.lit(0)).alias("_before"), "_in").withColumn("_first", F.floor(F.col("_before") / block))
+    # Each bucket with the slots of its blocks, some bucket / block of them.
+    asked = offsets.withColumn("_j", F.explode(F.sequence("_first", F.floor((F.col("_before") + F.col("_in") - 1) / block))))
+    met = asked.join(slots, F.col("_s").eqNullSafe(slots["source"]) & (F.col("_j") == slots["j"]))
+    offsets = met.groupBy("_s", "_b", "_before", "_first").agg(F.array_sort(F.collect_list("slot")).alias("_slots"))
     rows = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("source", "_bucket").orderBy("_hash", "doc_id")))
     # One row per source or bucket of some ten thousand documents: the list is small, and is sent to all tasks below its size limit only.
     placed = rows.join(offsets, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
-    plan = plan.withColumnRenamed("source", "_source")
+    plan = shared.select(F.col("source").alias("_source"), "share", F.sum("share").over(Window.partitionBy(F.lit(0))).alias("period"))
     placed = placed.join(plan, F.col("source").eqNullSafe(F.col("_source")))
     n = F.col("_before") + F.col("_rank") - 1
     j = F.floor(n / block)
-    turn = F.floor(j / F.col("blocks"))
-    slot = turn * F.col("period") + F.element_at("slots", (j % F.col("blocks") + 1).cast("int"))
-    return placed.select(*docs.columns, (j + 1).alias("mix_block"), F.floor(j * F.col("period") / F.col("blocks")).alias("mix_release"), F.ceil((j + 1) * F.col("period") / F.col("blocks")).alias("mix_deadline"), slot.alias("mix_slot"), (slot * block + n % block).alias("mix_position"))
+    slot = F.element_at("_slots", (j - F.col("_first") + 1).cast("int"))
+    release = F.call_function("div", j * F.col("period"), F.col("share"))
+    deadline = F.call_function("div", (j + 1) * F.col("period") + F.col("share") - 1, F.col("share"))
+    return placed.select(*docs.columns, (j + 1).alias("mix_block"), release.alias("mix_release"), deadline.alias("mix_deadline"), slot.alias("mix_slot"), (slot * block + n % block).alias("mix_position"))
