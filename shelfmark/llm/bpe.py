@@ -202,8 +202,8 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, input_ids of every whole text; no shuffle."""
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_tokens, input_ids of every whole text, and the columns to keep; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
@@ -211,9 +211,10 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 ids = [v.encode(t) for t in part.column(1).to_pylist()]
-                yield pa.record_batch([part.column(0), pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "n_tokens", "input_ids"])
+                yield pa.record_batch([part.column(0), pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32())), *part.columns[2:]], names=["doc_id", "n_tokens", "input_ids", *keep])
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, input_ids array<int>")
+    kept = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return id_text(docs, id_col, text_col, keep).mapInArrow(run, "doc_id long, n_tokens long, input_ids array<int>" + kept)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """The mixture keeps to the target weights themselves, however many sources and slots, and up to the pipeline's result."""
 
+from conftest import DATA
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from shelfmark.llm import mixing
 
 
@@ -28,3 +30,18 @@ def test_more_sources_than_a_thousand(spark):
     weights = {"hot": 1200.0 * 0.9 / 0.1} | {f"s{i}": 1.0 for i in range(300, 1500)}
     first = mixing.mix(docs, weights, block=1).where("mix_slot < 200").groupBy("source").count().where("source = 'hot'").first()[1]
     assert abs(first - 0.9 * 200) < 1
+
+
+def test_pipeline_tells_the_place(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    found = corpus_pipeline.run(spark, DATA)
+    place = {r.doc_id: r.mix_position for r in found.collect()}
+    assert len(set(place.values())) == len(place)
+    rows = [(r.source, place[r.doc_id] // mixing.BLOCK) for r in docs.collect() if r.doc_id in place]
+    count = {s: sum(x == s for x, _ in rows) for s, _ in rows}
+    all_ = sum(k**0.5 for k in count.values())
+    for slot in range(1, 1 + max(b for _, b in rows)):
+        for s, k in count.items():
+            blocks = {b for x, b in rows if x == s}
+            if slot <= max(blocks):
+                assert abs(len({b for b in blocks if b < slot}) - slot * k**0.5 / all_) < 1
