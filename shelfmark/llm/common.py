@@ -71,13 +71,13 @@ def stored(df: DataFrame, purpose: str, free: bool = False) -> DataFrame:
     return spark.read.parquet(where)
 
 
-def text_chunks(batches: Iterable[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """From batches of (id, text): ids, UTF-8 bytes, and int64 offsets, for whole documents of about `limit` bytes together."""
+def text_chunks(batches: Iterable[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """From batches of (id, text): ids as they are, nulls too, UTF-8 bytes, and int64 offsets, for whole documents of about `limit` bytes together."""
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        ids = batch.column(0)
         text = batch.column(1).cast(pa.large_string() if not pa.types.is_binary(batch.column(1).type) else pa.large_binary())
         _, raw_offsets, raw = text.buffers()
         offsets = np.frombuffer(raw_offsets, dtype=np.int64)[text.offset : text.offset + n + 1]
@@ -85,7 +85,7 @@ def text_chunks(batches: Iterable[pa.RecordBatch], limit: int = CHUNK_BYTES) ->
         at = 0
         while at < n:
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
-            yield ids[at:to], data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
+            yield ids.slice(at, to - at), data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
             at = to
 
 

@@ -80,7 +80,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(len(ids)):
             bucket, count = np.unique(np.concatenate([b[s[i] : e[i]] for b, s, e in kinds]), return_counts=True)
             rows.append((bucket.astype("<i4").tobytes(), count.astype("<i4").tobytes()))
-        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["doc_id", "buckets", "counts"])
+        yield pa.record_batch([ids, pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["doc_id", "buckets", "counts"])
 
 
 def train(docs: DataFrame, labels: DataFrame, target: str = "quality", sample: int = SAMPLE, seed: int = 7) -> Model:
@@ -135,7 +135,7 @@ def _scorer(model: Model):
                 total += _sums(weights[bucket].astype(np.float64), starts, ends)
                 n += ends - starts
             z = bias + total / np.maximum(n, 1)
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(1 / (1 + np.exp(-z)), pa.float64())], names=["doc_id", "score"])
+            yield pa.record_batch([ids, pa.array(1 / (1 + np.exp(-z)), pa.float64())], names=["doc_id", "score"])
 
     return run
 

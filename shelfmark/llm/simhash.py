@@ -86,7 +86,7 @@ def fingerprints(docs: DataFrame, width: int = WIDTH, lanes: int = 1, id_col: st
         for ids, data, offsets in text_chunks(batches):
             hashes, begins, ends = _shingles(data, offsets, width)
             found = [_majority(mix(hashes + np.uint64(i)) if i else hashes, begins, ends) for i in range(lanes)]
-            yield pa.record_batch([pa.array(ids, pa.int64(), from_pandas=True), *(pa.array(f.view(np.int64)) for f in found)], names=["doc_id", *names])
+            yield pa.record_batch([ids, *(pa.array(f.view(np.int64)) for f in found)], names=["doc_id", *names])
 
     return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
 

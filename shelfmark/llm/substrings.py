@@ -57,7 +57,7 @@ def _anchors(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, data, offsets in text_chunks(batches):
             doc, _, _, anchor, *_ = _runs(data, offsets, length, gram)
-            yield pa.record_batch([pa.array(ids[doc], pa.int64(), from_pandas=True), pa.array(anchor.view(np.int64))], names=["doc_id", "anchor"])
+            yield pa.record_batch([ids.take(pa.array(doc)), pa.array(anchor.view(np.int64))], names=["doc_id", "anchor"])
 
     return run
 
@@ -79,6 +79,7 @@ def _pieces(length: int, gram: int):
             batch = batch.filter(pa.array(wanted.any))
             wanted = Wanted(batch.column(2))
             for rows, data, offsets in text_chunks([numbered(batch)]):
+                rows = rows.to_numpy()
                 doc, start, n, anchor, edges, heads = _runs(data, offsets, length, gram)
                 own = np.flatnonzero(wanted.has(rows[doc], anchor))
                 powers = np.multiply.accumulate(np.append(np.uint64(1), np.full(int(n.max(initial=1)), 0xC2B2AE3D27D4EB4F, np.uint64)))

@@ -53,7 +53,7 @@ def _anchors(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, data, offsets in text_chunks(batches, 1 << 20):
             doc, _, _, anchor = _runs(data, offsets, length, gram)
-            yield pa.record_batch([pa.array(ids[doc], pa.int64(), from_pandas=True), pa.array(anchor.view(np.int64))], names=["doc_id", "anchor"])
+            yield pa.record_batch([ids.take(pa.array(doc)), pa.array(anchor.view(np.int64))], names=["doc_id", "anchor"])
 
     return run
 
@@ -64,6 +64,7 @@ def _pieces(length: int, gram: int):
             batch = batch.filter(pa.array(Wanted(batch.column(2)).any))
             wanted = Wanted(batch.column(2))
             for rows, data, offsets in text_chunks([numbered(batch)], 1 << 20):
+                rows = rows.to_numpy()
                 doc, begin, n, anchor = _runs(data, offsets, length, gram)
                 own = np.flatnonzero(wanted.has(rows[doc], anchor))
                 text = data.tobytes()
