@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,31 +44,36 @@ def checkpoint_root(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def cut(df: DataFrame, free: bool = False) -> DataFrame:
-    """Cuts the lineage by a checkpoint in the shared folder. `free`: asks for the shuffle files behind it back at once.
-
-    Spark deletes them when the driver's garbage collection finds their plan unused, which may come only after the job."""
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts the lineage by a checkpoint in the shared folder; for small tables."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(checkpoint_root(spark))
-    done = df.checkpoint()
-    if free:
-        del df
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-    return done
+    return df.checkpoint()
+
 
+#: Spark's setting that deletes an execution's shuffle files when it ends.
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-def stored(df: DataFrame, purpose: str, free: bool = False) -> DataFrame:
-    """Written as Parquet to a new shared folder and read again: for rows that several branches read, made once. `free` is
-    that of `cut`."""
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """Written as Parquet to a new shared folder and read again: made once, of known size, with no shuffle files left behind."""
     spark, where = df.sparkSession, shared_dir(df.sparkSession, purpose)
-    df.write.parquet(where)
-    if free:
-        del df
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-    return spark.read.parquet(where)
+    had = spark.conf.get(_FREE, "false")
+    spark.conf.set(_FREE, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(where)
+    finally:
+        spark.conf.set(_FREE, had)
+    found = spark.read.schema(df.schema).parquet(where)
+    found._stored_at = where
+    return found
+
+
+def forget(*tables: DataFrame) -> None:
+    """Empties the folders of stored tables that nothing reads any more."""
+    for df in tables:
+        df.sparkSession.range(0).write.mode("overwrite").parquet(df._stored_at)
 
 
 def text_chunks(batches: Iterable[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
@@ -183,7 +188,7 @@ class Wanted:
     """Which values each row of a column of lists holds; a null list holds none."""
 
     def __init__(self, lists: pa.ListArray):
-        sizes = np.array([len(x) if x.is_valid else 0 for x in lists], np.int64)
+        sizes = lists.value_lengths().fill_null(0).to_numpy().astype(np.int64)
         self.keys = self._key(np.repeat(np.arange(len(lists)), sizes), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
         self.any = sizes > 0
 
@@ -195,12 +200,124 @@ class Wanted:
         return np.isin(self._key(rows, values), self.keys)
 
 
+#: Values that a task deals at once, and bytes of text whose values meet in one bucket.
+DEALT, BUCKET_BYTES = 1 << 18, 16 << 20
+_REPEATED = "bucket long, own long, `values` array<long>, ids array<long>"
+
+
+def _lists(values: pa.Array, bounds: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values)
+
+
+def _by_owner(ids: pa.Array, owner: np.ndarray, values: np.ndarray) -> tuple[pa.Array, pa.ListArray]:
+    order = np.argsort(owner, kind="stable")
+    own, begins = np.unique(owner[order], return_index=True)
+    return ids.take(pa.array(own)), _lists(pa.array(values[order].view(np.int64)), np.append(begins, len(order)))
+
+
+def _pairs(values: np.ndarray, ids: pa.Array) -> np.ndarray:
+    """Where each pair of a value and an owner is first."""
+    return np.sort(np.unique(mix(values ^ mix(ids.to_numpy().view(np.uint64))), return_index=True)[1])
+
+
+def _deal(chunks, buckets: int, others: bool):
+    """Rows of three kinds: what an owner holds and repeats within the task (own), values seen once with their owners (ids),
+    and values that repeat within the task, once each (neither)."""
+
+    def dealt(held: list) -> Iterator[pa.RecordBatch]:
+        shift = np.cumsum([0, *(len(h[0]) for h in held[:-1])])
+        ids = pa.concat_arrays([h[0] for h in held])
+        owner = np.concatenate([h[1] + s for h, s in zip(held, shift)])
+        values = np.concatenate([h[2] for h in held])
+        if others:
+            once = _pairs(values, ids.take(pa.array(owner)))
+            owner, values = owner[once], values[once]
+        distinct, first, which, times = np.unique(values, return_index=True, return_inverse=True, return_counts=True)
+        again = times[which] > 1
+        own, lists = _by_owner(ids, owner[again], values[again])
+        none = pa.nulls(len(own), pa.list_(pa.int64()))
+        yield pa.record_batch([pa.array(np.arange(len(own)) % buckets), own, lists, none], names=["bucket", "own", "values", "ids"])
+        bucket = ((distinct >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)  # ascending, as the values are
+        for many in (False, True):
+            part = np.flatnonzero((times > 1) == many)
+            which, begins = np.unique(bucket[part], return_index=True)
+            bounds = np.append(begins, len(part))
+            theirs = pa.nulls(len(which), pa.list_(pa.int64())) if many else _lists(ids.take(pa.array(owner[first[part]])), bounds)
+            yield pa.record_batch([pa.array(which), pa.nulls(len(which), pa.int64()), _lists(pa.array(distinct[part].view(np.int64)), bounds), theirs], names=["bucket", "own", "values", "ids"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for ids, owner, values in chunks(batches):
+            held.append((ids, owner, values))
+            n += len(values)
+            if n >= DEALT:
+                yield from dealt(held)
+                held, n = [], 0
+        if n:
+            yield from dealt(held)
+
+    return run
+
+
+def _meet(others: bool):
+    """own, values: of each bucket the values that more than one row holds; rows come bucket by bucket."""
+
+    def found(seen: list, many: list) -> pa.RecordBatch:
+        values = np.concatenate([np.zeros(0, np.uint64), *(v for v, _ in seen)])
+        ids = pa.concat_arrays([pa.array([], pa.int64()), *(i for _, i in seen)])
+        if others:
+            once = _pairs(values, ids)
+            values, ids = values[once], ids.take(pa.array(once))
+        _, which, times = np.unique(values, return_inverse=True, return_counts=True)
+        chosen = times[which] > 1
+        if many:
+            chosen |= np.isin(values, np.concatenate(many))
+        code = ids.take(pa.array(np.flatnonzero(chosen))).dictionary_encode("encode")
+        own, lists = _by_owner(code.dictionary, code.indices.to_numpy(), values[chosen])
+        return pa.record_batch([own, lists], names=["own", "values"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, seen, many = None, [], []
+        for batch in batches:
+            direct = batch.column(1).is_valid()
+            yield batch.filter(direct).select(["own", "values"])
+            batch = batch.filter(pc.invert(direct))
+            for at, bucket in enumerate(batch.column(0).to_pylist()):
+                if bucket != now and seen:
+                    yield found(seen, many)
+                    seen, many = [], []
+                now, values, ids = bucket, batch.column(2)[at].values.to_numpy().view(np.uint64), batch.column(3)[at]
+                if ids.is_valid:
+                    seen.append((values, ids.values))
+                else:
+                    many.append(values)
+        if seen:
+            yield found(seen, many)
+
+    return run
+
+
+def repeated(rows: DataFrame, chunks: Callable, n_bytes: int, others: bool = False) -> DataFrame:
+    """own, values (array): what each owner holds of the values that occur more than once anywhere, in one owner or in several;
+    `others`: in several owners only, and no id is null.
+
+    `chunks` gives, from batches of `rows`, owners' ids, each value's place among them, and mixed 64-bit values. A task sends
+    a value that it sees often but once, so a value that very many rows hold is a row per task, not per holder."""
+    buckets = max(1, n_bytes // BUCKET_BYTES)
+    dealt = rows.mapInArrow(_deal(chunks, buckets, others), _REPEATED)
+    met = dealt.repartition(min(buckets, 1 << 16), "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(others), "own long, `values` array<long>")
+    return met.where("own IS NOT NULL").groupBy("own").agg(F.flatten(F.collect_list("values")).alias("values"))
+
+
 def digest_sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, digest and length of every whole text."""
-    return cut(docs.select("doc_id", F.unhex(F.md5("text")).alias("digest"), F.octet_length("text").alias("length")))
+    """doc_id, digest, length and text_hash (Spark's xxhash64) of every whole text."""
+    return stored(docs.select("doc_id", F.unhex(F.md5("text")).alias("digest"), F.octet_length("text").alias("length"), F.xxhash64("text").alias("text_hash")), "sizes")
 
 
 def exact_copies(sizes: DataFrame) -> DataFrame:
-    """own, first, copies of every document whose whole text another has too: the smallest id of the group and its size."""
-    groups = sizes.groupBy("digest", "length").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    return sizes.join(groups, ["digest", "length"]).select(F.col("doc_id").alias("own"), "first", "copies")
+    """own, text_hash, first, copies of every document whose whole text another has too: the smallest id of the group and its
+    size. A row is told by its id and its text, as rows may share an id.
+
+    Both sides are stored, so that the join can be split where one text is very frequent, or sends the groups by true size."""
+    groups = stored(sizes.groupBy("digest", "length").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1"), "copies")
+    return stored(sizes.join(groups, ["digest", "length"]).select(F.col("doc_id").alias("own"), "text_hash", "first", "copies"), "copies")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Wanted, cut, digest_sizes, exact_copies, id_text, mix, numbered, rolling, sliding_argmin, span_hashes, stored, text_chunks, word_bounds
+from .common import Wanted, digest_sizes, exact_copies, forget, id_text, mix, numbered, repeated, rolling, sliding_argmin, span_hashes, stored, text_chunks, word_bounds
 
 LENGTH, GRAM = 20, 8
 
@@ -54,20 +54,14 @@ def _runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
 
 
 def _anchors(length: int, gram: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks of values for `repeated`: each document's anchors."""
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
         for ids, data, offsets in text_chunks(batches):
             doc, _, _, anchor, *_ = _runs(data, offsets, length, gram)
-            yield pa.record_batch([ids.take(pa.array(doc)), pa.array(anchor.view(np.int64))], names=["doc_id", "anchor"])
-
-    return run
+            yield ids, doc, anchor
 
-
-def repeated_anchors(docs: DataFrame, anchors) -> DataFrame:
-    """own, anchors (array): the anchors of each document that occur more than once anywhere."""
-    found = stored(docs.mapInArrow(anchors, "doc_id long, anchor long"), "anchors")
-    # Stored too: a join of two plain shuffles is one whose hot anchor adaptive execution can split, or broadcasts by true size.
-    often = stored(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "repeated-anchors")
-    return found.join(often, "anchor", "left_semi").groupBy(F.col("doc_id").alias("own")).agg(F.collect_set("anchor").alias("anchors"))
+    return chunks
 
 
 def _pieces(length: int, gram: int):
@@ -93,49 +87,67 @@ def _pieces(length: int, gram: int):
     return run
 
 
+def _edge_values(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Chunks of values for `repeated`: the edges of pieces (piece, edges)."""
+    for batch in batches:
+        edges = batch.column(1)
+        yield batch.column(0), np.repeat(np.arange(batch.num_rows), edges.value_lengths().to_numpy()), edges.flatten().to_numpy().view(np.uint64)
+
+
+def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pieces (s_doc, s_start, edges, wanted): the wanted edges with their places and the edges before them."""
+    for batch in batches:
+        wanted = Wanted(batch.column(3))
+        n = batch.column(2).value_lengths().to_numpy()
+        row, edges = np.repeat(np.arange(len(n)), n), batch.column(2).flatten().to_numpy()
+        i = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        own = np.flatnonzero(wanted.has(row, edges.view(np.uint64)))
+        before = pa.array(np.append(0, edges[:-1])[own], mask=i[own] == 0)
+        start = batch.column(1).to_numpy()[row[own]] + i[own]
+        yield pa.record_batch([batch.column(0).take(pa.array(row[own])), pa.array(start, pa.int32()), pa.array(edges[own]), before], names=["doc_id", "start", "edge", "before"])
+
+
 def _checks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A second hash of the words at each of the wanted coordinates of a document."""
     for batch in batches:
         for at in range(batch.num_rows):
-            wanted = batch.column(2)[at].as_py()
-            if not wanted:
-                continue
+            wanted = batch.column(2)[at].values
             words = batch.column(1)[at].as_py().encode().split()
-            begin, size = [w["start"] for w in wanted], [w["words"] for w in wanted]
-            check = b"".join(hashlib.blake2b(b" ".join(words[s : s + n]), digest_size=8).digest() for s, n in zip(begin, size))
-            ids = pa.array([batch.column(0)[at].as_py()] * len(begin), pa.int64())
-            yield pa.record_batch([ids, pa.array(begin, pa.int32()), pa.array(size, pa.int32()), pa.array(np.frombuffer(check, "<i8"))], names=["doc_id", "start", "words", "check"])
-
-
-def repeated_spans(docs: DataFrame, copies: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, start, words: spans of words whose windows all start earlier too. `docs`: doc_id, text; copies are left out.
-
-    Texts are joined by left joins on the id alone, without further conditions, so that one shuffle of them serves all."""
-    later = copies.where("own <> first").select("own")
-    known = repeated_anchors(docs, _anchors(length, gram)).join(later, "own", "left_anti")
-    candidates = docs.join(known, docs["doc_id"] == known["own"], "left").select("doc_id", "text", "anchors")
-    pieces = cut(candidates.mapInArrow(_pieces(length, gram), "doc_id long, start int, windows int, piece long, edges array<long>"), free=True)
+            begin, size = wanted.field(0), wanted.field(1)
+            check = b"".join(hashlib.blake2b(b" ".join(words[s : s + n]), digest_size=8).digest() for s, n in zip(begin.to_pylist(), size.to_pylist()))
+            ids = pa.repeat(batch.column(0)[at], len(begin))
+            yield pa.record_batch([ids, begin, size, pa.array(np.frombuffer(check, "<i8"))], names=["doc_id", "start", "words", "check"])
+
+
+def repeated_spans(docs: DataFrame, later: DataFrame, n_bytes: int, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """doc_id, start, words: spans of words whose windows all start earlier too. `docs`: doc_id, text; `later` (own, own_hash):
+    copies, which are left out. Every step is stored, so that shuffle files go when it ends."""
+    firsts = docs.join(later, (docs["doc_id"] == later["own"]) & (F.xxhash64("text") == later["own_hash"]), "left_anti")
+    known = stored(repeated(firsts, _anchors(length, gram), n_bytes), "anchors")
+    candidates = docs.join(known, docs["doc_id"] == known["own"]).select("doc_id", "text", "values")
+    pieces = stored(candidates.mapInArrow(_pieces(length, gram), "doc_id long, start int, windows int, piece long, edges array<long>"), "pieces")
     first = pieces.groupBy("piece").agg(F.min(F.struct("doc_id", "start")).alias("source"), F.first("edges").alias("edges"))
-    first = first.select("piece", F.col("source.doc_id").alias("s_doc"), F.col("source.start").alias("s_start"), "edges")
+    first = stored(first.select("piece", F.col("source.doc_id").alias("s_doc"), F.col("source.start").alias("s_start"), "edges"), "first-pieces")
     again = pieces.select("doc_id", "start", (F.col("windows") + (length - 1)).alias("words"), "piece").join(first.select("piece", "s_doc", "s_start"), "piece").where("doc_id <> s_doc OR start <> s_start")
-    steps = first.select(F.col("s_doc").alias("doc_id"), "s_start", F.posexplode(F.transform("edges", lambda e, i: F.struct(e.alias("edge"), F.when(i > 0, F.get("edges", i - 1)).alias("before")))).alias("i", "e"))
-    all_edges = steps.select("doc_id", (F.col("s_start") + F.col("i")).alias("start"), "e.edge", "e.before")
-    often = all_edges.groupBy("edge").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("edge")
-    edges = cut(all_edges.join(often, "edge", "left_semi"), free=True)
+    often = stored(repeated(first.select("piece", "edges"), _edge_values, n_bytes), "edges")
+    edges = first.join(often, first["piece"] == often["own"]).select("s_doc", "s_start", "edges", "values").mapInArrow(_steps, "doc_id long, start int, edge long, before long")
+    edges = stored(edges, "edges")
+    forget(known)
     counted = edges.groupBy("edge").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "start")).alias("source"), F.min("before").alias("before"), F.max("before").alias("other"), F.count("before").alias("led"))
-    repeated = counted.select("edge", "n", F.col("source.doc_id").alias("s_doc"), F.col("source.start").alias("s_start"), "before", ((F.col("before") == F.col("other")) & (F.col("led") == F.col("n"))).alias("one_way"))
-    ahead = repeated.select(F.col("s_doc").alias("p_doc"), (F.col("s_start") + 1).alias("p_next"), F.col("n").alias("p_n"), F.col("edge").alias("p_edge"))
+    repeats = stored(counted.select("edge", "n", F.col("source.doc_id").alias("s_doc"), F.col("source.start").alias("s_start"), "before", ((F.col("before") == F.col("other")) & (F.col("led") == F.col("n"))).alias("one_way")), "edges")
+    ahead = repeats.select(F.col("s_doc").alias("p_doc"), (F.col("s_start") + 1).alias("p_next"), F.col("n").alias("p_n"), F.col("edge").alias("p_edge"))
     inside = F.coalesce(F.col("one_way") & (F.col("p_n") == F.col("n")) & (F.col("p_edge") == F.col("before")), F.lit(False))
-    joined = repeated.join(ahead, (F.col("s_doc") == F.col("p_doc")) & (F.col("s_start") == F.col("p_next")), "left").select("edge", "s_doc", "s_start", inside.alias("inside"))
+    joined = repeats.join(ahead, (F.col("s_doc") == F.col("p_doc")) & (F.col("s_start") == F.col("p_next")), "left").select("edge", "s_doc", "s_start", inside.alias("inside"))
     along = Window.partitionBy("s_doc").orderBy("s_start")
     numbers = joined.withColumn("path", F.sum((~F.col("inside")).cast("int")).over(along))
-    paths = numbers.groupBy("s_doc", "path").agg(F.min("s_start").alias("s_start"), F.count(F.lit(1)).cast("int").alias("edges"), F.min_by("edge", "s_start").alias("edge"))
+    paths = stored(numbers.groupBy("s_doc", "path").agg(F.min("s_start").alias("s_start"), F.count(F.lit(1)).cast("int").alias("edges"), F.min_by("edge", "s_start").alias("edge")), "paths")
     partly = edges.select("doc_id", "start", "edge").join(paths, "edge").where("doc_id <> s_doc OR start <> s_start")
     columns = ["doc_id", "start", "words", "s_doc", "s_start"]
-    spans = cut(again.select(columns).unionByName(partly.select("doc_id", "start", (F.col("edges") + (length - 1)).alias("words"), "s_doc", "s_start")), free=True)
+    spans = stored(again.select(columns).unionByName(partly.select("doc_id", "start", (F.col("edges") + (length - 1)).alias("words"), "s_doc", "s_start")), "spans")
+    forget(pieces, first, often, edges, repeats, paths)
     wanted = spans.select("doc_id", "start", "words").unionByName(spans.select(F.col("s_doc").alias("doc_id"), F.col("s_start").alias("start"), "words")).distinct()
-    asked = wanted.groupBy(F.col("doc_id").alias("own")).agg(F.collect_list(F.struct("start", "words")).alias("asked"))
-    checks = docs.join(asked, docs["doc_id"] == asked["own"], "left").select("doc_id", "text", "asked").mapInArrow(_checks, "doc_id long, start int, words int, check long")
+    asked = stored(wanted.groupBy(F.col("doc_id").alias("own")).agg(F.collect_list(F.struct("start", "words")).alias("asked")), "asked")
+    checks = stored(docs.join(asked, docs["doc_id"] == asked["own"]).select("doc_id", "text", "asked").mapInArrow(_checks, "doc_id long, start int, words int, check long").distinct(), "checks")
     source = checks.select(F.col("doc_id").alias("s_doc"), F.col("start").alias("s_start"), "words", F.col("check").alias("s_check"))
     return spans.join(checks, ["doc_id", "start", "words"]).join(source, ["s_doc", "s_start", "words"]).where("check = s_check").select("doc_id", "start", "words")
 
@@ -166,10 +178,12 @@ def _keep(length: int):
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words, joined by one space, of every document."""
     rows = id_text(docs)
-    copies = cut(exact_copies(digest_sizes(rows)))
-    spans = repeated_spans(rows, copies, length, gram).groupBy(F.col("doc_id").alias("own")).agg(F.collect_list(F.struct("start", "words")).alias("spans"))
-    later = copies.where("own <> first").select(F.col("own").alias("later")).distinct()
-    whole = rows.join(spans, rows["doc_id"] == spans["own"], "left").join(later, F.col("doc_id") == F.col("later"), "left")
+    sizes = digest_sizes(rows)
+    later = stored(exact_copies(sizes).where("own <> first").select("own", F.col("text_hash").alias("own_hash")).distinct(), "later")
+    n_bytes = sizes.agg(F.sum("length")).first()[0] or 0
+    spans = repeated_spans(rows, later, n_bytes, length, gram).groupBy(F.col("doc_id").alias("own")).agg(F.collect_list(F.struct("start", "words")).alias("spans"))
+    spans = stored(spans, "spans")
+    whole = rows.join(spans, rows["doc_id"] == spans["own"], "left").join(later.select(F.col("own").alias("later"), "own_hash"), (F.col("doc_id") == F.col("later")) & (F.xxhash64("text") == F.col("own_hash")), "left")
     return whole.select("doc_id", "text", "spans", F.col("later").isNotNull().alias("copy")).mapInArrow(_keep(length), "doc_id long, n_words long, n_removed long, kept string")
 
 

@@ -25,9 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTES, Wanted, cut, digest_sizes, exact_copies, id_text, mix, numbered, rolling, sliding_argmin, text_chunks
+from .common import _BYTES, Wanted, digest_sizes, exact_copies, id_text, mix, numbered, repeated, rolling, sliding_argmin, stored, text_chunks
 from .induced import shared_neighbours
-from .substrings import repeated_anchors
 
 LENGTH, GRAM = 200, 48
 #: Bytes of texts for each shard, of which pieces are a part; bytes of tuples that the queues of a shard hold in memory.
@@ -50,12 +49,14 @@ def _runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
 
 
 def _anchors(length: int, gram: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks of values for `repeated`: each document's anchors."""
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
         for ids, data, offsets in text_chunks(batches, 1 << 20):
             doc, _, _, anchor = _runs(data, offsets, length, gram)
-            yield pa.record_batch([ids.take(pa.array(doc)), pa.array(anchor.view(np.int64))], names=["doc_id", "anchor"])
+            yield ids, doc.astype(np.int64), anchor
 
-    return run
+    return chunks
 
 
 def _pieces(length: int, gram: int):
@@ -117,20 +118,19 @@ def _sort_shards(length: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, copies: DataFrame, sizes: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
+def repeated_spans(docs: DataFrame, later: DataFrame, n_bytes: int, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
     """doc_id, start, windows: runs of window starts, in bytes, whose windows occur elsewhere too. Of copies only the first
-    takes part."""
-    later = copies.where("own <> first").select("own")
-    known = repeated_anchors(docs, _anchors(length, gram)).join(later, "own", "left_anti")
-    candidates = docs.join(known, docs["doc_id"] == known["own"], "left").select("doc_id", "text", "anchors")
-    pieces = candidates.mapInArrow(_pieces(length, gram), "doc_id long, start int, anchor long, piece binary")
+    takes part: `later` (own, own_hash) lists the others."""
+    firsts = docs.join(later, (docs["doc_id"] == later["own"]) & (F.xxhash64("text") == later["own_hash"]), "left_anti")
+    known = stored(repeated(firsts, _anchors(length, gram), n_bytes), "anchors")
+    candidates = docs.join(known, docs["doc_id"] == known["own"]).select("doc_id", "text", "values")
     key = F.unhex(F.concat(F.md5("piece"), F.lpad(F.hex("anchor"), 16, "0")))
-    distinct = pieces.groupBy("anchor", "piece").agg(F.count(F.lit(1)).alias("n")).withColumn("key", key)
-    places = pieces.select("doc_id", "start", key.alias("key"))
-    shards = max(1, -(-(sizes.agg(F.sum("length")).first()[0] or 0) // shard))
+    pieces = stored(candidates.mapInArrow(_pieces(length, gram), "doc_id long, start int, anchor long, piece binary").withColumn("key", key), "pieces")
+    distinct = pieces.groupBy("anchor", "piece", "key").agg(F.count(F.lit(1)).alias("n"))
+    shards = max(1, -(-n_bytes // shard))
     dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).select("shard", "piece", "n", "key")
-    runs = dealt.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_sort_shards(length), "key binary, `from` int, windows int")
-    return places.join(runs, "key").select("doc_id", (F.col("start") + F.col("from")).alias("start"), "windows")
+    runs = stored(dealt.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_sort_shards(length), "key binary, `from` int, windows int"), "runs")
+    return pieces.select("doc_id", "start", "key").join(runs, "key").select("doc_id", (F.col("start") + F.col("from")).alias("start"), "windows")
 
 
 def _keep(length: int):
@@ -158,10 +158,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     """doc_id, n_bytes, n_removed, n_spans and the kept bytes of every document."""
     rows = id_text(docs)
     sizes = digest_sizes(rows)
-    copies = cut(exact_copies(sizes))
-    spans = repeated_spans(rows, copies, sizes, length, gram).groupBy(F.col("doc_id").alias("own")).agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
-    copied = copies.select(F.col("own").alias("copied")).distinct()
-    whole = rows.join(spans, rows["doc_id"] == spans["own"], "left").join(copied, F.col("doc_id") == F.col("copied"), "left")
+    copies = exact_copies(sizes)
+    later = stored(copies.where("own <> first").select("own", F.col("text_hash").alias("own_hash")).distinct(), "later")
+    n_bytes = sizes.agg(F.sum("length")).first()[0] or 0
+    spans = repeated_spans(rows, later, n_bytes, length, gram).groupBy(F.col("doc_id").alias("own")).agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
+    spans = stored(spans, "spans")
+    copied = stored(copies.select(F.col("own").alias("copied"), F.col("text_hash").alias("own_hash")).distinct(), "copied")
+    whole = rows.join(spans, rows["doc_id"] == spans["own"], "left").join(copied, (F.col("doc_id") == F.col("copied")) & (F.xxhash64("text") == F.col("own_hash")), "left")
     return whole.select("doc_id", "text", "spans", F.col("copied").isNotNull().alias("copy")).mapInArrow(_keep(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
