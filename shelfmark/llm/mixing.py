@@ -9,8 +9,9 @@ other, in parts of `PART`: a row of three numbers per block, so 1/16 of the docu
 
 When a source has no more blocks its slots stay empty and the others keep their proportions; every document is placed, none
 is dropped or repeated. A null source is a source of its own. A source without a positive target weight gets the smallest
-weight, 1 of `period`. Repeated rows are placed each; an empty table gives an empty result; a document's other columns
-are kept as they are.
+weight, 1 of `period`. Repeated rows are placed each, in any order among themselves; rows without an id are spread by their
+other columns; deadlines that tie go to the source that sorts first. An empty table gives an empty result. A document's
+other columns are kept as they are, whatever their names, but for those of the mixture's own five, which are replaced.
 
 The counts table has a row per source; its size is that of the list of sources, not of the documents. Positions within a
 source are counted in buckets of the hash, so that no source, however large, is sorted in one task.
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import stored
 
 BLOCK, PERIOD = 16, 1 << 31
 #: Blocks that one part of the fold schedules; an array of this size is copied for each.
@@ -90,28 +91,32 @@ def schedule(shared: DataFrame, block: int = BLOCK) -> DataFrame:
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int = PERIOD, bucket: int = BUCKET) -> DataFrame:
     """Every document with its place in the mixture: mix_block (from 1, within its source), mix_release, mix_deadline,
     mix_slot and mix_position. Ordering by mix_position interleaves the sources. The columns doc_id and source are read."""
-    rows = docs.withColumn("_hash", F.xxhash64(F.col("doc_id")))
-    counts = cut(docs.groupBy("source").agg(F.count(F.lit(1)).alias("n")))
-    shared = cut(shares(counts, weights, period=period))
-    slots = cut(schedule(shared, block))
+    spread = [F.col(c) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    hash_ = F.xxhash64(F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64(*spread)))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id"), F.col("source"), hash_.alias("hash"))
+    counts = stored(docs.groupBy("source").agg(F.count(F.lit(1)).alias("n")), "sources")
+    shared = stored(shares(counts, weights, period=period), "shares")
+    slots = stored(schedule(shared, block), "slots")
     most = counts.agg(F.max("n")).first()[0] or 0
     width = max(1, -(-most // bucket))
-    rows = rows.withColumn("_bucket", F.floor((F.col("_hash").cast("double") / 2.0**64 + 0.5) * width).cast("long"))
-    sizes = cut(rows.groupBy("source", "_bucket").agg(F.count(F.lit(1)).alias("_in")))
-    before = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(F.col("source").alias("_s"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_in").over(before), F.lit(0)).alias("_before"), "_in").withColumn("_first", F.floor(F.col("_before") / block))
+    rows = rows.withColumn("bucket", F.floor((F.col("hash").cast("double") / 2.0**64 + 0.5) * width).cast("long"))
+    sizes = stored(rows.groupBy("source", "bucket").agg(F.count(F.lit(1)).alias("n")), "buckets")
+    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("first", F.floor(F.col("before") / block))
     # Each bucket with the slots of its blocks, some bucket / block of them.
-    asked = offsets.withColumn("_j", F.explode(F.sequence("_first", F.floor((F.col("_before") + F.col("_in") - 1) / block))))
-    met = asked.join(slots, F.col("_s").eqNullSafe(slots["source"]) & (F.col("_j") == slots["j"]))
-    offsets = met.groupBy("_s", "_b", "_before", "_first").agg(F.array_sort(F.collect_list("slot")).alias("_slots"))
-    rows = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("source", "_bucket").orderBy("_hash", "doc_id")))
+    asked = offsets.withColumn("j", F.explode(F.sequence("first", F.floor((F.col("before") + F.col("n") - 1) / block)))).alias("a")
+    slots = slots.alias("s")
+    met = asked.join(slots, F.col("a.source").eqNullSafe(F.col("s.source")) & (F.col("a.j") == F.col("s.j")))
+    met = met.groupBy("a.source", "bucket", "before", "first").agg(F.array_sort(F.collect_list("slot")).alias("slots"))
     # One row per source or bucket of some ten thousand documents: the list is small, and is sent to all tasks below its size limit only.
-    placed = rows.join(offsets, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
-    plan = shared.select(F.col("source").alias("_source"), "share", F.sum("share").over(Window.partitionBy(F.lit(0))).alias("period"))
-    placed = placed.join(plan, F.col("source").eqNullSafe(F.col("_source")))
-    n = F.col("_before") + F.col("_rank") - 1
+    plan = shared.select("source", "share", F.sum("share").over(Window.partitionBy(F.lit(0))).alias("period")).alias("p")
+    met = stored(met.alias("m").join(plan, F.col("m.source").eqNullSafe(F.col("p.source"))).select("m.*", "share", "period"), "offsets").alias("m")
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("source", "bucket").orderBy("hash", "doc_id"))).alias("r")
+    placed = rows.join(met, F.col("r.source").eqNullSafe(F.col("m.source")) & (F.col("r.bucket") == F.col("m.bucket")))
+    n = F.col("before") + F.col("rank") - 1
     j = F.floor(n / block)
-    slot = F.element_at("_slots", (j - F.col("_first") + 1).cast("int"))
+    slot = F.element_at("slots", (j - F.col("first") + 1).cast("int"))
     release = F.call_function("div", j * F.col("period"), F.col("share"))
     deadline = F.call_function("div", (j + 1) * F.col("period") + F.col("share") - 1, F.col("share"))
-    return placed.select(*docs.columns, (j + 1).alias("mix_block"), release.alias("mix_release"), deadline.alias("mix_deadline"), slot.alias("mix_slot"), (slot * block + n % block).alias("mix_position"))
+    made = {"mix_block": j + 1, "mix_release": release, "mix_deadline": deadline, "mix_slot": slot, "mix_position": slot * block + n % block}
+    return placed.select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in made), *(v.alias(c) for c, v in made.items()))
