@@ -1,15 +1,16 @@
 """Nearest neighbours by inner product, over randomly rotated one-bit codes.
 
-The index keeps for each vector the signs of its components after a random rotation, its length, and how well the signs
-point along it. From a query's rotated components and a code's signs comes an estimate of their inner product, and from the
-code's correction an error bound for it. In each pair of blocks the best estimates are computed in full first; their 20th
-value is the mark, and every vector whose estimate plus bound reaches the mark is computed in full too. The bound holds with
-high probability, not surely, so the result is approximate; tests measure recall against brute force.
+The index keeps for each vector the signs of its components after a random rotation, packed in 64-bit words, its length, and
+how well the signs point along it. A query's rotated components are rounded to `STEPS` bits, so an estimate of the inner
+product is a few bit counts of words, two scalars of the query and two corrections of the code, and the corrections give an
+error bound for it. In each pair of blocks the best estimates are computed in full first; their 20th value is the mark, and
+every vector whose estimate plus bound reaches the mark is computed in full too. The bound holds with high probability, not
+surely, so the result is approximate; tests measure recall against brute force.
 
 Blocks: candidates are dealt into buckets by a hash of their id, queries into groups, and each pair of a bucket and a group
 is one task's work, of bounded size. Every row is indexed. Vectors that are null, zero, or hold null or non-finite components
-take no part; vectors of another length than the query's are no candidates. A repeated vec_id is one row, its first by
-components. An empty table gives an empty result; further columns are not read.
+take no part; vectors of another length than the query's are no candidates. Scores that tie go by vec_id. A repeated vec_id
+is one row, its first by components. An empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -23,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import stored
 
 #: Nearest to return; candidates and queries in a block; estimates computed in full before the mark is set.
-K, BUCKET, GROUP, FIRST = 20, 8192, 1024, 64
-#: Width of the error bound in standard deviations of the code's error.
-WIDTH = 2.5
+K, BUCKET, GROUP, FIRST = 20, 8192, 2048, 64
+#: Width of the error bound in standard deviations of the code's error; bits of a query's rounded components.
+WIDTH, STEPS = 2.5, 5
 SEED = 11
 
 
@@ -38,6 +39,26 @@ def rotation(dim: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def _words(bits: np.ndarray) -> np.ndarray:
+    """Rows of bits as rows of 64-bit words."""
+    packed = np.packbits(bits, axis=1)
+    return np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8))).view(np.uint64)
+
+
+def _estimates(turned: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Sums of each query's rotated components by each code's signs, from counts of common bits."""
+    low = turned.min(axis=1, keepdims=True)
+    step = np.maximum((turned.max(axis=1, keepdims=True) - low) / (2**STEPS - 1), 1e-300)
+    rounded = np.rint((turned - low) / step).astype(np.uint8)
+    ones = np.bitwise_count(codes).sum(axis=1, dtype=np.float32)
+    common = np.zeros((len(turned), len(codes)), np.int32)
+    for bit in range(STEPS):
+        planes = _words((rounded >> bit) & 1 > 0)
+        for word in range(codes.shape[1]):
+            common += np.bitwise_count(planes[:, word, None] & codes[None, :, word]).astype(np.int32) << bit
+    return 2 * (low.astype(np.float32) * ones + step.astype(np.float32) * common) - turned.sum(axis=1, keepdims=True).astype(np.float32)
+
+
 def index(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id, dim, vec (float64 bytes), code (packed signs), size (length), along (the correction); no shuffle but for ids."""
     rows = embeddings.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL")
@@ -53,7 +74,7 @@ def index(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
                 size = np.sqrt((vectors * vectors).sum(axis=1))
                 turned = (vectors / size[:, None]) @ rotation(int(dim))
                 along = np.abs(turned).sum(axis=1) / np.sqrt(dim)
-                codes = np.packbits(turned >= 0, axis=1)
+                codes = _words(turned >= 0)
                 yield pa.record_batch([part.column(0), part.column(2), pa.array([x.tobytes() for x in vectors], pa.binary()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(size), pa.array(along)], names=["vec_id", "dim", "vec", "code", "size", "along"])
 
     return rows.mapInArrow(run, "vec_id long, dim int, vec binary, code binary, size double, along double")
@@ -68,15 +89,14 @@ def _search(k: int):
         dim = int(queries["dim"].iloc[0])
         matrix = lambda frame: np.frombuffer(b"".join(frame["vec"]), np.float64).reshape(-1, dim)
         q, c, q_ids, c_ids = matrix(queries), matrix(candidates), queries["vec_id"].to_numpy(), candidates["vec_id"].to_numpy()
-        bits = np.unpackbits(np.frombuffer(b"".join(candidates["code"]), np.uint8).reshape(len(c), -1), axis=1, count=dim)
-        signs = (bits.astype(np.float32) * 2 - 1) / np.float32(np.sqrt(dim))
+        codes = np.frombuffer(b"".join(candidates["code"]), np.uint64).reshape(len(c), -1)
         size, along = candidates["size"].to_numpy(), np.maximum(candidates["along"].to_numpy(), 1e-9)
         spread = (size * np.sqrt(np.maximum(1 - along * along, 0)) / along * WIDTH / np.sqrt(max(dim - 1, 1))).astype(np.float32)
-        gain = (size / along).astype(np.float32)
+        gain = (size / along / np.sqrt(dim)).astype(np.float32)
         outs = []
         for at in range(0, len(q), 128):
             part, ids = q[at : at + 128], q_ids[at : at + 128]
-            guess = ((part @ rotation(dim)).astype(np.float32) @ signs.T) * gain
+            guess = _estimates(part @ rotation(dim), codes) * gain
             guess[ids[:, None] == c_ids[None, :]] = -np.inf
             first = min(len(c), max(FIRST, 2 * k))
             top = np.argpartition(-guess, first - 1, axis=1)[:, :first]
@@ -97,8 +117,7 @@ def _search(k: int):
 
 def nearest(indexed: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row of `queries`, an index too, among all others."""
-    indexed = cut(indexed)
-    queries = cut(queries)
+    indexed, queries = stored(indexed, "index"), stored(queries, "queries")
     buckets, groups = max(1, -(-indexed.count() // BUCKET)), max(1, -(-queries.count() // GROUP))
     dealt = lambda df, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64("vec_id"), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1)).cast("array<long>")))
     left, right = dealt(queries, "g", groups, "b", buckets), dealt(indexed, "b", buckets, "g", groups)
