@@ -16,8 +16,6 @@ import tempfile
 
 import numpy as np
 
-from .common import mix
-
 
 class Queue:
     """Blocks of (position, shared) in order; the oldest are on disk when memory is short."""
@@ -78,8 +76,9 @@ def s_types(text: np.ndarray) -> np.ndarray:
     return np.repeat(rises, np.diff(differs, prepend=-1))
 
 
-def _shared(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
-    """Symbols that the suffixes at a and b share, up to `depth`; text is padded by that many."""
+def _shared(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int | np.ndarray) -> np.ndarray:
+    """Symbols that the suffixes at a and b share, up to `depth` (of all, or of each pair); text is padded by that many."""
+    depth = np.broadcast_to(depth, len(a))
     four = np.ndarray((len(text) - 3,), "<u8", text, strides=(2,))
     out = np.zeros(len(a), np.int64)
     live = np.arange(len(a))
@@ -88,7 +87,7 @@ def _shared(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.nd
         same = x == 0
         low = x & (~x + np.uint64(1))
         out[live] += np.where(same, 4, np.bitwise_count(low - np.uint64(1)).astype(np.int64) // 16)
-        live = live[same & (out[live] < depth)]
+        live = live[same & (out[live] < depth[live])]
     return np.minimum(out, depth).astype(np.int16)
 
 
@@ -181,24 +180,19 @@ def shared_neighbours(text: np.ndarray, symbols: int, depth: int, memory: int =
         if s is not None:
             found.append(s[0][::-1][seeded[s[0][::-1]]])
     pieces = np.concatenate([np.array([n - 1], np.int32), *found]) if n - 1 not in (found[0][:1] if found else ()) else np.concatenate(found)
-    number = np.zeros(n, np.int64)
+    number = np.zeros(n, np.int32)
     number[seeds] = np.arange(len(seeds))
     k = number[pieces]
-    stop = np.append(seeds[1:], n - 1)
-    codes = mix(padded[:n].astype(np.uint64) + np.uint64(1))
-    power = np.full(n, 0x9E3779B97F4A7C15, np.uint64)
-    power[0] = 1
-    power = np.multiply.accumulate(power)
-    inverse = np.full(n, pow(0x9E3779B97F4A7C15, -1, 1 << 64), np.uint64)
-    inverse[0] = 1
-    inverse = np.multiply.accumulate(inverse)
-    sums = np.append(np.uint64(0), np.cumsum(codes * power))
-    digest = mix((sums[stop[k] + 1] - sums[pieces]) * inverse[pieces])
-    size = stop[k] - pieces
+    del number, seeded, found
+    # Neighbours are one piece if they agree up to and with the next seed, or as far as order is told.
+    size = np.append(seeds[1:], n - 1)[k] - pieces
+    least = np.minimum(size[1:] + 1, depth)
     new = np.ones(len(pieces), bool)
-    new[1:] = (digest[1:] != digest[:-1]) | (size[1:] != size[:-1])
+    alike = _shared(padded, pieces[1:], pieces[:-1], least) >= least
+    new[1:] = ~(alike & ((size[1:] == size[:-1]) | (least >= depth)))
     rank = np.zeros(len(seeds), np.int64)
     rank[k] = np.cumsum(new)
+    del k, size, least, new, alike, pieces
     # The reduced text of piece ranks, by doubling until `depth` symbols are told: a piece has one symbol of its own at least.
     step = 1
     while step <= depth and rank.max() < len(rank):

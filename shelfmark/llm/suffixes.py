@@ -30,7 +30,7 @@ from .induced import shared_neighbours
 
 LENGTH, GRAM = 200, 48
 #: Bytes of texts for each shard, of which pieces are a part; bytes of tuples that the queues of a shard hold in memory.
-SHARD, QUEUES = 8 << 20, 64 << 20
+SHARD, QUEUES = 3 << 20, 32 << 20
 
 
 def _runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
