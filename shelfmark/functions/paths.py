@@ -69,8 +69,9 @@ def volume_key(path: Column) -> Column:
     return (F.when(share != "", share).when(path.startswith("\\\\"), path).when(path.rlike("^[A-Za-z]:"), F.upper(F.substring(path, 1, 2))).when(mounted != "", mounted).when(path.startswith("/"), "/").otherwise("UNKNOWN"))
 
 
-def classify_path(path: Column) -> Column:
-    return F.when(path.startswith("\\\\"), "unc").when(path.rlike(r"^[A-Za-z]:[\\/]?$"), "drive_root").otherwise("local")
+def classify_path(path: Column, mapped: Column | None = None) -> Column:
+    """`mapped`: whether the path's drive is a network one."""
+    return F.when(path.startswith("\\\\"), "unc").when(F.lit(False) if mapped is None else mapped, "mapped_network").when(path.rlike(r"^[A-Za-z]:[\\/]?$"), "drive_root").otherwise("local")
 
 
 def format_size(size: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import ancestor_paths, volume_key
-from .tree import in_subtree, under_missing
+from .tree import in_subtree
 
 
 def latest_per_path(rows: DataFrame, order: str, key: str = "full_path") -> DataFrame:
@@ -61,9 +61,15 @@ def relocate_path(files: DataFrame, moves: DataFrame) -> DataFrame:
 
 
 def advance_checkpoint(volumes: DataFrame, applied: DataFrame) -> DataFrame:
-    """last_usn of each volume of `applied` (volume_id, usn) becomes the largest applied, never a smaller one."""
-    last = applied.groupBy(F.col("volume_id").alias("id")).agg(F.max("usn").alias("_usn"))
-    return volumes.join(last, "id", "left").withColumn("last_usn", F.greatest("last_usn", "_usn")).select(*volumes.columns)
+    """last_usn of each volume of `applied` becomes the largest applied, never a smaller one, and last_scan_time the latest.
+    `applied` has volume_id, or drive (C: or C:\\, in any case), and usn, and may have scanned_at."""
+    letter = lambda c: F.upper(F.substring(c, 1, 2))
+    by_id = "volume_id" in applied.columns
+    scanned = F.max("scanned_at") if "scanned_at" in applied.columns else F.lit(None).cast("timestamp")
+    last = applied.groupBy((F.col("volume_id") if by_id else letter("drive")).alias("key")).agg(F.max("usn").alias("usn"), scanned.alias("at"))
+    joined = volumes.join(last, volumes["id"] == last["key"] if by_id else letter(volumes["mount_point"]) == last["key"], "left")
+    new = {"last_usn": F.greatest(volumes["last_usn"], last["usn"]), "last_scan_time": F.greatest(volumes["last_scan_time"], last["at"])} if "last_scan_time" in volumes.columns else {"last_usn": F.greatest(volumes["last_usn"], last["usn"])}
+    return joined.select(*(new.get(c, volumes[c]).alias(c) for c in volumes.columns))
 
 
 def set_online(volumes: DataFrame, volume_id: int, online: bool) -> DataFrame:
@@ -79,31 +85,35 @@ def checked(files: DataFrame, volume_ids: list[int] | None, max_id: int | None,
     return test if max_id is None else test & (F.col(id_col) <= max_id)
 
 
-def prune(files: DataFrame, listing: DataFrame, volume_ids: list[int] | None = None, max_id: int | None = None, force: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Kept and removed rows: those that a listing lacks go, and all below missing directories. Volumes without any row in
-    the listing are left alone unless `force`, as they may be offline."""
+def flag_missing(files: DataFrame, listing: DataFrame, volume_ids: list[int] | None = None, max_id: int | None = None, force: bool = False) -> DataFrame:
+    """The rows with `gone` (the listing lacks it, or a directory above it) and `below` (a missing directory is above it).
+
+    Volumes without any row in the listing are left alone unless `force`, as they may be offline. Ancestors are looked up
+    once, among the missing directories alone."""
     test = checked(files, volume_ids, max_id)
-    scope, rest = files.where(test), files.where(~test)
-    if not force:
-        seen = listing.select(volume_key(F.col("full_path")).alias("k")).distinct()
-        keyed = scope.withColumn("k", volume_key(F.col("full_path")))
-        rest = rest.unionByName(keyed.join(seen, "k", "left_anti").drop("k").select(*files.columns))
-        scope = keyed.join(seen, "k", "left_semi").drop("k").select(*files.columns)
-    missing = missing_entries(scope, listing)
-    below = under_missing(scope, missing.where("is_directory"))
-    removed = missing.unionByName(below.select(*missing.columns)).dropDuplicates(["full_path"]).select(*files.columns)
-    kept = rest.unionByName(scope.join(removed.select("full_path"), "full_path", "left_anti").select(*files.columns))
-    return kept, removed
-
-
-def prune_stats(files: DataFrame, removed: DataFrame) -> DataFrame:
+    seen = listing.select(volume_key(F.col("full_path")).alias("_seen")).distinct()
+    on_volume = lambda df, how: df.join(seen, volume_key(F.col("full_path")) == F.col("_seen"), how)
+    dirs = files.where(F.col("is_directory") & test).select("full_path")
+    missing = (dirs if force else on_volume(dirs, "left_semi")).join(listing.select("full_path"), "full_path", "left_anti")
+    below = files.select("full_path", F.explode(ancestor_paths(F.col("full_path"))).alias("above")).join(missing.select(F.col("full_path").alias("above")), "above", "left_semi").select("full_path", F.lit(True).alias("_below")).distinct()
+    rows = files.join(listing.select("full_path", F.lit(True).alias("_there")), "full_path", "left").join(below, "full_path", "left")
+    rows = rows.withColumn("_seen", F.lit("")) if force else on_volume(rows, "left")
+    asked = test & F.col("_seen").isNotNull()
+    lost = F.coalesce(F.col("_below"), F.lit(False))
+    return rows.select(*files.columns, (asked & (F.col("_there").isNull() | lost)).alias("gone"), (asked & lost).alias("below"))
+
+
+def prune(files: DataFrame, listing: DataFrame, volume_ids: list[int] | None = None, max_id: int | None = None, force: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Kept and removed rows: those that a listing lacks go, and all below missing directories (`flag_missing`)."""
+    rows = flag_missing(files, listing, volume_ids, max_id, force)
+    return rows.where("NOT gone").select(*files.columns), rows.where("gone").select(*files.columns)
+
+
+def prune_stats(flagged: DataFrame) -> DataFrame:
     """Per volume: rows looked at, files and directories removed, and checks that a missing directory above saves."""
-    gone = removed.where("is_directory").select(F.col("full_path").alias("above"))
-    up = files.select("full_path", F.explode(ancestor_paths(F.col("full_path"))).alias("above")).join(gone, "above", "left_semi").select("full_path").distinct().withColumn("skipped", F.lit(1))
-    flags = removed.select("full_path", F.lit(1).alias("gone"))
-    rows = files.join(flags, "full_path", "left").join(up, "full_path", "left").withColumn("volume", volume_key(F.col("full_path")))
-    total = lambda c: F.sum(F.coalesce(c, F.lit(0))).cast("long")
-    return rows.groupBy("volume").agg(F.count(F.lit(1)).alias("entries_checked"), total(F.when(~F.col("is_directory"), F.col("gone"))).alias("files_removed"), total(F.when(F.col("is_directory"), F.col("gone"))).alias("directories_removed"), total(F.col("skipped")).alias("checks_skipped"))
+    total = lambda test: F.count(F.when(test, 1))
+    own = flagged.groupBy(volume_key(F.col("full_path")).alias("volume"))
+    return own.agg(F.count(F.lit(1)).alias("entries_checked"), total(F.col("gone") & ~F.col("is_directory")).alias("files_removed"), total(F.col("gone") & F.col("is_directory")).alias("directories_removed"), total(F.col("below")).alias("checks_skipped"))
 
 
 def apply_snapshot(catalog: DataFrame, snapshot: DataFrame, stale: DataFrame | None = None, clean: bool = False) -> DataFrame:
@@ -114,5 +124,6 @@ def apply_snapshot(catalog: DataFrame, snapshot: DataFrame, stale: DataFrame | N
     return upsert(left, snapshot.select(*catalog.columns), "full_path")
 
 
-def needs_full_scan(files: DataFrame, forced: bool = False) -> bool:
-    return forced or files.isEmpty()
+def needs_full_scan(files: DataFrame, forced: bool = False) -> DataFrame:
+    """One row, needed: whether a scan was asked for, or the catalog has neither files nor directories. Reads one row."""
+    return files.limit(1).agg(((F.count(F.lit(1)) == 0) | F.lit(forced)).alias("needed"))

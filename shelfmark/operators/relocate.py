@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.paths import SLASH, normalize_extended, volume_prefix
+from ..functions.paths import SLASH, classify_path, drive_letter, normalize_extended, volume_prefix
 
 
 def move_plan(result: DataFrame, destination: str, there: DataFrame, force: bool = False) -> DataFrame:
@@ -54,3 +54,9 @@ def display_path(paths: DataFrame, mappings: DataFrame) -> DataFrame:
     """full_path and display_path: the longest mapped prefix replaced, the rest in its own case; unmapped paths as they are."""
     best = map_prefixes(paths.select("full_path"), mappings).groupBy("full_path").agg(F.max_by(F.struct("unc", "drive"), F.length("unc")).alias("m"))
     return paths.join(best, "full_path", "left").withColumn("display_path", F.when(F.col("m").isNull(), F.col("full_path")).otherwise(F.concat("m.drive", F.substring("full_path", F.length("m.unc") + 1, F.length("full_path"))))).drop("m")
+
+
+def classify_paths(paths: DataFrame, volumes: DataFrame) -> DataFrame:
+    """Adds path_class; drives of network volumes are mapped ones. Volumes are a small dimension."""
+    mapped = volumes.where(F.lower("volume_type") == "network").select(F.upper(F.substring("mount_point", 1, 1)).alias("_drive")).distinct()
+    return paths.join(mapped, drive_letter(F.col("full_path")) == F.col("_drive"), "left").withColumn("path_class", classify_path(F.col("full_path"), F.col("_drive").isNotNull())).drop("_drive")

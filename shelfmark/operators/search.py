@@ -130,11 +130,24 @@ def filter_event_excludes(events: DataFrame, parts: list[str], column: str = "pa
     return events.where(~reduce(or_, (F.contains(column, F.lit(p)) for p in parts), F.lit(False)))
 
 
+GRAM = 3
+
+
 def multi_query_search(files: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id and rows for a table of plain patterns (query_id, pattern). Patterns of a saved-search table are few; a
-    large table is not sent to all tasks but joined as Spark plans it."""
-    asked = queries.select("query_id", ascii_lower(F.col("pattern")).alias("_p"))
-    return files.join(asked, F.contains(ascii_lower(F.col("name")), F.col("_p"))).drop("_p")
+    """query_id and rows for a table of plain patterns (query_id, pattern), of any size: names and patterns meet by their
+    grams, of which a pattern has one, and are compared then. Patterns of fewer letters than a gram are grams themselves;
+    names are taken apart by the lengths that patterns have alone. An empty pattern finds every row."""
+    asked = queries.select("query_id", ascii_lower(F.col("pattern")).alias("_p")).where("_p IS NOT NULL")
+    asked = asked.withColumn("_n", F.least(F.length("_p"), F.lit(GRAM)))
+    sizes = [r[0] for r in asked.select("_n").distinct().collect()]  # GRAM + 1 at most
+    grams = lambda text, n: F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))
+    low = ascii_lower(F.col("name"))
+    cuts = [F.when(F.length(low) >= n, grams(low, n)) if n else F.array(F.lit("")) for n in sizes]
+    none = F.array().cast("array<string>")
+    # Of a pattern's grams the one with the smallest hash, so that patterns spread over their grams.
+    own = F.when(F.col("_n") == 0, F.lit("")).otherwise(F.array_min(F.transform(grams(F.col("_p"), F.col("_n")), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"])
+    taken = files.withColumn("_g", F.explode(F.array_distinct(F.concat(none, *(F.coalesce(c, none) for c in cuts)))))
+    return taken.join(asked.withColumn("_g", own), "_g").where(F.contains(low, F.col("_p"))).drop("_p", "_n", "_g")
 
 
 def union_dedupe(*results: DataFrame) -> DataFrame:

@@ -18,8 +18,11 @@ def _counts() -> list[Column]:
 
 
 def catalog_stats(files: DataFrame, volumes: DataFrame) -> DataFrame:
-    one = files.agg(*_counts()).withColumn("k", F.lit(1))
-    return one.join(volumes.agg(F.count(F.lit(1)).alias("total_volumes")).withColumn("k", F.lit(1)), "k").drop("k")
+    names = ["total_files", "total_directories", "total_size", "total_volumes"]
+    zero = F.lit(0).cast("long")
+    own = files.agg(*_counts()).withColumn("total_volumes", zero)
+    theirs = volumes.agg(F.count(F.lit(1)).alias("total_volumes")).select(*(zero.alias(n) for n in names[:3]), "total_volumes")
+    return own.unionByName(theirs).agg(*(F.max(n).alias(n) for n in names))
 
 
 def volume_stats(files: DataFrame) -> DataFrame:
@@ -128,7 +131,7 @@ def report(result: DataFrame, names_only: bool = False) -> DataFrame:
 def report_info(result: DataFrame) -> DataFrame:
     dirs = info_directories(result).select(F.lit(True).alias("is_directory"), F.col("directory").alias("full_path"), "size", "n_files")
     files = result.where("NOT is_directory").select("is_directory", "full_path", "size", F.lit(None).cast("long").alias("n_files"))
-    return dirs.unionByName(files)
+    return dirs.unionByName(files).orderBy(F.desc("is_directory"), "full_path")
 
 
 def scan_summary(files: DataFrame) -> DataFrame:

@@ -9,8 +9,9 @@ from ..functions.paths import SLASH, ancestor_paths
 from ..session import cut
 
 
-def resolve_paths(records: DataFrame, root_ref: int = 5, max_depth: int = 256) -> DataFrame:
+def resolve_paths(records: DataFrame, volumes: DataFrame, root_ref: int = 5, max_depth: int = 256) -> DataFrame:
     """mft_reference, volume_id, full_path of records with volume_id, file_reference, parent_reference, name, is_directory.
+    Paths begin with the volume's mount point; records of an unknown volume have none and go.
 
     Only directories are resolved step by step: each round joins every directory's open end with the directory there, so a
     depth of 256 takes eight rounds. Files then take one join. Empty parent names are left out; a missing parent ends the
@@ -27,9 +28,9 @@ def resolve_paths(records: DataFrame, root_ref: int = 5, max_depth: int = 256) -
         dirs = cut(joined.select("volume_id", "ref", F.when(F.col("found"), F.col("a_up")).alias("up"), F.when(F.col("found"), path).otherwise(F.col("path")).alias("path")))
         reach *= 2
     parents = dirs.select("volume_id", F.col("ref").alias("parent_reference"), F.col("path").alias("parent_path"))
-    drive = F.concat(F.char(F.lit(66) + F.col("volume_id")), F.lit(":"))
-    whole = F.concat_ws(SLASH, drive, F.when(F.col("parent_path") != "", F.col("parent_path")), F.col("name"))
-    return records.join(parents, ["volume_id", "parent_reference"], "left").select(F.col("file_reference").alias("mft_reference"), "volume_id", whole.alias("full_path"))
+    drives = volumes.select(F.col("id").alias("volume_id"), F.regexp_replace("mount_point", r"[\\/]+$", "").alias("drive"))
+    whole = F.concat_ws(SLASH, "drive", F.when(F.col("parent_path") != "", F.col("parent_path")), F.col("name"))
+    return records.join(parents, ["volume_id", "parent_reference"], "left").join(drives, "volume_id").select(F.col("file_reference").alias("mft_reference"), "volume_id", whole.alias("full_path"))
 
 
 def in_subtree(files: DataFrame, path: str, case_insensitive: bool = False) -> Column:

@@ -13,7 +13,9 @@ from ..operators import relocate as R
 from ..operators import search as S
 from ..operators import stats as T
 from ..operators import tree as G
+from ..session import shared_dir
 from ..sources import catalog as C
+from ..sources.records import decode_record_buffers
 from ..streaming import changes as H
 
 Views = Callable[[str], DataFrame]
@@ -70,7 +72,7 @@ query("search_path", "files", _found("NATION_1\\customer#00", kind="path", sort=
 query("search_any", "files", _found("*.mp4", "plate", "red?ring*"), _where(f"{LN} LIKE '%.mp4' OR {LN} LIKE '%plate%' OR {LN} LIKE 'red_ring%'"))
 query("search_all", "files", _found("*.txt", "*old*", mode="all"), _where(f"{LN} LIKE '%.txt' AND {LN} LIKE '%old%'"))
 query("search_all_mixed", "files", _found("*.pdf", "annual", mode="all"), _where(f"{LN} LIKE '%.pdf' AND {LN} LIKE '%annual%'"))
-query("expand_patterns", "files", _found("red ring", "old.log", expand=True), _where(" OR ".join(f"{LN} LIKE '%{p}%'" for p in S.expand_patterns(["red ring", "old.log"]))))
+query("expand_patterns", "files", _found("red ring", "old.log", expand=True), _where(" OR ".join(f"{LN} LIKE '%{p}%'" for p in ("red ring", "red.ring", "redring", "old.log", "old log", "oldlog"))))
 query("multi_query_search", "files", lambda v: S.multi_query_search(v("files"), v("volumes").select(F.col("id").alias("query_id"), F.element_at(F.array(*map(F.lit, ("ring", "LOG_1", "plate", "annual", "rod_2"))), F.col("id").cast("int")).alias("pattern"))).select("query_id", "full_path"), f"SELECT query_id, full_path FROM files JOIN (VALUES (1, 'ring'), (2, 'log_1'), (3, 'plate'), (4, 'annual'), (5, 'rod_2')) q(query_id, pattern) ON contains({LN}, pattern)")
 query("filter_drives", "files", _files(lambda f: S.filter_drives(f, ("d:", "F"))), _where("upper(substr(full_path, 1, 1)) IN ('D', 'F')"))
 query("filter_type", "files", _files(lambda f: S.filter_type(f, "dirs")), _where("is_directory"))
@@ -80,7 +82,12 @@ query("filter_excludes", "files", _files(lambda f: S.filter_excludes(f, ["*.mp4"
 query("filter_hidden", "files", _files(lambda f: S.filter_hidden(f, P.ancestor_paths(F.col("full_path")))), _where("NOT (starts_with(name, '.') AND NOT starts_with(name, '.tmp'))"))
 query("filter_event_excludes", "watch_events", lambda v: S.filter_event_excludes(v("watch_events"), ["_1", "99"]).select("seq", "path"), "SELECT seq, path FROM watch_events WHERE NOT contains(path, '_1') AND NOT contains(path, '99')")
 query("filter_reason", "changes", lambda v: v("changes").where(P.has_flag(F.col("reason"), P.CLOSE | P.DELETE)).select("usn", "reason"), "SELECT usn, reason FROM changes WHERE reason & 2147484160 <> 0")
-query("needs_full_scan", "files", lambda v: v("files").agg((F.count(F.lit(1)) == 0).alias("needed")), "SELECT count(*) = 0 AS needed FROM files")
+query(
+    "needs_full_scan",
+    "files",
+    lambda v: M.needs_full_scan(v("files")).withColumn("asked", F.lit("catalog")).unionByName(M.needs_full_scan(v("files"), forced=True).withColumn("asked", F.lit("forced"))).unionByName(M.needs_full_scan(v("files").where("volume_id > 5")).withColumn("asked", F.lit("none"))),
+    "SELECT 'catalog' AS asked, count(*) = 0 AS needed FROM files UNION ALL SELECT 'forced', TRUE UNION ALL SELECT 'none', count(*) = 0 FROM files WHERE volume_id > 5",
+)
 query("union_dedupe", "files", lambda v: S.union_dedupe(*(S.search(v("files"), [p]) for p in ("ring", "red"))).select("full_path", "size"), _where(f"{LN} LIKE '%ring%' OR {LN} LIKE '%red%'"))
 query("intersect_on_path", "files", lambda v: S.intersect_on_path(*(S.search(v("files"), [p]) for p in ("ring", "red"))).select("full_path", "size"), _where(f"{LN} LIKE '%ring%' AND {LN} LIKE '%red%'"))
 query("sort_results", "files", _found("report", sort="size"), _where(f"{LN} LIKE '%report%'"))
@@ -105,7 +112,12 @@ _columns = {
 for _name, (_column, _sql) in _columns.items():
     query(_name, "files", _files(lambda f, c=_column: f.withColumn("value", c()), "full_path", "value"), f"SELECT full_path, {_sql} AS value FROM files")
 query("ancestor_paths", "files", _files(lambda f: f.select("full_path", F.explode(P.ancestor_paths(F.col("full_path"))).alias("ancestor")), "full_path", "ancestor"), "SELECT full_path, array_to_string(list_slice(string_split(full_path, chr(92)), 1, i), chr(92)) AS ancestor FROM files, generate_series(2, 9) t(i) WHERE i < len(string_split(full_path, chr(92)))")
-query("classify_path", "files unc_paths", lambda v: v("files").select("full_path").unionByName(v("unc_paths").select("full_path")).distinct().withColumn("value", P.classify_path(F.col("full_path"))), "SELECT DISTINCT full_path, CASE WHEN starts_with(full_path, concat(chr(92), chr(92))) THEN 'unc' ELSE 'local' END AS value FROM (SELECT full_path FROM files UNION ALL SELECT full_path FROM unc_paths)")
+query(
+    "classify_path",
+    "files unc_paths volumes",
+    lambda v: R.classify_paths(v("files").select("full_path").unionByName(v("unc_paths").select("full_path")).distinct(), v("volumes")),
+    "SELECT DISTINCT full_path, CASE WHEN starts_with(full_path, concat(chr(92), chr(92))) THEN 'unc' WHEN EXISTS (SELECT 1 FROM volumes v WHERE volume_type = 'network' AND starts_with(full_path, v.mount_point)) THEN 'mapped_network' ELSE 'local' END AS path_class FROM (SELECT full_path FROM files UNION ALL SELECT full_path FROM unc_paths)",
+)
 query("volume_type", "volumes", lambda v: v("volumes").select("id", P.volume_type_norm(F.upper("volume_type")).alias("kind"), P.volume_type_label(F.col("volume_type")).alias("shown"), P.mount_label(F.col("mount_point"), F.col("label")).alias("mount")), "SELECT id, volume_type AS kind, CASE volume_type WHEN 'ntfs' THEN 'NTFS' ELSE concat(upper(substr(volume_type, 1, 1)), substr(volume_type, 2)) END AS shown, concat_ws(' ', mount_point, label) AS mount FROM volumes")
 query("epoch_seconds", "files", _files(lambda f: f.select("full_path", F.unix_timestamp(F.col("created_time").cast("timestamp")).alias("seconds"), P.known_time(F.unix_timestamp(F.col("created_time").cast("timestamp")) - 800000000).cast("timestamp_ntz").alias("shifted")), "full_path", "seconds", "shifted"), "SELECT full_path, CAST(epoch(created_time) AS BIGINT) AS seconds, CASE WHEN epoch(created_time) >= 800000000 THEN make_timestamp(CAST((epoch(created_time) - 800000000) * 1000000 AS BIGINT)) END AS shifted FROM files")
 query("event_kind", "changes", lambda v: v("changes").select("usn", P.event_kind(F.col("reason")).alias("kind")), "SELECT usn, CASE WHEN reason & 256 <> 0 THEN 'created' WHEN reason & 512 <> 0 THEN 'deleted' WHEN reason & 8192 <> 0 THEN 'created' WHEN reason & 7 <> 0 THEN 'modified' END AS kind FROM changes")
@@ -118,10 +130,53 @@ query("scan_for_check", "files", lambda v: C.scan_for_check(v("files"), 2, 10000
 query("listing_to_catalog", "listing", lambda v: C.listing_to_catalog(v("listing"), 7).select("volume_id", "name", "size", "full_path"), "SELECT CAST(7 AS BIGINT) AS volume_id, regexp_extract(full_path, '([^\\\\/]+)$', 1) AS name, size, full_path FROM listing")
 query("read_record_snapshot", "mft", lambda v: C.read_record_snapshot(v("mft").withColumn("attributes", F.when(F.col("is_directory"), 16).otherwise(32).cast("long"))).select("file_reference", "is_directory"), "SELECT file_reference, is_directory FROM mft WHERE file_reference >= 24 AND name <> ''")
 query("read_change_log", "changes", lambda v: C.read_change_log(v("changes"), 320000).select("usn", "name"), "SELECT usn, name FROM changes WHERE usn > 320000")
-query("read_watch_events", "watch_events", lambda v: v("watch_events").select("seq", "kind"), "SELECT seq, kind FROM watch_events")
-query("load_path_mappings", "path_mappings", lambda v: C.load_path_mappings(v("path_mappings").select(F.upper("unc").alias("unc"), F.substring("drive", 1, 1).alias("drive"), F.lit(1).alias("seq"))), "SELECT lower(unc) AS unc, drive FROM path_mappings")
+query("read_watch_events", "raw_events", lambda v: C.read_watch_events(v("raw_events"), ("/.cache",)).select("seq", "path", "kind"), "SELECT seq, path, CASE raw_kind WHEN 'create' THEN 'created' WHEN 'remove' THEN 'deleted' ELSE 'modified' END AS kind FROM raw_events WHERE raw_kind <> 'access' AND NOT contains(path, '/.cache')")
+query(
+    "load_path_mappings",
+    "path_mappings manual_mappings",
+    lambda v: C.load_path_mappings(v("path_mappings").select(F.upper("unc").alias("unc"), F.substring("drive", 1, 1).alias("drive")), v("manual_mappings")),
+    ", m AS (SELECT lower(unc) AS unc, max_by(concat(substr(drive, 1, 1), ':'), seq) AS drive FROM manual_mappings GROUP BY 1) SELECT unc, drive FROM m UNION ALL SELECT unc, drive FROM path_mappings WHERE unc NOT IN (SELECT unc FROM m)",
+)
 query("report_list", "files", _files(T.report, "is_directory", "shown"), "SELECT is_directory, full_path AS shown FROM files")
 query("report_name", "files", _files(lambda f: T.report(f, True), "is_directory", "shown"), "SELECT is_directory, name AS shown FROM files")
+query("listing_order", "listing", lambda v: C.listing_order(v("listing")), "SELECT full_path, is_directory, size FROM listing ORDER BY full_path")
+
+
+def _listed(v: Views) -> DataFrame:
+    """Lists what a catalog written by volume has become: its folder and one for each volume; the files' names are Spark's own."""
+    files = v("files")
+    where = shared_dir(files.sparkSession, "tree")
+    files.select("volume_id", "full_path").write.partitionBy("volume_id").parquet(where)
+    found = C.read_listing(files.sparkSession, where, ("*=3",))
+    rows = files.sparkSession.read.option("recursiveFileLookup", True).parquet(where).agg(F.count(F.lit(1)).alias("n_rows"))
+    return found.where("is_directory").select(F.when(F.col("full_path") == where, "root").otherwise(F.col("name")).alias("name"), "is_directory", "size", F.lit(rows.first()[0]).alias("n_rows"))
+
+
+query("read_listing", "files", _listed, "SELECT name, TRUE AS is_directory, CAST(0 AS BIGINT) AS size, (SELECT count(*) FROM files) AS n_rows FROM (SELECT DISTINCT concat('volume_id=', volume_id) AS name FROM files WHERE volume_id <> 3 UNION ALL SELECT 'root')")
+
+
+def _little(value, width: int):
+    """Bytes of a number in hex, lowest first."""
+    digits = F.substring(F.lpad(F.hex(value.cast("long")), 16, "0"), 17 - 2 * width, F.lit(2 * width))
+    return F.array_join(F.transform(F.sequence(F.lit(width), F.lit(1), F.lit(-1)), lambda i: F.substring(digits, 2 * i - 1, F.lit(2))), "")
+
+
+def _buffers(v: Views) -> DataFrame:
+    """Change records in buffers of fifty at most, odd ones in the layout of version 3; references carry a sequence above 48 bits."""
+    name = F.hex(F.encode("name", "UTF-16LE"))
+    n, wide = F.length(name) / 2, F.col("usn") / 64 % 2 == 1
+    size = F.when(wide, 76).otherwise(60) + n
+    padded = F.ceil(size / 8) * 8
+    reference = lambda c: F.concat(_little(F.col(c) + (7 << 48), 8), F.when(wide, "0" * 16).otherwise(""))
+    record = F.concat(
+        _little(padded, 4), _little(F.when(wide, 3).otherwise(2), 2), F.lit("0000"), reference("file_reference"), reference("parent_reference"), _little(F.col("usn"), 8), F.lit("0" * 16), _little(F.col("reason"), 4),
+        F.lit("0" * 16), _little(F.when(F.col("is_directory"), 0x10).otherwise(0x20), 4), _little(n, 2), _little(F.when(wide, 76).otherwise(60), 2), name, F.repeat(F.lit("00"), (padded - size).cast("int")),
+    )
+    rows = v("changes").select(F.floor(F.col("usn") / 3200).alias("g"), "usn", record.alias("r"))
+    return rows.groupBy("g").agg(F.unhex(F.concat(_little(F.max("usn") + 64, 8), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("usn", "r"))), lambda x: x["r"]), ""), F.lit("00000000"))).alias("buffer"))
+
+
+query("decode_record_buffers", "changes", lambda v: decode_record_buffers(_buffers(v)), "SELECT max(usn) OVER (PARTITION BY usn // 3200) + 64 AS next, usn, file_reference, parent_reference, name, reason, CAST(32 AS BIGINT) AS attributes, is_directory FROM changes")
 
 # Aggregates
 ANC = "SELECT full_path, array_to_string(list_slice(string_split(full_path, chr(92)), 1, i), chr(92)) AS directory FROM files, generate_series(2, 9) t(i) WHERE NOT is_directory AND i < len(string_split(full_path, chr(92)))"
@@ -152,7 +207,7 @@ query("match_directories", "files", lambda v: T.match_directories(v("files").whe
 query("directory_state", "files listing", lambda v: T.directory_state(v("files").where("is_directory"), v("listing")), f", n AS (SELECT {PARENT} AS directory, count(*) AS n FROM listing WHERE NOT is_directory GROUP BY 1) SELECT f.full_path AS directory, CASE WHEN l.full_path IS NULL THEN 'missing' WHEN n.n IS NULL THEN 'empty' ELSE 'has_files' END AS state FROM files f LEFT JOIN listing l ON l.full_path = f.full_path AND l.is_directory LEFT JOIN n ON n.directory = f.full_path WHERE f.is_directory")
 
 # Trees and set operations
-query("resolve_paths", "scan_entries", lambda v: G.resolve_paths(v("mft")), "SELECT mft_reference, volume_id, full_path FROM scan_entries")
+query("resolve_paths", "scan_entries", lambda v: G.resolve_paths(v("mft"), v("volumes")), "SELECT mft_reference, volume_id, full_path FROM scan_entries")
 query("subtree", "files", _files(lambda f: f.where(G.in_subtree(f, "C:/NATION_0"))), _where("full_path = concat('C:', chr(92), 'NATION_0') OR starts_with(full_path, concat('C:', chr(92), 'NATION_0', chr(92)))"))
 query("under_missing", "files listing", lambda v: G.under_missing(v("files"), M.missing_entries(v("files").where("is_directory"), v("listing"))).select("full_path"), ", m AS (SELECT full_path FROM files WHERE is_directory AND full_path NOT IN (SELECT full_path FROM listing)) SELECT f.full_path FROM files f WHERE EXISTS (SELECT 1 FROM m WHERE starts_with(f.full_path, concat(m.full_path, chr(92))))")
 query("missing_entries", "files listing", lambda v: M.missing_entries(v("files"), v("listing")).select("full_path", "is_directory"), "SELECT full_path, is_directory FROM files WHERE full_path NOT IN (SELECT full_path FROM listing)")
@@ -167,21 +222,51 @@ DELTA = "SELECT mft_reference, full_path, size + 1 AS size FROM files WHERE mft_
 UPSERT = f", d AS ({DELTA}) SELECT full_path, size FROM d UNION ALL SELECT full_path, size FROM files WHERE full_path NOT IN (SELECT full_path FROM d)"
 query("latest_per_path", "files", lambda v: M.latest_per_path(v("scan_entries"), "mft_reference").select("full_path", "mft_reference", "size"), "SELECT full_path, mft_reference, size FROM files")
 query("upsert_files", "files", lambda v: M.upsert(v("files"), _extra(v), "full_path", ("mft_reference",)).select("full_path", "size"), UPSERT)
-query("write_catalog", "files", lambda v: M.assign_ids(M.upsert(v("files"), _extra(v).withColumn("mft_reference", F.lit(None).cast("long")), "full_path", ("mft_reference",)), "mft_reference", 2_000_000_000).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("mft_reference").alias("ids"), F.max("mft_reference").alias("largest")), "SELECT (SELECT count(*) FROM files) + count(*) AS n, (SELECT count(*) FROM files) + count(*) AS ids, 2000000000 + count(*) AS largest FROM files WHERE mft_reference % 5 = 0")
+def _versions(v: Views, last: Callable[[DataFrame, str], None]) -> DataFrame:
+    """Publishes the catalog, then what `last` makes of it, and reads what readers now find."""
+    files = v("files")
+    C.publish(files, where := shared_dir(files.sparkSession, "versions"), 1)
+    last(C.current(files.sparkSession, where, files.schema), where)
+    return C.current(files.sparkSession, where, files.schema).select("full_path", "size", "volume_id")
+
+
+def _merge(old: DataFrame, where: str, v: Views) -> None:
+    largest = T.max_file_id(old).first()[0]
+    new = M.upsert(old, _extra(v).withColumn("mft_reference", F.lit(None).cast("long")), "full_path", ("mft_reference",))
+    C.publish(M.assign_ids(new, "mft_reference", largest), where, 2)
+
+
+query("write_catalog", "files", lambda v: _versions(v, lambda old, where: _merge(old, where, v)), f", d AS (SELECT full_path, size + 1 AS size, volume_id FROM files WHERE mft_reference % 5 = 0 UNION ALL SELECT concat(full_path, '.new'), size + 1, volume_id FROM files WHERE mft_reference % 5 = 0) SELECT * FROM d UNION ALL SELECT full_path, size, volume_id FROM files WHERE full_path NOT IN (SELECT full_path FROM d)")
+query("assign_ids", "files", lambda v: M.assign_ids(M.upsert(v("files"), _extra(v).withColumn("mft_reference", F.lit(None).cast("long")), "full_path", ("mft_reference",)), "mft_reference", 2_000_000_000).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("mft_reference").alias("ids"), F.max("mft_reference").alias("largest")), "SELECT (SELECT count(*) FROM files) + count(*) AS n, (SELECT count(*) FROM files) + count(*) AS ids, 2000000000 + count(*) AS largest FROM files WHERE mft_reference % 5 = 0")
 query("upsert_volume", "volumes", lambda v: M.upsert(v("volumes"), v("volumes").where("id > 3").withColumn("label", F.lit("new")), "serial_number", ("id",)).select("id", "serial_number", "label"), "SELECT id, serial_number, CASE WHEN id > 3 THEN 'new' ELSE label END AS label FROM volumes")
-query("reset_catalog", "files", _files(lambda f: f.limit(0)), _where("FALSE"))
+def _reset(v: Views) -> DataFrame:
+    """Rows that readers find before and after a reset."""
+    files = v("files")
+    spark = files.sparkSession
+    C.publish(files, where := shared_dir(spark, "versions"), 1)
+    count = lambda n: C.current(spark, where, files.schema).agg(F.lit(n).cast("long").alias("version"), F.count(F.lit(1)).alias("n"))
+    before = count(1)
+    C.reset_catalog(spark, where, 2, files.schema)
+    return before.unionByName(count(2))
+
+
+query("reset_catalog", "files", _reset, "SELECT CAST(1 AS BIGINT) AS version, count(*) AS n FROM files UNION ALL SELECT 2, 0")
 query("delete_path", "files", _files(lambda f: M.delete_path(f, "C:\\NATION_0")), _where("full_path <> concat('C:', chr(92), 'NATION_0')"))
 query("delete_volume_rows", "files", _files(lambda f: M.delete_volume_rows(f, 3)), _where("volume_id <> 3"))
 query("delete_subtree", "files", _files(lambda f: M.delete_subtree(f, "C:/NATION_0")), _where("NOT (full_path = concat('C:', chr(92), 'NATION_0') OR starts_with(full_path, concat('C:', chr(92), 'NATION_0', chr(92))))"))
 query("delete_references", "files", lambda v: M.delete_keys(v("files"), v("files").where("size % 3 = 0"), "volume_id", "mft_reference").select("full_path", "size"), _where("size % 3 <> 0"))
-query("purge_references", "files changes", lambda v: M.delete_keys(v("files"), H.stale_references(v("changes"), 1000).select(F.col("file_reference").alias("mft_reference")), "mft_reference").select("full_path", "size"), _where("mft_reference NOT IN (SELECT file_reference FROM changes WHERE usn > 1000 AND reason & 4608 <> 0)"))
+query("purge_references", "files changes", lambda v: M.delete_keys(v("files"), H.stale_references(v("changes"), 1000).select("volume_id", F.col("file_reference").alias("mft_reference")), "volume_id", "mft_reference").select("full_path", "size"), _where("NOT EXISTS (SELECT 1 FROM changes c WHERE c.volume_id = files.volume_id AND file_reference = mft_reference AND usn > 1000 AND reason & 4608 <> 0)"))
 query("delete_ids", "files", lambda v: M.delete_keys(v("files"), v("files").where("mft_reference % 7 = 0"), "mft_reference").select("full_path", "size"), _where("mft_reference % 7 <> 0"))
 query("relocate_path", "files", lambda v: M.relocate_path(v("files"), v("files").where("NOT is_directory AND mft_reference % 9 = 0").select(F.col("full_path").alias("old_path"), F.concat(F.lit("Z:\\moved\\"), F.col("mft_reference").cast("string"), F.lit(".bin")).alias("new_path"))).select("full_path", "name", "mft_reference"), "SELECT CASE WHEN m THEN concat('Z:', chr(92), 'moved', chr(92), mft_reference, '.bin') ELSE full_path END AS full_path, CASE WHEN m THEN concat(mft_reference, '.bin') ELSE name END AS name, CASE WHEN NOT m THEN mft_reference END AS mft_reference FROM (SELECT *, NOT is_directory AND mft_reference % 9 = 0 AS m FROM files)")
-query("advance_checkpoint", "volumes changes", lambda v: M.advance_checkpoint(v("volumes"), v("changes").select((F.col("usn") % 4 + 1).alias("volume_id"), "usn")).select("id", "last_usn"), "SELECT id, greatest(last_usn, u) AS last_usn FROM volumes LEFT JOIN (SELECT usn % 4 + 1 AS v, max(usn) AS u FROM changes GROUP BY 1) ON v = id")
+_applied = lambda v: v("changes").withColumn("scanned_at", F.col("ts").cast("timestamp"))
+_advanced = lambda df: df.select("id", "last_usn", F.unix_timestamp("last_scan_time").alias("scanned"))
+ADVANCED = "SELECT id, greatest(last_usn, u) AS last_usn, CAST(floor(epoch(t)) AS BIGINT) AS scanned FROM volumes LEFT JOIN (SELECT volume_id AS v, max(usn) AS u, max(ts) AS t FROM changes {} GROUP BY 1) ON v = id"
+query("advance_checkpoint", "volumes changes", lambda v: _advanced(M.advance_checkpoint(v("volumes"), _applied(v))), ADVANCED.format(""))
+query("advance_checkpoint_by_drive", "volumes changes", lambda v: _advanced(M.advance_checkpoint(v("volumes"), _applied(v).where("volume_id <> 2").select("usn", "scanned_at", F.concat(F.char(F.col("volume_id") + 98), F.lit(":\\")).alias("drive")))), ADVANCED.format("WHERE volume_id <> 2"))
 query("set_online", "volumes", lambda v: M.set_online(v("volumes"), 5, True).select("id", "is_online"), "SELECT id, is_online OR id = 5 AS is_online FROM volumes")
 query("prune", "files listing", lambda v: M.prune(v("files"), v("listing"))[0].select("full_path", "size"), f", {BELOW} SELECT full_path, size FROM b WHERE {KEPT}")
 query("prune_removed", "files listing", lambda v: M.prune(v("files"), v("listing"), [1, 2])[1].select("full_path", "size"), f", {BELOW} SELECT full_path, size FROM b WHERE volume_id IN (1, 2) AND {REMOVED}")
-query("prune_stats", "files listing", lambda v: M.prune_stats(v("files"), M.prune(v("files"), v("listing"))[1]), f", {BELOW} SELECT upper(substr(full_path, 1, 2)) AS volume, count(*) AS entries_checked, count(CASE WHEN NOT is_directory AND {REMOVED} THEN 1 END) AS files_removed, count(CASE WHEN is_directory AND {REMOVED} THEN 1 END) AS directories_removed, count(CASE WHEN below THEN 1 END) AS checks_skipped FROM b GROUP BY 1")
+query("prune_stats", "files listing", lambda v: M.prune_stats(M.flag_missing(v("files"), v("listing"))), f", {BELOW} SELECT upper(substr(full_path, 1, 2)) AS volume, count(*) AS entries_checked, count(CASE WHEN NOT is_directory AND {REMOVED} THEN 1 END) AS files_removed, count(CASE WHEN is_directory AND {REMOVED} THEN 1 END) AS directories_removed, count(CASE WHEN below THEN 1 END) AS checks_skipped FROM b GROUP BY 1")
 query("apply_snapshot_clean", "files", lambda v: M.apply_snapshot(v("files"), v("files").where("volume_id = 2 AND size % 2 = 0"), clean=True).select("full_path", "size"), _where("volume_id <> 2 OR size % 2 = 0"))
 query("apply_snapshot_incremental", "files", lambda v: M.apply_snapshot(v("files"), _extra(v).where("size % 2 = 0"), v("files").where("mft_reference % 4 = 1").select("volume_id", "mft_reference")).select("full_path", "size"), f", d AS (SELECT * FROM ({DELTA}) WHERE size % 2 = 0) SELECT full_path, size FROM d UNION ALL SELECT full_path, size FROM files WHERE mft_reference % 4 <> 1 AND full_path NOT IN (SELECT full_path FROM d)")
 
@@ -202,13 +287,8 @@ LONGEST = f"{PAIRS}, best AS (SELECT full_path, max_by(drive, length(unc)) AS dr
 query("display_path", "unc_paths path_mappings", lambda v: R.display_path(_unc(v), v("path_mappings")), f", {LONGEST} SELECT DISTINCT u.full_path, CASE WHEN n IS NULL THEN u.full_path ELSE concat(drive, substr(u.full_path, n + 1)) END AS display_path FROM unc_paths u LEFT JOIN best b ON b.full_path = u.full_path")
 
 # Change feed
-CHANGES_V = "c AS (SELECT x.*, coalesce(p.volume_id, 1) AS volume_id, p.full_path AS up FROM changes x LEFT JOIN scan_entries p ON p.mft_reference = x.parent_reference AND p.is_directory)"
-UP = "CASE WHEN up IS NOT NULL THEN up WHEN parent_reference = 5 THEN concat(chr(CAST(66 + volume_id AS INT)), ':') END"
-
-
-def _changes(v: Views) -> DataFrame:
-    owner = v("mft").where("is_directory").select(F.col("file_reference").alias("parent_reference"), "volume_id")
-    return v("changes").join(owner, "parent_reference", "left").withColumn("volume_id", F.coalesce("volume_id", F.lit(1).cast("long")))
+CHANGES_V = "c AS (SELECT x.*, p.full_path AS up, v.mount_point FROM changes x LEFT JOIN scan_entries p ON p.volume_id = x.volume_id AND p.mft_reference = x.parent_reference AND p.is_directory LEFT JOIN volumes v ON v.id = x.volume_id)"
+UP = "CASE WHEN up IS NOT NULL THEN up WHEN parent_reference = 5 THEN mount_point END"
 
 
 def _directories(v: Views) -> DataFrame:
@@ -216,18 +296,31 @@ def _directories(v: Views) -> DataFrame:
 
 
 query("classify_changes", "changes", lambda v: H.classify_changes(v("changes")).select("usn", "kind"), "SELECT usn, CASE reason WHEN 512 THEN 'deleted' WHEN 2 THEN 'modified' ELSE 'created' END AS kind FROM changes WHERE reason IN (256, 2, 8192, 512)")
-query("resolve_change_paths", "changes scan_entries", lambda v: H.resolve_change_paths(_changes(v), _directories(v)).select("usn", "full_path"), f", {CHANGES_V} SELECT usn, concat({UP}, chr(92), name) AS full_path FROM c WHERE {UP} IS NOT NULL")
-query("fold_changes", "changes", lambda v: H.fold_changes(v("changes")).select("file_reference", "usn", "reason"), "SELECT file_reference, max(usn) AS usn, max_by(reason, usn) AS reason FROM changes GROUP BY 1")
-query("rename_pairs", "changes", lambda v: H.rename_pairs(v("changes").withColumn("reason", F.when(F.col("reason") == 2, P.RENAME_OLD).otherwise(F.col("reason")).cast("long"))).select("file_reference", "usn", "to_usn"), "SELECT file_reference, usn, to_usn FROM (SELECT *, lead(reason) OVER w AS r, lead(usn) OVER w AS to_usn FROM changes WHERE reason IN (2, 8192) WINDOW w AS (PARTITION BY file_reference ORDER BY usn)) WHERE reason = 2 AND r = 8192")
-query("stale_references", "changes", lambda v: H.stale_references(v("changes"), 100000), "SELECT DISTINCT file_reference FROM changes WHERE usn > 100000 AND reason & 4608 <> 0")
+query("resolve_change_paths", "changes scan_entries volumes", lambda v: H.resolve_change_paths(v("changes"), _directories(v), v("volumes")).select("usn", "full_path"), f", {CHANGES_V} SELECT usn, concat({UP}, chr(92), name) AS full_path FROM c WHERE {UP} IS NOT NULL")
+query("fold_changes", "changes", lambda v: H.fold_changes(v("changes")).select("volume_id", "file_reference", "usn", "reason"), "SELECT volume_id, file_reference, max(usn) AS usn, max_by(reason, usn) AS reason FROM changes GROUP BY 1, 2")
+query("rename_pairs", "changes", lambda v: H.rename_pairs(v("changes").withColumn("reason", F.when(F.col("reason") == 2, P.RENAME_OLD).otherwise(F.col("reason")).cast("long"))).select("volume_id", "file_reference", "usn", "to_usn"), "SELECT volume_id, file_reference, usn, to_usn FROM (SELECT *, lead(reason) OVER w AS r, lead(usn) OVER w AS to_usn FROM changes WHERE reason IN (2, 8192) WINDOW w AS (PARTITION BY volume_id, file_reference ORDER BY usn)) WHERE reason = 2 AND r = 8192")
+query("stale_references", "changes", lambda v: H.stale_references(v("changes"), 100000), "SELECT DISTINCT volume_id, file_reference FROM changes WHERE usn > 100000 AND reason & 4608 <> 0")
 query("journal_gap", "volumes", lambda v: H.journal_gap(v("volumes").select(F.col("id").alias("volume_id"), (F.col("id") % 2).alias("journal_id"), (F.col("id") * 700).alias("first_usn")), v("volumes").where("id < 5").select(F.col("id").alias("volume_id"), F.lit(1).cast("long").alias("journal_id"), "last_usn")), "SELECT id AS volume_id, id >= 5 OR id % 2 <> 1 OR id * 700 > last_usn AS rescan_required FROM volumes")
 query("volume_for_path", "files volumes", lambda v: H.volume_for_path(v("files").select(F.col("full_path").alias("path")), v("volumes").where("id <> 4")).select("path", "volume_id"), "SELECT full_path AS path, volume_id FROM files WHERE volume_id <> 4")
 query("volume_for_change", "files volumes", lambda v: H.volume_for_path(v("files").where("NOT is_directory").select(F.lower("full_path").alias("path")), v("volumes")).select("path", "volume_id"), "SELECT lower(full_path) AS path, volume_id FROM files WHERE NOT is_directory")
 query("event_dedupe", "watch_events", lambda v: H.event_dedupe(v("watch_events")).select("path", "kind"), "SELECT DISTINCT path, kind FROM watch_events")
 query("change_rates", "changes", lambda v: H.change_rates(v("changes")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz")), "SELECT date_trunc('hour', ts) AS window_start, CASE reason WHEN 512 THEN 'deleted' WHEN 2 THEN 'modified' ELSE 'created' END AS kind, count(*) AS n FROM changes WHERE reason IN (256, 2, 8192, 512) GROUP BY 1, 2")
 query("debounce_events", "watch_events", lambda v: H.debounce_events(v("watch_events"), 43200), ", e AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts, seq) AS rn FROM watch_events), r AS (SELECT path, rn, ts AS first_ts, kind, 1 AS n FROM e WHERE rn = 1 UNION ALL SELECT e.path, e.rn, CASE WHEN e.ts >= r.first_ts + INTERVAL 12 HOUR THEN e.ts ELSE r.first_ts END, CASE WHEN e.ts < r.first_ts + INTERVAL 12 HOUR AND r.kind = 'created' AND e.kind = 'modified' THEN 'created' ELSE e.kind END, CASE WHEN e.ts >= r.first_ts + INTERVAL 12 HOUR THEN 1 ELSE r.n + 1 END FROM r JOIN e ON e.path = r.path AND e.rn = r.rn + 1) SELECT path, first_ts, max_by(kind, rn) AS kind, CAST(max(n) AS INTEGER) AS n FROM r GROUP BY path, first_ts")
-query("apply_changes", "files changes scan_entries", lambda v: H.apply_changes(_changes(v), v("files"), _directories(v)).select("full_path", "volume_id", "mft_reference"), f""", {CHANGES_V},
+query("apply_changes", "files changes scan_entries volumes", lambda v: H.apply_changes(v("changes"), v("files"), _directories(v), v("volumes")).select("full_path", "volume_id", "mft_reference"), f""", {CHANGES_V},
   l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY volume_id, file_reference ORDER BY usn DESC) AS k FROM c WHERE reason IN (256, 512, 8192)) WHERE k = 1),
   live AS (SELECT * FROM (SELECT *, concat({UP}, chr(92), name) AS full_path, row_number() OVER (PARTITION BY concat({UP}, chr(92), name) ORDER BY usn DESC) AS j FROM l WHERE reason <> 512 AND {UP} IS NOT NULL) WHERE j = 1)
   SELECT full_path, volume_id, mft_reference FROM files f WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.volume_id = f.volume_id AND l.file_reference = f.mft_reference) AND full_path NOT IN (SELECT full_path FROM live)
   UNION ALL SELECT full_path, volume_id, file_reference FROM live""")
+
+
+def _resumed(v: Views) -> DataFrame:
+    """Reads a log, then what was added to it since."""
+    changes = v("changes").select("volume_id", "usn", "file_reference", "reason")
+    where, spark = shared_dir(changes.sparkSession, "log"), changes.sparkSession
+    for part in ("usn % 128 = 0", "usn % 128 <> 0"):
+        changes.where(part).write.mode("append").parquet(f"{where}/log")
+        kept = H.checkpointed_read(spark, f"{where}/log", changes.schema, f"{where}/state")
+    return kept.groupBy("volume_id", F.col("usn") % 128 == 0).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("read").alias("reads"), F.max("usn").alias("last_usn")).select("volume_id", "n", "reads", "last_usn")
+
+
+query("checkpointed_read", "changes", _resumed, "SELECT volume_id, count(*) AS n, CAST(1 AS BIGINT) AS reads, max(usn) AS last_usn FROM changes GROUP BY volume_id, usn % 128 = 0")

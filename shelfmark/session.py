@@ -3,16 +3,31 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def checkpoint_root(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which driver and executors share; a folder of its own only for a local session without it."""
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not root:
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="spark-")
+        context.setCheckpointDir(root)
+    return root
+
+
+def shared_dir(spark: SparkSession, purpose: str) -> str:
+    """A new folder below spark.checkpoint.dir."""
+    return f"{checkpoint_root(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a checkpoint in spark.checkpoint.dir, which driver and executors share."""
+    """Cuts the lineage by a checkpoint in spark.checkpoint.dir."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        root = context.getConf().get("spark.checkpoint.dir")
-        if not root and not context.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(root or tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(checkpoint_root(df.sparkSession))
     return df.checkpoint()

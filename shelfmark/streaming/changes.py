@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.paths import DELETE, RENAME_NEW, RENAME_OLD, SLASH, event_kind, has_flag
 
@@ -15,32 +17,36 @@ def classify_changes(changes: DataFrame) -> DataFrame:
     return changes.withColumn("kind", event_kind(F.col("reason"))).where("kind IS NOT NULL")
 
 
-def resolve_change_paths(changes: DataFrame, directories: DataFrame, root_ref: int = 5) -> DataFrame:
-    """Adds full_path from the parent directory (volume_id, ref, path), or the drive's root; unresolved changes go."""
+def resolve_change_paths(changes: DataFrame, directories: DataFrame, volumes: DataFrame, root_ref: int = 5) -> DataFrame:
+    """Adds full_path from the parent directory (volume_id, ref, path), or the mount point of the volume for its root;
+    unresolved changes go. References are told per volume, as each volume counts its own."""
     found = changes.join(directories.select("volume_id", F.col("ref").alias("parent_reference"), F.col("path").alias("_p")), ["volume_id", "parent_reference"], "left")
-    drive = F.concat(F.char(F.lit(66) + F.col("volume_id")), F.lit(":"))
-    up = F.coalesce("_p", F.when(F.col("parent_reference") == root_ref, drive))
-    return found.withColumn("full_path", F.concat_ws(SLASH, up, "name")).where(up.isNotNull()).drop("_p")
+    drives = volumes.select(F.col("id").alias("volume_id"), F.regexp_replace("mount_point", r"[\\/]+$", "").alias("_drive"))
+    up = F.coalesce("_p", F.when(F.col("parent_reference") == root_ref, F.col("_drive")))
+    return found.join(drives, "volume_id", "left").withColumn("full_path", F.concat_ws(SLASH, up, "name")).where(up.isNotNull()).drop("_p", "_drive")
+
+
+#: What tells a file: references begin anew on every volume.
+FILE = ("volume_id", "file_reference")
 
 
 def fold_changes(changes: DataFrame) -> DataFrame:
-    """The last record of each reference, by usn."""
-    rest = [c for c in changes.columns if c not in ("file_reference",)]
-    last = changes.groupBy("file_reference").agg(F.max_by(F.struct(*rest), "usn").alias("r"))
-    return last.select("file_reference", *(F.col(f"r.{c}").alias(c) for c in rest))
+    """The last record of each file, by usn."""
+    rest = [c for c in changes.columns if c not in FILE]
+    last = changes.groupBy(*FILE).agg(F.max_by(F.struct(*rest), "usn").alias("r"))
+    return last.select(*FILE, *(F.col(f"r.{c}").alias(c) for c in rest))
 
 
 def rename_pairs(changes: DataFrame) -> DataFrame:
-    """Each old-name record with the next new-name record of its reference, where that is the next one."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("file_reference").orderBy("usn")
+    """Each old-name record with the next new-name record of its file, where that is the next one."""
+    w = Window.partitionBy(*FILE).orderBy("usn")
     rows = changes.where(has_flag(F.col("reason"), RENAME_OLD | RENAME_NEW)).withColumn("n_reason", F.lead("reason").over(w)).withColumn("to_name", F.lead("name").over(w)).withColumn("to_usn", F.lead("usn").over(w))
-    return rows.where(has_flag(F.col("reason"), RENAME_OLD) & has_flag(F.col("n_reason"), RENAME_NEW)).select("file_reference", "usn", "to_usn", F.col("name").alias("from_name"), "to_name")
+    return rows.where(has_flag(F.col("reason"), RENAME_OLD) & has_flag(F.col("n_reason"), RENAME_NEW)).select(*FILE, "usn", "to_usn", F.col("name").alias("from_name"), "to_name")
 
 
 def stale_references(changes: DataFrame, since: int) -> DataFrame:
-    return changes.where((F.col("usn") > since) & has_flag(F.col("reason"), DELETE | RENAME_OLD)).select("file_reference").distinct()
+    """volume_id, file_reference of what was deleted or had its name taken away since an offset."""
+    return changes.where((F.col("usn") > since) & has_flag(F.col("reason"), DELETE | RENAME_OLD)).select(*FILE).distinct()
 
 
 def journal_gap(meta: DataFrame, stored: DataFrame) -> DataFrame:
@@ -64,23 +70,37 @@ def change_rates(changes: DataFrame, window: str = "1 hour") -> DataFrame:
     return classify_changes(changes).groupBy(F.window("ts", window).alias("w"), "kind").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), "kind", "n")
 
 
-def debounce_events(events: DataFrame, seconds: int) -> DataFrame:
-    """Batch form: a path's window opens at its first event and is not extended; created then modified stays created, else
-    the latest kind counts. Columns path, first_ts, kind, n."""
-    step = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(seconds))
-    per = events.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("ts", "seq", "kind"))).alias("e"))
-    kind = "array<struct<first_ts:{},kind:string,n:int>>".format(events.schema["ts"].dataType.simpleString())
-    start = F.struct(F.array().cast(kind).alias("done"), F.lit(None).cast(kind[6:-1]).alias("open"))
+def _debounce(step: int):
+    """Folds events that come by path, ts (microseconds) and seq; one window is open at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, names = None, ["path", "first_ts", "kind", "n"]
 
-    def take(had: Column, e: Column) -> Column:
-        fresh = F.struct(e["ts"].alias("first_ts"), e["kind"].alias("kind"), F.lit(1).alias("n"))
-        o = had["open"]
-        merged = F.struct(o["first_ts"].alias("first_ts"), F.when((o["kind"] == "created") & (e["kind"] == "modified"), "created").otherwise(e["kind"]).alias("kind"), (o["n"] + 1).alias("n"))
-        closes = e["ts"] >= o["first_ts"] + step
-        return F.when(o.isNull(), F.struct(had["done"].alias("done"), fresh.alias("open"))).when(closes, F.struct(F.concat(had["done"], F.array(o)).alias("done"), fresh.alias("open"))).otherwise(F.struct(had["done"].alias("done"), merged.alias("open")))
+        def made(done: list, kind: pa.DataType) -> pa.RecordBatch:
+            path, ts, kinds, n = zip(*done) if done else ((), (), (), ())
+            return pa.record_batch([pa.array(path, pa.string()), pa.array(ts, pa.int64()).cast(kind), pa.array(kinds, pa.string()), pa.array(n, pa.int32())], names=names)
 
-    folded = per.select("path", F.aggregate("e", start, take, lambda x: F.concat(x["done"], F.array(x["open"]))).alias("w"))
-    return folded.select("path", F.explode("w").alias("x")).select("path", "x.first_ts", "x.kind", "x.n")
+        for batch in batches:
+            done, stamp = [], batch.column(1).type
+            for path, ts, kind in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.int64()).to_pylist(), batch.column(2).to_pylist()):
+                if now is not None and now[0] == path and (ts is None or now[1] is None or ts < now[1] + step):
+                    now = (path, now[1], "created" if (now[2], kind) == ("created", "modified") else kind, now[3] + 1)
+                    continue
+                if now is not None:
+                    done.append(now)
+                now = (path, ts, kind, 1)
+            yield made(done, stamp)
+        if now is not None:
+            yield made([now], stamp)
+
+    return run
+
+
+def debounce_events(events: DataFrame, seconds: int) -> DataFrame:
+    """Batch form: a path's window opens at its first event and is not extended; created then modified stays created, else
+    the latest kind counts. Columns path, first_ts, kind, n. A path's events pass one task in order, but are never held."""
+    ordered = events.select("path", "ts", "kind", "seq").repartition("path").sortWithinPartitions("path", "ts", "seq")
+    return ordered.mapInArrow(_debounce(seconds * 1_000_000), f"path string, first_ts {events.schema['ts'].dataType.simpleString()}, kind string, n int")
 
 
 def debounce_stream(events: DataFrame, milliseconds: int):
@@ -124,15 +144,15 @@ def debounce_stream(events: DataFrame, milliseconds: int):
     return events.groupBy("path").transformWithStateInPandas(statefulProcessor=Debounce(), outputStructType="path string, first_ts timestamp, kind string, n int", outputMode="Append", timeMode="EventTime")
 
 
-def apply_changes(batch: DataFrame, catalog: DataFrame, directories: DataFrame) -> DataFrame:
+def apply_changes(batch: DataFrame, catalog: DataFrame, directories: DataFrame, volumes: DataFrame) -> DataFrame:
     """The catalog after a batch: the last record of each (volume, reference) decides. Deleted and old-named references go,
     created and new-named ones are at their path, under which nothing else stays; modified ones change nothing. Applying a
     batch again gives the same rows, so a stream may repeat one."""
-    keys = ["volume_id", "file_reference"]
+    keys = list(FILE)
     kinds = batch.where(~event_kind(F.col("reason")).isin("modified") | has_flag(F.col("reason"), RENAME_OLD))
     rest = [c for c in batch.columns if c not in keys]
     last = kinds.groupBy(*keys).agg(F.max_by(F.struct(*rest), "usn").alias("r")).select(*keys, *(F.col(f"r.{c}").alias(c) for c in rest))
-    live = resolve_change_paths(last.where(event_kind(F.col("reason")) == "created"), directories)
+    live = resolve_change_paths(last.where(event_kind(F.col("reason")) == "created"), directories, volumes)
     live = live.groupBy("full_path").agg(F.max_by(F.struct("volume_id", "file_reference", "name", "is_directory"), "usn").alias("r")).select("full_path", "r.*")
     gone = last.select("volume_id", F.col("file_reference").alias("mft_reference"))
     left = catalog.join(gone, ["volume_id", "mft_reference"], "left_anti").join(live.select("full_path"), "full_path", "left_anti")
@@ -143,3 +163,12 @@ def apply_changes(batch: DataFrame, catalog: DataFrame, directories: DataFrame)
 def change_stream(changes: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str):
     """Starts a stream that hands each micro-batch to `apply`; offsets are in the checkpoint, so a restart resumes."""
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def checkpointed_read(spark: SparkSession, log: str, schema: StructType, where: str) -> DataFrame:
+    """Reads what a folder of change records holds beyond the stored offset, keeps it below `where`, and returns all kept so
+    far with the number of the read. A read that is repeated writes its own part again, so each record is kept once."""
+    keep = lambda batch, n: batch.write.mode("overwrite").parquet(f"{where}/kept/read={n}")
+    change_stream(spark.readStream.schema(schema).parquet(log), keep, f"{where}/offsets").awaitTermination()
+    kept = StructType([*schema.fields, StructField("read", LongType())])
+    return spark.read.schema(kept).parquet(f"{where}/kept")

@@ -2,6 +2,7 @@
 
 import random
 import re
+import struct
 
 import pytest
 from conftest import DATA
@@ -11,12 +12,12 @@ from pyspark.sql import functions as F
 from shelfmark.functions import paths as P
 from shelfmark.operators import maintain, relocate, search, stats, tree
 from shelfmark.plans import catalog
+from shelfmark.sources import catalog as sources
+from shelfmark.sources import records
 from shelfmark.streaming import changes
 
-SOME = ["search_glob", "search_path", "expand_patterns", "parent_path", "file_uri", "highlight_name", "duplicate_groups", "info_directories", "grouped_top_n", "resolve_paths", "prune_stats", "upsert_files", "move_plan", "display_path", "debounce_events", "apply_changes"]
 
-
-@pytest.mark.parametrize("name", SOME)
+@pytest.mark.parametrize("name", list(catalog.queries()))
 def test_query_equals_sql(spark, name):
     assert difference(catalog.queries()[name](spark, DATA), catalog.oracle_sql()[name], DATA) is None
 
@@ -65,13 +66,29 @@ def test_columns(spark):
     assert tuple(row) == ("0 B", "512 B", "1.00 KB", "1.00 MB", "1.00 GB", "a.tar", ".gitignore", "C:", "\\\\server\\share", "/Volumes/USB", "UNKNOWN", "d:", None)
 
 
+def drives(spark, **letters):
+    return spark.createDataFrame([(i, m, "ntfs") for m, i in letters.items()], "id long, mount_point string, volume_type string").withColumn("mount_point", F.concat("mount_point", F.lit(":")))
+
+
 def test_tree_orphan_empty_name_and_cycle(spark):
     rows = [(50, 5, "Projects", True), (60, 50, "rust", True), (500, 60, "main.rs", False), (100, 999, "orphan.txt", False), (30, 5, "", True), (101, 30, "file.txt", False), (70, 71, "a", True), (71, 70, "b", True)]
-    records = spark.createDataFrame([(*r, 3) for r in rows], "file_reference long, parent_reference long, name string, is_directory boolean, volume_id long")
-    found = {r.mft_reference: r.full_path for r in tree.resolve_paths(records).collect()}
+    records = spark.createDataFrame([(*r, 30) for r in rows], "file_reference long, parent_reference long, name string, is_directory boolean, volume_id long")
+    found = {r.mft_reference: r.full_path for r in tree.resolve_paths(records, drives(spark, E=30)).collect()}
     assert found[500] == "E:\\Projects\\rust\\main.rs" and found[100] == "E:\\orphan.txt" and found[101] == "E:\\file.txt"
 
 
+def test_references_are_told_per_volume(spark):
+    rows = [(3, 30, 1, 0x200, "a", 5), (4, 30, 2, 0x100, "b", 5), (3, 40, 3, 0x1000, "old", 5), (4, 40, 4, 0x2000, "other", 5), (3, 40, 5, 0x2000, "new", 5)]
+    log = spark.createDataFrame([(*r, False) for r in rows], "volume_id long, file_reference long, usn long, reason long, name string, parent_reference long, is_directory boolean")
+    assert {(r.volume_id, r.file_reference, r.usn) for r in changes.fold_changes(log).collect()} == {(3, 30, 1), (4, 30, 2), (3, 40, 5), (4, 40, 4)}
+    assert [(r.volume_id, r.from_name, r.to_name) for r in changes.rename_pairs(log).collect()] == [(3, "old", "new")]
+    assert {tuple(r) for r in changes.stale_references(log, 0).collect()} == {(3, 30), (3, 40)}
+    old = spark.createDataFrame([("C:\\a", 3, 30, "a", False, 1, None), ("D:\\a", 4, 30, "a", False, 1, None)], "full_path string, volume_id long, mft_reference long, name string, is_directory boolean, size long, created_time timestamp")
+    nowhere = spark.createDataFrame([], "volume_id long, ref long, path string")
+    after = changes.apply_changes(log, old, nowhere, drives(spark, C=3, D=4))
+    assert {(r.full_path, r.volume_id) for r in after.collect()} == {("D:\\b", 4), ("C:\\new", 3), ("D:\\other", 4)}
+
+
 def test_subtree_keeps_siblings(spark):
     files = spark.createDataFrame([(p,) for p in ("C:\\Test", "C:\\Test\\file.txt", "C:\\Testing", "C:\\Testing\\file.txt", "C:\\TestData")], "full_path string")
     assert maintain.delete_subtree(files, "C:/Test").count() == 3
@@ -84,6 +101,80 @@ def test_prune_leaves_offline_volumes(spark):
     assert maintain.prune(files, listing, force=True)[0].count() == 0
 
 
+def test_prune_by_id_and_below_missing(spark):
+    rows = [("C:\\d", 1, 1, True), ("C:\\d\\x", 1, 2, False), ("C:\\d\\new", 1, 9, False), ("C:\\k", 1, 3, False)]
+    files = spark.createDataFrame(rows, "full_path string, volume_id long, mft_reference long, is_directory boolean")
+    listing = spark.createDataFrame([("C:\\k", False), ("C:\\d\\x", False)], "full_path string, is_directory boolean")
+    kept, removed = maintain.prune(files, listing, max_id=5)
+    assert {r.full_path for r in kept.collect()} == {"C:\\k", "C:\\d\\new"} and {r.full_path for r in removed.collect()} == {"C:\\d", "C:\\d\\x"}
+    assert tuple(maintain.prune_stats(maintain.flag_missing(files, listing)).first()) == ("C:", 4, 2, 1, 2)
+
+
+def test_many_saved_searches(spark):
+    files = named(spark, "Report.txt", "ring", "a", "")
+    asked = spark.createDataFrame([(1, "RING"), (2, "g"), (3, ""), (4, "po"), (5, "nothing"), (6, None), (7, "rt.t")], "query_id long, pattern string")
+    found = {(r.query_id, r.name) for r in search.multi_query_search(files, asked).collect()}
+    assert found == {(1, "ring"), (2, "ring"), (3, "Report.txt"), (3, "ring"), (3, "a"), (3, ""), (4, "Report.txt"), (7, "Report.txt")}
+
+
+def record(version, ref, parent, usn, reason, attributes, name, pad=0):
+    wide, text = version == 3, name.encode("utf-16-le")
+    n = (76 if wide else 60) + len(text) + pad
+    refs = struct.pack("<Q8xQ8x" if wide else "<QQ", ref, parent)
+    return struct.pack("<IHH", n, version, 0) + refs + struct.pack("<qqIIIIHH", usn, 0, reason, 0, 0, attributes, len(text), 76 if wide else 60) + text + b"\0" * pad
+
+
+def test_record_buffers(spark):
+    high = 9 << 48
+    one = struct.pack("<q", 77) + record(2, high | 30, 5, 1, 0x80000100, 0x10, "dir", 4) + record(3, 31, high | 30, 2, 2, 0x20, "é€😀.txt") + record(4, 1, 1, 1, 1, 1, "no version") + record(2, 5, 5, 3, 1, 0, "")
+    bad = bytearray(record(2, 32, 5, 4, 1, 0, "x"))
+    bad[56:58] = struct.pack("<H", 900)
+    two = struct.pack("<q", 78) + bytes(bad) + record(2, 33, 5, 5, 1, 0, "kept") + b"\0\0\0\0" + record(2, 34, 5, 6, 1, 0, "behind a zero")
+    long_ = struct.pack("<q", 79) + struct.pack("<I", 4000) + b"\0" * 80
+    table = spark.createDataFrame([(x,) for x in (one, two, long_, b"short", b"", None)], "buffer binary")
+    found = {tuple(r) for r in records.decode_record_buffers(table).collect()}
+    assert found == {(77, 1, 30, 5, "dir", 0x80000100, 16, True), (77, 2, 31, 30, "é€😀.txt", 2, 32, False), (77, 3, 5, 5, "", 1, 0, False), (78, 5, 33, 5, "kept", 1, 0, False)}
+    assert {r.name for r in records.decode_record_buffers(table, snapshot=True).collect()} == {"dir", "é€😀.txt", "kept"}
+
+
+def test_listing_of_empty_excluded_and_hidden_folders(spark, tmp_path):
+    for name in ("empty", "a/b", "skip/below", ".git", ".tmpdir"):
+        (tmp_path / name).mkdir(parents=True)
+    for name in ("a/b/one.txt", "skip/below/two.txt", ".git/three", ".tmpdir/four", "a/five.log"):
+        (tmp_path / name).write_text("12345")
+    found = sources.read_listing(spark, str(tmp_path), ("*skip", "*.log")).collect()
+    paths = [r.full_path.removeprefix(str(tmp_path)) for r in found]
+    assert paths == ["", "/.tmpdir", "/.tmpdir/four", "/a", "/a/b", "/a/b/one.txt", "/empty"]
+    assert [r.size for r in found] == [0, 0, 5, 0, 0, 5, 0] and found[0].is_directory and found[0].name == tmp_path.name
+    state = {r.directory: r.state for r in stats.directory_state(spark.createDataFrame([(f"{tmp_path}/empty",), (f"{tmp_path}/gone",), (f"{tmp_path}/a/b",)], "full_path string"), spark.createDataFrame(found)).collect()}
+    assert state == {f"{tmp_path}/empty": "empty", f"{tmp_path}/gone": "missing", f"{tmp_path}/a/b": "has_files"}
+
+
+def test_versions(spark, tmp_path):
+    files = named(spark, "a", "b").withColumn("volume_id", F.lit(1).cast("long"))
+    where = str(tmp_path / "catalog")
+    sources.publish(files, where, 1)
+    files.where("name = 'a'").write.partitionBy("volume_id").parquet(f"{where}/v000002")  # written, but not published
+    assert sources.current(spark, where, files.schema).count() == 2
+    sources.reset_catalog(spark, where, 3, files.schema)
+    assert sources.current(spark, where, files.schema).count() == 0 and sources.current(spark, where, files.schema).columns == files.columns
+
+
+def test_user_views_stay(spark):
+    spark.range(7).createOrReplaceTempView("orders")
+    sources.derive(spark, DATA, "changes").count()
+    assert spark.table("orders").count() == 7
+    spark.catalog.dropTempView("orders")
+
+
+def test_debounce_holds_one_window(spark):
+    rows = [("p", 0, 1, "created"), ("p", 5, 2, "modified"), ("p", 10, 3, "deleted"), ("q", 3, 4, "modified"), (None, 1, 5, "created")]
+    events = spark.createDataFrame(rows, "path string, t long, seq long, kind string").select("path", F.timestamp_seconds("t").alias("ts"), "seq", "kind")
+    got = {(r.path, r.first_ts.timestamp(), r.kind, r.n) for r in changes.debounce_events(events, 10).collect()}
+    assert got == {("p", 0.0, "created", 2), ("p", 10.0, "deleted", 1), ("q", 3.0, "modified", 1), (None, 1.0, "created", 1)}
+    assert changes.debounce_events(events.limit(0), 10).count() == 0
+
+
 def test_move_plan(spark):
     files = spark.createDataFrame([(f"C:\\{p}", p.split("\\")[1], False, 1) for p in ("dest\\file1", "source1\\file2", "source2\\file2", "other\\file3")], "full_path string, name string, is_directory boolean, size long")
     plan = relocate.move_plan(files, "C:\\dest", spark.createDataFrame([], "name string"))
