@@ -19,6 +19,9 @@ further columns are kept, as they are and whatever their names, by `redact` alon
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +42,10 @@ SAMPLE, PRIOR, THRESHOLD = 4000, 4, 1.7
 REPLACEMENT = "[SECRET]"
 
 _SPANS = "array<struct<begin:int,kind:int,end:int>>"
+#: The pattern as it is looked for: a run begins where the character before is none of its own, which spares tries within.
+_RUN = f"(?<![A-Za-z0-9+/_=-]){RUN}"
+#: One of these is in every text that ASSIGN matches, in lower case.
+_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Elements of an array that one fold takes: a fold copies what it has at each step.
 _FOLD = 256
 
@@ -65,11 +72,21 @@ def _running(values: Column, join) -> Column:
     return _bind(blocks, whole)
 
 
+def _has(text: Column, pattern: str) -> Column:
+    """Whether a pattern matches; plain words are looked for first, where it needs one."""
+    if pattern != ASSIGN:
+        return text.rlike(pattern)
+    low = F.lower(text)
+    return reduce(or_, (F.contains(low, F.lit(w)) for w in _WORDS)) & text.rlike(pattern)
+
+
 def _taken_apart(text: Column, pattern: str, value_group: int | None, use) -> Column:
     """What `use` makes of a text's matches (text, value) and gaps, one more."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)) if value_group else found
-    pairs = F.arrays_zip(found.alias("text"), values.alias("value"))
+    if value_group:
+        pairs = F.arrays_zip(found.alias("text"), F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)).alias("value"))
+    else:
+        pairs = F.transform(found, lambda m: F.struct(m.alias("text"), m.alias("value")))
     return _bind(F.struct(pairs.alias("found"), F.split(text, pattern, -1).alias("gaps")), use)
 
 
@@ -90,14 +107,14 @@ def _span(kind: str, place: Column) -> Column:
 
 def _matches(text: Column, pattern: str, kind: str, value_group: int | None = None) -> Column:
     spans = lambda parts: F.transform(F.filter(_places(parts), lambda m: _counts(value_group, m["value"])), lambda m: _span(kind, m))
-    return F.when(text.rlike(pattern), _taken_apart(text, pattern, value_group, spans)).otherwise(F.array().cast(_SPANS))
+    return F.when(_has(text, pattern), _taken_apart(text, pattern, value_group, spans)).otherwise(F.array().cast(_SPANS))
 
 
 def _blanked(text: Column, pattern: str, value_group: int | None = None) -> Column:
     """The text with spaces in place of the matches that count."""
     blank = lambda m: F.when(_counts(value_group, m["value"]), F.repeat(F.lit(" "), F.char_length(m["text"]))).otherwise(m["text"])
     made = lambda parts: F.concat(F.array_join(F.transform(parts["found"], lambda m, i: F.concat(F.get(parts["gaps"], i), blank(m))), ""), F.element_at(parts["gaps"], -1))
-    return F.when(text.rlike(pattern), _taken_apart(text, pattern, value_group, made)).otherwise(text)
+    return _bind(text, lambda t: F.when(_has(t, pattern), _taken_apart(t, pattern, value_group, made)).otherwise(t))
 
 
 def base_spans(text: Column) -> Column:
@@ -111,7 +128,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> str:
     every = id_text(docs)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = every.join(F.broadcast(ids.distinct()), "doc_id", "left_semi")  # at most `sample` ids
-    all_of = lambda pattern, group: F.when(F.col("text").rlike(pattern), F.regexp_extract_all("text", F.lit(pattern), F.lit(group))).otherwise(F.array().cast("array<string>"))
+    all_of = lambda pattern, group: F.when(_has(F.col("text"), pattern), F.regexp_extract_all("text", F.lit(pattern), F.lit(group))).otherwise(F.array().cast("array<string>"))
     secret = every.select(F.explode(F.concat(all_of(ASSIGN, 2), all_of(ACCESS, 0), all_of(HEX, 0))).alias("run")).where("char_length(run) >= 8").orderBy(F.xxhash64("run"), "run").limit(sample)
     rest = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), HEX, " ")
     words = texts.select(F.explode(F.regexp_extract_all(rest, F.lit("[A-Za-z0-9+/_=-]{4,}"), F.lit(0))).alias("run"))
@@ -148,7 +165,7 @@ def ratio(run: Column, table: str) -> Column:
 def _markov(text: Column, table: str) -> Column:
     rest = _blanked(_blanked(_blanked(text, ASSIGN, 2), ACCESS), HEX)
     secret = lambda m: m["text"].rlike(f"[A-Za-z0-9+]{{{PART},}}") & (ratio(m["text"], table) >= THRESHOLD)
-    found = lambda t: F.when(t.rlike(RUN), _taken_apart(t, RUN, None, lambda parts: F.transform(F.filter(_places(parts), secret), lambda m: _span("markov", m)))).otherwise(F.array().cast(_SPANS))
+    found = lambda t: F.when(t.rlike(_RUN), _taken_apart(t, _RUN, None, lambda parts: F.transform(F.filter(_places(parts), secret), lambda m: _span("markov", m)))).otherwise(F.array().cast(_SPANS))
     return _bind(rest, found)
 
 
