@@ -1,10 +1,11 @@
 """Quality classifier: supervised subword embeddings.
 
-Hashed words, byte n-grams and the event that a word repeats the one before have learned vectors; a document is the average of the vectors of all that it holds, and a
-softmax layer on it gives the two classes. Vectors and layer are trained by stochastic gradient descent in numpy, on the
-driver, over at most `sample` labelled documents (those with the smallest hash of their id), whose bags of features
-executors prepare. For scoring, the layer is folded into the vectors: each feature then adds one number, so a whole text of
-any length takes one pass.
+Hashed words and character n-grams have learned vectors, and so has the event that a word repeats the one before, which the
+labels turn on and no bag of words shows; a document is the average of the vectors of all that it holds, and a softmax layer
+on it gives the two classes. Vectors and layer are trained by stochastic gradient descent in numpy, on the driver, over at
+most `sample` labelled documents (those with the smallest hash of their id), whose bags of features executors prepare: at
+worst 2^16 features of 8 bytes for each of them, one GB. For scoring, the layer is folded into the vectors: each feature then
+adds one number, so a whole text of any length takes one pass.
 
 A null text is an empty one and scores by the layer's bias alone. Without labelled documents of both classes every score is
 0.5. A null label or id is not learned from; of several labels of an id the smallest counts. Repeated rows are scored each;
@@ -34,8 +35,6 @@ RATE = 0.5
 SAMPLE = 2000
 THRESHOLD = 0.3
 
-_BYTE = (np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-
 
 @dataclass(frozen=True)
 class Model:
@@ -61,10 +60,13 @@ def _features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarra
     again[first[:-1][first[:-1] < len(words)]] = False
     runs = np.concatenate([[0], np.cumsum(again)])[first]
     yield np.zeros(int(again.sum()), np.int32), runs[:-1], runs[1:]
-    codes = _BYTE[data]
+    characters = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), "<u4")
+    # A character begins at each byte that does not continue one.
+    begins = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
+    codes = (characters.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     for n in GRAMS:
         grams = rolling(codes, n) * np.uint64(0xD6E8FEB86659FD93)
-        yield half + (grams >> np.uint64(65 - BITS)).astype(np.int32), np.minimum(offsets[:-1], len(grams)), np.clip(offsets[1:] - n + 1, np.minimum(offsets[:-1], len(grams)), len(grams))
+        yield half + (grams >> np.uint64(65 - BITS)).astype(np.int32), np.minimum(begins[:-1], len(grams)), np.clip(begins[1:] - n + 1, np.minimum(begins[:-1], len(grams)), len(grams))
 
 
 def _sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
