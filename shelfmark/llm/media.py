@@ -6,13 +6,16 @@ alone. A task reads the directory of its archive, takes the members that begin w
 batches of bounded size. A member that can't be read is tried again by its own offset, and after `retries` goes is returned
 as a row with its error; its neighbours are not read again.
 
-A null or empty text is stored as 64 zero bytes. Equal texts give equal members. An empty table gives no archives' members
-and an empty result. A failed or repeated task writes the same archive again under the same name.
+A null or empty text is stored as 64 zero bytes. Equal texts give equal members, a repeated row gives a member each, and a
+null id stays one. A very long text is one member, made and read whole by one task. An empty table gives no archives' members
+and an empty result; further columns are not read. A failed or repeated task writes the same archive again under the same
+name. A folder without a scheme is on the file system that Spark takes it to be on (`qualified`).
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -65,7 +68,15 @@ def from_image(image: bytes) -> tuple[bytes, int]:
 
 
 def _place(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
+    return pafs.FileSystem.from_uri(uri) if re.match("[a-z][a-z0-9+.-]*:", uri) else (pafs.LocalFileSystem(), uri)
+
+
+def qualified(spark: SparkSession, where: str) -> str:
+    """The folder with its scheme, as Spark reads it: a small table is written there and asked for its files."""
+    if not re.match("[a-z][a-z0-9+.-]*:", where):
+        spark.range(1).coalesce(1).write.mode("overwrite").parquet(f"{where}/place")
+        where = spark.read.parquet(f"{where}/place").inputFiles()[0].rpartition("/place/")[0]
+    return re.sub("^s3[an]:", "s3:", where)
 
 
 def store(docs: DataFrame, where: str, id_col: str = "doc_id", text_col: str = "text") -> int:
@@ -90,6 +101,7 @@ def store(docs: DataFrame, where: str, id_col: str = "doc_id", text_col: str = "
         fs.move(own, final)
         yield pa.record_batch([pa.array([len(ids)], pa.int64())], names=["members"])
 
+    where = qualified(docs.sparkSession, where)
     fs, base = _place(where)
     fs.create_dir(base, recursive=True)
     return id_text(docs, id_col, text_col).mapInArrow(write, "members long").agg(F.sum("members")).first()[0] or 0
@@ -180,7 +192,7 @@ def describe(media: DataFrame) -> DataFrame:
 def round_trip(docs: DataFrame) -> DataFrame:
     """Stores all texts and describes what is read back, one row per document."""
     spark: SparkSession = docs.sparkSession
-    where = shared_dir(spark, "media")
+    where = qualified(spark, shared_dir(spark, "media"))
     store(docs, where)
     spark.dataSource.register(ArchiveSource)
     return describe(spark.read.format("archive").load(where))
