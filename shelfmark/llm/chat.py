@@ -10,7 +10,9 @@ role). In texts and roles a backslash goes before `\\`, `<` and `[`, so nothing
 gives the text back.
 
 Null texts and roles are empty; a null conversation is one of its own; rows without a turn come first; rows of one turn are
-in order of role and text. A message whose parent is missing is a root. Messages on a cycle have no root and no path. An
+in order of role and text; repeated rows of a list are turns each. A message whose parent is missing is a root. Messages on a
+cycle have no root and no path. Of messages with one conversation and node the first by parent, role, text and score counts.
+Branches that tie by score go by length, longest first, then by node. A conversation, however long its texts, is one row. An
 empty table gives an empty result; further columns are not read.
 """
 
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, stored
 
 _ESCAPE = re.compile(r"[\\<\[]")
 _UNESCAPE = re.compile(r"\\(.)", re.DOTALL)
@@ -47,7 +49,8 @@ def branches(messages: DataFrame, keep: int = 1) -> DataFrame:
     `messages`: conv_id, node (unique in its conversation), parent or null, role, text, score or null.
     """
     rows = messages.select("conv_id", F.col("node").cast("long").alias("node"), F.col("parent").cast("long").alias("parent"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
-    rows = cut(rows.dropDuplicates(["conv_id", "node"]))
+    rows = rows.groupBy("conv_id", "node").agg(F.min(F.struct("parent", "role", "text", "score")).alias("m")).select("conv_id", "node", "m.*")
+    rows = stored(rows, "messages")
     nodes = rows.select("conv_id", F.col("node").alias("known"))
     a, b = rows.alias("a"), nodes.alias("b")
     jump = a.join(b, F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("a.parent") == F.col("b.known")), "left").select("a.conv_id", "node", F.col("known").alias("to"), F.lit(1).cast("long").alias("steps"), F.col("score").alias("total"))
@@ -60,7 +63,7 @@ def branches(messages: DataFrame, keep: int = 1) -> DataFrame:
         moved = a.join(b, F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("a.to") == F.col("b.node"))).select("a.conv_id", "a.node", "b.to", (F.col("a.steps") + F.col("b.steps")).alias("steps"), (F.col("a.total") + F.col("b.total")).alias("total"))
         jumps.append(cut(jumps[-1].where("to IS NULL").unionByName(moved)))
     ends = jumps[-1].where("to IS NULL")
-    parents = jump.where("to IS NOT NULL").select(F.col("conv_id").alias("c"), F.col("to").alias("answered")).distinct()
+    parents = jumps[0].where("to IS NOT NULL").select(F.col("conv_id").alias("c"), F.col("to").alias("answered")).distinct()
     leaves = ends.join(parents, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("node") == F.col("answered")), "left_anti")
     best = Window.partitionBy("conv_id").orderBy(F.desc(F.col("total") / F.col("steps")), F.desc("steps"), "node")
     members = leaves.withColumn("branch", F.row_number().over(best)).where(F.col("branch") <= keep).select("conv_id", "branch", "node")
