@@ -5,8 +5,8 @@ the pair with the token before it is one that merging would leave apart, and oth
 prefix or goes one token back. A position is marked once it has no way on, so each is tried once. The result equals that of
 applying merges in order. Decoding looks tokens up in one buffer by a table of offsets.
 
-Null and empty texts give no tokens. Repeated rows give repeated results, an empty table an empty one; only the id and text
-columns are read. A word of any length is one word; nothing is cut.
+Null and empty texts give no tokens; a null id stays one. Repeated rows give repeated results, an empty table an empty one;
+only the id and text columns are read, and those to keep. A text or word of any length is one; nothing is cut.
 """
 
 from __future__ import annotations
