@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step holds; a longer document is one step of its own.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,19 +52,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-#: Spark's setting that deletes an execution's shuffle files when it ends.
-_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is stored: shuffle files go when the execution ends, and Arrow batches, which JVM and worker both hold, are
+#: of fewer rows, as rows are texts.
+_WHILE_STORED = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """Written as Parquet to a new shared folder and read again: made once, of known size, with no shuffle files left behind."""
     spark, where = df.sparkSession, shared_dir(df.sparkSession, purpose)
-    had = spark.conf.get(_FREE, "false")
-    spark.conf.set(_FREE, "true")
+    had = {k: spark.conf.get(k, None) for k in _WHILE_STORED}
+    for k, v in _WHILE_STORED.items():
+        spark.conf.set(k, v)
     try:
         df.write.option("compression", "zstd").parquet(where)
     finally:
-        spark.conf.set(_FREE, had)
+        for k, v in had.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     found = spark.read.schema(df.schema).parquet(where)
     found._stored_at = where
     return found

@@ -10,9 +10,10 @@ so paths compact to their first edges, and only these are joined with the occurr
 its source. Spans and sources are read at their coordinates once more and compared by a second, independent hash before
 anything is removed.
 
-A null text is an empty one. Texts shorter than a window keep all words. A null doc_id sorts before all others; documents
-that share an id count as one document's copies of it and get a row each. An empty table gives an empty result; further
-columns are not read.
+A null text is an empty one. Texts shorter than a window keep all words; a very long text is a step of its own. Rows without
+an id keep all words. Repeated rows are one document and get a row each; different texts under one id are taken for one
+document too. An empty table gives an empty result; further columns are not read. Hashes are of 64 bits; words of over 1,023
+bytes that are made to collide could hide a repeat, never remove what is none.
 """
 
 from __future__ import annotations
@@ -156,15 +157,15 @@ def _keep(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for at in range(batch.num_rows):
-                text, spans, copy = batch.column(1)[at].as_py(), batch.column(2)[at].as_py() or [], batch.column(3)[at].as_py()
+            for text, spans, copy in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
                 words = text.encode().split()
                 if copy and len(words) >= length:
                     kept = []
-                elif spans:
+                elif spans.is_valid:
                     edge = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(edge, [s["start"] for s in spans], 1)
-                    np.add.at(edge, [s["start"] + s["words"] for s in spans], -1)
+                    start, size = (spans.values.field(k).to_numpy() for k in (0, 1))
+                    np.add.at(edge, start, 1)
+                    np.add.at(edge, start + size, -1)
                     kept = [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
                 else:
                     kept = words
