@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -14,8 +15,8 @@ from oracle import difference
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from shelfmark.llm import bpe, chat, media, mixing, neighbours, quality, queries, secrets, simhash, substrings, suffixes
-from shelfmark.llm.induced import shared_neighbours
+from shelfmark.llm import bpe, chat, induced, media, mixing, neighbours, quality, queries, secrets, simhash, substrings, suffixes
+from shelfmark.llm.induced import shared_neighbours, suffix_order
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 WORDS = "[\x20\x09-\x0d]+"
@@ -83,7 +84,8 @@ def test_substrings(docs, texts):
     assert {r.doc_id: tuple(r)[1:] for r in substrings.digests(substrings.remove_repeats(docs)).collect()} == want
 
 
-def test_suffixes(docs, texts):
+@pytest.mark.parametrize("heavy", [suffixes.HEAVY, 1])
+def test_suffixes(docs, texts, heavy):
     places = {}
     for i, t in texts.items():
         b = t.encode()
@@ -98,11 +100,12 @@ def test_suffixes(docs, texts):
     for i, t in texts.items():
         b, g = t.encode(), gone[i]
         want[i] = (len(b), int(g.sum()), int((np.diff(g.astype(int), prepend=0) == 1).sum()), hashlib.sha256(bytes(x for x, y in zip(b, g) if not y)).hexdigest())
-    assert {r.doc_id: tuple(r)[1:] for r in suffixes.digests(suffixes.remove_repeats(docs)).collect()} == want
+    assert {r.doc_id: tuple(r)[1:] for r in suffixes.digests(suffixes.remove_repeats(docs, heavy=heavy)).collect()} == want
 
 
-@pytest.mark.parametrize("memory", [100, 1 << 28])
-def test_induced_sorting(memory):
+@pytest.mark.parametrize("memory,small", [(100, 0), (1 << 28, 1 << 15)])
+def test_induced_sorting(monkeypatch, memory, small):
+    monkeypatch.setattr(induced, "SMALL", small)
     rng = np.random.default_rng(1)
     for trial in range(60):
         depth, letters, n = int(rng.integers(1, 12)), int(rng.integers(1, 5)), int(rng.integers(1, 300))
@@ -116,6 +119,38 @@ def test_induced_sorting(memory):
         assert {i for i in found.tolist() if i <= n - depth} == {i for v in places.values() if len(v) > 1 for i in v}
 
 
+@pytest.mark.parametrize("small", [0, 20, 1 << 15])
+def test_suffix_order_of_ranks_with_any_ranges(monkeypatch, small):
+    monkeypatch.setattr(induced, "SMALL", small)
+    rng = np.random.default_rng(2)
+    for trial in range(60):
+        n, letters, depth, block = int(rng.integers(1, 120)), int(rng.integers(1, 8)), int(rng.integers(2, 200)), int(rng.choice([1, 3, 10, 1000]))
+        t = rng.integers(1, letters + 1, n)
+        if trial % 2:
+            t[n // 2 : n // 2 + n // 3] = t[: n // 3]
+        t = np.append(t, 0).astype(np.int32)
+        order = suffix_order(t, depth, block, 64).tolist()
+        assert sorted(order) == list(range(n + 1))
+        keys = [tuple(t[i : i + depth].tolist()) for i in order]
+        assert keys == sorted(keys)
+
+
+def test_induced_sorting_in_less_memory_than_the_shard(tmp_path):
+    rng, peaks = np.random.default_rng(0), []
+    for n in (1_000_000, 4_000_000):
+        text = np.memmap(tmp_path / str(n), np.int16, "w+", shape=(n + 1,))
+        text[:n] = rng.integers(1, 30, n)
+        text[n // 2 : n // 2 + 500] = text[1000:1500]
+        text[n] = 0
+        tracemalloc.start()
+        found = shared_neighbours(text, 258, 200, 1 << 20)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert len(found) == 2 * (500 - 199)
+    # The shard's tuples, queued by position and prefix, are 24 MB and the text 8 MB.
+    assert peaks[1] < 20 << 20 and peaks[1] < 2 * peaks[0]
+
+
 def test_quality_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
     scored = quality.score(docs, quality.train(docs, labels))
