@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, stored
+from .common import cut
 
 _ESCAPE = re.compile(r"[\\<\[]")
 _UNESCAPE = re.compile(r"\\(.)", re.DOTALL)
@@ -50,7 +50,7 @@ def branches(messages: DataFrame, keep: int = 1) -> DataFrame:
     """
     rows = messages.select("conv_id", F.col("node").cast("long").alias("node"), F.col("parent").cast("long").alias("parent"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     rows = rows.groupBy("conv_id", "node").agg(F.min(F.struct("parent", "role", "text", "score")).alias("m")).select("conv_id", "node", "m.*")
-    rows = stored(rows, "messages")
+    rows = cut(rows)
     nodes = rows.select("conv_id", F.col("node").alias("known"))
     a, b = rows.alias("a"), nodes.alias("b")
     jump = a.join(b, F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("a.parent") == F.col("b.known")), "left").select("a.conv_id", "node", F.col("known").alias("to"), F.lit(1).cast("long").alias("steps"), F.col("score").alias("total"))
