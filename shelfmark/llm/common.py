@@ -54,15 +54,16 @@ def cut(df: DataFrame) -> DataFrame:
 
 #: While a table is stored: shuffle files go when the execution ends, and Arrow batches, which JVM and worker both hold, are
 #: of fewer rows, as rows are texts.
-_WHILE_STORED = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+_WHILE_STORED = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "{}"}
 
 
-def stored(df: DataFrame, purpose: str) -> DataFrame:
-    """Written as Parquet to a new shared folder and read again: made once, of known size, with no shuffle files left behind."""
+def stored(df: DataFrame, purpose: str, batch_rows: int = 2000) -> DataFrame:
+    """Written as Parquet to a new shared folder and read again: made once, of known size, with no shuffle files left behind.
+    `batch_rows`: rows of an Arrow batch on the way, few where rows are large."""
     spark, where = df.sparkSession, shared_dir(df.sparkSession, purpose)
     had = {k: spark.conf.get(k, None) for k in _WHILE_STORED}
     for k, v in _WHILE_STORED.items():
-        spark.conf.set(k, v)
+        spark.conf.set(k, v.format(batch_rows))
     try:
         df.write.option("compression", "zstd").parquet(where)
     finally:

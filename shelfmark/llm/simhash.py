@@ -1,29 +1,31 @@
 """SimHash near-duplicates by BK-trees.
 
 A fingerprint bit is the majority of that bit over the hashes of a document's word shingles. Two fingerprints within the
-radius agree in at least one of radius + 1 blocks of bits, so the distinct fingerprints are dealt by each block's value;
+radius agree in at least one of radius + 1 blocks of bits, and in k of radius + k, so the distinct fingerprints are dealt by each
+block's value, or by those of each choice of k blocks as there are more of them, which changes no link;
 documents with equal fingerprints are one from here on. Each value's fingerprints form a BK-tree: a child's key is its
 integer Hamming distance to the parent, and a search follows only edges whose key is within the radius of the query's own
 distance. Trees go to tasks by shuffle, several to a shard, never to all tasks: their size grows with the corpus. A value
 with more than `TREE` fingerprints becomes several trees, each searched by the others' fingerprints in a task of its own.
 A task returns a spanning forest of its links, no pairs, and `components` joins the forests.
 
-A null text is an empty one; texts without words have fingerprint zero. Repeated rows have equal results; an empty table
-gives an empty one; further columns are not read, except by `drop_near_copies`, which returns them as they are.
+A null text is an empty one; texts without words have fingerprint zero; a very long text is one task's step of its own. A bit
+that half the shingles have is 0. Repeated rows have equal results; an empty table gives an empty one; further columns are not
+read, except by `drop_near_copies`, which returns them as they are, whatever their names.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_text, mix, text_chunks, word_bounds
+from .common import cut, id_text, mix, stored, text_chunks, word_bounds
 from .components import components
 
 RADIUS, WIDTH, SEED = 4, 4, 42
@@ -33,7 +35,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def _normal_words(data: np.ndarray, offsets: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+def normal_words(data: np.ndarray, offsets: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
     """Lower-cased words with one space after each; their begins and ends there; each document's first word."""
     starts, ends, first = word_bounds(data, offsets)
     length = ends - starts
@@ -48,7 +50,7 @@ def _normal_words(data: np.ndarray, offsets: np.ndarray) -> tuple[bytes, np.ndar
 
 def _shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all shingles, and each document's begin and end among them."""
-    text, begins, ends, first = _normal_words(data, offsets)
+    text, begins, ends, first = normal_words(data, offsets)
     counts = np.diff(first)
     shingles = np.where(counts > 0, np.maximum(counts - width + 1, 1), 0)
     at = np.concatenate([[0], np.cumsum(shingles)])
@@ -59,7 +61,7 @@ def _shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.nda
     return hashes, at[:-1], at[1:]
 
 
-def _majority(hashes: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def majority(hashes: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
     out = np.zeros(len(begins), np.uint64)
     full = np.flatnonzero(ends > begins)
     step = 1 << 16  # documents are whole in a step; bits of a step's hashes are some MB
@@ -85,7 +87,7 @@ def fingerprints(docs: DataFrame, width: int = WIDTH, lanes: int = 1, id_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, data, offsets in text_chunks(batches):
             hashes, begins, ends = _shingles(data, offsets, width)
-            found = [_majority(mix(hashes + np.uint64(i)) if i else hashes, begins, ends) for i in range(lanes)]
+            found = [majority(mix(hashes + np.uint64(i)) if i else hashes, begins, ends) for i in range(lanes)]
             yield pa.record_batch([ids, *(pa.array(f.view(np.int64)) for f in found)], names=["doc_id", *names])
 
     return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
@@ -159,25 +161,33 @@ def _hook(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _shard_links(radius: int, lanes: int):
     names = [f"f{i}" for i in range(lanes)]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = pdf[names].to_numpy(np.int64).view(np.uint64)
-        cells = pdf.groupby(["value", "i", "j"], sort=False).ngroup().to_numpy()
-        tree, asks = np.flatnonzero(pdf["in_tree"].to_numpy()), np.flatnonzero(pdf["asks"].to_numpy())
+    def run(rows: pa.Table) -> pa.Table:
+        column = lambda n: rows.column(n).to_numpy()
+        values = np.stack([column(n) for n in names], axis=1).view(np.uint64)
+        cells = np.unique(np.stack([column(n) for n in ("value", "i", "j")], axis=1), axis=0, return_inverse=True)[1].ravel()
+        tree, asks = np.flatnonzero(column("in_tree")), np.flatnonzero(column("asks"))
         forest = Forest(values[tree], cells[tree])
         label = np.arange(len(values))
         for q, node in forest.search(values[asks], cells[asks], radius):
             label = _hook(label, asks[q], tree[node])
         own = np.flatnonzero(label != np.arange(len(values)))
-        nodes = pdf["node"].to_numpy()
-        return pd.DataFrame({"a": nodes[own], "b": nodes[label[own]]})
+        nodes = column("node")
+        return pa.table({"a": nodes[own], "b": nodes[label[own]]})
 
     return run
 
 
-def exact_blocks(radius: int = RADIUS) -> list[list[int]]:
-    """Masks of radius + 1 blocks of 64 bits: fingerprints within the radius agree on one of them at least."""
-    bounds = [64 * i // (radius + 1) for i in range(radius + 2)]
-    return [[((1 << b) - 1) ^ ((1 << a) - 1)] for a, b in zip(bounds, bounds[1:])]
+def exact_blocks(radius: int = RADIUS, n: int = 0, value: int = 1024) -> list[list[int]]:
+    """Masks of 64 bits so that any two fingerprints within the radius agree on one of them at least.
+
+    Of `radius` + k blocks such fingerprints agree on k at least, so every choice of k blocks is a mask. More blocks make more
+    masks with more bits: k is the least that leaves some `value` of n fingerprints to a value of a mask. Links are the same."""
+    for k in range(1, 64 // radius if radius else 2):
+        bounds = [64 * i // (radius + k) for i in range(radius + k + 1)]
+        blocks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(bounds, bounds[1:])]
+        if n >> min(64 * k // (radius + k), 62) <= value:
+            break
+    return [[sum(chosen)] for chosen in itertools.combinations(blocks, k)]
 
 
 def _signed(x: int) -> int:
@@ -201,14 +211,14 @@ def links(distinct: DataFrame, masks: list[list[int]], radius: int = RADIUS, tre
     split = dealt.join(large, "value").withColumn("k", F.pmod(F.xxhash64("node"), F.col("trees"))).select("node", *names, "value", F.explode(cells).alias("c")).select("node", *names, "value", "c.*")
     shards = max(1, -(-distinct.count() * len(masks) // SHARD))
     rows = whole.unionByName(split).withColumn("shard", F.pmod(F.xxhash64("value", "i", "j"), F.lit(shards)))
-    return rows.groupBy("shard").applyInPandas(_shard_links(radius, lanes), "a long, b long")
+    return rows.groupBy("shard").applyInArrow(_shard_links(radius, lanes), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = WIDTH) -> DataFrame:
     """doc_id, f0, component_id: the smallest doc_id that links reach. Rows without an id take part in no link."""
-    rows = cut(fingerprints(docs, width))
-    distinct = cut(rows.groupBy("f0").agg(F.min("doc_id").alias("node")))
-    labels = components(links(distinct.where("node IS NOT NULL"), exact_blocks(radius), radius))
+    rows = stored(fingerprints(docs, width), "fingerprints")
+    distinct = stored(rows.groupBy("f0").agg(F.min("doc_id").alias("node")), "fingerprints")
+    labels = components(links(distinct.where("node IS NOT NULL"), exact_blocks(radius, distinct.count()), radius))
     found = distinct.join(labels, "node", "left").select("f0", F.coalesce("label", "node").alias("component_id"))
     return rows.join(found, "f0").select("doc_id", "f0", "component_id")
 
@@ -218,7 +228,7 @@ def digests(found: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The documents without near copies; fingerprints only estimate a similarity, so `copies` compares the sets of shingles."""
+    """The documents without near copies: the trees' links, compared set with set, and exactly what they leave (`copies`)."""
     from . import copies
 
     return copies.drop_near_copies(docs)
