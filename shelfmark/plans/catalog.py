@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,9 @@ from ..operators import stats as T
 from ..operators import tree as G
 from ..session import shared_dir
 from ..sources import catalog as C
+from ..sources import journal as J
 from ..sources.records import decode_record_buffers
+from ..sources.store import CatalogStore
 from ..streaming import changes as H
 
 Views = Callable[[str], DataFrame]
@@ -129,7 +132,10 @@ query("volume_by_serial", "volumes", lambda v: C.volume_by_serial(v("volumes"),
 query("scan_for_check", "files", lambda v: C.scan_for_check(v("files"), 2, 1000030000), "SELECT mft_reference AS id, full_path, is_directory FROM files WHERE volume_id = 2 AND mft_reference <= 1000030000")
 query("listing_to_catalog", "listing", lambda v: C.listing_to_catalog(v("listing"), 7).select("volume_id", "name", "size", "full_path"), "SELECT CAST(7 AS BIGINT) AS volume_id, regexp_extract(full_path, '([^\\\\/]+)$', 1) AS name, size, full_path FROM listing")
 query("read_record_snapshot", "mft", lambda v: C.read_record_snapshot(v("mft").withColumn("attributes", F.when(F.col("is_directory"), 16).otherwise(32).cast("long"))).select("file_reference", "is_directory"), "SELECT file_reference, is_directory FROM mft WHERE file_reference >= 24 AND name <> ''")
-query("read_change_log", "changes", lambda v: C.read_change_log(v("changes"), 320000).select("usn", "name"), "SELECT usn, name FROM changes WHERE usn > 320000")
+_after = lambda v, times: v("volumes").where("id <> 4").select(F.col("id").alias("volume_id"), (F.col("last_usn") * times).alias("last_usn"))
+AFTER = "(SELECT id AS volume_id, last_usn * {} AS last_usn FROM volumes WHERE id <> 4)"
+query("read_change_log", "changes volumes", lambda v: J.read_change_log(v("changes"), _after(v, 100))[0].select("volume_id", "usn", "name"), f"SELECT c.volume_id, usn, name FROM changes c LEFT JOIN {AFTER.format(100)} o ON o.volume_id = c.volume_id WHERE last_usn IS NULL OR usn > last_usn")
+query("change_log_offsets", "changes volumes", lambda v: J.read_change_log(v("changes"), _after(v, 200))[1], f"SELECT v.id AS volume_id, greatest(m.usn, o.last_usn) AS last_usn FROM volumes v LEFT JOIN {AFTER.format(200)} o ON o.volume_id = v.id LEFT JOIN (SELECT volume_id, max(usn) AS usn FROM changes GROUP BY 1) m ON m.volume_id = v.id")
 query("read_watch_events", "raw_events", lambda v: C.read_watch_events(v("raw_events"), ("/.cache",)).select("seq", "path", "kind"), "SELECT seq, path, CASE raw_kind WHEN 'create' THEN 'created' WHEN 'remove' THEN 'deleted' ELSE 'modified' END AS kind FROM raw_events WHERE raw_kind <> 'access' AND NOT contains(path, '/.cache')")
 query(
     "load_path_mappings",
@@ -222,40 +228,46 @@ DELTA = "SELECT mft_reference, full_path, size + 1 AS size FROM files WHERE mft_
 UPSERT = f", d AS ({DELTA}) SELECT full_path, size FROM d UNION ALL SELECT full_path, size FROM files WHERE full_path NOT IN (SELECT full_path FROM d)"
 query("latest_per_path", "files", lambda v: M.latest_per_path(v("scan_entries"), "mft_reference").select("full_path", "mft_reference", "size"), "SELECT full_path, mft_reference, size FROM files")
 query("upsert_files", "files", lambda v: M.upsert(v("files"), _extra(v), "full_path", ("mft_reference",)).select("full_path", "size"), UPSERT)
-def _versions(v: Views, last: Callable[[DataFrame, str], None]) -> DataFrame:
-    """Publishes the catalog, then what `last` makes of it, and reads what readers now find."""
+def _store(v: Views) -> CatalogStore:
+    """The catalog as version 1 of a store."""
     files = v("files")
-    C.publish(files, where := shared_dir(files.sparkSession, "versions"), 1)
-    last(C.current(files.sparkSession, where, files.schema), where)
-    return C.current(files.sparkSession, where, files.schema).select("full_path", "size", "volume_id")
+    store = CatalogStore(files.sparkSession, shared_dir(files.sparkSession, "store"), files.schema)
+    store.replace(files)
+    return store
 
 
-def _merge(old: DataFrame, where: str, v: Views) -> None:
-    largest = T.max_file_id(old).first()[0]
-    new = M.upsert(old, _extra(v).withColumn("mft_reference", F.lit(None).cast("long")), "full_path", ("mft_reference",))
-    C.publish(M.assign_ids(new, "mft_reference", largest), where, 2)
+def _merged(v: Views) -> DataFrame:
+    """What readers find once new and changed rows of some volumes are published."""
+    store = _store(v)
+    base = store.head()
+    new = M.upsert(store.read(base, [1, 3]), _extra(v).where("volume_id IN (1, 3)").withColumn("mft_reference", F.lit(None).cast("long")), "full_path", ("mft_reference",))
+    store.commit(base, M.assign_ids(new, "mft_reference", T.max_file_id(v("files")).first()[0]), [1, 3])
+    return store.read().select("full_path", "size", "volume_id")
 
 
-query("write_catalog", "files", lambda v: _versions(v, lambda old, where: _merge(old, where, v)), f", d AS (SELECT full_path, size + 1 AS size, volume_id FROM files WHERE mft_reference % 5 = 0 UNION ALL SELECT concat(full_path, '.new'), size + 1, volume_id FROM files WHERE mft_reference % 5 = 0) SELECT * FROM d UNION ALL SELECT full_path, size, volume_id FROM files WHERE full_path NOT IN (SELECT full_path FROM d)")
+query("write_catalog", "files", _merged, f", d AS (SELECT full_path, size + 1 AS size, volume_id FROM files WHERE mft_reference % 5 = 0 AND volume_id IN (1, 3) UNION ALL SELECT concat(full_path, '.new'), size + 1, volume_id FROM files WHERE mft_reference % 5 = 0 AND volume_id IN (1, 3)) SELECT * FROM d UNION ALL SELECT full_path, size, volume_id FROM files WHERE full_path NOT IN (SELECT full_path FROM d)")
 query("assign_ids", "files", lambda v: M.assign_ids(M.upsert(v("files"), _extra(v).withColumn("mft_reference", F.lit(None).cast("long")), "full_path", ("mft_reference",)), "mft_reference", 2_000_000_000).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("mft_reference").alias("ids"), F.max("mft_reference").alias("largest")), "SELECT (SELECT count(*) FROM files) + count(*) AS n, (SELECT count(*) FROM files) + count(*) AS ids, 2000000000 + count(*) AS largest FROM files WHERE mft_reference % 5 = 0")
 query("upsert_volume", "volumes", lambda v: M.upsert(v("volumes"), v("volumes").where("id > 3").withColumn("label", F.lit("new")), "serial_number", ("id",)).select("id", "serial_number", "label"), "SELECT id, serial_number, CASE WHEN id > 3 THEN 'new' ELSE label END AS label FROM volumes")
 def _reset(v: Views) -> DataFrame:
     """Rows that readers find before and after a reset."""
-    files = v("files")
-    spark = files.sparkSession
-    C.publish(files, where := shared_dir(spark, "versions"), 1)
-    count = lambda n: C.current(spark, where, files.schema).agg(F.lit(n).cast("long").alias("version"), F.count(F.lit(1)).alias("n"))
-    before = count(1)
-    C.reset_catalog(spark, where, 2, files.schema)
-    return before.unionByName(count(2))
+    store = _store(v)
+    count = lambda n: store.read(store.version(n)).agg(F.lit(n).cast("long").alias("version"), F.count(F.lit(1)).alias("n"))
+    store.replace(v("files").limit(0))
+    return count(1).unionByName(count(2))
 
 
 query("reset_catalog", "files", _reset, "SELECT CAST(1 AS BIGINT) AS version, count(*) AS n FROM files UNION ALL SELECT 2, 0")
 query("delete_path", "files", _files(lambda f: M.delete_path(f, "C:\\NATION_0")), _where("full_path <> concat('C:', chr(92), 'NATION_0')"))
-query("delete_volume_rows", "files", _files(lambda f: M.delete_volume_rows(f, 3)), _where("volume_id <> 3"))
+def _without(v: Views, volume_id: int) -> DataFrame:
+    store = _store(v)
+    store.delete_volume(volume_id)
+    return store.read().select("full_path", "size")
+
+
+query("delete_volume_rows", "files", lambda v: _without(v, 3), _where("volume_id <> 3"))
 query("delete_subtree", "files", _files(lambda f: M.delete_subtree(f, "C:/NATION_0")), _where("NOT (full_path = concat('C:', chr(92), 'NATION_0') OR starts_with(full_path, concat('C:', chr(92), 'NATION_0', chr(92))))"))
 query("delete_references", "files", lambda v: M.delete_keys(v("files"), v("files").where("size % 3 = 0"), "volume_id", "mft_reference").select("full_path", "size"), _where("size % 3 <> 0"))
-query("purge_references", "files changes", lambda v: M.delete_keys(v("files"), H.stale_references(v("changes"), 1000).select("volume_id", F.col("file_reference").alias("mft_reference")), "volume_id", "mft_reference").select("full_path", "size"), _where("NOT EXISTS (SELECT 1 FROM changes c WHERE c.volume_id = files.volume_id AND file_reference = mft_reference AND usn > 1000 AND reason & 4608 <> 0)"))
+query("purge_references", "files changes volumes", lambda v: M.delete_keys(v("files"), H.stale_references(v("changes"), _after(v, 1)).select("volume_id", F.col("file_reference").alias("mft_reference")), "volume_id", "mft_reference").select("full_path", "size"), _where(f"NOT EXISTS (SELECT 1 FROM changes c LEFT JOIN {AFTER.format(1)} o ON o.volume_id = c.volume_id WHERE c.volume_id = files.volume_id AND file_reference = mft_reference AND (last_usn IS NULL OR usn > last_usn) AND reason & 4608 <> 0)"))
 query("delete_ids", "files", lambda v: M.delete_keys(v("files"), v("files").where("mft_reference % 7 = 0"), "mft_reference").select("full_path", "size"), _where("mft_reference % 7 <> 0"))
 query("relocate_path", "files", lambda v: M.relocate_path(v("files"), v("files").where("NOT is_directory AND mft_reference % 9 = 0").select(F.col("full_path").alias("old_path"), F.concat(F.lit("Z:\\moved\\"), F.col("mft_reference").cast("string"), F.lit(".bin")).alias("new_path"))).select("full_path", "name", "mft_reference"), "SELECT CASE WHEN m THEN concat('Z:', chr(92), 'moved', chr(92), mft_reference, '.bin') ELSE full_path END AS full_path, CASE WHEN m THEN concat(mft_reference, '.bin') ELSE name END AS name, CASE WHEN NOT m THEN mft_reference END AS mft_reference FROM (SELECT *, NOT is_directory AND mft_reference % 9 = 0 AS m FROM files)")
 _applied = lambda v: v("changes").withColumn("scanned_at", F.col("ts").cast("timestamp"))
@@ -299,12 +311,12 @@ query("classify_changes", "changes", lambda v: H.classify_changes(v("changes")).
 query("resolve_change_paths", "changes scan_entries volumes", lambda v: H.resolve_change_paths(v("changes"), _directories(v), v("volumes")).select("usn", "full_path"), f", {CHANGES_V} SELECT usn, concat({UP}, chr(92), name) AS full_path FROM c WHERE {UP} IS NOT NULL")
 query("fold_changes", "changes", lambda v: H.fold_changes(v("changes")).select("volume_id", "file_reference", "usn", "reason"), "SELECT volume_id, file_reference, max(usn) AS usn, max_by(reason, usn) AS reason FROM changes GROUP BY 1, 2")
 query("rename_pairs", "changes", lambda v: H.rename_pairs(v("changes").withColumn("reason", F.when(F.col("reason") == 2, P.RENAME_OLD).otherwise(F.col("reason")).cast("long"))).select("volume_id", "file_reference", "usn", "to_usn"), "SELECT volume_id, file_reference, usn, to_usn FROM (SELECT *, lead(reason) OVER w AS r, lead(usn) OVER w AS to_usn FROM changes WHERE reason IN (2, 8192) WINDOW w AS (PARTITION BY volume_id, file_reference ORDER BY usn)) WHERE reason = 2 AND r = 8192")
-query("stale_references", "changes", lambda v: H.stale_references(v("changes"), 100000), "SELECT DISTINCT volume_id, file_reference FROM changes WHERE usn > 100000 AND reason & 4608 <> 0")
+query("stale_references", "changes volumes", lambda v: H.stale_references(v("changes"), _after(v, 100)), f"SELECT DISTINCT c.volume_id, file_reference FROM changes c LEFT JOIN {AFTER.format(100)} o ON o.volume_id = c.volume_id WHERE (last_usn IS NULL OR usn > last_usn) AND reason & 4608 <> 0")
 query("journal_gap", "volumes", lambda v: H.journal_gap(v("volumes").select(F.col("id").alias("volume_id"), (F.col("id") % 2).alias("journal_id"), (F.col("id") * 700).alias("first_usn")), v("volumes").where("id < 5").select(F.col("id").alias("volume_id"), F.lit(1).cast("long").alias("journal_id"), "last_usn")), "SELECT id AS volume_id, id >= 5 OR id % 2 <> 1 OR id * 700 > last_usn AS rescan_required FROM volumes")
 query("volume_for_path", "files volumes", lambda v: H.volume_for_path(v("files").select(F.col("full_path").alias("path")), v("volumes").where("id <> 4")).select("path", "volume_id"), "SELECT full_path AS path, volume_id FROM files WHERE volume_id <> 4")
 query("volume_for_change", "files volumes", lambda v: H.volume_for_path(v("files").where("NOT is_directory").select(F.lower("full_path").alias("path")), v("volumes")).select("path", "volume_id"), "SELECT lower(full_path) AS path, volume_id FROM files WHERE NOT is_directory")
 query("event_dedupe", "watch_events", lambda v: H.event_dedupe(v("watch_events")).select("path", "kind"), "SELECT DISTINCT path, kind FROM watch_events")
-query("change_rates", "changes", lambda v: H.change_rates(v("changes")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz")), "SELECT date_trunc('hour', ts) AS window_start, CASE reason WHEN 512 THEN 'deleted' WHEN 2 THEN 'modified' ELSE 'created' END AS kind, count(*) AS n FROM changes WHERE reason IN (256, 2, 8192, 512) GROUP BY 1, 2")
+query("change_rates", "changes", lambda v: H.change_rates(v("changes")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz")), "SELECT date_trunc('hour', ts) AS window_start, volume_id, CASE reason WHEN 512 THEN 'deleted' WHEN 2 THEN 'modified' ELSE 'created' END AS kind, count(*) AS n FROM changes WHERE reason IN (256, 2, 8192, 512) GROUP BY 1, 2, 3")
 query("debounce_events", "watch_events", lambda v: H.debounce_events(v("watch_events"), 43200), ", e AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts, seq) AS rn FROM watch_events), r AS (SELECT path, rn, ts AS first_ts, kind, 1 AS n FROM e WHERE rn = 1 UNION ALL SELECT e.path, e.rn, CASE WHEN e.ts >= r.first_ts + INTERVAL 12 HOUR THEN e.ts ELSE r.first_ts END, CASE WHEN e.ts < r.first_ts + INTERVAL 12 HOUR AND r.kind = 'created' AND e.kind = 'modified' THEN 'created' ELSE e.kind END, CASE WHEN e.ts >= r.first_ts + INTERVAL 12 HOUR THEN 1 ELSE r.n + 1 END FROM r JOIN e ON e.path = r.path AND e.rn = r.rn + 1) SELECT path, first_ts, max_by(kind, rn) AS kind, CAST(max(n) AS INTEGER) AS n FROM r GROUP BY path, first_ts")
 query("apply_changes", "files changes scan_entries volumes", lambda v: H.apply_changes(v("changes"), v("files"), _directories(v), v("volumes")).select("full_path", "volume_id", "mft_reference"), f""", {CHANGES_V},
   l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY volume_id, file_reference ORDER BY usn DESC) AS k FROM c WHERE reason IN (256, 512, 8192)) WHERE k = 1),
@@ -313,6 +325,32 @@ query("apply_changes", "files changes scan_entries volumes", lambda v: H.apply_c
   UNION ALL SELECT full_path, volume_id, file_reference FROM live""")
 
 
+#: The paths that each event of `tree_changes` gives: a directory below a known one or the root, one in it, and a file in that.
+NESTED = """t AS (SELECT x.*, file_reference % 100000000 AS e FROM tree_changes x),
+  top AS (SELECT t.*, concat(CASE WHEN p.full_path IS NOT NULL THEN p.full_path WHEN t.parent_reference = 5 THEN v.mount_point END, chr(92), t.name) AS up FROM t JOIN volumes v ON v.id = t.volume_id
+    LEFT JOIN scan_entries p ON p.volume_id = t.volume_id AND p.mft_reference = t.parent_reference AND p.is_directory WHERE t.file_reference < 2100000000 AND (p.full_path IS NOT NULL OR t.parent_reference = 5)),
+  nested AS (SELECT up AS full_path, volume_id, file_reference AS mft_reference FROM top
+    UNION ALL SELECT concat(up, chr(92), 'deep_', e), volume_id, file_reference + 100000000 FROM top UNION ALL SELECT concat(up, chr(92), 'deep_', e, chr(92), 'in._', e), volume_id, file_reference + 200000000 FROM top)"""
+query("apply_changes_nested", "files tree_changes scan_entries volumes", lambda v: H.apply_changes(v("tree_changes"), v("files"), _directories(v), v("volumes")).select("full_path", "volume_id", "mft_reference"), f", {NESTED} SELECT full_path, volume_id, mft_reference FROM files UNION ALL SELECT * FROM nested")
+
+
+def _streamed(v: Views) -> DataFrame:
+    """A log by volume, in two parts with overlapping numbers, read from each volume's offset and applied to a stored catalog."""
+    store = _store(v)
+    spark, where = store.spark, shared_dir(store.spark, "log")
+    spark.dataSource.register(J.ChangeLog)
+    start = {str(r.volume_id): r.last_usn for r in _after(v, 100).collect()}  # a row for each volume
+    for part in ("is_directory", "NOT is_directory"):
+        v("tree_changes").where(part).write.mode("append").partitionBy("volume_id").parquet(f"{where}/log")
+    changes = spark.readStream.format("change_log").option("since", json.dumps(start)).load(f"{where}/log")
+    H.apply_stream(changes, store, v("volumes"), f"{where}/offsets").awaitTermination()
+    return store.read().select("full_path", "volume_id", "mft_reference")
+
+
+query("apply_stream", "files tree_changes scan_entries volumes", _streamed, f""", after AS {AFTER.format(100)}, {NESTED.replace("tree_changes x)", "tree_changes x LEFT JOIN after o ON o.volume_id = x.volume_id WHERE last_usn IS NULL OR usn > last_usn)").replace("x.*", "x.usn, x.volume_id, x.file_reference, x.parent_reference, x.name")}
+  SELECT full_path, volume_id, mft_reference FROM files UNION ALL SELECT * FROM nested WHERE EXISTS (SELECT 1 FROM t WHERE t.volume_id = nested.volume_id AND t.file_reference = nested.mft_reference)""")
+
+
 def _resumed(v: Views) -> DataFrame:
     """Reads a log, then what was added to it since."""
     changes = v("changes").select("volume_id", "usn", "file_reference", "reason")

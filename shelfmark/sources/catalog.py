@@ -48,6 +48,10 @@ VIEWS = {
       concat('user_', user_id, '.log') AS name,
       CAST(CASE event_type WHEN 'signup' THEN 256 WHEN 'click' THEN 2 WHEN 'purchase' THEN 8192 WHEN 'error' THEN 512 ELSE 2147483648 END AS BIGINT) AS reason,
       FALSE AS is_directory FROM {events}""",
+    "tree_changes": """SELECT CAST(event_id * 64 + 3 - level AS BIGINT) AS usn, ts, CAST(event_id % 5 + 1 AS BIGINT) AS volume_id, CAST(2000000000 AS BIGINT) + level * 100000000 + event_id AS file_reference,
+      CAST(CASE WHEN level > 0 THEN CAST(1900000000 AS BIGINT) + level * 100000000 + event_id WHEN event_id % 4 = 0 THEN 5 ELSE 1000 + user_id END AS BIGINT) AS parent_reference,
+      concat(CASE level WHEN 0 THEN 'new' WHEN 1 THEN 'deep' ELSE 'in.' END, '_', event_id) AS name, CAST(CASE WHEN event_type = 'click' THEN 8192 ELSE 256 END AS BIGINT) AS reason, level < 2 AS is_directory
+      FROM {events}, (SELECT 0 AS level UNION ALL SELECT 1 UNION ALL SELECT 2) l WHERE event_id % 7 = 0""",
     "unc_paths": """SELECT page_id, concat(chr(92), chr(92), replace(regexp_replace(url, '^https?://', ''), '/', chr(92))) AS full_path FROM {pages}""",
     "listing": """SELECT full_path, is_directory, size FROM {files} WHERE NOT (NOT is_directory AND mft_reference % 11 = 0) AND NOT (is_directory AND mft_reference >= 1000 AND mft_reference % 37 = 0) AND instr(full_path, concat(':', chr(92), 'NATION_7')) = 0""",
     "watch_events": """SELECT ts, event_id AS seq, concat('user_', user_id) AS path, CASE event_type WHEN 'signup' THEN 'created' WHEN 'error' THEN 'deleted' ELSE 'modified' END AS kind FROM {events}""",
@@ -171,10 +175,6 @@ def read_record_snapshot(records: DataFrame) -> DataFrame:
     return records.where((F.col("file_reference") >= 24) & (F.col("name") != "")).withColumn("is_directory", F.col("attributes").bitwiseAND(F.lit(0x10).cast("long")) != 0)
 
 
-def read_change_log(changes: DataFrame, since: int) -> DataFrame:
-    return changes.where(F.col("usn") > since)
-
-
 #: What notifications of each kind become; others go.
 KINDS = {"create": "created", "modify": "modified", "remove": "deleted"}
 
@@ -195,23 +195,3 @@ def load_path_mappings(detected: DataFrame, manual: DataFrame) -> DataFrame:
     pairs = detected.select("unc", "drive", F.lit(None).cast("long").alias("seq")).unionByName(manual.select("unc", "drive", F.col("seq").cast("long").alias("seq")))
     order = F.struct(F.col("seq").isNotNull(), F.col("seq"))
     return pairs.groupBy(F.lower("unc").alias("unc")).agg(F.max_by(drive, order).alias("drive"))
-
-
-def publish(catalog: DataFrame, where: str, version: int) -> str:
-    """Writes a catalog as a new version, by volume, and then the row that readers follow; until then they read the old one."""
-    path = f"{where}/v{version:06d}"
-    catalog.write.mode("overwrite").partitionBy("volume_id").parquet(path)
-    catalog.sparkSession.createDataFrame([(version, path)], "version long, path string").coalesce(1).write.mode("append").parquet(f"{where}/published")
-    return path
-
-
-def current(spark: SparkSession, where: str, schema: StructType) -> DataFrame:
-    """The catalog of the last version that was published."""
-    path = spark.read.schema("version long, path string").parquet(f"{where}/published").agg(F.max_by("path", "version")).first()[0]
-    stored = StructType([f for f in schema if f.name != "volume_id"] + [schema["volume_id"]])
-    return spark.read.schema(stored).parquet(path).select(*schema.names)
-
-
-def reset_catalog(spark: SparkSession, where: str, version: int, schema: StructType) -> str:
-    """Publishes a version without rows."""
-    return publish(spark.createDataFrame([], schema), where, version)

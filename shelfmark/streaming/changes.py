@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.paths import DELETE, RENAME_NEW, RENAME_OLD, SLASH, event_kind, has_flag
+from ..session import cut
+from ..sources.journal import since
+from ..sources.store import CatalogStore
 
 
 def classify_changes(changes: DataFrame) -> DataFrame:
@@ -44,9 +47,61 @@ def rename_pairs(changes: DataFrame) -> DataFrame:
     return rows.where(has_flag(F.col("reason"), RENAME_OLD) & has_flag(F.col("n_reason"), RENAME_NEW)).select(*FILE, "usn", "to_usn", F.col("name").alias("from_name"), "to_name")
 
 
-def stale_references(changes: DataFrame, since: int) -> DataFrame:
-    """volume_id, file_reference of what was deleted or had its name taken away since an offset."""
-    return changes.where((F.col("usn") > since) & has_flag(F.col("reason"), DELETE | RENAME_OLD)).select(*FILE).distinct()
+def rename_stream(changes: DataFrame, hold_ms: int):
+    """The same on a stream of records with ts (and a watermark on it), by keyed state and event-time timers. Records wait until
+    the watermark passes them, so those that come in another order, or in other micro-batches, meet by usn; ts is to follow
+    usn. An old name whose new name has not come `hold_ms` later is let go. Needs the RocksDB state store."""
+    import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor
+
+    class Renames(StatefulProcessor):
+        def init(self, handle):
+            self.handle = handle
+            self.waiting = handle.getMapState("waiting", "usn long", "ts long, old boolean, new boolean, name string")
+            self.open = handle.getValueState("open", "usn long, ts long, name string")
+
+        def handleInputRows(self, key, rows, timerValues):
+            for r in pd.concat(list(rows)).itertuples():
+                if r.reason & (RENAME_OLD | RENAME_NEW):
+                    ms = int(r.ms)
+                    self.waiting.updateValue((int(r.usn),), (ms, bool(r.reason & RENAME_OLD), bool(r.reason & RENAME_NEW), r.name))
+                    self.handle.registerTimer(ms + 1)
+            yield self._rows(key, [])
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            now, out = timerValues.getCurrentWatermarkInMs(), []
+            held = self.open.get() if self.open.exists() else None
+            for (usn,), (ms, old, new, name) in sorted((tuple(k), tuple(v)) for k, v in self.waiting.iterator()):
+                if ms >= now:
+                    break  # an earlier record may still come
+                if held is not None and new and ms <= held[1] + hold_ms:
+                    out.append((held[0], usn, held[2], name))
+                held = (usn, ms, name) if old else None
+                self.waiting.removeKey((usn,))
+            if held is not None and held[1] + hold_ms < now:
+                held = None
+            if held is None:
+                self.open.clear()
+            else:
+                self.open.update(held)
+                self.handle.registerTimer(held[1] + hold_ms + 1)
+            yield self._rows(key, out)
+
+        def _rows(self, key, rows):
+            usn, to, a, b = zip(*rows) if rows else ((), (), (), ())
+            n = len(rows)
+            return pd.DataFrame({"volume_id": pd.Series([key[0]] * n, dtype="int64"), "file_reference": pd.Series([key[1]] * n, dtype="int64"), "usn": pd.Series(usn, dtype="int64"), "to_usn": pd.Series(to, dtype="int64"), "from_name": pd.Series(a, dtype=object), "to_name": pd.Series(b, dtype=object)})
+
+        def close(self):
+            pass
+
+    schema = "volume_id long, file_reference long, usn long, to_usn long, from_name string, to_name string"
+    return changes.select(*FILE, "usn", "reason", "name", "ts", F.unix_millis("ts").alias("ms")).groupBy(*FILE).transformWithStateInPandas(statefulProcessor=Renames(), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+
+
+def stale_references(changes: DataFrame, offsets: DataFrame) -> DataFrame:
+    """volume_id, file_reference of what was deleted or had its name taken away after its volume's offset (volume_id, last_usn)."""
+    return since(changes, offsets).where(has_flag(F.col("reason"), DELETE | RENAME_OLD)).select(*FILE).distinct()
 
 
 def journal_gap(meta: DataFrame, stored: DataFrame) -> DataFrame:
@@ -61,13 +116,20 @@ def volume_for_path(events: DataFrame, volumes: DataFrame, column: str = "path")
     return events.join(v, F.upper(F.substring(column, 1, 2)) == F.col("_m")).drop("_m")
 
 
-def event_dedupe(events: DataFrame) -> DataFrame:
-    return events.dropDuplicates(["path", "kind"])
+def event_dedupe(events: DataFrame, within: str | None = None) -> DataFrame:
+    """One event of each path and kind. `within`, for streams: an event that comes again within that time is dropped, and its
+    state goes once the watermark on ts has passed it by that time."""
+    if within is None:
+        return events.dropDuplicates(["path", "kind"])
+    return events.withWatermark("ts", within).dropDuplicatesWithinWatermark(["path", "kind"])
 
 
-def change_rates(changes: DataFrame, window: str = "1 hour") -> DataFrame:
-    """Changes per window and kind. For streams give `changes` a watermark on ts."""
-    return classify_changes(changes).groupBy(F.window("ts", window).alias("w"), "kind").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), "kind", "n")
+def change_rates(changes: DataFrame, window: str = "1 hour", late: str | None = None) -> DataFrame:
+    """Changes per window, volume and kind. `late`, for streams: how late a change may come; in append mode a window is told once
+    the watermark has passed its end, later changes are dropped."""
+    timed = changes if late is None else changes.withWatermark("ts", late)
+    counted = classify_changes(timed).groupBy(F.window("ts", window).alias("w"), "volume_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(F.col("w.start").alias("window_start"), "volume_id", "kind", "n")
 
 
 def _debounce(step: int):
@@ -144,20 +206,74 @@ def debounce_stream(events: DataFrame, milliseconds: int):
     return events.groupBy("path").transformWithStateInPandas(statefulProcessor=Debounce(), outputStructType="path string, first_ts timestamp, kind string, n int", outputMode="Append", timeMode="EventTime")
 
 
-def apply_changes(batch: DataFrame, catalog: DataFrame, directories: DataFrame, volumes: DataFrame) -> DataFrame:
+def directories_after(last: DataFrame, directories: DataFrame, volumes: DataFrame, root_ref: int = 5, max_depth: int = 256) -> DataFrame:
+    """volume_id, ref, path of the directories once a batch is applied: those given that the batch leaves alone, and those that
+    it creates or renames, also below one another. `last` is the last record of each file.
+
+    The batch's own directories are joined to one another by doubling, so a chain of 256 takes eight rounds; what then stands
+    at their top is looked up once. A chain that ends nowhere, or in a cycle, has no path."""
+    known = directories.select("volume_id", "ref", "path").join(last.select("volume_id", F.col("file_reference").alias("ref")), ["volume_id", "ref"], "left_anti")
+    made = cut(last.where((event_kind(F.col("reason")) == "created") & F.col("is_directory")).select("volume_id", F.col("file_reference").alias("ref"), F.col("parent_reference").alias("up"), F.col("name").alias("path")))
+    reach = 1
+    while reach < max_depth:
+        above = made.select("volume_id", F.col("ref").alias("up"), F.col("path").alias("_path"), F.col("up").alias("_up"))
+        joined = cut(made.join(above, ["volume_id", "up"], "left"))
+        if joined.where("_up IS NOT NULL").isEmpty():
+            break
+        made = joined.select("volume_id", "ref", F.coalesce("_up", "up").alias("up"), F.concat_ws(SLASH, "_path", "path").alias("path"))
+        reach *= 2
+    whole = resolve_change_paths(made.select("volume_id", "ref", F.col("up").alias("parent_reference"), F.col("path").alias("name")), known, volumes, root_ref)
+    return known.unionByName(whole.select("volume_id", "ref", F.col("full_path").alias("path")))
+
+
+def _known_directories(catalog: DataFrame) -> DataFrame:
+    return catalog.where("is_directory AND mft_reference IS NOT NULL").select("volume_id", F.col("mft_reference").alias("ref"), F.col("full_path").alias("path"))
+
+
+def apply_changes(batch: DataFrame, catalog: DataFrame, directories: DataFrame | None, volumes: DataFrame, update_modified: bool = False) -> DataFrame:
     """The catalog after a batch: the last record of each (volume, reference) decides. Deleted and old-named references go,
-    created and new-named ones are at their path, under which nothing else stays; modified ones change nothing. Applying a
-    batch again gives the same rows, so a stream may repeat one."""
-    keys = list(FILE)
-    kinds = batch.where(~event_kind(F.col("reason")).isin("modified") | has_flag(F.col("reason"), RENAME_OLD))
+    created and new-named ones are at their path, under which nothing else stays; directories of the batch count when paths
+    are looked up, whatever the order of records (`directories`: volume_id, ref, path; by default the catalog's own). Modified
+    ones change nothing, or with `update_modified` their size, where the batch has one. Applying a batch again gives the same
+    rows, so a stream may repeat one."""
+    keys, record = list(FILE), F.col("reason")
     rest = [c for c in batch.columns if c not in keys]
-    last = kinds.groupBy(*keys).agg(F.max_by(F.struct(*rest), "usn").alias("r")).select(*keys, *(F.col(f"r.{c}").alias(c) for c in rest))
-    live = resolve_change_paths(last.where(event_kind(F.col("reason")) == "created"), directories, volumes)
-    live = live.groupBy("full_path").agg(F.max_by(F.struct("volume_id", "file_reference", "name", "is_directory"), "usn").alias("r")).select("full_path", "r.*")
+    newest = lambda rows: rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "usn").alias("r")).select(*keys, *(F.col(f"r.{c}").alias(c) for c in rest))
+    last = newest(batch.where(~event_kind(record).isin("modified") | has_flag(record, RENAME_OLD)))
+    folders = directories_after(last, _known_directories(catalog) if directories is None else directories, volumes)
+    live = resolve_change_paths(last.where(event_kind(record) == "created"), folders, volumes)
+    sized = "size" in batch.columns
+    live = live.withColumn("size", F.coalesce("size", F.lit(0)).cast("long") if sized else F.lit(0).cast("long"))
+    live = live.groupBy("full_path").agg(F.max_by(F.struct("volume_id", "file_reference", "name", "is_directory", "size"), "usn").alias("r")).select("full_path", "r.*")
     gone = last.select("volume_id", F.col("file_reference").alias("mft_reference"))
     left = catalog.join(gone, ["volume_id", "mft_reference"], "left_anti").join(live.select("full_path"), "full_path", "left_anti")
-    new = live.select(F.col("file_reference").alias("mft_reference"), "volume_id", "name", "is_directory", F.lit(0).cast("long").alias("size"), F.lit(None).cast(catalog.schema["created_time"].dataType).alias("created_time"), "full_path")
-    return left.select(*catalog.columns).unionByName(new.select(*catalog.columns))
+    if update_modified and sized:
+        sizes = newest(batch.where("size IS NOT NULL")).select("volume_id", F.col("file_reference").alias("mft_reference"), F.col("size").cast("long").alias("_size"))
+        left = left.join(sizes, ["volume_id", "mft_reference"], "left").withColumn("size", F.coalesce("_size", "size"))
+    new = live.withColumn("mft_reference", F.col("file_reference"))
+    empty = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in catalog.schema if f.name not in new.columns}
+    return left.select(*catalog.columns).unionByName(new.select(*(empty.get(c, F.col(c)) for c in catalog.columns)))
+
+
+def apply_stream(changes: DataFrame, store: CatalogStore, volumes: DataFrame, checkpoint: str, name: str = "changes", update_modified: bool = False):
+    """Starts a stream that applies each micro-batch to the stored catalog, exactly once: rows of the touched volumes, their
+    offsets and the batch's number become one version. A batch that is run again after its version was published changes
+    nothing; one that was stopped before it is applied to the version that it began with. Records up to a volume's offset are
+    left out."""
+
+    def apply(batch: DataFrame, n: int) -> None:
+        base = store.head()
+        if base.batches.get(name, -1) >= n:
+            return
+        rows = since(batch, store.offsets(base)).persist()
+        try:
+            offsets = {r[0]: r[1] for r in rows.groupBy("volume_id").agg(F.max("usn")).collect()}  # a row for each volume
+            after = apply_changes(rows, store.read(base, offsets), None, volumes, update_modified) if offsets else None
+            store.commit(base, after, offsets, offsets, {name: n})
+        finally:
+            rows.unpersist()
+
+    return change_stream(changes, apply, checkpoint)
 
 
 def change_stream(changes: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str):

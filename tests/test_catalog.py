@@ -82,7 +82,7 @@ def test_references_are_told_per_volume(spark):
     log = spark.createDataFrame([(*r, False) for r in rows], "volume_id long, file_reference long, usn long, reason long, name string, parent_reference long, is_directory boolean")
     assert {(r.volume_id, r.file_reference, r.usn) for r in changes.fold_changes(log).collect()} == {(3, 30, 1), (4, 30, 2), (3, 40, 5), (4, 40, 4)}
     assert [(r.volume_id, r.from_name, r.to_name) for r in changes.rename_pairs(log).collect()] == [(3, "old", "new")]
-    assert {tuple(r) for r in changes.stale_references(log, 0).collect()} == {(3, 30), (3, 40)}
+    assert {tuple(r) for r in changes.stale_references(log, spark.createDataFrame([(3, 0)], "volume_id long, last_usn long")).collect()} == {(3, 30), (3, 40)}
     old = spark.createDataFrame([("C:\\a", 3, 30, "a", False, 1, None), ("D:\\a", 4, 30, "a", False, 1, None)], "full_path string, volume_id long, mft_reference long, name string, is_directory boolean, size long, created_time timestamp")
     nowhere = spark.createDataFrame([], "volume_id long, ref long, path string")
     after = changes.apply_changes(log, old, nowhere, drives(spark, C=3, D=4))
@@ -150,16 +150,6 @@ def test_listing_of_empty_excluded_and_hidden_folders(spark, tmp_path):
     assert state == {f"{tmp_path}/empty": "empty", f"{tmp_path}/gone": "missing", f"{tmp_path}/a/b": "has_files"}
 
 
-def test_versions(spark, tmp_path):
-    files = named(spark, "a", "b").withColumn("volume_id", F.lit(1).cast("long"))
-    where = str(tmp_path / "catalog")
-    sources.publish(files, where, 1)
-    files.where("name = 'a'").write.partitionBy("volume_id").parquet(f"{where}/v000002")  # written, but not published
-    assert sources.current(spark, where, files.schema).count() == 2
-    sources.reset_catalog(spark, where, 3, files.schema)
-    assert sources.current(spark, where, files.schema).count() == 0 and sources.current(spark, where, files.schema).columns == files.columns
-
-
 def test_user_views_stay(spark):
     spark.range(7).createOrReplaceTempView("orders")
     sources.derive(spark, DATA, "changes").count()
