@@ -6,9 +6,11 @@ similarity, so what the trees can't bring together is found exactly: two such se
 shingles, share one of their first n - ceil(0.8 n) + 1 (prefix filter). The order is rare shingles first: those seen often
 are counted beforehand and come last. The order decides about cost alone, so it may be rough. Prefix shingles that no other
 set's prefix holds are dropped, and of the others only those are looked at that sets of different components share, as the
-trees' links have joined them: each such set with one of those of the shingle, and then, among those not yet in one
-component, every pair. So a large group of copies is no square of pairs, and no pair that could join two components is left
-out. Sets that share rare shingles in their prefixes and stay below 0.8 are compared pair by pair.
+trees' links have joined them: each such set with one of those of the shingle, in a few rounds, and then, among those not
+yet in one component, every pair, by sizes and bits, in blocks: a task compares some thousands of sets with some thousands
+and tells the pairs that these don't part. So a large group of copies is no square of pairs, no pair that could join two
+components is left out, and sets that share rare shingles and stay below 0.8 cost a comparison of bits, but hardly ever a
+row. Of shingles that the very same sets hold, one stands for all.
 
 Shingles are 64-bit hashes of lower-cased words. A text of one to four words is one shingle, a null, blank or empty one
 holds a shingle of its own kind. Equal sets are one node, named by a hash of the set. Rows without an id take no part;
@@ -34,6 +36,8 @@ WIDTH = 5
 FREQUENT, OFTEN, COUNTED = 100_000, 16, 1_000_000
 #: Bits that tell sets apart before they are compared.
 BITS = 1024
+#: Rounds in which open nodes are compared with one node of each shingle, before blocks of so many are with each other.
+HUBS, BLOCK = 2, 4096
 _U = np.uint64
 
 
@@ -88,8 +92,8 @@ def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles, ascending, and in how many documents they are: those seen more than twice among some
     million of a task are summed up. Of a fixed size, whatever the corpus."""
-    rows = texts.mapInArrow(_often, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "shingle").limit(FREQUENT).collect()
-    value, times = np.array([r[0] for r in rows], np.int64).view(_U), np.array([r[1] for r in rows], np.int64)
+    rows = texts.mapInArrow(_often, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
+    value, times = rows.column("shingle").to_numpy().view(_U), rows.column("n").to_numpy()
     order = np.argsort(value)
     return value[order], times[order]
 
@@ -179,12 +183,68 @@ def _near_enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array(9 * apart <= batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()))
 
 
-def _alike(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+def _block_pairs(node: np.ndarray, n: np.ndarray, label: np.ndarray, bits: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of two blocks' places, or of one's, that sizes and bits do not part, of different components."""
+    step = max(1, (1 << 20) // max(1, len(right)))
+    for at in range(0, len(left), step):
+        own = left[at : at + step]
+        apart = np.zeros((len(own), len(right)), np.uint16)
+        for w in range(bits.shape[1]):
+            apart += np.bitwise_count(bits[own, w][:, None] ^ bits[right, w][None, :])
+        x, y = n[own][:, None], n[right][None, :]
+        near = (9 * apart.astype(np.int64) <= x + y) & (5 * np.minimum(x, y) >= 4 * np.maximum(x, y)) & (label[own][:, None] != label[right][None, :])
+        if same:
+            near &= own[:, None] < right[None, :]
+        i, j = np.nonzero(near)
+        yield node[own[i]], node[right[j]]
+
+
+def _meet_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a, b from rows (token, lo, hi, own, node, n, label, bits), which come by token, lo and hi: nodes of block lo with those of
+    block hi that may be alike."""
+
+    def met(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(rows).combine_chunks()
+        node, n, label, own = (t.column(c).to_numpy() for c in ("node", "n", "label", "own"))
+        lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
+        bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(len(node), -1)
+        ends = list(_block_pairs(node, n.astype(np.int64), label, bits, np.flatnonzero(own == lo), np.flatnonzero(own == hi), lo == hi))
+        a, b = (np.concatenate([np.zeros(0, np.int64), *(e[k] for e in ends)]) for k in (0, 1))
+        return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    now, held = None, []
+    for batch in batches:
+        keys = np.stack([batch.column(c).to_numpy() for c in range(3)], axis=1)
+        begins = np.append(0, np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1) if len(keys) else np.zeros(0, np.int64)
+        for a, b in zip(begins, np.append(begins[1:], len(keys))):
+            key = tuple(keys[a])
+            if key != now and held:
+                yield met(held)
+                held = []
+            now = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield met(held)
+
+
+def _near_within(tokens: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs a, b of nodes of different components that share a token and that sizes and bits do not part.
+
+    The holders of a token are dealt into blocks of some `BLOCK`, and each two blocks meet in a task, which keeps the pairs that
+    may be alike: what moves is a node for each block of its token, and no other pair becomes a row."""
+    sizes = stored(tokens.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks")), "holders")
+    rows = tokens.join(sizes, "token").join(nodes.select("node", "bits"), "node").withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    keyed = rows.select("token", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), "own", "node", "n", "label", "bits")
+    return keyed.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(_meet_blocks, "a long, b long").distinct()
+
+
+def _alike(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, near_enough: bool = False) -> DataFrame:
     """The pairs a, b of nodes whose sets are alike. Sets are made again from the texts, for nodes that are in pairs alone
-    which their sizes and bits do not part."""
+    which their sizes and bits do not part (`near_enough`: as is known of these)."""
     one, two = (nodes.select(F.col("node").alias(c), F.col("n").alias(k), F.col("bits").alias(x)) for c, k, x in (("a", "n", "x"), ("b", "m", "y")))
     sized = pairs.join(one, "a").join(two, "b").where("5L * least(n, m) >= 4L * greatest(n, m)").select("a", "b", "n", "m", "x", "y")
-    pairs = stored(sized.mapInArrow(_near_enough, "a long, b long"), "pairs")
+    pairs = stored(pairs if near_enough else sized.mapInArrow(_near_enough, "a long, b long"), "pairs")
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = stored(nodes.join(ends, "node").select("node", "doc_id", "text_hash"), "ends")
     sets = stored(texts.join(wanted, ["doc_id", "text_hash"]).select("node", "text").mapInArrow(_whole, "node long, shingles binary, n long, wide binary").dropDuplicates(["node"]), "sets")
@@ -203,8 +263,10 @@ def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _open(rows: DataFrame) -> DataFrame:
-    """Rows of the tokens that nodes of different components hold."""
-    tokens = rows.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
+    """Rows of the tokens that nodes of different components hold; of tokens that the same nodes hold, of one."""
+    held = F.bit_xor(F.xxhash64("node")), F.bit_xor(F.xxhash64("node", F.lit(1))), F.count(F.lit(1))
+    tokens = rows.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), *(h.alias(f"h{n}") for n, h in enumerate(held))).where("x <> y")
+    tokens = tokens.groupBy("h0", "h1", "h2").agg(F.min("token").alias("token")).select("token")
     return stored(rows.join(stored(tokens, "open"), "token", "left_semi"), "tokens")
 
 
@@ -227,14 +289,20 @@ def near_copies(docs: DataFrame) -> DataFrame:
     sizes = _labelled(nodes.select("node", "n"), links)
     tokens = _open(sizes.join(shared, sizes["node"] == shared["own"]).select("node", "n", "label", F.explode(F.array_distinct("values")).alias("token")))
     fits = "label <> other AND 5L * least(n, m) >= 4L * greatest(n, m)"
-    hubs = tokens.groupBy("token").agg(F.min(F.struct(F.xxhash64("node", F.pmod("token", F.lit(2))), "node", "n", "label")).alias("h"))
-    hubs = hubs.select("token", F.col("h.node").alias("hub"), F.col("h.n").alias("m"), F.col("h.label").alias("other"))
-    first = stored(tokens.join(stored(hubs, "hubs"), "token").where(fits).select(*pair("node", "hub")).distinct(), "pairs")
-    links = links.unionByName(_alike(first, nodes, texts))
-    left = _open(_labelled(tokens, links))
-    other = left.select("token", F.col("node").alias("hub"), F.col("n").alias("m"), F.col("label").alias("other"))
-    second = left.join(other, "token").where("node < hub").where(fits).select(*pair("node", "hub")).distinct()
-    links = links.unionByName(_alike(second.join(first, ["a", "b"], "left_anti"), nodes, texts))
+    asked = None
+    for n in range(HUBS):
+        order = F.xxhash64("node", F.pmod("token", F.lit(2)), F.lit(n))
+        hubs = tokens.groupBy("token").agg(F.min(F.struct(order, "node", "n", "label")).alias("h"))
+        hubs = hubs.select("token", F.col("h.node").alias("hub"), F.col("h.n").alias("m"), F.col("h.label").alias("other"))
+        pairs = tokens.join(stored(hubs, "hubs"), "token").where(fits).select(*pair("node", "hub")).distinct()
+        pairs = stored(pairs if asked is None else pairs.join(asked, ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            break
+        asked = pairs if asked is None else asked.unionByName(pairs)
+        links = links.unionByName(_alike(pairs, nodes, texts))
+        tokens = _open(_labelled(tokens, links))
+    rest = _near_within(tokens, nodes)
+    links = links.unionByName(_alike(rest if asked is None else rest.join(asked, ["a", "b"], "left_anti"), nodes, texts, near_enough=True))
     found = stored(_labelled(rows.select("doc_id", "text_hash", "node"), links), "labels")
     smallest = stored(found.groupBy("label").agg(F.min("doc_id").alias("copy_of")), "smallest")
     return found.join(smallest, "label").select("doc_id", "text_hash", "copy_of")

@@ -57,3 +57,23 @@ def test_shared_and_null_ids(spark):
     rows = [(1, text), (2, text), (2, "another text that nobody else has at all"), (None, text), (9, ""), (10, "six words that nobody else has")]
     left = copies.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, left), key=repr) == sorted((r for r in rows if r != (2, text)), key=repr)
+
+
+def test_blocks_of_open_nodes_against_all_pairs(spark, monkeypatch):
+    """Many sets that share shingles and are mostly unlike, in blocks of a few: the groups of brute force."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(120)]
+    line = [f"line{i}" for i in range(40)]
+    texts = [" ".join(line + rng.sample(words, rng.choice([4, 5, 30]))) for _ in range(70)] + [" ".join(line + words[i : i + 3]) for i in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(copies, "BLOCK", 9)
+    monkeypatch.setattr(copies, "HUBS", 1)
+    found = {r.doc_id: r.copy_of for r in copies.near_copies(docs).collect()}
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and label[i] != label[j]:
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    assert found == dict(enumerate(label)) and 1 < len(set(label)) < len(texts)
