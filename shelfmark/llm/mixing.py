@@ -110,9 +110,10 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
     met = met.groupBy("a.source", "bucket", "before", "first").agg(F.array_sort(F.collect_list("slot")).alias("slots"))
     # One row per source or bucket of some ten thousand documents: the list is small, and is sent to all tasks below its size limit only.
     plan = shared.select("source", "share", F.sum("share").over(Window.partitionBy(F.lit(0))).alias("period")).alias("p")
-    met = stored(met.alias("m").join(plan, F.col("m.source").eqNullSafe(F.col("p.source"))).select("m.*", "share", "period"), "offsets").alias("m")
-    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("source", "bucket").orderBy("hash", "doc_id"))).alias("r")
-    placed = rows.join(met, F.col("r.source").eqNullSafe(F.col("m.source")) & (F.col("r.bucket") == F.col("m.bucket")))
+    met = met.alias("m").join(plan, F.col("m.source").eqNullSafe(F.col("p.source"))).select(F.struct("m.source").alias("key"), "m.bucket", "before", "first", "slots", "share", "period")
+    # Ranks and the join ask for the same keys, a null source among them, so rows move once.
+    rows = rows.withColumn("key", F.struct("source")).withColumn("rank", F.row_number().over(Window.partitionBy("key", "bucket").orderBy("hash", "doc_id")))
+    placed = rows.select("row", "key", "bucket", "rank").join(stored(met, "offsets"), ["key", "bucket"])
     n = F.col("before") + F.col("rank") - 1
     j = F.floor(n / block)
     slot = F.element_at("slots", (j - F.col("first") + 1).cast("int"))
