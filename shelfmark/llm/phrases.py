@@ -11,7 +11,7 @@ Second pass: phrases of all lengths that pass the filters are counted by their w
 exact, and with them their parts, which are as frequent at least. The rest is joins and aggregates of that table.
 
 In the first pass a phrase is a 64-bit hash of language and words; phrases that share one only add up there. In the second a
-task adds up what shares a hash within some 8 MB of text, and then counts by the words themselves.
+task adds up what shares a hash within some 6 MB of text, and then counts by the words themselves.
 
 A null language is `und`, a null text an empty one; repeated rows count as often as they come, ids aren't read. An empty table
 gives an empty one. Texts and words of any length are whole; other columns are left alone.
@@ -32,8 +32,8 @@ from .common import mix, rolling, span_hashes, stored, text_chunks, word_bounds
 THRESHOLD, LONGEST, TOP, SHARE = 30, 4, 2000, 80
 #: Counters of a summary over the least that it needs; bits of a filter; bytes of text for a hash partition, and most partitions.
 SLACK, FILTER_BITS, PART_BYTES, PARTS = 4, 1 << 26, 16 << 20, 1 << 16
-#: Phrases that a task sorts at once in the first pass, and bytes of text in the second.
-DEALT, HELD = 1 << 21, 8 << 20
+#: Phrases that a task sorts at once in the first pass; bytes of text whose phrases it adds up in the second, and phrases of a batch.
+DEALT, HELD, TOLD = 1 << 20, 6 << 20, 1 << 16
 _U = np.uint64
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -231,10 +231,11 @@ def _count(shared: list, longest: int):
                 at.append(passed + base)
             values, at = np.concatenate(values), np.concatenate(at)
             _, first, times = np.unique(values, return_index=True, return_counts=True)
-            at = at[first]
-            begins, bounds, flat = _joined(text, starts, ends, at, k)
-            phrases = pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(flat)])
-            yield pa.record_batch([langs.dictionary.take(pa.array(lang[doc[at]])), pa.array(np.full(len(at), k, np.int32)), phrases, pa.array(times.astype(np.int64))], names=["lang", "k", "phrase", "a"])
+            for n in range(0, len(first), TOLD):
+                own = at[first[n : n + TOLD]]
+                bounds, flat = _joined(text, starts, ends, own, k)
+                told = pa.Array.from_buffers(pa.string(), len(own), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(flat)])
+                yield pa.record_batch([langs.dictionary.take(pa.array(lang[doc[own]])), pa.array(np.full(len(own), k, np.int32)), told, pa.array(times[n : n + TOLD].astype(np.int64))], names=["lang", "k", "phrase", "a"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = [s.value for s in shared]
@@ -251,8 +252,8 @@ def _count(shared: list, longest: int):
     return run
 
 
-def _joined(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k words from each of some words on, joined by one space: where they begin, and their bounds in one buffer of bytes."""
+def _joined(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k words from each of some words on, joined by one space: their bounds in one buffer of bytes, and that."""
     words = (at[:, None] + np.arange(k)).ravel()
     lengths = ends[words] - starts[words] + 1  # and a space
     lengths[k - 1 :: k] -= 1
@@ -262,7 +263,7 @@ def _joined(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarr
     inner = np.ones(len(words), dtype=bool)
     inner[k - 1 :: k] = False
     flat[to[inner] - 1] = 32
-    return starts[at], np.append(0, to[k - 1 :: k]), flat
+    return np.append(0, to[k - 1 :: k]), flat
 
 
 def filters(rows: DataFrame, n_bytes: int, threshold: int = THRESHOLD, longest: int = LONGEST, slack: int = SLACK, bits: int = FILTER_BITS) -> tuple[list, list[dict]]:
