@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import LOWER, UPPER, ascii_lower
+from ..functions.regex import to_java
 
 _FOLD = str.maketrans(UPPER, LOWER)
 
@@ -33,22 +34,20 @@ def matches_glob(column: Column, glob: str) -> Column:
 
 def matches_regex(column: Column, pattern: str, case_sensitive: bool = False) -> Column:
     """Unanchored; an invalid pattern, or one with look-around or back-references, is an error here and now."""
-    re.compile(pattern)
-    if re.search(r"\(\?<?[=!]|\\[1-9]", pattern):
-        raise ValueError(f"look-around and back-references are not supported: {pattern}")
-    return F.rlike(column, F.lit(("(?U)" if case_sensitive else "(?iU)") + pattern))
+    return F.rlike(column, F.lit(to_java(pattern, case_sensitive)))
 
 
 def is_glob(pattern: str) -> bool:
     return "*" in pattern or "?" in pattern
 
 
-def predicate(pattern: str, kind: str = "auto", case_sensitive: bool = False, literal: bool = False) -> Column:
+def predicate(pattern: str, kind: str = "auto", case_sensitive: bool = False, literal: bool = False, folded: str | None = None) -> Column:
+    """`folded`: the column that holds names folded, where there is one; equality on it reaches the files."""
     name = F.col("name")
     if kind == "regex":
         return matches_regex(name, pattern, case_sensitive)
     if kind == "exact":
-        return ascii_lower(name) == pattern.translate(_FOLD)
+        return (F.col(folded) if folded else ascii_lower(name)) == pattern.translate(_FOLD)
     if kind == "path":
         return contains(F.col("full_path"), pattern, literal)
     if kind == "glob" or kind == "auto" and is_glob(pattern):
@@ -57,7 +56,8 @@ def predicate(pattern: str, kind: str = "auto", case_sensitive: bool = False, li
 
 
 def expand_patterns(patterns: list[str]) -> list[str]:
-    """Also looks for dots as spaces, spaces as dots, and both left out; several plain patterns also joined as one."""
+    """Also looks for a pattern's dots as spaces and left out, or, where it has none, its spaces as dots and left out; several
+    plain patterns also joined as one."""
     plain = [p for p in (x.strip() for x in patterns) if p]
     out: list[str] = []
     add = lambda *xs: out.extend(x for x in xs if x not in out)
@@ -67,7 +67,7 @@ def expand_patterns(patterns: list[str]) -> list[str]:
             continue
         if "." in p:
             add(*(x for x in (p.replace(".", " "), p.replace(".", "")) if x))
-        if " " in p:
+        elif " " in p:
             add(p.replace(" ", "."), p.replace(" ", ""))
     simple = [p for p in plain if not is_glob(p) and "." not in p and " " not in p]
     if len(simple) > 1:
@@ -78,7 +78,7 @@ def expand_patterns(patterns: list[str]) -> list[str]:
 def search(files: DataFrame, patterns: list[str], mode: str = "any", kind: str = "auto", expand: bool = False, case_sensitive: bool = False, literal: bool = False, drives: tuple[str, ...] = (), only: str | None = None, sort: str | None = None, limit: int | None = None) -> DataFrame:
     """Rows whose name (or path) matches any or all patterns; no pattern, no row."""
     wanted = expand_patterns(patterns) if expand and mode == "any" and kind != "regex" else patterns
-    tests = [predicate(p, kind, case_sensitive, literal) for p in wanted]
+    tests = [predicate(p, kind, case_sensitive, literal, "name_lc" if "name_lc" in files.columns else None) for p in wanted]
     out = files.where(reduce(or_ if mode == "any" else and_, tests) if tests else F.lit(False))
     out = filter_type(filter_drives(out, drives), only)
     if sort:

@@ -67,15 +67,17 @@ def _files(run: Callable[[DataFrame], DataFrame], *columns: str) -> Callable[[Vi
 query("search_glob", "files", _found("*.tar.gz", sort="name"), _where(f"{LN} LIKE '%.tar.gz'"))
 query("search_name", "files", _found("ring", kind="plain", sort="name"), _where(f"{LN} LIKE '%ring%'"))
 query("search_names_all", "files", _found("red", "ring", kind="plain", mode="all"), _where(f"{LN} LIKE '%red%' AND {LN} LIKE '%ring%'"))
-query("search_exact_name", "files", _found("RED RING_5.TXT", kind="exact", sort="full_path"), _where(f"{LN} = 'red ring_5.txt'"))
+query("search_exact_name", "files", lambda v: S.search(_store(v).read(folded=True), ["RED RING_5.TXT"], kind="exact", sort="full_path").select("full_path", "size"), _where(f"{LN} = 'red ring_5.txt'"))
 query("search_globs_all", "files", _found("*report*", "*_1?.*", mode="all"), _where(f"{LN} LIKE '%report%' AND {LN} LIKE '%^_1_.%' ESCAPE '^'"))
 query("search_regex", "files", _found("^an.*rod_[0-9]+\\.pdf$", kind="regex"), _where("regexp_matches(name, '^an.*rod_[0-9]+\\.pdf$', 'i')"))
 query("search_regexes_all", "files", _found("^old", "log_[0-3]", kind="regex", mode="all"), _where("regexp_matches(name, '^old', 'i') AND regexp_matches(name, 'log_[0-3]', 'i')"))
+query("search_regex_classes", "files", _found(r"^(?P<first>[[:alpha:]]+)[ .]\pL+_\d{1,2}(?:\.[\p{L}--[p]]+)?$", kind="regex"), _where("regexp_matches(name, '^(?P<first>[[:alpha:]]+)[ .]\\pL+_[0-9]{1,2}(?:\\.[a-oq-z]+)?$', 'i')"))
 query("search_path", "files", _found("NATION_1\\customer#00", kind="path", sort="full_path"), _where(f"{LP} LIKE concat('%nation_1', chr(92), 'customer#00%')"))
 query("search_any", "files", _found("*.mp4", "plate", "red?ring*"), _where(f"{LN} LIKE '%.mp4' OR {LN} LIKE '%plate%' OR {LN} LIKE 'red_ring%'"))
 query("search_all", "files", _found("*.txt", "*old*", mode="all"), _where(f"{LN} LIKE '%.txt' AND {LN} LIKE '%old%'"))
 query("search_all_mixed", "files", _found("*.pdf", "annual", mode="all"), _where(f"{LN} LIKE '%.pdf' AND {LN} LIKE '%annual%'"))
 query("expand_patterns", "files", _found("red ring", "old.log", expand=True), _where(" OR ".join(f"{LN} LIKE '%{p}%'" for p in ("red ring", "red.ring", "redring", "old.log", "old log", "oldlog"))))
+query("expand_mixed_pattern", "files", _found("red.ring_1 x", "red ring_1", expand=True), _where(" OR ".join(f"contains({LN}, '{p}')" for p in ("red.ring_1 x", "red ring_1 x", "redring_1 x"))) + " OR " + " OR ".join(f"{LN} LIKE '%{p}%'" for p in ("red ring_1", "red.ring_1", "redring_1")))
 query("multi_query_search", "files", lambda v: S.multi_query_search(v("files"), v("volumes").select(F.col("id").alias("query_id"), F.element_at(F.array(*map(F.lit, ("ring", "LOG_1", "plate", "annual", "rod_2"))), F.col("id").cast("int")).alias("pattern"))).select("query_id", "full_path"), f"SELECT query_id, full_path FROM files JOIN (VALUES (1, 'ring'), (2, 'log_1'), (3, 'plate'), (4, 'annual'), (5, 'rod_2')) q(query_id, pattern) ON contains({LN}, pattern)")
 query("filter_drives", "files", _files(lambda f: S.filter_drives(f, ("d:", "F"))), _where("upper(substr(full_path, 1, 1)) IN ('D', 'F')"))
 query("filter_type", "files", _files(lambda f: S.filter_type(f, "dirs")), _where("is_directory"))

@@ -124,7 +124,9 @@ def _file_system(path: str) -> tuple[pafs.FileSystem, str]:
 
 def _excluded(path: str, patterns: tuple[str, ...]) -> bool:
     for p in patterns:
-        inner = p.removeprefix("*").removesuffix("*")
+        inner = p.strip("*")
+        if not inner:
+            continue  # as in `search.excluded`: a pattern of stars alone excludes nothing
         if p.startswith("*") and not p.endswith("*"):
             found = path.endswith(inner)
         elif p.endswith("*") and not p.startswith("*"):
@@ -151,7 +153,9 @@ def read_listing(spark: SparkSession, root: str, excludes: tuple[str, ...] = (),
     """All below a folder that nodes share, and the folder itself (size 0): full_path, name, is_directory, size, modified, in
     order of full_path. Excluded and hidden folders are not entered; empty ones are listed. Each round lists the folders that
     the one before found, one task for many, so rounds are as many as the tree is deep."""
-    _, top = _file_system(root)
+    fs, top = _file_system(root)
+    if fs.get_file_info(top).type != pafs.FileType.Directory:
+        raise FileNotFoundError(f"no folder to list: {root}")
     schema = "full_path string, name string, is_directory boolean, size long, modified timestamp"
     level = spark.createDataFrame([(top.rstrip("/"), top.rstrip("/").rpartition("/")[2], True, 0, None)], schema)
     found = level

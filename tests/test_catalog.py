@@ -51,14 +51,40 @@ def test_random_globs_equal_python(spark):
 
 def test_expansion():
     assert set(search.expand_patterns(["some", "name"])) == {"some", "name", "somename", "some.name"}
+    assert search.expand_patterns(["a.b c"]) == ["a.b c", "a b c", "ab c"]
     assert search.expand_patterns(["a.b"]) == ["a.b", "a b", "ab"] and search.expand_patterns(["*.x", " "]) == ["*.x"]
 
 
-def test_regex_is_checked_first():
-    with pytest.raises(re.error):
-        search.matches_regex(F.col("name"), "(")
+@pytest.mark.parametrize("pattern", ["(", ")", "a(?=b)", "(?<!a)b", r"a\1", r"\Z", "[[:nope:]]", "*a", "a{2", "[b-a]", "(?-u)a", "(?P<x>a)(?P<x>b)", "[]", r"\q", "(?i)*"])
+def test_regex_is_checked_first(pattern):
     with pytest.raises(ValueError):
-        search.matches_regex(F.col("name"), "a(?=b)")
+        search.matches_regex(F.col("name"), pattern)
+
+
+#: Patterns, a text each that they find, and one that they don't; case counts.
+REGEXES = [
+    (r"^\p{L}+$", "éa", "é1"), (r"\pN", "x٣", "x"), (r"(?P<x>a)b", "ab", "b"), ("[[:alpha:]]", "1a", "1é"), ("[[:^digit:]]", "1a", "12"), (r"a\\1", "a\\1", "a1"), ("a$", "ba", "a\n"), ("(?m)a$", "a\nb", "ab"),
+    ("[a-z--[aeiou]]", "eb", "e"), (r"^[\w&&[^\d]]+$", "ab", "a5"), ("^[a-c~~[b-d]]$", "d", "b"), ("^a{2}{2}$", "aaaa", "aa"), ("^a++$", "aaa", "b"), (r"\x{e9}", "é", "e"), (r"\u00e9\x41", "éA", "éa"), ("^.$", "\r", "\n"),
+    ("(?s)^.$", "\n", "ab"), ("(?x) a b # c", "ab", "a b"), ("(?i)É", "é", "e"), ("a(?i:B)c", "abc", "abC"), ("(?i)a(?-i)b", "Ab", "AB"), ("[]a]", "]", "b"), ("[^]a]", "b", "]a"), ("[a-]", "-", "b"), (r"\bred\b", "a red b", "reds"),
+    (r"\b{start}red", "red", "ared"), (r"^\p{Greek}\P{Greek}$", "αa", "aα"), (r"\p{Lowercase_Letter}", "Aa", "A"), (r"^\d\s\w$", "٣ é", "٣é"), ("x|y(?:z|w)", "yw", "y"), (r"[\[\]#\- ]", "#", "a"), ("^a{,2}$", "aa", "aaa"), (r"\.\+\$", ".+$", "a+$"),
+]
+
+
+def test_regexes(spark):
+    rows = spark.createDataFrame([(i, text, found) for i, (_, yes, no) in enumerate(REGEXES) for text, found in ((yes, True), (no, False))], "i int, name string, found boolean")
+    for i, (pattern, yes, no) in enumerate(REGEXES):
+        got = {r.name: r.m for r in rows.where(F.col("i") == i).select("name", search.matches_regex(F.col("name"), pattern, True).alias("m")).collect()}
+        assert got == {yes: True, no: False}, pattern
+
+
+def test_listing_of_no_folder_and_exclusions_of_stars(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        sources.read_listing(spark, str(tmp_path / "gone"))
+    (tmp_path / "a").mkdir()
+    for pattern in ("*", "**", "*a", "a*", "*a*", "/a", "b"):
+        files = spark.createDataFrame([(f"{tmp_path}/a",)], "full_path string")
+        listed = sources.read_listing(spark, str(tmp_path), (pattern,)).count() == 2
+        assert listed == (files.where(~search.excluded(F.col("full_path"), [pattern])).count() == 1), pattern
 
 
 def test_columns(spark):
