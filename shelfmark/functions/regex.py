@@ -2,10 +2,16 @@
 
 A recursive descent over the pattern gives Java text with the same meaning: `$` is the end of the text unless `m` holds, `.`
 stops at \\n alone, named groups lose their names, POSIX and Unicode classes, set operations, swapped greed and verbose mode
-are spelled out, a second quantifier repeats the first one's result. What the dialect lacks is an error before any query."""
+are spelled out, a second quantifier repeats the first one's result. What the dialect lacks is an error before any query.
+
+Beside the Java text each part of the pattern tells what it needs: the one text that it stands for, if it does, and sets of
+texts of which every match holds one, folded to lower case. A sequence needs all that its parts need, its literals joined; of
+alternatives each gives its set of longest texts, and their union is needed; what may be absent needs nothing."""
 
 from __future__ import annotations
 
+import re
+
 
 class RegexError(ValueError):
     pass
@@ -32,9 +38,43 @@ def literal(code: int) -> str:
     return c if c.isascii() and (c.isalnum() or c == "_") else f"\\x{{{code:X}}}"
 
 
+#: The one text that a part stands for, or None, and the sets of texts of which a match holds one each.
+Need = tuple[str | None, list[frozenset[str]]]
+NOTHING: Need = (None, [])
+EMPTY: Need = ("", [])
+#: Alternatives that are told one by one; of more, none is needed.
+MOST = 64
+
+
+def _text(java: str) -> Need:
+    """Of a literal's Java text. Letters outside ASCII have several lower cases, and so need nothing."""
+    code = int(java[3:-1], 16) if java.startswith("\\x{") else ord(java)
+    return (chr(code).lower(), [frozenset(chr(code).lower())]) if code < 128 else NOTHING
+
+
+def _sequence(parts: list[Need]) -> Need:
+    needs, run, whole = [], "", True
+    for text, own in parts:
+        if text is None:
+            needs += [frozenset((run,))] * bool(run) + own
+            run, whole = "", False
+        else:
+            run += text
+    return run if whole else None, needs + [frozenset((run,))] * bool(run)
+
+
+def _either(branches: list[Need]) -> Need:
+    if len(branches) == 1:
+        return branches[0]
+    if not all(needs for _, needs in branches):
+        return NOTHING
+    texts = frozenset().union(*(max(needs, key=lambda x: min(map(len, x))) for _, needs in branches))
+    return (None, [texts]) if len(texts) <= MOST else NOTHING
+
+
 class _Parser:
     def __init__(self, pattern: str):
-        self.text, self.at, self.depth, self.names = pattern, 0, 0, set()
+        self.text, self.at, self.depth, self.names, self.need = pattern, 0, 0, set(), EMPTY
         self.flags = {"m": False, "s": False, "i": False, "x": False, "U": False}
 
     def fail(self, what: str):
@@ -64,13 +104,20 @@ class _Parser:
                     pass
 
     def alternation(self) -> str:
-        out = []
+        out, branches, parts = [], [], []
         while True:
             self.skip()
             c = self.peek()
             if not c or c == ")":
+                self.need = _either([*branches, _sequence(parts)])
                 return "".join(out)
-            out.append(self.take() if c == "|" else self.repeated())
+            if c == "|":
+                out.append(self.take())
+                branches.append(_sequence(parts))
+                parts = []
+            else:
+                out.append(self.repeated())
+                parts.append(self.need)
 
     def repeated(self) -> str:
         begin = self.at
@@ -84,11 +131,13 @@ class _Parser:
             if bare:
                 self.fail("nothing to repeat")
             self.at += 1
+            least = int(c == "+")
             if c == "{":
                 low, comma, high = self.until("}").replace(" ", "").partition(",")
                 if not (low + high).isdecimal() or low and high and int(low) > int(high):
                     self.fail("repetition")
-                c = "{" + (low or "0") + comma + high + "}"
+                c, least = "{" + (low or "0") + comma + high + "}", int(low or 0)
+            self.need = (None, self.need[1]) if least else NOTHING
             lazy = self.peek() == "?"
             self.at += lazy
             atom = (f"(?:{atom})" if times else atom) + c + ("?" if lazy != self.flags["U"] else "")
@@ -99,16 +148,25 @@ class _Parser:
         if c == "(":
             return self.group()
         if c == "[":
-            return self.set_()
+            out = self.set_()
+            only = re.fullmatch(r"\[(\w|\\x\{[0-9A-F]+\})\]", out, re.ASCII)
+            self.need = _text(only[1]) if only else NOTHING
+            return out
         if c == "\\":
-            return self.escape(inside=False)
-        if c == "$":
-            return "$" if self.flags["m"] else "\\z"
-        if c in ".^":
+            out = self.escape(inside=False)
+            self.need = _text(out) if len(out) == 1 or out.startswith("\\x{") else EMPTY if out[1] in "AzbB" else NOTHING
+            return out
+        if c in "$^":
+            self.need = EMPTY
+            return "\\z" if c == "$" and not self.flags["m"] else c
+        if c == ".":
+            self.need = NOTHING
             return c
         if c in "*+?{":
             self.fail("nothing to repeat")
-        return literal(ord(c))
+        out = literal(ord(c))
+        self.need = _text(out)
+        return out
 
     def group(self) -> str:
         kept = dict(self.flags)
@@ -135,6 +193,7 @@ class _Parser:
                         self.fail(f"flag {c}")
                 shown = f"(?{java[0]}" + (f"-{java[1]}" if java[1] else "")
                 if c == ")":
+                    self.need = EMPTY
                     return shown + ")" if len(shown) > 2 else ""
                 out = shown + ":"
         inner = self.alternation()
@@ -239,10 +298,15 @@ class _Parser:
         return int(x[3:-1], 16) if x.startswith("\\x{") else ord(x)
 
 
-def to_java(pattern: str, case_sensitive: bool = False) -> str:
-    """The Java pattern that finds what `pattern` finds; RegexError where it is none."""
+def parse(pattern: str, case_sensitive: bool = False) -> tuple[str, list[frozenset[str]]]:
+    """The Java pattern that finds what `pattern` finds, and the sets of texts of which all that it finds holds one each,
+    folded; RegexError where it is no pattern."""
     parser = _Parser(pattern)
     out = parser.alternation()
     if parser.at < len(pattern):
         parser.fail("unbalanced )")
-    return ("(?dU)" if case_sensitive else "(?diU)") + out
+    return ("(?dU)" if case_sensitive else "(?diU)") + out, parser.need[1]
+
+
+def to_java(pattern: str, case_sensitive: bool = False) -> str:
+    return parse(pattern, case_sensitive)[0]

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 from operator import and_, or_
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import LOWER, UPPER, ascii_lower
-from ..functions.regex import to_java
+from ..functions.regex import parse, to_java
+from ..session import cut
 
 _FOLD = str.maketrans(UPPER, LOWER)
 
@@ -130,24 +133,88 @@ def filter_event_excludes(events: DataFrame, parts: list[str], column: str = "pa
     return events.where(~reduce(or_, (F.contains(column, F.lit(p)) for p in parts), F.lit(False)))
 
 
-GRAM = 3
+#: Letters of a gram; tasks among which names are dealt that patterns without any gram ask for.
+GRAM, SPREAD = 3, 64
+#: Letters that case-insensitive expressions take for ASCII ones (fixed values).
+ALIKE, ASCII = "\u017f\u212a\u0131\u0130", "skii"
+_ALIKE = str.maketrans(ALIKE, ASCII)
 
 
-def multi_query_search(files: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id and rows for a table of plain patterns (query_id, pattern), of any size: names and patterns meet by their
-    grams, of which a pattern has one, and are compared then. Patterns of fewer letters than a gram are grams themselves;
-    names are taken apart by the lengths that patterns have alone. An empty pattern finds every row."""
-    asked = queries.select("query_id", ascii_lower(F.col("pattern")).alias("_p")).where("_p IS NOT NULL")
-    asked = asked.withColumn("_n", F.least(F.length("_p"), F.lit(GRAM)))
-    sizes = [r[0] for r in asked.select("_n").distinct().collect()]  # GRAM + 1 at most
-    grams = lambda text, n: F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))
-    low = ascii_lower(F.col("name"))
-    cuts = [F.when(F.length(low) >= n, grams(low, n)) if n else F.array(F.lit("")) for n in sizes]
+def _grams(needs: list[frozenset[str]]) -> list[list[str]]:
+    """Sets of grams of which a match holds one each, of the greatest length there is: every gram of a text that is needed, or
+    one of each of several texts. Without any, the empty gram, which all names hold."""
+    for n in range(GRAM, 0, -1):
+        sets = []
+        for texts in needs:
+            if min(map(len, texts)) >= n:
+                cuts = [[t[i : i + n] for i in range(len(t) - n + 1)] for t in (x.translate(_ALIKE) for x in texts)]
+                sets += [(g,) for g in cuts[0]] if len(cuts) == 1 else [tuple(sorted({c[0] for c in cuts}))]
+        if sets:
+            return [list(x) for x in dict.fromkeys(sets)]
+    return [[""]]
+
+
+def _test(pattern: str, kind: str, case_sensitive: bool) -> tuple[str, str, list[list[str]]]:
+    """How a name is tested, with what, and the sets of grams."""
+    p = pattern.translate(_FOLD)
+    if kind == "auto":
+        kind = "glob" if is_glob(pattern) else "plain"
+    if kind == "regex":
+        test, needs = parse(pattern, case_sensitive)
+    elif kind == "glob":
+        test, needs = glob_to_like(p), [frozenset((x,)) for x in re.split(r"[*?]+", p) if x]
+    elif kind in ("plain", "exact"):
+        test, needs = p, [frozenset((p,))] if p else []
+    else:
+        raise ValueError(f"kind {kind!r} of pattern {pattern!r}")
+    return kind, test, _grams(needs)
+
+
+def _tests(case_sensitive: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = [_test(p, k, case_sensitive) for p, k in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            yield pa.record_batch([*batch.columns, *(pa.array([t[i] for t in told], t_) for i, t_ in enumerate((pa.string(), pa.string(), pa.list_(pa.list_(pa.string())))))], names=["_p", "_k", "_how", "_test", "_sets"])
+
+    return run
+
+
+def multi_query_search(files: DataFrame, queries: DataFrame, case_sensitive: bool = False) -> DataFrame:
+    """query_id and rows for a table of saved searches of any size: query_id, pattern, and a kind (plain, glob, regex, exact,
+    or auto: glob where it has a wildcard; without one, plain). `case_sensitive` is about regular expressions.
+
+    Distinct names and patterns meet by grams and are compared then. A pattern tells sets of grams of which each match holds
+    one: those of its literal text, of a glob's pieces, of the texts that an expression needs. The grams are counted in the
+    names, and the set that fewest names hold is the one to meet by. Patterns without any gram, such as an empty one, meet
+    every name, dealt among tasks. Only names travel; rows come by their names in the end. Rows without a name, and null
+    patterns, find nothing; repeated searches give repeated rows. A pattern that is none is an error at the call.
+    """
+    kind = F.coalesce("kind", F.lit("plain")) if "kind" in queries.columns else F.lit("plain")
+    asked = queries.select("query_id", F.col("pattern").alias("_p"), kind.alias("_k")).where("_p IS NOT NULL")
+    told = cut(asked.select("_p", "_k").distinct().mapInArrow(_tests(case_sensitive), "_p string, _k string, _how string, _test string, _sets array<array<string>>"))
+    wanted = told.select("_p", "_k", F.posexplode("_sets").alias("_c", "_set")).select("_p", "_k", "_c", F.explode("_set").alias("_g"))
+    sizes = sorted(r[0] for r in wanted.select(F.length("_g")).distinct().collect())  # GRAM + 1 at most
+
+    low, folded = ascii_lower(F.col("name")), F.translate("name", UPPER + ALIKE, LOWER + ASCII)
     none = F.array().cast("array<string>")
-    # Of a pattern's grams the one with the smallest hash, so that patterns spread over their grams.
-    own = F.when(F.col("_n") == 0, F.lit("")).otherwise(F.array_min(F.transform(grams(F.col("_p"), F.col("_n")), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"])
-    taken = files.withColumn("_g", F.explode(F.array_distinct(F.concat(none, *(F.coalesce(c, none) for c in cuts)))))
-    return taken.join(asked.withColumn("_g", own), "_g").where(F.contains(low, F.col("_p"))).drop("_p", "_n", "_g")
+    grams_of = lambda n: F.transform(F.sequence(F.lit(1), F.length("name") - (n - 1)), lambda i: F.substring(folded, i, F.lit(n)))
+    cuts = [F.when(F.length("name") >= n, grams_of(n)).otherwise(none) if n else F.array(F.lit("")) for n in sizes]
+    names = files.select("name").where("name IS NOT NULL").distinct()
+    grams = names.select("name", F.explode(F.array_distinct(F.concat(none, *cuts))).alias("_g"))
+
+    held = grams.join(wanted.select("_g").distinct(), "_g", "left_semi").groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    cost = wanted.join(held, "_g", "left").groupBy("_p", "_k", "_c").agg(F.sum(F.coalesce("_n", F.lit(0))).alias("_n"))
+    best = cost.groupBy("_p", "_k").agg(F.min(F.struct("_n", "_c"))["_c"].alias("_c"))
+    chosen = told.join(best, ["_p", "_k"]).select("_p", "_k", "_how", "_test", F.col("_sets")[F.col("_c")].alias("_set"))
+
+    every = F.col("_g") == ""
+    keys = chosen.withColumn("_g", F.explode("_set")).withColumn("_s", F.explode(F.when(every, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))))
+    met = grams.withColumn("_s", F.when(every, F.pmod(F.hash("name"), F.lit(SPREAD))).otherwise(F.lit(0))).join(keys, ["_g", "_s"])
+    # A name that holds several grams of a set is looked at with the first of them alone.
+    first = F.filter("_set", lambda g: F.contains(folded, g))[0] == F.col("_g")
+    fits = F.when(F.col("_how") == "plain", F.contains(low, F.col("_test"))).when(F.col("_how") == "exact", low == F.col("_test")).when(F.col("_how") == "glob", F.like(low, F.col("_test"))).otherwise(F.rlike("name", F.col("_test")))
+    found = met.where(first & fits).select("_p", "_k", "name").join(asked, ["_p", "_k"]).select("query_id", "name")
+    return files.join(found, "name").select("query_id", *files.columns)
 
 
 def union_dedupe(*results: DataFrame) -> DataFrame:

@@ -79,6 +79,17 @@ query("search_all_mixed", "files", _found("*.pdf", "annual", mode="all"), _where
 query("expand_patterns", "files", _found("red ring", "old.log", expand=True), _where(" OR ".join(f"{LN} LIKE '%{p}%'" for p in ("red ring", "red.ring", "redring", "old.log", "old log", "oldlog"))))
 query("expand_mixed_pattern", "files", _found("red.ring_1 x", "red ring_1", expand=True), _where(" OR ".join(f"contains({LN}, '{p}')" for p in ("red.ring_1 x", "red ring_1 x", "redring_1 x"))) + " OR " + " OR ".join(f"{LN} LIKE '%{p}%'" for p in ("red ring_1", "red.ring_1", "redring_1")))
 query("multi_query_search", "files", lambda v: S.multi_query_search(v("files"), v("volumes").select(F.col("id").alias("query_id"), F.element_at(F.array(*map(F.lit, ("ring", "LOG_1", "plate", "annual", "rod_2"))), F.col("id").cast("int")).alias("pattern"))).select("query_id", "full_path"), f"SELECT query_id, full_path FROM files JOIN (VALUES (1, 'ring'), (2, 'log_1'), (3, 'plate'), (4, 'annual'), (5, 'rod_2')) q(query_id, pattern) ON contains({LN}, pattern)")
+#: Saved searches of every kind, one for each volume, and their SQL.
+SAVED = (("ring", "plain"), ("*log?1*", "auto"), (r"(?P<kind>plate|plank)\S*[[:digit:]]{2}$", "regex"), ("nation_1", "exact"), (r"^\p{L}+.?[0-9]*[02468]\.", "regex"))
+SAVED_SQL = ((1, f"contains({LN}, 'ring')"), (2, f"regexp_matches({LN}, '^.*log.1.*$', 's')"), (3, "regexp_matches(name, '(?i)(plate|plank)[^ ]*[0-9][0-9]$')"), (4, f"{LN} = 'nation_1'"), (5, r"regexp_matches(name, '^[A-Za-z]+.?[0-9]*[02468]\.')"))
+
+
+def _saved(v: Views) -> DataFrame:
+    nth = F.element_at(F.array(*(F.struct(F.lit(p).alias("pattern"), F.lit(k).alias("kind")) for p, k in SAVED)), F.col("id").cast("int"))
+    return v("volumes").where(F.col("id") <= len(SAVED)).select(F.col("id").alias("query_id"), nth["pattern"].alias("pattern"), nth["kind"].alias("kind"))
+
+
+query("multi_query_search_kinds", "files volumes", lambda v: S.multi_query_search(v("files"), _saved(v)).select("query_id", "full_path"), " UNION ALL ".join(f"SELECT CAST({n} AS BIGINT) AS query_id, full_path FROM files WHERE {test} AND EXISTS (SELECT 1 FROM volumes WHERE id = {n})" for n, test in SAVED_SQL))
 query("filter_drives", "files", _files(lambda f: S.filter_drives(f, ("d:", "F"))), _where("upper(substr(full_path, 1, 1)) IN ('D', 'F')"))
 query("filter_type", "files", _files(lambda f: S.filter_type(f, "dirs")), _where("is_directory"))
 query("filter_path_prefix", "files", _files(lambda f: S.filter_path_prefix(f, ["C:\\Nation_1", "e:\\"])), _where("starts_with(lower(full_path), concat('c:', chr(92), 'nation_1')) OR starts_with(lower(full_path), concat('e:', chr(92)))"))

@@ -10,6 +10,7 @@ from oracle import difference
 from pyspark.sql import functions as F
 
 from shelfmark.functions import paths as P
+from shelfmark.functions.regex import parse
 from shelfmark.operators import maintain, relocate, search, stats, tree
 from shelfmark.plans import catalog
 from shelfmark.sources import catalog as sources
@@ -143,6 +144,29 @@ def test_many_saved_searches(spark):
     assert found == {(1, "ring"), (2, "ring"), (3, "Report.txt"), (3, "ring"), (3, "a"), (3, ""), (4, "Report.txt"), (7, "Report.txt")}
 
 
+def test_saved_searches_of_every_kind(spark):
+    """Equal to one search after another, whatever grams the patterns have."""
+    names = ["Report.txt", "report_2.TXT", "ring", "KRing", "\u212aring", "Stra\u00dfe.log", "a", "", "boot.log", "BOOTS.LOG.1", "app-12.log", "x%y_z", "ma\u017fk", "\u0130ndex", "aXb", "axxb", "ab", "line\nend", "\u00c4rger.txt", "\u00e4rger.TXT"]
+    files = named(spark, *names)
+    regexes = ["kring", "mask", "index", "report|ring|boot", "^(?:re|bo)\\w+", r"a(x+)b", r"a(x?)b", r"[.]log(\.\d)?$", r"\p{Lu}", "(?i)BOOT", "(?x) r i n g", "", ".", "a{2,}", "(boots|)", "\u00e4rger", r"(?P<n>app)-[[:digit:]]+", "x[%]y", "line.end", r"line\nend", "(ring){1}", "(rep)+o"]
+    asked = [(p, "regex") for p in regexes] + [(p, "glob") for p in ("*.txt", "?", "*o*.log*", "*", "", "x%*", "*ss*", "RING")] + [(p, "plain") for p in ("ring", "x%y", "", "G", ".LOG", "\u00c4r", "nothing")]
+    asked += [("Ring", "exact"), ("", "exact"), ("*.log", "auto"), ("log", "auto"), ("ring", None), (None, "regex"), ("ring", "plain")]
+    table = spark.createDataFrame([(i, p, k) for i, (p, k) in enumerate(asked)], "query_id long, pattern string, kind string")
+    for case_sensitive in (False, True):
+        got = sorted((r.query_id, r.name) for r in search.multi_query_search(files, table, case_sensitive).collect())
+        wanted = sorted((i, r.name) for i, (p, k) in enumerate(asked) if p is not None for r in search.search(files, [p], kind=k or "plain", case_sensitive=case_sensitive, literal=True).collect())
+        assert got == wanted
+    bad = spark.createDataFrame([(1, "(a", "regex")], "query_id long, pattern string, kind string")
+    with pytest.raises(Exception, match="expected"):
+        search.multi_query_search(files, bad)
+    assert search.multi_query_search(files, table.limit(0)).count() == search.multi_query_search(files.limit(0), table).count() == 0
+
+
+@pytest.mark.parametrize("pattern, needs", [("abc.def", [{"abc"}, {"def"}]), ("(ab|cd)E+", [{"ab", "cd"}, {"e"}]), ("a*b?", []), ("(a|b*)c", [{"c"}]), (r"x\.y$", [{"x.y"}]), ("(abc|x(de)?fgh)", [{"abc", "fgh"}]), ("[ab]c", [{"c"}]), ("(?:ab){0,2}c", [{"c"}])])
+def test_texts_that_an_expression_needs(pattern, needs):
+    assert [set(x) for x in parse(pattern)[1]] == needs
+
+
 def record(version, ref, parent, usn, reason, attributes, name, pad=0):
     wide, text = version == 3, name.encode("utf-16-le")
     n = (76 if wide else 60) + len(text) + pad
