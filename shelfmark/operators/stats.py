@@ -122,6 +122,22 @@ def directory_state(directories: DataFrame, listing: DataFrame) -> DataFrame:
     return out.select("directory", F.when(F.col("there").isNull(), "missing").when(F.coalesce("n", F.lit(0)) == 0, "empty").otherwise("has_files").alias("state"))
 
 
+def report_grouped(result: DataFrame, listing: DataFrame, n: int = 20) -> DataFrame:
+    """matched, directory, state, n_below, full_path, rn, more: first the directories that match, each with the first n of its
+    matching files and the number of those anywhere below it, then the other directories that hold matching files.
+
+    state is files, or, for a matching directory that has none of them, no_match or empty by what the listing holds in it; one
+    that the listing lacks is missing, and its files are not shown. Directories without files are one row without a path."""
+    dirs = result.where("is_directory").select("full_path").distinct()
+    own = directory_state(dirs, listing).withColumnRenamed("state", "there").join(directory_counts(result, dirs).withColumnRenamed("n_files", "n_below"), "directory")
+    rows = own.withColumn("matched", F.lit(True)).join(grouped_top_n(result, n), "directory", "full_outer")
+    gone = F.coalesce(F.col("there") == "missing", F.lit(False))
+    state = F.when(gone, "missing").when(F.col("full_path").isNotNull(), "files").when(F.col("there") == "empty", "empty").otherwise("no_match")
+    shown = [F.when(~gone, F.col(c)).alias(c) for c in ("full_path", "rn", "more")]
+    out = rows.where(~gone | F.coalesce(F.col("rn") == 1, F.lit(True))).select(F.coalesce("matched", F.lit(False)).alias("matched"), "directory", state.alias("state"), "n_below", *shown)
+    return out.orderBy(F.desc("matched"), "directory", "rn")
+
+
 def report(result: DataFrame, names_only: bool = False) -> DataFrame:
     """Directories, then files, each in order."""
     out = result.select("is_directory", F.col("name" if names_only else "full_path").alias("shown"), "full_path")

@@ -221,7 +221,18 @@ query("report_info", "files", _files(T.report_info, "is_directory", "full_path",
 query("scan_summary", "files", _files(T.scan_summary, "volume_id", "n"), "SELECT volume_id, count(*) AS n FROM files GROUP BY ROLLUP (volume_id)")
 GROUPED = f"SELECT directory, full_path, rn, more FROM (SELECT {PARENT} AS directory, full_path, CAST(row_number() OVER (PARTITION BY {PARENT} ORDER BY full_path) AS INTEGER) AS rn, greatest(count(*) OVER (PARTITION BY {PARENT}) - 5, 0) AS more FROM files WHERE NOT is_directory) WHERE rn <= 5"
 query("grouped_top_n", "files", _files(lambda f: T.grouped_top_n(f, 5), "directory", "full_path", "rn", "more"), GROUPED)
-query("report_grouped", "files", _files(lambda f: T.grouped_top_n(S.search(f, ["ring"]), 5), "directory", "full_path", "rn", "more"), GROUPED.replace("WHERE NOT is_directory)", f"WHERE NOT is_directory AND {LN} LIKE '%ring%')"))
+query(
+    "report_grouped",
+    "files listing",
+    lambda v: T.report_grouped(S.search(v("files"), ["ring", "nation_1"]), v("listing"), 5),
+    f""", r AS (SELECT * FROM files WHERE contains({LN}, 'ring') OR regexp_matches({LN}, 'nation.1')),
+    g AS ({GROUPED.replace("FROM files WHERE", "FROM r WHERE")}),
+    held AS (SELECT DISTINCT {PARENT} AS directory FROM listing WHERE NOT is_directory),
+    d AS (SELECT full_path AS directory, (SELECT count(*) FROM r f WHERE NOT f.is_directory AND starts_with(f.full_path, concat(r.full_path, chr(92)))) AS n_below FROM r WHERE is_directory),
+    s AS (SELECT d.*, CASE WHEN directory NOT IN (SELECT full_path FROM listing WHERE is_directory) THEN 'missing' WHEN directory IN (SELECT directory FROM g) THEN 'files' WHEN directory IN (SELECT directory FROM held) THEN 'no_match' ELSE 'empty' END AS state FROM d)
+    SELECT TRUE AS matched, s.directory, state, n_below, g.full_path, g.rn, g.more FROM s LEFT JOIN g ON g.directory = s.directory AND state <> 'missing'
+    UNION ALL SELECT FALSE, directory, 'files', NULL, full_path, rn, more FROM g WHERE directory NOT IN (SELECT directory FROM d)""",
+)
 query("match_directories", "files", lambda v: T.match_directories(v("files").where("NOT is_directory OR mft_reference % 2 = 0"), False), f"SELECT DISTINCT {PARENT} AS directory FROM files WHERE NOT is_directory AND {PARENT} NOT IN (SELECT full_path FROM files WHERE is_directory AND mft_reference % 2 = 0)")
 query("directory_state", "files listing", lambda v: T.directory_state(v("files").where("is_directory"), v("listing")), f", n AS (SELECT {PARENT} AS directory, count(*) AS n FROM listing WHERE NOT is_directory GROUP BY 1) SELECT f.full_path AS directory, CASE WHEN l.full_path IS NULL THEN 'missing' WHEN n.n IS NULL THEN 'empty' ELSE 'has_files' END AS state FROM files f LEFT JOIN listing l ON l.full_path = f.full_path AND l.is_directory LEFT JOIN n ON n.directory = f.full_path WHERE f.is_directory")
 

@@ -167,6 +167,23 @@ def test_texts_that_an_expression_needs(pattern, needs):
     assert [set(x) for x in parse(pattern)[1]] == needs
 
 
+def test_grouped_report_begins_with_matched_directories(spark):
+    row = lambda p, d: (p, p.rsplit("\\", 1)[1], d, 1)
+    schema = "full_path string, name string, is_directory boolean, size long"
+    found = [row("C:\\m", True), row("C:\\gone", True), row("C:\\bare", True), row("C:\\other", True), row("C:\\m\\1", False), row("C:\\m\\2", False), row("C:\\m\\3", False), row("C:\\m\\s\\4", False), row("C:\\gone\\5", False), row("C:\\gone\\6", False)]
+    there = [row("C:\\m", True), row("C:\\bare", True), row("C:\\other", True), row("C:\\other\\x", False)]
+    result, listing = spark.createDataFrame(found, schema), spark.createDataFrame(there, schema)
+    assert [tuple(r) for r in stats.report_grouped(result, listing, 2).collect()] == [
+        (True, "C:\\bare", "empty", 0, None, None, None),
+        (True, "C:\\gone", "missing", 2, None, None, None),
+        (True, "C:\\m", "files", 4, "C:\\m\\1", 1, 1),
+        (True, "C:\\m", "files", 4, "C:\\m\\2", 2, 1),
+        (True, "C:\\other", "no_match", 0, None, None, None),
+        (False, "C:\\m\\s", "files", None, "C:\\m\\s\\4", 1, 0),
+    ]
+    assert stats.report_grouped(result.limit(0), listing).count() == 0
+
+
 def record(version, ref, parent, usn, reason, attributes, name, pad=0):
     wide, text = version == 3, name.encode("utf-16-le")
     n = (76 if wide else 60) + len(text) + pad
