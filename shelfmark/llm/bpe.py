@@ -5,6 +5,9 @@ the pair with the token before it is one that merging would leave apart, and oth
 prefix or goes one token back. A position is marked once it has no way on, so each is tried once. The result equals that of
 applying merges in order. Decoding looks tokens up in one buffer by a table of offsets.
 
+Texts beyond Latin letters are composed and lower-cased by the tokenizer file's own normaliser, and cut by its pattern as the
+library reads it where they hold characters that Python has no class for, as each comes with its own version of Unicode.
+
 Null and empty texts give no tokens; a null id stays one. Repeated rows give repeated results, an empty table an empty one;
 only the id and text columns are read, and those to keep. A text or word of any length is one; nothing is cut.
 """
@@ -15,14 +18,16 @@ import hashlib
 import itertools
 import json
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
+import tokenizers
 from pyspark.sql import DataFrame
 
 from .common import id_text
@@ -44,6 +49,7 @@ class Vocabulary:
     """Tokens and merges of a tokenizer file with word ends, lower case and the byte alphabet."""
 
     def __init__(self, path: str):
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, vocab = spec["model"], spec["model"]["vocab"]
@@ -160,7 +166,7 @@ class Vocabulary:
                 out.append(self.special[piece])
                 continue
             words = self.words
-            for word in _words(piece):
+            for word in self.split(piece):
                 got = words.get(word)
                 if got is None:
                     if len(words) >= REMEMBERED:
@@ -169,6 +175,21 @@ class Vocabulary:
                 out.extend(got)
         return out
 
+    @cached_property
+    def composed(self) -> tokenizers.normalizers.Normalizer:
+        """The file's own normaliser, whose tables of composition and lower case are of other Unicode versions than Python's."""
+        return tokenizers.Tokenizer.from_file(self.path).normalizer
+
+    def split(self, text: str) -> list[str]:
+        """Composed form, lower case by single characters, then the words."""
+        if text.isascii():
+            return _NARROW_WORDS.findall(text.lower())
+        if not _WIDE.search(text):
+            text = text.lower()
+            return (_WORDS if _WIDE.search(text) else _NARROW_WORDS).findall(text)
+        text = self.composed.normalize_str(text)
+        return [w for w, _ in _SPLIT.pre_tokenize_str(text)] if _unassigned().search(text) else _WORDS.findall(text)
+
     @property
     def tokens(self) -> list[bytes]:
         """Each id's text, cut out of the buffer by the offsets."""
@@ -182,19 +203,21 @@ class Vocabulary:
 
 
 #: What the tokenizer file takes as words, after lower case; white space is nowhere in them, so its runs need no replacing.
-_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_WORDS, _SPLIT = regex.compile(_PATTERN), tokenizers.pre_tokenizers.Split(tokenizers.Regex(_PATTERN), "removed", invert=True)
 #: The same for texts without characters from U+0250 on, where letters, numbers and spaces are these ranges (fixed values).
 _LETTERS, _NUMBERS, _SPACES = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 _NARROW_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}{_SPACES}]+")
 _WIDE = re.compile("[^\x00-\u024f]")
 
 
-def _words(text: str) -> list[str]:
-    """Composed form, lower case by single characters, then the words."""
-    if text.isascii():
-        return _NARROW_WORDS.findall(text.lower())
-    text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-    return (_WORDS if _WIDE.search(text) else _NARROW_WORDS).findall(text)
+@lru_cache(maxsize=1)
+def _unassigned() -> re.Pattern[str]:
+    """Characters that Python's Unicode version has no class for; a later one, as the library's, may have."""
+    free = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cn"]
+    starts = [c for before, c in zip([-2, *free], free) if c != before + 1]
+    ends = [c for c, after in zip(free, [*free[1:], -2]) if after != c + 1]
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends)) + "]")
 
 
 @lru_cache(maxsize=4)

@@ -238,6 +238,18 @@ def test_neighbours(spark):
     assert hit >= 0.9 * 400 and set(got) == set(range(0, 400, 20))
 
 
+def test_every_code_point_encodes_as_the_library(spark):
+    """Alone, between letters, before a number, and between marks that compose around it."""
+    library, ours = Tokenizer.from_file(PATH), bpe.vocabulary(PATH)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"a{c}b {c}1 \u00c1{c}\u0323" for c in points[at : at + 64]) for at in range(0, len(points), 64)]
+    assert all(ours.encode(t) == e.ids for t, e in zip(texts, library.encode_batch(texts, add_special_tokens=False)))
+    rng = random.Random(5)
+    for _ in range(3000):
+        t = "".join(rng.choice(points) if rng.random() < 0.5 else rng.choice("aA1 '\u0130\u03a3\u0301\u1e9e\u023a") for _ in range(rng.randrange(12)))
+        assert ours.encode(t) == library.encode(t, add_special_tokens=False).ids
+
+
 def test_chat_query_equals_sql(spark):
     assert difference(queries.queries()["op10_chat_format"](spark, DATA), queries.oracle_sql()["op10_chat_format"], DATA) is None
 
