@@ -7,10 +7,11 @@ error bound for it. In each pair of blocks the best estimates are computed in fu
 every vector whose estimate plus bound reaches the mark is computed in full too. The bound holds with high probability, not
 surely, so the result is approximate; tests measure recall against brute force.
 
-Blocks: candidates are dealt into buckets by a hash of their id, queries into groups, and each pair of a bucket and a group
+Blocks: candidates are dealt into buckets by a hash of their row, queries into groups, and each pair of a bucket and a group
 is one task's work, of bounded size. Every row is indexed. Vectors that are null, zero, or hold null or non-finite components
-take no part; vectors of another length than the query's are no candidates. Scores that tie go by vec_id. A repeated vec_id
-is one row, its first by components. An empty table gives an empty result; further columns are not read.
+take no part; vectors of another length than the query's are no candidates. Scores that tie go by vec_id. Rows that
+repeat a vec_id are rows of their own: each is a candidate for all others, and each query among them gets its own k. An empty
+table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -60,10 +61,11 @@ def _estimates(turned: np.ndarray, codes: np.ndarray) -> np.ndarray:
 
 
 def index(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """vec_id, dim, vec (float64 bytes), code (packed signs), size (length), along (the correction); no shuffle but for ids."""
+    """row (its number in the index), vec_id, dim, vec (float64 bytes), code (packed signs), size (length), along (the
+    correction); written once, without a shuffle."""
     rows = embeddings.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    rows = rows.where(fine).groupBy("vec_id").agg(F.min("v").alias("v")).select("vec_id", "v", F.size("v").alias("dim"))
+    rows = rows.where(fine).select("vec_id", "v", F.size("v").alias("dim"), F.monotonically_increasing_id().alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,29 +77,30 @@ def index(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
                 turned = (vectors / size[:, None]) @ rotation(int(dim))
                 along = np.abs(turned).sum(axis=1) / np.sqrt(dim)
                 codes = _words(turned >= 0)
-                yield pa.record_batch([part.column(0), part.column(2), pa.array([x.tobytes() for x in vectors], pa.binary()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(size), pa.array(along)], names=["vec_id", "dim", "vec", "code", "size", "along"])
+                yield pa.record_batch([part.column(3), part.column(0), part.column(2), pa.array([x.tobytes() for x in vectors], pa.binary()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(size), pa.array(along)], names=["row", "vec_id", "dim", "vec", "code", "size", "along"])
 
-    return rows.mapInArrow(run, "vec_id long, dim int, vec binary, code binary, size double, along double")
+    return stored(rows.mapInArrow(run, "row long, vec_id long, dim int, vec binary, code binary, size double, along double"), "index")
 
 
 def _search(k: int):
-    empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+    empty = pd.DataFrame({"query_row": pd.Series(dtype="int64"), "query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
 
     def run(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(candidates):
             return empty
         dim = int(queries["dim"].iloc[0])
         matrix = lambda frame: np.frombuffer(b"".join(frame["vec"]), np.float64).reshape(-1, dim)
-        q, c, q_ids, c_ids = matrix(queries), matrix(candidates), queries["vec_id"].to_numpy(), candidates["vec_id"].to_numpy()
+        q, c, q_rows, q_ids = matrix(queries), matrix(candidates), queries["row"].to_numpy(), queries["vec_id"].to_numpy()
+        c_rows, c_ids = candidates["row"].to_numpy(), candidates["vec_id"].to_numpy()
         codes = np.frombuffer(b"".join(candidates["code"]), np.uint64).reshape(len(c), -1)
         size, along = candidates["size"].to_numpy(), np.maximum(candidates["along"].to_numpy(), 1e-9)
         spread = (size * np.sqrt(np.maximum(1 - along * along, 0)) / along * WIDTH / np.sqrt(max(dim - 1, 1))).astype(np.float32)
         gain = (size / along / np.sqrt(dim)).astype(np.float32)
         outs = []
         for at in range(0, len(q), 128):
-            part, ids = q[at : at + 128], q_ids[at : at + 128]
+            part, rows, ids = q[at : at + 128], q_rows[at : at + 128], q_ids[at : at + 128]
             guess = _estimates(part @ rotation(dim), codes) * gain
-            guess[ids[:, None] == c_ids[None, :]] = -np.inf
+            guess[rows[:, None] == c_rows[None, :]] = -np.inf
             first = min(len(c), max(FIRST, 2 * k))
             top = np.argpartition(-guess, first - 1, axis=1)[:, :first]
             exact = np.einsum("qd,qfd->qf", part, c[top])
@@ -109,18 +112,17 @@ def _search(k: int):
             order = np.lexsort((c_ids[ci], -score, qi))
             place = np.arange(len(order)) - np.searchsorted(qi[order], qi[order], side="left")
             order = order[place < k]
-            outs.append(pd.DataFrame({"query_id": ids[qi[order]], "vec_id": c_ids[ci[order]], "score": score[order]}))
+            outs.append(pd.DataFrame({"query_row": rows[qi[order]], "query_id": ids[qi[order]], "vec_id": c_ids[ci[order]], "score": score[order]}))
         return pd.concat(outs)
 
     return run
 
 
 def nearest(indexed: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each row of `queries`, an index too, among all others."""
-    indexed, queries = stored(indexed, "index"), stored(queries, "queries")
+    """query_id, rank, vec_id, score: the k nearest found of each row of `queries`, rows of the index, among all others."""
     buckets, groups = max(1, -(-indexed.count() // BUCKET)), max(1, -(-queries.count() // GROUP))
-    dealt = lambda df, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64("vec_id"), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1)).cast("array<long>")))
+    dealt = lambda df, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64("row"), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1)).cast("array<long>")))
     left, right = dealt(queries, "g", groups, "b", buckets), dealt(indexed, "b", buckets, "g", groups)
-    found = left.groupBy("dim", "g", "b").cogroup(right.groupBy("dim", "g", "b")).applyInPandas(_search(k), "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = left.groupBy("dim", "g", "b").cogroup(right.groupBy("dim", "g", "b")).applyInPandas(_search(k), "query_row long, query_id long, vec_id long, score double")
+    best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -238,6 +238,26 @@ def test_neighbours(spark):
     assert hit >= 0.9 * 400 and set(got) == set(range(0, 400, 20))
 
 
+def test_repeated_vector_ids_are_rows_of_their_own(spark):
+    rng = np.random.default_rng(3)
+    v, ids = rng.standard_normal((90, 8)), [i % 60 for i in range(90)]  # thirty ids twice, 0 and 20 among them
+    v[60] = v[0]
+    index = neighbours.index(spark.createDataFrame([(i, x.tolist()) for i, x in zip(ids, v)], "vec_id long, embedding array<double>").repartition(3))
+    got = {}
+    for r in neighbours.nearest(index, index.where("vec_id % 20 = 0"), k=89).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert index.count() == 90 and set(got) == {0, 20, 40}
+    for q, found in got.items():
+        wanted = []
+        for own in (i for i in range(90) if ids[i] == q):
+            others = sorted((-float((v[own] * v[j]).sum()), ids[j]) for j in range(90) if j != own)
+            wanted += [(n, i, -s) for n, (s, i) in enumerate(others, 1)]
+        assert sorted(x[:2] for x in found) == sorted(x[:2] for x in wanted)
+        assert np.allclose(sorted(x[2] for x in found), sorted(x[2] for x in wanted))
+    # A row's twin with the same vector is its candidate.
+    assert sum(i == 0 for _, i, _ in got[0]) == 2
+
+
 def test_every_code_point_encodes_as_the_library(spark):
     """Alone, between letters, before a number, and between marks that compose around it."""
     library, ours = Tokenizer.from_file(PATH), bpe.vocabulary(PATH)
