@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,12 +19,35 @@ def latest_per_path(rows: DataFrame, order: str, key: str = "full_path") -> Data
     return best.select(key, *(F.col(f"r.{c}").alias(c) for c in names)).select(*rows.columns)
 
 
-def upsert(old: DataFrame, delta: DataFrame, key: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Rows of `delta` replace those of their key, but for the columns in `keep`, or are new. Keys of `delta` are unique."""
+#: Bytes of a delta, as `is_small` counts them, that go to every task.
+SMALL = 8 << 20
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """About the bytes of a row: its texts, and 16 for each column."""
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    return reduce(add, texts, F.lit(16 * len(df.columns))).cast("long")
+
+
+def is_small(delta: DataFrame, limit: int = SMALL) -> bool:
+    """Whether the rows, counted now, are few enough to be sent to every task."""
+    return (delta.agg(F.sum(row_bytes(delta))).first()[0] or 0) <= limit
+
+
+def upsert(old: DataFrame, delta: DataFrame, key: str, keep: tuple[str, ...] = (), small: bool = False) -> DataFrame:
+    """Rows of `delta` replace those of their key, but for the columns in `keep`, or are new. Keys of `delta` are unique.
+
+    With `small`, which `is_small` tells, the delta goes to every task and the old rows stay where they are: no more of them
+    than the delta has rows, and of those the keys alone, move. Without, both sides are dealt by the key."""
     names = [c for c in old.columns if c != key]
     a, b = old.alias("a"), delta.withColumn("_new", F.lit(True)).alias("b")
     pick = lambda c: F.coalesce(f"a.{c}", f"b.{c}") if c in keep else F.when(F.col("b._new"), F.col(f"b.{c}")).otherwise(F.col(f"a.{c}"))
-    return a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}"), "full_outer").select(F.coalesce(f"a.{key}", f"b.{key}").alias(key), *(pick(c).alias(c) for c in names)).select(*old.columns)
+    met = a.join(F.broadcast(b) if small else b, F.col(f"a.{key}") == F.col(f"b.{key}"), "left" if small else "full_outer")
+    out = met.select(F.coalesce(f"a.{key}", f"b.{key}").alias(key), *(pick(c).alias(c) for c in names)).select(*old.columns)
+    if not small:
+        return out
+    there = old.select(key).join(F.broadcast(delta.select(key)), key, "left_semi")
+    return out.unionByName(delta.join(there, key, "left_anti").select(*old.columns))
 
 
 def assign_ids(rows: DataFrame, id_col: str, largest: int) -> DataFrame:
@@ -45,9 +71,10 @@ def delete_subtree(files: DataFrame, path: str, case_insensitive: bool = False)
     return files.where(~in_subtree(files, path, case_insensitive))
 
 
-def delete_keys(files: DataFrame, keys: DataFrame, *on: str) -> DataFrame:
-    """Without the rows whose key is in a table: (volume_id, mft_reference), id, or any other."""
-    return files.join(keys.select(*on), list(on), "left_anti")
+def delete_keys(files: DataFrame, keys: DataFrame, *on: str, small: bool = False) -> DataFrame:
+    """Without the rows whose key is in a table: (volume_id, mft_reference), id, or any other. `small` as in `upsert`."""
+    gone = keys.select(*on)
+    return files.join(F.broadcast(gone) if small else gone, list(on), "left_anti")
 
 
 def relocate_path(files: DataFrame, moves: DataFrame) -> DataFrame:
@@ -116,12 +143,13 @@ def prune_stats(flagged: DataFrame) -> DataFrame:
     return own.agg(F.count(F.lit(1)).alias("entries_checked"), total(F.col("gone") & ~F.col("is_directory")).alias("files_removed"), total(F.col("gone") & F.col("is_directory")).alias("directories_removed"), total(F.col("below")).alias("checks_skipped"))
 
 
-def apply_snapshot(catalog: DataFrame, snapshot: DataFrame, stale: DataFrame | None = None, clean: bool = False) -> DataFrame:
-    """A volume's snapshot: in place of its rows (clean), or over them, without references that went since (stale)."""
+def apply_snapshot(catalog: DataFrame, snapshot: DataFrame, stale: DataFrame | None = None, clean: bool = False, small: bool = False) -> DataFrame:
+    """A volume's snapshot: in place of its rows (clean), or over them, without references that went since (stale). `small`
+    is about both."""
     if clean:
         return catalog.join(snapshot.select("volume_id").distinct(), "volume_id", "left_anti").select(*catalog.columns).unionByName(snapshot.select(*catalog.columns))
-    left = catalog if stale is None else delete_keys(catalog, stale, "volume_id", "mft_reference").select(*catalog.columns)
-    return upsert(left, snapshot.select(*catalog.columns), "full_path")
+    left = catalog if stale is None else delete_keys(catalog, stale, "volume_id", "mft_reference", small=small).select(*catalog.columns)
+    return upsert(left, snapshot.select(*catalog.columns), "full_path", small=small)
 
 
 def needs_full_scan(files: DataFrame, forced: bool = False) -> DataFrame:

@@ -251,7 +251,7 @@ _extra = lambda v: _delta(v).unionByName(_delta(v).withColumn("full_path", F.con
 DELTA = "SELECT mft_reference, full_path, size + 1 AS size FROM files WHERE mft_reference % 5 = 0 UNION ALL SELECT mft_reference, concat(full_path, '.new'), size + 1 FROM files WHERE mft_reference % 5 = 0"
 UPSERT = f", d AS ({DELTA}) SELECT full_path, size FROM d UNION ALL SELECT full_path, size FROM files WHERE full_path NOT IN (SELECT full_path FROM d)"
 query("latest_per_path", "files", lambda v: M.latest_per_path(v("scan_entries"), "mft_reference").select("full_path", "mft_reference", "size"), "SELECT full_path, mft_reference, size FROM files")
-query("upsert_files", "files", lambda v: M.upsert(v("files"), _extra(v), "full_path", ("mft_reference",)).select("full_path", "size"), UPSERT)
+query("upsert_files", "files", lambda v: M.upsert(v("files"), _extra(v), "full_path", ("mft_reference",), M.is_small(_extra(v))).select("full_path", "size"), UPSERT)
 def _store(v: Views) -> CatalogStore:
     """The catalog as version 1 of a store."""
     files = v("files")

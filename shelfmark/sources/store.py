@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.paths import ascii_lower
-from ..operators.maintain import upsert
+from ..operators.maintain import SMALL, row_bytes, upsert
 
 FOLDED = ("name_lc", "path_lc")
 
@@ -141,10 +141,11 @@ class CatalogStore:
         return after
 
     def upsert(self, delta: DataFrame, keep: tuple[str, ...] = (), base: Version | None = None) -> Version:
-        """Rows by path over those that are there; reads and writes only the volumes of `delta`."""
-        base = base or self.head()
-        touched = [r[0] for r in delta.select("volume_id").distinct().collect()]  # a row for each volume
-        return self.commit(base, upsert(self.read(base, touched), delta.select(*self.schema.names), "full_path", keep), touched)
+        """Rows by path over those that are there; reads and writes only the volumes of `delta`, whose size decides whether it
+        goes to their rows or both are dealt by path."""
+        base, delta = base or self.head(), delta.select(*self.schema.names)
+        sizes = {r[0]: r[1] for r in delta.groupBy("volume_id").agg(F.sum(row_bytes(delta))).collect()}  # a row for each volume
+        return self.commit(base, upsert(self.read(base, sizes), delta, "full_path", keep, sum(sizes.values()) <= SMALL), sizes)
 
     def delete_volume(self, volume_id: int, base: Version | None = None) -> Version:
         """Drops a volume's folder from the next version; no rows are read or written."""

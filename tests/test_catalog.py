@@ -184,6 +184,26 @@ def test_grouped_report_begins_with_matched_directories(spark):
     assert stats.report_grouped(result.limit(0), listing).count() == 0
 
 
+def test_a_small_delta_leaves_the_catalog_where_it_is(spark):
+    schema = "full_path string, size long, mft_reference long"
+    old = spark.createDataFrame([(f"C:\\{i}", i, i) for i in range(50)] + [(None, 7, 7)], schema)
+    delta = spark.createDataFrame([("C:\\3", 30, 99), ("C:\\4", None, None), ("D:\\new", 1, 2), (None, 8, 8)], schema)
+    ways = [maintain.upsert(old, delta, "full_path", ("mft_reference",), small) for small in (False, True)]
+    assert len({tuple(sorted(map(str, w.collect()))) for w in ways}) == 1 and ways[1].count() == 53
+    assert maintain.upsert(old, delta.limit(0), "full_path", small=True).count() == 51 and maintain.upsert(old.limit(0), delta, "full_path", small=True).count() == 4
+    assert maintain.is_small(delta) and not maintain.is_small(old, 1000) and maintain.is_small(old.limit(0), 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        stale = spark.createDataFrame([(3,)], "mft_reference long")
+        assert "Exchange hashpartitioning" not in maintain.delete_keys(old, stale, "mft_reference", small=True)._jdf.queryExecution().executedPlan().toString()
+        whole, halves = (maintain.upsert(old, delta, "full_path", small=small)._jdf.queryExecution().executedPlan().toString() for small in (False, True))
+        assert "FullOuter" in whole and "FullOuter" not in halves and "LeftOuter, BuildRight" in halves
+        dealt = halves.split("LeftOuter, BuildRight")[1].split("SortMergeJoin")[0]  # from the old rows to the new ones
+        assert "Exchange hashpartitioning" not in dealt and "BroadcastExchange" in dealt
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def record(version, ref, parent, usn, reason, attributes, name, pad=0):
     wide, text = version == 3, name.encode("utf-16-le")
     n = (76 if wide else 60) + len(text) + pad
