@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import _BYTES, Wanted, digest_sizes, exact_copies, id_text, mix, numbered, repeated, rolling, sliding_argmin, stored, text_chunks
-from .induced import shared_neighbours
+from .induced import scratch, shared_neighbours
 
 LENGTH, GRAM = 200, 48
 #: Bytes of texts for each shard, of which pieces are a part; bytes of tuples that the queues of a shard hold in memory.
-SHARD, QUEUES = 3 << 20, 32 << 20
+SHARD, QUEUES = 3 << 20, 256 << 10
 #: Distinct pieces of an anchor that stay together.
 HEAVY = 4096
 
@@ -141,7 +141,7 @@ def _sort_shards(length: int):
         return pa.record_batch([pa.array([keys[i] for i in owner], pa.binary()), pa.array(starts - begin[owner], pa.int32()), pa.array(stops - starts, pa.int32())], names=["key", "from", "windows"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, sizes, copies, keys, file = None, [], [], [], tempfile.TemporaryFile()
+        now, sizes, copies, keys, file = None, [], [], [], tempfile.TemporaryFile(dir=scratch())
         for batch in batches:
             for s, piece, n, key in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 if s != now and sizes:
