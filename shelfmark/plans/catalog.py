@@ -17,6 +17,7 @@ from ..operators import tree as G
 from ..session import shared_dir
 from ..sources import catalog as C
 from ..sources import journal as J
+from ..sources.buckets import BucketedCatalog
 from ..sources.records import decode_record_buffers
 from ..sources.store import CatalogStore
 from ..streaming import changes as H
@@ -291,7 +292,8 @@ def _without(v: Views, volume_id: int) -> DataFrame:
 query("delete_volume_rows", "files", lambda v: _without(v, 3), _where("volume_id <> 3"))
 query("delete_subtree", "files", _files(lambda f: M.delete_subtree(f, "C:/NATION_0")), _where("NOT (full_path = concat('C:', chr(92), 'NATION_0') OR starts_with(full_path, concat('C:', chr(92), 'NATION_0', chr(92))))"))
 query("delete_references", "files", lambda v: M.delete_keys(v("files"), v("files").where("size % 3 = 0"), "volume_id", "mft_reference").select("full_path", "size"), _where("size % 3 <> 0"))
-query("purge_references", "files changes volumes", lambda v: M.delete_keys(v("files"), H.stale_references(v("changes"), _after(v, 1)).select("volume_id", F.col("file_reference").alias("mft_reference")), "volume_id", "mft_reference").select("full_path", "size"), _where(f"NOT EXISTS (SELECT 1 FROM changes c LEFT JOIN {AFTER.format(1)} o ON o.volume_id = c.volume_id WHERE c.volume_id = files.volume_id AND file_reference = mft_reference AND (last_usn IS NULL OR usn > last_usn) AND reason & 4608 <> 0)"))
+PURGED = _where(f"NOT EXISTS (SELECT 1 FROM changes c LEFT JOIN {AFTER.format(1)} o ON o.volume_id = c.volume_id WHERE c.volume_id = files.volume_id AND file_reference = mft_reference AND (last_usn IS NULL OR usn > last_usn) AND reason & 4608 <> 0)")
+query("purge_references", "files changes volumes", lambda v: M.delete_keys(v("files"), H.stale_references(v("changes"), _after(v, 1)).select("volume_id", F.col("file_reference").alias("mft_reference")), "volume_id", "mft_reference").select("full_path", "size"), PURGED)
 query("delete_ids", "files", lambda v: M.delete_keys(v("files"), v("files").where("mft_reference % 7 = 0"), "mft_reference").select("full_path", "size"), _where("mft_reference % 7 <> 0"))
 query("relocate_path", "files", lambda v: M.relocate_path(v("files"), v("files").where("NOT is_directory AND mft_reference % 9 = 0").select(F.col("full_path").alias("old_path"), F.concat(F.lit("Z:\\moved\\"), F.col("mft_reference").cast("string"), F.lit(".bin")).alias("new_path"))).select("full_path", "name", "mft_reference"), "SELECT CASE WHEN m THEN concat('Z:', chr(92), 'moved', chr(92), mft_reference, '.bin') ELSE full_path END AS full_path, CASE WHEN m THEN concat(mft_reference, '.bin') ELSE name END AS name, CASE WHEN NOT m THEN mft_reference END AS mft_reference FROM (SELECT *, NOT is_directory AND mft_reference % 9 = 0 AS m FROM files)")
 _applied = lambda v: v("changes").withColumn("scanned_at", F.col("ts").cast("timestamp"))
@@ -306,6 +308,21 @@ query("prune_stats", "files listing", lambda v: M.prune_stats(M.flag_missing(v("
 query("apply_snapshot_clean", "files", lambda v: M.apply_snapshot(v("files"), v("files").where("volume_id = 2 AND size % 2 = 0"), clean=True).select("full_path", "size"), _where("volume_id <> 2 OR size % 2 = 0"))
 query("apply_snapshot_incremental", "files", lambda v: M.apply_snapshot(v("files"), _extra(v).where("size % 2 = 0"), v("files").where("mft_reference % 4 = 1").select("volume_id", "mft_reference")).select("full_path", "size"), f", d AS (SELECT * FROM ({DELTA}) WHERE size % 2 = 0) SELECT full_path, size FROM d UNION ALL SELECT full_path, size FROM files WHERE mft_reference % 4 <> 1 AND full_path NOT IN (SELECT full_path FROM d)")
 
+
+def _bucketed_merge(v: Views) -> BucketedCatalog:
+    """A bucketed catalog after a snapshot's rows and the references that went since."""
+    stale = v("files").where("mft_reference % 4 = 1").select("volume_id", "mft_reference")
+    return BucketedCatalog.written(v("files"), 16).merged(_extra(v).where("size % 2 = 0"), stale=stale)
+
+
+BUCKETED = """, d AS (SELECT volume_id, mft_reference, full_path, size + 1 AS size FROM files WHERE mft_reference % 5 = 0 AND size % 2 = 1
+  UNION ALL SELECT volume_id, mft_reference, concat(full_path, '.new'), size + 1 FROM files WHERE mft_reference % 5 = 0 AND size % 2 = 1),
+ r AS (SELECT * FROM d UNION ALL SELECT volume_id, mft_reference, full_path, size FROM files WHERE mft_reference % 4 <> 1 AND full_path NOT IN (SELECT full_path FROM d)) """
+query("upsert_files_bucketed", "files", lambda v: BucketedCatalog.written(v("files"), 16).merged(_extra(v), ("mft_reference",)).rows().select("full_path", "size"), UPSERT)
+query("apply_snapshot_bucketed", "files", lambda v: _bucketed_merge(v).rows().select("volume_id", "mft_reference", "full_path", "size"), BUCKETED + "SELECT * FROM r")
+query("references_bucketed", "files", lambda v: _bucketed_merge(v).references(), BUCKETED + "SELECT volume_id, mft_reference, full_path FROM r WHERE mft_reference IS NOT NULL")
+query("purge_references_bucketed", "files changes volumes", lambda v: BucketedCatalog.written(v("files"), 16).without(H.stale_references(v("changes"), _after(v, 1)).select("volume_id", F.col("file_reference").alias("mft_reference"))).select("full_path", "size"), PURGED)
+
 # Relocation
 THERE = "there AS (SELECT DISTINCT lower(name) AS k FROM files WHERE NOT is_directory AND volume_id = 5 AND mft_reference % 13 = 0)"
 PLAN = f"{THERE}, r AS (SELECT full_path, name, size, starts_with(lower(full_path), concat('g:', chr(92))) AS inside FROM files WHERE NOT is_directory AND {LN} LIKE '%report%'), q AS (SELECT *, row_number() OVER (PARTITION BY inside, lower(name) ORDER BY full_path) AS k FROM r), plan AS (SELECT full_path, name, size, CASE WHEN inside THEN 'in_destination' WHEN k > 1 THEN 'duplicate' WHEN lower(name) IN (SELECT k FROM there) THEN 'exists' ELSE 'move' END AS disposition FROM q)"

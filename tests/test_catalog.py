@@ -14,7 +14,7 @@ from shelfmark.functions.regex import parse
 from shelfmark.operators import maintain, relocate, search, stats, tree
 from shelfmark.plans import catalog
 from shelfmark.sources import catalog as sources
-from shelfmark.sources import records
+from shelfmark.sources import buckets, records
 from shelfmark.streaming import changes
 
 
@@ -274,3 +274,64 @@ def test_debounce_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(120)
     got = {tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").where("path <> 'end'").collect()}
     assert got == {tuple(r) for r in changes.debounce_events(events, 60).select("path", "first_ts", "kind", "n").collect()}
+
+
+def test_a_bucketed_catalog_merges_where_it_lies(spark):
+    schema = "volume_id int, mft_reference long, full_path string, name string, size long"
+    rows = [(i % 3, i % 40, f"C:\\d{i % 5}\\{i}", str(i), i) for i in range(90)] + [(1, None, "C:\\none", "none", 1), (None, 4, "C:\\lost", "lost", 2)]
+    delta = [(0, 70, "C:\\d0\\0", "0", 100), (2, None, "C:\\d1\\1", "1", None), (0, 3, "C:\\new", "new", 7), (1, 1, "C:\\d4\\4", "4", 8)]
+    frame = lambda x: spark.createDataFrame(x, schema)
+    stale = spark.createDataFrame([(0, 3), (1, 4), (1, 4), (2, None), (7, 7)], "volume_id int, mft_reference long")
+    told = lambda df: sorted(map(str, df.collect()))
+    referred = lambda df: told(df.where("volume_id IS NOT NULL AND mft_reference IS NOT NULL").select("volume_id", "mft_reference", "full_path"))
+    had = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for limit in ("-1", had):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        try:
+            catalog = buckets.BucketedCatalog.written(frame(rows), 5)
+            assert told(catalog.rows()) == told(frame(rows)) and told(catalog.references()) == referred(frame(rows))
+            after = catalog.merged(frame(delta), stale=stale)
+            want = maintain.apply_snapshot(frame(rows), frame(delta), stale)
+            assert told(after.rows()) == told(want) and told(after.references()) == referred(want)
+            again = after.merged(frame([]), ("mft_reference",)).merged(frame(delta[:1]), ("size",), stale=stale.limit(0))
+            assert told(again.rows()) == told(maintain.upsert(want, frame(delta[:1]), "full_path", ("size",))) and again.buckets == 5
+            assert told(again.references()) == referred(again.rows())
+            there = buckets.BucketedCatalog.opened(spark, again.where, again.schema, again.buckets)
+            assert told(there.rows()) == told(again.rows())
+            empty = buckets.BucketedCatalog.written(frame([]))
+            assert empty.rows().count() == 0 and told(empty.merged(frame(delta)).rows()) == told(frame(delta))
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", had)
+    with pytest.raises(Exception, match="no path"):
+        buckets.BucketedCatalog.written(frame([(1, 1, None, "x", 1)]), 2)
+
+
+def _shuffled_scans(plan: str) -> list[str]:
+    """The scans of a formatted tree that an exchange of rows by key is above of, told by indentation."""
+    above, found = [], []
+    for line in plan.splitlines():
+        depth = len(line) - len(line.lstrip(" :+-"))
+        above = [(d, x) for d, x in above if d < depth] + [(depth, line)]
+        if "FileScan" in line and any("Exchange hashpartitioning" in x or "Exchange rangepartitioning" in x for _, x in above):
+            found.append(line)
+    return found
+
+
+def test_a_bucketed_catalog_is_not_shuffled(spark):
+    schema = "volume_id int, mft_reference long, full_path string, name string, size long"
+    catalog = buckets.BucketedCatalog.written(spark.createDataFrame([(1, i, f"C:\\{i}", str(i), i) for i in range(50)], schema), 4)
+    delta, stale = catalog.rows().sparkSession.createDataFrame([(1, 3, "C:\\3", "3", 4)], schema), spark.createDataFrame([(1, 5)], "volume_id int, mft_reference long")
+    plain = spark.createDataFrame([(1, i, f"C:\\{i}", str(i), i) for i in range(50)], schema)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    had = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        merge, purge, paths = plan(catalog.upserted(delta)), plan(catalog.without(stale)), plan(catalog.stale_paths(stale))
+        assert "FullOuter" in merge and "FileScan" in merge and not _shuffled_scans(merge)
+        assert "Exchange hashpartitioning" in plan(maintain.upsert(plain, delta, "full_path")).split("FullOuter")[1].split("ExistingRDD")[0]
+        # What references give, the paths of the stale ones, moves; the references themselves and the rows do not.
+        assert "LeftAnti" in purge and not [x for x in _shuffled_scans(purge) if "size" in x]
+        below = paths.split("LeftSemi")[1].split("FileScan")[0]
+        assert "Exchange" not in below
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", had)
