@@ -4,8 +4,8 @@ Each source's documents, in the order of a hash of their id, form blocks of `blo
 is released at slot floor((j-1)/w) and due by slot ceil(j/w). One block goes into each slot: of the released ones, that with
 the earliest deadline. As the weights sum to one this meets all deadlines, so after any number of slots each source is less
 than one block from its share. Weights are whole numbers out of `period`, which is so large that over a whole corpus of 2^26
-blocks rounding is less than a thirtieth of a block; nothing repeats. The schedule is a fold over the blocks, one after the
-other, in parts of `PART`: a row of three numbers per block, so 1/16 of the documents.
+blocks rounding is less than a thirtieth of a block; nothing repeats. The schedule is cut into stretches of `STRETCH` blocks,
+which tasks fold apart and which are made to meet (`schedule`).
 
 When a source has no more blocks its slots stay empty and the others keep their proportions; every document is placed, none
 is dropped or repeated. A null source is a source of its own. A source without a positive target weight gets the smallest
@@ -27,6 +27,8 @@ from .common import stored
 BLOCK, PERIOD = 16, 1 << 31
 #: Blocks that one part of the fold schedules; an array of this size is copied for each.
 PART = 256
+#: Blocks of a stretch, about; slots that a stretch begins early; stretches of one task.
+STRETCH, WARM, EACH = 1024, 64, 4
 #: Documents that one bucket of a source holds, about; a bucket is what one task sorts at once.
 BUCKET = 1000
 
@@ -48,44 +50,121 @@ def shares(counts: DataFrame, weights: dict[str, float] | None = None, power: fl
     return rows.withColumn("share", F.greatest(F.floor("exact") + (F.row_number().over(by_rest) <= F.col("left")).cast("int"), F.lit(1)).cast("long")).drop("wish", "all", "exact", "left")
 
 
-def schedule(shared: DataFrame, block: int = BLOCK) -> DataFrame:
-    """source, j (from 0), slot of every block of the sources (source, n, share).
+def stretches(shared: DataFrame, block: int = BLOCK, stretch: int = STRETCH) -> DataFrame:
+    """t0, t1: the slots from 0 to the last source's end, cut where about `stretch` blocks more are due by then.
+
+    Between the ends of two sources, which are rows in order of their end, blocks come at an even rate."""
+    period = F.sum("share").over(Window.partitionBy(F.lit(0)))
+    rows = shared.select("source", "share", F.ceil(F.col("n") / block).cast("long").alias("blocks"), period.alias("period")).where("blocks > 0")
+    by_end = Window.partitionBy(F.lit(0)).orderBy("b", "source")
+    rows = rows.withColumn("b", _end(F.col("blocks"), F.col("share"), F.col("period"))).withColumn("a", F.lag("b", 1, 0).over(by_end))
+    past = F.coalesce(F.sum("share").over(by_end.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("rate", (F.col("period") - past) / F.col("period")).withColumn("due", F.sum((F.col("b") - F.col("a")) * F.col("rate")).over(by_end.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("had", F.coalesce(F.lag("due").over(by_end), F.lit(0.0)))
+    rows = rows.withColumn("k", F.ceil(F.col("had") / stretch)).withColumn("last", F.ceil(F.col("due") / stretch) - 1)
+    at = lambda k: F.col("a") + F.floor((k * stretch - F.col("had")) / F.col("rate")).cast("long")
+    first = F.first(F.when(F.col("k") <= F.col("last"), at(F.col("k"))), ignorenulls=True).over(by_end.rowsBetween(1, Window.unboundedFollowing))
+    rows = rows.withColumn("next", F.coalesce(first, F.max("b").over(Window.partitionBy(F.lit(0))))).where("k <= last")
+    cut = F.transform(F.sequence("k", "last"), lambda k: F.struct(at(k).alias("t0"), F.when(k < F.col("last"), at(k + 1)).otherwise(F.col("next")).alias("t1")))
+    return rows.select(F.explode(cut).alias("x")).select("x.t0", "x.t1")
+
+
+def _end(blocks: Column, share: Column, period: Column) -> Column:
+    """The slot by which a source's last block is due."""
+    return F.call_function("div", blocks * period + share - 1, share)
+
+
+def _bind(value: Column, use) -> Column:
+    """What `use` makes of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _head(i: Column, j: Column, share: Column, blocks: Column) -> Column:
+    release = F.call_function("div", j * F.col("period"), share)
+    return F.struct(release.alias("release"), _end(j + 1, share, F.col("period")).alias("due"), i.alias("i"), j.alias("j"), share.alias("share"), blocks.alias("blocks"))
+
+
+_ENTRY = "array<struct<i:int,j:bigint,slot:bigint>>"
 
-    A fold over the blocks. State is the next slot and each unfinished source's next block: released at j * period div share,
-    due at the quotient of j + 1 rounded up. Where none is released yet, slots stay empty up to the first release.
-    """
-    source = F.struct("source", "share", F.ceil(F.col("n") / block).cast("long").alias("blocks"))
-    listed = shared.groupBy().agg(F.array_sort(F.collect_list(source)).alias("s"), F.sum("share").alias("period"), F.sum(F.ceil(F.col("n") / block)).alias("all")).where("all > 0")
-    entry = "array<struct<i:int,j:bigint,slot:bigint>>"
-    bind = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # noqa: E731  evaluates value once
 
-    def head(i: Column, j: Column, share: Column, blocks: Column) -> Column:
-        release = F.call_function("div", j * F.col("period"), share)
-        due = F.call_function("div", (j + 1) * F.col("period") + share - 1, share)
-        return F.struct(release.alias("release"), due.alias("due"), i.alias("i"), j.alias("j"), share.alias("share"), blocks.alias("blocks"))
+def _fold(heads: Column, slot: Column, stop: Column, most: Column) -> Column:
+    """heads, parts: the blocks that earliest deadline first places from `slot` up to `stop`, `most` at most, and the heads then.
+    A step takes the block that wins the next slot with a released one; slots before the first release stay empty."""
 
     def step(had: Column, _: Column) -> Column:
         def place(slot: Column) -> Column:
             ready = F.transform(F.filter(had["heads"], lambda x: x["release"] <= slot), lambda x: F.struct(x["due"].alias("due"), x["i"].alias("i"), x["j"].alias("j")))
-            return bind(F.array_min(ready), lambda won: F.struct(
+            placed = lambda won: F.struct(
                 (slot + 1).alias("slot"),
-                F.filter(F.transform(had["heads"], lambda x: F.when(x["i"] == won["i"], head(x["i"], x["j"] + 1, x["share"], x["blocks"])).otherwise(x)), lambda x: x["j"] < x["blocks"]).alias("heads"),
+                F.filter(F.transform(had["heads"], lambda x: F.when(x["i"] == won["i"], _head(x["i"], x["j"] + 1, x["share"], x["blocks"])).otherwise(x)), lambda x: x["j"] < x["blocks"]).alias("heads"),
                 F.concat(had["part"], F.array(F.struct(won["i"].alias("i"), won["j"].alias("j"), slot.alias("slot")))).alias("part"),
-            ))
+            )
+            return F.when(slot >= stop, had).otherwise(_bind(F.array_min(ready), placed))
 
         slot = F.greatest(had["slot"], F.array_min(F.transform(had["heads"], lambda x: x["release"])))
-        return F.when(F.size(had["heads"]) == 0, had).otherwise(bind(slot, place))
+        return F.when((F.size(had["heads"]) == 0) | (had["slot"] >= stop), had).otherwise(_bind(slot, place))
 
     def part(had: Column, _: Column) -> Column:
-        start = F.struct(had["slot"].alias("slot"), had["heads"].alias("heads"), F.array().cast(entry).alias("part"))
+        start = F.struct(had["slot"].alias("slot"), had["heads"].alias("heads"), F.array().cast(_ENTRY).alias("part"))
         done = F.aggregate(F.sequence(F.lit(1), F.lit(PART)), start, step)
-        return bind(done, lambda x: F.struct(x["slot"].alias("slot"), x["heads"].alias("heads"), F.concat(had["parts"], F.array(x["part"])).alias("parts")))
+        return _bind(done, lambda x: F.struct(x["slot"].alias("slot"), x["heads"].alias("heads"), F.concat(had["parts"], F.array(x["part"])).alias("parts")))
+
+    start = F.struct(slot.alias("slot"), heads.alias("heads"), F.array().cast(f"array<{_ENTRY}>").alias("parts"))
+    return F.aggregate(F.sequence(F.lit(1).cast("long"), F.ceil(most / PART) + 1), start, part)
+
+
+def _guessed(at: Column) -> Column:
+    """Heads at a slot, as they are likely to be: as many blocks placed as slots, of those that may be either the ones due first;
+    once a source has ended, all that is released."""
+    least = lambda x: F.when(at >= x["end"], x["blocks"]).otherwise(F.least(x["blocks"], F.call_function("div", at * x["share"], F.col("period"))))
+    most = lambda x: F.when(at >= x["end"], x["blocks"]).otherwise(F.least(x["blocks"], F.call_function("div", at * x["share"] + F.col("period") - 1, F.col("period"))))
+    rows = F.transform("s", lambda x, i: F.struct(_end(least(x) + 1, x["share"], F.col("period")).alias("due"), i.alias("i"), least(x).alias("least"), most(x).alias("most"), x["share"].alias("share"), x["blocks"].alias("blocks"), (at >= x["end"]).alias("over")))
+
+    def heads(rows: Column) -> Column:
+        more = at - F.aggregate(rows, F.lit(0).cast("long"), lambda had, x: had + x["least"])
+        either = F.array_sort(F.transform(F.filter(rows, lambda x: x["most"] > x["least"]), lambda x: F.struct(x["due"].alias("due"), x["i"].alias("i"))))
+        return _bind(F.struct(F.exists(rows, lambda x: x["over"]).alias("over"), F.get(either, (more - 1).cast("int")).alias("mark")), lambda told: F.filter(F.transform(rows, lambda x: _head(
+            x["i"], F.when(told["over"] | F.coalesce(F.struct(x["due"].alias("due"), x["i"].alias("i")) <= told["mark"], F.lit(False)), x["most"]).otherwise(x["least"]), x["share"], x["blocks"])), lambda x: x["j"] < x["blocks"]))
+
+    return _bind(rows, heads)
+
+
+def _placed(heads: Column) -> Column:
+    """What tells a state: the next block of each unfinished source."""
+    return F.transform(heads, lambda x: F.struct(x["i"].alias("i"), x["j"].alias("j")))
+
+
+def schedule(shared: DataFrame, block: int = BLOCK, stretch: int = STRETCH, warm: int = WARM) -> DataFrame:
+    """source, j (from 0), slot of every block of the sources (source, n, share).
 
-    heads = F.transform("s", lambda x, i: head(i, F.lit(0).cast("long"), x["share"], x["blocks"]))
-    start = F.struct(F.lit(0).cast("long").alias("slot"), heads.alias("heads"), F.array().cast(f"array<{entry}>").alias("parts"))
-    folded = listed.select(F.col("s.source").alias("names"), F.aggregate(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("all") / PART) - 1), start, part, lambda x: x["parts"]).alias("parts"))
-    each = folded.select("names", F.explode("parts").alias("part")).select("names", F.explode("part").alias("x"))
-    return each.select(F.get("names", F.col("x.i")).alias("source"), F.col("x.j").alias("j"), F.col("x.slot").alias("slot"))
+    Stretches of slots are folded side by side. Each begins `warm` slots early from a guess of what has been placed by then; as
+    deadlines leave little choice it mostly has come to the one true state when its own slots begin. Those whose beginning is
+    not the end of the stretch before are folded again from that end, until none is left, so the result is that of one fold
+    over all blocks, whatever the guesses."""
+    ordered = shared.where("n > 0").withColumn("i", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("source")) - 1).cast("int")).withColumn("period", F.sum("share").over(Window.partitionBy(F.lit(0))))
+    blocks = F.ceil(F.col("n") / block).cast("long")
+    ordered = stored(ordered.select("i", "source", "share", blocks.alias("blocks"), "period", _end(blocks, F.col("share"), F.col("period")).alias("end")), "ordered")
+    listed = stored(ordered.groupBy(F.lit(0).alias("one")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "share", "blocks", "end"))), lambda x: F.struct(x["share"].alias("share"), x["blocks"].alias("blocks"), x["end"].alias("end"))).alias("s"), F.max("period").alias("period")), "listed")
+    cuts = stored(stretches(shared, block, stretch), "cuts")
+    tasks = max(1, -(-cuts.count() // EACH))
+    # The list of sources meets every stretch by one key: Spark sends it to all tasks below its size limit only.
+    known = lambda rows: rows.withColumn("one", F.lit(0)).join(listed, "one").repartition(tasks, "t0")
+    due = F.aggregate("s", F.lit(0).cast("long"), lambda had, x: had + F.when(F.col("t0") >= x["end"], 0).otherwise(F.least(x["blocks"], (F.least(F.col("t1"), x["end"]) - F.col("t0")).cast("double") * x["share"] / F.col("period") + 2).cast("long")))
+    folded = lambda heads: F.struct(_placed(heads).alias("begin"), _fold(heads, F.col("t0"), F.col("t1"), due).alias("x"))
+    told = lambda rows: rows.select("t0", "t1", "f.begin", _placed(F.col("f.x.heads")).alias("end"), F.col("f.x.parts").alias("parts"))
+    early = F.greatest(F.col("t0") - warm, F.lit(0).cast("long"))
+    begun = _fold(_guessed(early), early, F.col("t0"), F.lit(warm))["heads"]
+    done = stored(told(known(cuts).select("t0", "t1", _bind(begun, folded).alias("f"))), "stretches")
+    while True:
+        ends = done.select(F.col("t1").alias("t0"), F.col("end").alias("reached"))
+        wrong = stored(done.select("t0", "t1", "begin").join(ends, "t0").where("begin <> reached").select("t0", "t1", "reached"), "wrong")
+        if wrong.isEmpty():
+            break
+        again = F.transform("reached", lambda x: _bind(F.get("s", x["i"]), lambda own: _head(x["i"], x["j"], own["share"], own["blocks"])))
+        mended = told(known(wrong).select("t0", "t1", _bind(again, folded).alias("f")))
+        done = stored(done.join(wrong.select("t0"), "t0", "left_anti").select(*mended.columns).unionByName(mended), "stretches")
+    each = done.select(F.explode("parts").alias("part")).select(F.explode("part").alias("x")).select("x.i", "x.j", "x.slot")
+    return each.join(ordered.select("i", "source"), "i").select("source", "j", "slot")
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int = PERIOD, bucket: int = BUCKET) -> DataFrame:

@@ -1,5 +1,9 @@
 """The mixture keeps to the target weights themselves, however many sources and slots, and up to the pipeline's result."""
 
+import heapq
+import random
+
+import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
@@ -32,6 +36,37 @@ def test_more_sources_than_a_thousand(spark):
     assert abs(first - 0.9 * 200) < 1
 
 
+def _one_fold(share, blocks):
+    """Slot of each block (source, j), by one run over all slots with two heaps."""
+    period, j, slot, slots = sum(share), [0] * len(share), 0, {}
+    coming, ready = [(0, i) for i, n in enumerate(blocks) if n], []
+    while coming or ready:
+        if not ready:
+            slot = max(slot, coming[0][0])
+        while coming and coming[0][0] <= slot:
+            _, i = heapq.heappop(coming)
+            heapq.heappush(ready, (-(-(j[i] + 1) * period // share[i]), i))
+        _, i = heapq.heappop(ready)
+        slots[i, j[i]] = slot
+        j[i] += 1
+        if j[i] < blocks[i]:
+            heapq.heappush(coming, (j[i] * period // share[i], i))
+        slot += 1
+    return slots
+
+
+@pytest.mark.parametrize("sources, most, stretch, warm", [(1, 300, 32, 8), (4, 200, 32, 0), (7, 120, 16, 4), (40, 30, 64, 16), (600, 4, 128, 16)])
+def test_stretches_meet_as_one_fold(spark, sources, most, stretch, warm):
+    r = random.Random(sources)
+    counts = spark.createDataFrame([(f"s{i:04}", r.choice([1, 15, 17, *(16 * r.randint(1, most) for _ in range(5))]) if i else 16 * most) for i in range(sources)], "source string, n long")
+    shared = mixing.shares(counts)
+    rows = sorted(shared.collect())
+    found = mixing.schedule(shared, 16, stretch, warm).collect()
+    assert {(int(x.source[1:]), x.j): x.slot for x in found} == _one_fold([x.share for x in rows], [-(-x.n // 16) for x in rows])
+    cuts = sorted(mixing.stretches(shared, 16, stretch).collect())
+    assert cuts[0].t0 == 0 and all(a.t0 < a.t1 == b.t0 for a, b in zip(cuts, cuts[1:])) and (sources == 1 or len(cuts) > 1)
+
+
 def test_pipeline_tells_the_place(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     found = corpus_pipeline.run(spark, DATA)
