@@ -145,10 +145,10 @@ def schedule(shared: DataFrame, block: int = BLOCK, stretch: int = STRETCH, warm
     blocks = F.ceil(F.col("n") / block).cast("long")
     ordered = stored(ordered.select("i", "source", "share", blocks.alias("blocks"), "period", _end(blocks, F.col("share"), F.col("period")).alias("end")), "ordered")
     listed = stored(ordered.groupBy(F.lit(0).alias("one")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "share", "blocks", "end"))), lambda x: F.struct(x["share"].alias("share"), x["blocks"].alias("blocks"), x["end"].alias("end"))).alias("s"), F.max("period").alias("period")), "listed")
-    cuts = stored(stretches(shared, block, stretch), "cuts")
+    cuts = stored(stretches(shared, block, stretch).withColumn("one", F.lit(0)), "cuts")
     tasks = max(1, -(-cuts.count() // EACH))
-    # The list of sources meets every stretch by one key: Spark sends it to all tasks below its size limit only.
-    known = lambda rows: rows.withColumn("one", F.lit(0)).join(listed, "one").repartition(tasks, "t0")
+    # The list of sources meets every stretch by one stored key: Spark sends it to all tasks below its size limit only.
+    known = lambda rows: rows.join(listed, "one").repartition(tasks, "t0")
     due = F.aggregate("s", F.lit(0).cast("long"), lambda had, x: had + F.when(F.col("t0") >= x["end"], 0).otherwise(F.least(x["blocks"], (F.least(F.col("t1"), x["end"]) - F.col("t0")).cast("double") * x["share"] / F.col("period") + 2).cast("long")))
     folded = lambda heads: F.struct(_placed(heads).alias("begin"), _fold(heads, F.col("t0"), F.col("t1"), due).alias("x"))
     told = lambda rows: rows.select("t0", "t1", "f.begin", _placed(F.col("f.x.heads")).alias("end"), F.col("f.x.parts").alias("parts"))
@@ -157,7 +157,7 @@ def schedule(shared: DataFrame, block: int = BLOCK, stretch: int = STRETCH, warm
     done = stored(told(known(cuts).select("t0", "t1", _bind(begun, folded).alias("f"))), "stretches")
     while True:
         ends = done.select(F.col("t1").alias("t0"), F.col("end").alias("reached"))
-        wrong = stored(done.select("t0", "t1", "begin").join(ends, "t0").where("begin <> reached").select("t0", "t1", "reached"), "wrong")
+        wrong = stored(done.select("t0", "t1", "begin").join(ends, "t0").where("begin <> reached").select("t0", "t1", "reached", F.lit(0).alias("one")), "wrong")
         if wrong.isEmpty():
             break
         again = F.transform("reached", lambda x: _bind(F.get("s", x["i"]), lambda own: _head(x["i"], x["j"], own["share"], own["blocks"])))
