@@ -67,7 +67,14 @@ VIEWS = {
 _NEEDS = {"scan_entries": ("mft",), "files": ("mft", "scan_entries"), "listing": ("mft", "scan_entries", "files")}
 #: Views that are written once for a session and a folder, as a catalog would be; the others are made from them.
 _STORED = ("mft", "scan_entries", "files")
-_written: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+_written: dict[tuple, tuple[str, StructType]] = {}
+
+
+def _stamp(spark: SparkSession, folder: str) -> tuple:
+    """Names, sizes and times of what lies in a folder: one listing, by Hadoop's file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found))
 
 
 def with_views(sql: str, *names: str) -> str:
@@ -78,9 +85,10 @@ def with_views(sql: str, *names: str) -> str:
 
 
 def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view over the tables below a folder. Catalog tables are written once, by volume, and read from there."""
+    """A view over the tables below a folder. Catalog tables are written once, by volume, and read from there until the tables
+    below the folder are others."""
     asked = set(re.findall(r"\{(\w+)\}", VIEWS[name]))
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    key = (spark.sparkContext.applicationId, sf_dir, name, _stamp(spark, sf_dir) if name in _STORED else ())
     if key in _written:
         where, schema = _written[key]
         return spark.read.schema(schema).parquet(where)

@@ -335,3 +335,14 @@ def test_a_bucketed_catalog_is_not_shuffled(spark):
         assert "Exchange" not in below
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", had)
+
+
+def test_derived_tables_follow_the_given_ones(spark, tmp_path):
+    for name in sources.TABLES:
+        spark.read.parquet(f"{DATA}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    count = lambda: sources.derive(spark, str(tmp_path), "mft").count()
+    before, asked = count(), set(re.findall(r"\{(\w+)\}", sources.VIEWS["mft"]))
+    assert before > 0 and count() == before
+    for name in asked & set(sources.TABLES):
+        spark.read.parquet(f"{DATA}/{name}.parquet").limit(0).write.mode("overwrite").parquet(f"{tmp_path}/{name}.parquet")
+    assert count() == 0
