@@ -262,15 +262,15 @@ def _store(v: Views) -> CatalogStore:
 
 
 def _merged(v: Views) -> DataFrame:
-    """What readers find once new and changed rows of some volumes are published."""
+    """What readers find once new and changed rows of every volume are published."""
     store = _store(v)
     base = store.head()
-    new = M.upsert(store.read(base, [1, 3]), _extra(v).where("volume_id IN (1, 3)").withColumn("mft_reference", F.lit(None).cast("long")), "full_path", ("mft_reference",))
-    store.commit(base, M.assign_ids(new, "mft_reference", T.max_file_id(v("files")).first()[0]), [1, 3])
+    new = M.upsert(store.read(base), _extra(v).withColumn("mft_reference", F.lit(None).cast("long")), "full_path", ("mft_reference",))
+    store.commit(base, M.assign_ids(new, "mft_reference", T.max_file_id(v("files")).first()[0]), base.folders)
     return store.read().select("full_path", "size", "volume_id")
 
 
-query("write_catalog", "files", _merged, f", d AS (SELECT full_path, size + 1 AS size, volume_id FROM files WHERE mft_reference % 5 = 0 AND volume_id IN (1, 3) UNION ALL SELECT concat(full_path, '.new'), size + 1, volume_id FROM files WHERE mft_reference % 5 = 0 AND volume_id IN (1, 3)) SELECT * FROM d UNION ALL SELECT full_path, size, volume_id FROM files WHERE full_path NOT IN (SELECT full_path FROM d)")
+query("write_catalog", "files", _merged, f", d AS (SELECT full_path, size + 1 AS size, volume_id FROM files WHERE mft_reference % 5 = 0 UNION ALL SELECT concat(full_path, '.new'), size + 1, volume_id FROM files WHERE mft_reference % 5 = 0) SELECT * FROM d UNION ALL SELECT full_path, size, volume_id FROM files WHERE full_path NOT IN (SELECT full_path FROM d)")
 query("assign_ids", "files", lambda v: M.assign_ids(M.upsert(v("files"), _extra(v).withColumn("mft_reference", F.lit(None).cast("long")), "full_path", ("mft_reference",)), "mft_reference", 2_000_000_000).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("mft_reference").alias("ids"), F.max("mft_reference").alias("largest")), "SELECT (SELECT count(*) FROM files) + count(*) AS n, (SELECT count(*) FROM files) + count(*) AS ids, 2000000000 + count(*) AS largest FROM files WHERE mft_reference % 5 = 0")
 query("upsert_volume", "volumes", lambda v: M.upsert(v("volumes"), v("volumes").where("id > 3").withColumn("label", F.lit("new")), "serial_number", ("id",)).select("id", "serial_number", "label"), "SELECT id, serial_number, CASE WHEN id > 3 THEN 'new' ELSE label END AS label FROM volumes")
 def _reset(v: Views) -> DataFrame:

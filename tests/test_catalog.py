@@ -346,3 +346,10 @@ def test_derived_tables_follow_the_given_ones(spark, tmp_path):
     for name in asked & set(sources.TABLES):
         spark.read.parquet(f"{DATA}/{name}.parquet").limit(0).write.mode("overwrite").parquet(f"{tmp_path}/{name}.parquet")
     assert count() == 0
+
+
+def test_a_delta_of_every_volume_is_written(spark):
+    files = sources.derive(spark, DATA, "files").where("mft_reference % 5 = 0")
+    written = catalog.queries()["write_catalog"](spark, DATA).where("full_path LIKE '%.new'")
+    counted = lambda df: {tuple(r) for r in df.groupBy("volume_id").count().collect()}
+    assert len(counted(files)) == 5 and counted(written) == counted(files)
