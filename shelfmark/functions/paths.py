@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
+import re
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -110,20 +110,38 @@ def file_uri(path: Column) -> Column:
 
 
 def highlight_name(name: Column, patterns: list[str], before: str = "[", after: str = "]") -> Column:
-    """Marks all places of the patterns, case-insensitively; places that touch or overlap are one."""
-    low = F.lower(name)
-    n = F.length(name)
-    cell = lambda i: reduce(or_, (_covers(low, p.lower(), i) for p in patterns if p), F.lit(False))
-    marks = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), cell)
-    piece = lambda ch, i: F.concat(F.when(F.get(marks, i) & ~F.coalesce(F.get(marks, i - 1), F.lit(False)), before).otherwise(""), ch, F.when(F.get(marks, i) & ~F.coalesce(F.get(marks, i + 1), F.lit(False)), after).otherwise(""))
-    return F.when(n > 0, F.array_join(F.transform(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(name, i, F.lit(1))), piece), "")).otherwise(name)
-
-
-def _covers(low: Column, pattern: str, i: Column) -> Column:
-    """Whether some place of the pattern covers character i."""
-    k = len(pattern)
-    around = F.substring(low, F.greatest(i - (k - 1), F.lit(1)), F.least(i, F.lit(k)) + (k - 1))
-    return F.instr(around, pattern) > 0
+    """Marks all places of the patterns, each letter in any case; places that touch or overlap are one.
+
+    One expression finds runs of covered letters: a letter of a pattern is covered where the pattern's rest is before and after
+    it. Runs are taken without going back, so a long one is no deep recursion."""
+    covered = dict.fromkeys(cell for p in patterns for cell in _covered([_any_case(c) for c in p]))
+    if not covered:
+        return name
+    left, right = (re.sub(r"([\\$])", r"\\\1", mark) for mark in (before, after))
+    return F.regexp_replace(name, f"(?:{'|'.join(covered)})++", f"{left}$0{right}")
+
+
+def _covered(letters: list[str]) -> list[str]:
+    """Of a pattern's letters as classes, each between what comes before and after it."""
+    behind, ahead = (lambda s: f"(?<={s})" if s else ""), (lambda s: f"(?={s})" if s else "")
+    return [f"{behind(''.join(letters[:i]))}{letters[i]}{ahead(''.join(letters[i + 1 :]))}" for i in range(len(letters))]
+
+
+def _any_case(letter: str) -> str:
+    """A class of the letters that have the same lower case."""
+    low = letter.lower()
+    alike = _uppers().get(low, "") + low if len(low) == 1 else letter
+    return f"[{''.join(f'\\x{{{ord(c):x}}}' for c in dict.fromkeys(alike))}]"
+
+
+@cache
+def _uppers() -> dict[str, str]:
+    """Letters by what they become in lower case, where that is another one."""
+    found = {}
+    for c in map(chr, range(0x20000)):
+        if c.lower() != c:
+            found[c.lower()] = found.get(c.lower(), "") + c
+    return found
 
 
 #: Change flags (fixed values of the journal's format).

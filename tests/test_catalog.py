@@ -353,3 +353,27 @@ def test_a_delta_of_every_volume_is_written(spark):
     written = catalog.queries()["write_catalog"](spark, DATA).where("full_path LIKE '%.new'")
     counted = lambda df: {tuple(r) for r in df.groupBy("volume_id").count().collect()}
     assert len(counted(files)) == 5 and counted(written) == counted(files)
+
+
+def test_highlighted_places(spark):
+    """Against a plain program: overlaps, places that touch, letters that expressions and replacements read otherwise, all cases."""
+
+    def plain(name, patterns, before, after):
+        low, on = [c.lower() for c in name], [False] * len(name)
+        for p in ([c.lower() for c in p] for p in patterns if p):
+            for at in range(len(name) - len(p) + 1):
+                if low[at : at + len(p)] == p:
+                    on[at : at + len(p)] = [True] * len(p)
+        return "".join((before if on[i] and not (i and on[i - 1]) else "") + c + (after if on[i] and not on[i + 1 : i + 2] == [True] else "") for i, c in enumerate(name))
+
+    r = random.Random(3)
+    names = ["", None, "RED ringring", "xABABAx", "a$b\\c[d]", "\U0001f600ÉKΣςİı\nſ", "ab" * 20_000, *("".join(r.choice("abAB.$\\\nÉé") for _ in range(r.randrange(12))) for _ in range(300))]
+    rows = spark.createDataFrame([(n, x) for n, x in enumerate(names)], "n int, name string").repartition(2)
+    for patterns, before, after in ((["ring", "red"], "[", "]"), (["aba", "bb", ""], "$1", "\\"), ([".$", "\\", "É\n", "[d"], "<b>", "</b>"), (["kσ", "İ", "\U0001f600"], "[", "]"), ([""], "[", "]")):
+        found = {x.n: x.v for x in rows.select("n", P.highlight_name(F.col("name"), patterns, before, after).alias("v")).collect()}
+        assert found == {n: None if x is None else plain(x, patterns, before, after) for n, x in enumerate(names)}
+
+
+def test_highlighting_asks_no_function_for_each_letter(spark):
+    names = spark.createDataFrame([("RED ring",)], "name string").select(P.highlight_name(F.col("name"), ["ring", "red"]).alias("v"))
+    assert names.first()[0] == "[RED] [ring]" and "lambda" not in names._jdf.queryExecution().optimizedPlan().toString()
