@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.paths import clamp_size, known_time, parent_path, volume_type_norm
-from ..session import cut, shared_dir
+from ..session import cut, shared_dir, write_by_volume
 
 FILES = "id long, volume_id long, parent_id long, name string, full_path string, is_directory boolean, size long, created_time timestamp, modified_time timestamp, mft_reference long"
 VOLUMES = "id long, serial_number string, label string, mount_point string, volume_type string, last_scan_time timestamp, last_usn long, is_online boolean"
@@ -20,7 +20,7 @@ RECORDS = "volume_id long, file_reference long, parent_reference long, name stri
 
 TABLES = ("region", "nation", "customer", "orders", "events", "pages")
 
-#: Views in order; each may name those before it, in braces. One text for both engines.
+#: Views in order; each may name those before it, in braces. One text for both engines, but for what `_BESIDE` has.
 VIEWS = {
     "volumes": """SELECT CAST(r_regionkey + 1 AS BIGINT) AS id, concat('SER', r_regionkey) AS serial_number,
       CASE WHEN r_regionkey = 4 THEN NULL ELSE r_name END AS label, concat(chr(67 + r_regionkey), ':') AS mount_point,
@@ -64,6 +64,15 @@ VIEWS = {
     "manual_mappings": """SELECT concat(chr(92), chr(92), upper(split_part(url, '/', 3))) AS unc, concat(chr(CAST(65 + page_id % 26 AS INT)), CASE WHEN page_id % 8 = 0 THEN ':' ELSE '' END) AS drive, page_id AS seq
       FROM {pages} WHERE page_id % 4 = 0""",
 }
+#: The same rows for Spark: what is a parent at all is told first, and each parent's path from its own, so that the whole table
+#: meets a table of parents once, by as many keys as there are parents, and not itself twice, the second time by those at the top.
+_BESIDE = {
+    "scan_entries": """WITH p AS (SELECT file_reference, parent_reference, name FROM {mft} WHERE file_reference IN (SELECT parent_reference FROM {mft} GROUP BY parent_reference)),
+      up AS (SELECT p.file_reference, concat(CASE WHEN g.name IS NULL THEN '' ELSE concat(g.name, chr(92)) END, CASE WHEN p.name IS NULL THEN '' ELSE concat(p.name, chr(92)) END) AS path
+        FROM p LEFT JOIN p g ON p.parent_reference = g.file_reference)
+      SELECT f.file_reference AS mft_reference, f.volume_id, f.name, f.is_directory, f.size, f.created_time,
+      concat(chr(CAST(66 + f.volume_id AS INT)), ':', chr(92), coalesce(up.path, ''), f.name) AS full_path FROM {mft} f LEFT JOIN up ON f.parent_reference = up.file_reference""",
+}
 _NEEDS = {"scan_entries": ("mft",), "files": ("mft", "scan_entries"), "listing": ("mft", "scan_entries", "files")}
 #: Views that are written once for a session and a folder, as a catalog would be; the others are made from them.
 _STORED = ("mft", "scan_entries", "files")
@@ -87,15 +96,16 @@ def with_views(sql: str, *names: str) -> str:
 def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view over the tables below a folder. Catalog tables are written once, by volume, and read from there until the tables
     below the folder are others."""
-    asked = set(re.findall(r"\{(\w+)\}", VIEWS[name]))
+    text = _BESIDE.get(name, VIEWS[name])
+    asked = set(re.findall(r"\{(\w+)\}", text))
     key = (spark.sparkContext.applicationId, sf_dir, name, _stamp(spark, sf_dir) if name in _STORED else ())
     if key in _written:
         where, schema = _written[key]
         return spark.read.schema(schema).parquet(where)
-    made = spark.sql(VIEWS[name], **{n: spark.read.parquet(f"{sf_dir}/{n}.parquet") if n in TABLES else derive(spark, sf_dir, n) for n in asked})
+    made = spark.sql(text, **{n: spark.read.parquet(f"{sf_dir}/{n}.parquet") if n in TABLES else derive(spark, sf_dir, n) for n in asked})
     if name not in _STORED:
         return made
-    made.write.partitionBy("volume_id").parquet(where := shared_dir(spark, name))
+    write_by_volume(made, where := shared_dir(spark, name))
     _written[key] = where, StructType([f for f in made.schema if f.name != "volume_id"] + [made.schema["volume_id"]])
     return derive(spark, sf_dir, name)
 

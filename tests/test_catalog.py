@@ -9,6 +9,7 @@ from conftest import DATA
 from oracle import difference
 from pyspark.sql import functions as F
 
+from shelfmark import session
 from shelfmark.functions import paths as P
 from shelfmark.functions.regex import parse
 from shelfmark.operators import maintain, relocate, search, stats, tree
@@ -377,3 +378,25 @@ def test_highlighted_places(spark):
 def test_highlighting_asks_no_function_for_each_letter(spark):
     names = spark.createDataFrame([("RED ring",)], "name string").select(P.highlight_name(F.col("name"), ["ring", "red"]).alias("v"))
     assert names.first()[0] == "[RED] [ring]" and "lambda" not in names._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_parents_are_told_once(spark):
+    """The entries of a scan against the view's own text: parents that are files, lack a name, a parent or a row, are their own or given twice."""
+    rows = [(24, 5, "N", True), (25, 5, None, True), (1000, 24, "c", True), (1001, 25, "d", True), (1001, 24, "e", True), (1002, 999, "f", True), (1003, 1003, "g", True)]
+    rows += [(10_000 + n, up, f"x{n}", False) for n, up in enumerate((1000, 1001, 1002, 1003, 24, 25, 5, None, 10_000, 777))]
+    mft = spark.createDataFrame([(*r, 1, None, 1 + r[0] % 3) for r in rows], "file_reference long, parent_reference long, name string, is_directory boolean, size long, created_time timestamp, volume_id long")
+    told, as_said = spark.sql(sources._BESIDE["scan_entries"], mft=mft), spark.sql(sources.VIEWS["scan_entries"], mft=mft)
+    assert told.schema == as_said.schema and sorted(map(str, told.collect())) == sorted(map(str, as_said.collect()))
+    assert told.count() == len(rows) + 1
+
+
+def test_rows_are_not_sorted_to_be_written_by_volume(spark, tmp_path):
+    had, seen = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters"), []
+    rows = spark.range(100).select("id", (F.col("id") % 40).alias("volume_id"))
+    session.write_by_volume(rows, f"{tmp_path}/rows")
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/rows").collect())) == [(n, n % 40) for n in range(100)]
+    for how in (lambda: session.write_by_volume(rows, f"{tmp_path}/a"), lambda: rows.write.partitionBy("volume_id").parquet(f"{tmp_path}/b")):
+        how()
+        store = spark._jsparkSession.sharedState().statusStore()
+        seen.append("Sort" in store.executionsList().last().physicalPlanDescription())
+    assert seen == [False, True] and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == had
