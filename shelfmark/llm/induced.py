@@ -28,9 +28,9 @@ import numpy as np
 
 
 #: Suffixes that a range of symbols holds, about, where a text of ranks is sorted.
-RANGE = 1 << 13
+RANGE = 1 << 15
 #: Ranks of a reduced text that is sorted in memory, which ends the recursion.
-SMALL = 1 << 15
+SMALL = 1 << 17
 #: Elements of arrays on disk that one step takes.
 BLOCK = 1 << 17
 #: Bytes of tuples that the queues of a sweep hold before they go to disk.

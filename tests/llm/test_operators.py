@@ -295,3 +295,16 @@ def test_null_ids_do_not_crash(spark, docs):
     n = docs.count()
     for found in (simhash.near_duplicates(odd), substrings.remove_repeats(odd), suffixes.remove_repeats(odd), media.round_trip(odd), bpe.round_trip(odd, PATH), secrets.find(odd), mixing.mix(odd)):
         assert found.count() == n
+
+
+def test_a_shard_takes_few_ranges(monkeypatch):
+    """A text as long as a shard's pieces: one reduced text goes by ranges, and a pass over it takes few of them."""
+    text = np.append(np.random.default_rng(7).integers(1, 60, 850_000), 0).astype(np.int16)
+    text[500_000:500_900] = text[100:1000]
+    sorted_, ranges = [], []
+    order, sweep = induced.suffix_order, induced._sweep_ranges
+    monkeypatch.setattr(induced, "suffix_order", lambda t, *a: sorted_.append(len(t)) or order(t, *a))
+    monkeypatch.setattr(induced, "_sweep_ranges", lambda t, s, seeds, r, *a: ranges.append(int(r[-1]) + 1) or sweep(t, s, seeds, r, *a))
+    found = induced.shared_neighbours(text, 60, 200, 256 << 10)
+    assert found.tolist() == [*range(100, 801), *range(500_000, 500_701)]
+    assert len(sorted_) <= 1 and max(ranges, default=0) <= 32
