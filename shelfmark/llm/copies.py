@@ -92,7 +92,8 @@ def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles, ascending, and in how many documents they are: those seen more than twice among some
     million of a task are summed up. Of a fixed size, whatever the corpus."""
-    rows = texts.mapInArrow(_often, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
+    counted = texts.mapInArrow(_often, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "shingle").limit(FREQUENT)
+    rows = stored(counted, "frequent").toArrow()
     value, times = rows.column("shingle").to_numpy().view(_U), rows.column("n").to_numpy()
     order = np.argsort(value)
     return value[order], times[order]

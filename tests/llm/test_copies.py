@@ -2,6 +2,9 @@
 
 import random
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 from shelfmark.llm import copies
 
 
@@ -77,3 +80,13 @@ def test_blocks_of_open_nodes_against_all_pairs(spark, monkeypatch):
                 a, b = sorted((label[i], label[j]))
                 label = [a if x == b else x for x in label]
     assert found == dict(enumerate(label)) and 1 < len(set(label)) < len(texts)
+
+
+def test_frequent_shingles_are_counted_in_small_batches(spark, monkeypatch):
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.num_rows]), pa.array([copies.OFTEN])], names=["shingle", "n"])
+
+    monkeypatch.setattr(copies, "_often", sizes)
+    value, _ = copies.frequent(spark.range(0, 5000, 1, 1).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text")))
+    assert 0 < value.max() <= 2000
