@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step holds; a longer document is one step of its own.
@@ -44,9 +44,9 @@ def checkpoint_root(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a checkpoint in the shared folder; for small tables."""
-    spark = df.sparkSession
+def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """Cuts the lineage by a checkpoint in the shared folder, of `parts` files at most; for small tables."""
+    spark, df = df.sparkSession, df.coalesce(parts) if parts else df
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(checkpoint_root(spark))
     return df.checkpoint()
@@ -57,10 +57,12 @@ def cut(df: DataFrame) -> DataFrame:
 _WHILE_STORED = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "{}"}
 
 
-def stored(df: DataFrame, purpose: str, batch_rows: int = 2000) -> DataFrame:
+def stored(df: DataFrame, purpose: str, batch_rows: int = 2000, parts: int | None = None) -> DataFrame:
     """Written as Parquet to a new shared folder and read again: made once, of known size, with no shuffle files left behind.
-    `batch_rows`: rows of an Arrow batch on the way, few where rows are large."""
+    `batch_rows`: rows of an Arrow batch on the way, few where rows are large; `parts`: files at most, few where tables are
+    small, as an executor starts processes for each file that it writes."""
     spark, where = df.sparkSession, shared_dir(df.sparkSession, purpose)
+    df = df.coalesce(parts) if parts else df
     had = {k: spark.conf.get(k, None) for k in _WHILE_STORED}
     for k, v in _WHILE_STORED.items():
         spark.conf.set(k, v.format(batch_rows))
@@ -80,6 +82,23 @@ def forget(*tables: DataFrame) -> None:
         df.sparkSession.range(0).write.mode("overwrite").parquet(df._stored_at)
 
 
+#: Words of 64 bits that a sieve has at most, for any number of keys.
+SIEVE = 1 << 18
+
+
+def sieve(keys: DataFrame, *columns: Column) -> DataFrame:
+    """word, bits: a bit for each remainder of the keys' hash. It has 4 MB at most; once full it lets all through."""
+    at = F.xxhash64(*columns)
+    return keys.select(F.pmod(at, F.lit(SIEVE)).alias("word"), F.expr("1L").alias("one"), F.pmod(F.shiftright(at, 32), F.lit(64)).cast("int").alias("bit")).groupBy("word").agg(F.bit_or(F.call_function("shiftleft", "one", "bit")).alias("bits"))
+
+
+def sifted(rows: DataFrame, held: DataFrame, *columns: Column, among: bool = True) -> DataFrame:
+    """Rows that may be among a sieve's keys, or those that are not, which need not move to be told."""
+    at = F.xxhash64(*columns)
+    bit = F.call_function("shiftright", held["bits"], F.pmod(F.shiftright(at, 32), F.lit(64)).cast("int")).bitwiseAND(F.expr("1L")) == 1
+    return rows.join(F.broadcast(held), (F.pmod(at, F.lit(SIEVE)) == held["word"]) & bit, "left_semi" if among else "left_anti")
+
+
 def text_chunks(batches: Iterable[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     """From batches of (id, text): ids as they are, nulls too, UTF-8 bytes, and int64 offsets, for whole documents of about `limit` bytes together."""
     for batch in batches:

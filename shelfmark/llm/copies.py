@@ -28,14 +28,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import forget, mix, repeated, rolling, span_hashes, stored, text_chunks
+from .common import forget, mix, repeated, rolling, sieve, sifted, span_hashes, stored, text_chunks
 from .components import components
 
 WIDTH = 5
 #: Shingles that the list of frequent ones holds at most, the documents it takes to be on it, and the shingles counted at once.
 FREQUENT, OFTEN, COUNTED = 100_000, 16, 1_000_000
-#: Bits that tell sets apart before they are compared.
-BITS = 1024
+#: Bits that tell sets apart before they are compared. Unlike sets differ in half of them at most, so some 9,000 shingles of
+#: two sets together are too many to be told apart by them.
+BITS = 2048
+#: Nodes for each file of a table with small rows, and of one with sets; files that such tables have at least.
+SMALL_ROWS, LARGE_ROWS = (10_000, 12), (1000, 48)
 #: Rounds in which open nodes are compared with one node of each shingle, before blocks of so many are with each other.
 HUBS, BLOCK = 2, 4096
 _U = np.uint64
@@ -228,47 +231,66 @@ def _meet_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield met(held)
 
 
-def _near_within(tokens: DataFrame, nodes: DataFrame) -> DataFrame:
+class Nodes:
+    """What all steps know of the sets: nodes (node, n, f0, bits, doc_id, text_hash of a row), the texts (doc_id, text,
+    text_hash), whether rows among them repeat, and the files that tables of small and of large rows have."""
+
+    def __init__(self, nodes: DataFrame, texts: DataFrame, again: bool):
+        self.nodes, self.texts, self.again, n = nodes, texts, again, nodes.count()
+        self.small, self.large = (max(least, n // each) for each, least in (SMALL_ROWS, LARGE_ROWS))
+
+
+def _near_within(tokens: DataFrame, known: Nodes) -> DataFrame:
     """Pairs a, b of nodes of different components that share a token and that sizes and bits do not part.
 
     The holders of a token are dealt into blocks of some `BLOCK`, and each two blocks meet in a task, which keeps the pairs that
     may be alike: what moves is a node for each block of its token, and no other pair becomes a row."""
-    sizes = stored(tokens.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks")), "holders")
-    rows = tokens.join(sizes, "token").join(nodes.select("node", "bits"), "node").withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")))
+    sizes = stored(tokens.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks")), "holders", parts=known.small)
+    rows = tokens.join(sizes, "token").join(known.nodes.select("node", "bits"), "node").withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     keyed = rows.select("token", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), "own", "node", "n", "label", "bits")
     return keyed.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(_meet_blocks, "a long, b long").distinct()
 
 
-def _alike(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, near_enough: bool = False) -> DataFrame:
+def _sets_of(ends: DataFrame, known: Nodes) -> DataFrame:
+    """node, shingles, n, wide of each node of `ends`. Texts that a sieve tells to be none of theirs don't move, nor do sets."""
+    wanted = stored(known.nodes.join(ends, "node").select("node", "doc_id", "text_hash"), "ends", parts=known.small)
+    key = F.col("doc_id"), F.col("text_hash")
+    found = sifted(known.texts, sieve(wanted, *key), *key).join(wanted, ["doc_id", "text_hash"]).select("node", "text")
+    found = found.dropDuplicates(["node"]) if known.again else found
+    sets = stored(found.mapInArrow(_whole, "node long, shingles binary, n long, wide binary"), "sets", parts=known.large)
+    forget(wanted)
+    return sets
+
+
+def _alike(pairs: DataFrame, known: Nodes, near_enough: bool = False) -> DataFrame:
     """The pairs a, b of nodes whose sets are alike. Sets are made again from the texts, for nodes that are in pairs alone
     which their sizes and bits do not part (`near_enough`: as is known of these)."""
-    one, two = (nodes.select(F.col("node").alias(c), F.col("n").alias(k), F.col("bits").alias(x)) for c, k, x in (("a", "n", "x"), ("b", "m", "y")))
+    one, two = (known.nodes.select(F.col("node").alias(c), F.col("n").alias(k), F.col("bits").alias(x)) for c, k, x in (("a", "n", "x"), ("b", "m", "y")))
     sized = pairs.join(one, "a").join(two, "b").where("5L * least(n, m) >= 4L * greatest(n, m)").select("a", "b", "n", "m", "x", "y")
-    pairs = stored(pairs if near_enough else sized.mapInArrow(_near_enough, "a long, b long"), "pairs")
+    pairs = stored(pairs if near_enough else sized.mapInArrow(_near_enough, "a long, b long"), "pairs", parts=known.large)
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = stored(nodes.join(ends, "node").select("node", "doc_id", "text_hash"), "ends")
-    sets = stored(texts.join(wanted, ["doc_id", "text_hash"]).select("node", "text").mapInArrow(_whole, "node long, shingles binary, n long, wide binary").dropDuplicates(["node"]), "sets")
+    sets = _sets_of(ends, known)
     of = lambda end, n, x, column: sets.select(F.col("node").alias(end), F.col("n").alias(n), F.col(column).alias(x))
     near = pairs.join(of("b", "m", "y", "wide"), "b").join(of("a", "n", "x", "wide"), "a").select("a", "b", "n", "m", "x", "y")
-    near = stored(near.mapInArrow(_nearer, "a long, b long"), "near", 256)
+    near = stored(near.mapInArrow(_nearer, "a long, b long"), "near", 256, known.large)
     links = near.join(of("b", "m", "y", "shingles"), "b").join(of("a", "n", "x", "shingles"), "a").select("a", "b", "x", "y")
-    links = stored(links.mapInArrow(_compare, "a long, b long"), "links", 64)
-    forget(pairs, wanted, sets, near)
+    links = stored(links.mapInArrow(_compare, "a long, b long"), "links", 64, known.large)
+    forget(pairs, sets, near)
     return links
 
 
-def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
+def _labelled(rows: DataFrame, links: DataFrame, known: Nodes) -> DataFrame:
     """`label`: the component of each row's node."""
-    return rows.drop("label").join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return rows.drop("label").join(components(links, known.small), "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def _open(rows: DataFrame) -> DataFrame:
+def _open(rows: DataFrame, known: Nodes) -> DataFrame:
     """Rows of the tokens that nodes of different components hold; of tokens that the same nodes hold, of one."""
     held = F.bit_xor(F.xxhash64("node")), F.bit_xor(F.xxhash64("node", F.lit(1))), F.count(F.lit(1))
     tokens = rows.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), *(h.alias(f"h{n}") for n, h in enumerate(held))).where("x <> y")
     tokens = tokens.groupBy("h0", "h1", "h2").agg(F.min("token").alias("token")).select("token")
-    return stored(rows.join(stored(tokens, "open"), "token", "left_semi"), "tokens")
+    return stored(rows.join(stored(tokens, "open", parts=known.small), "token", "left_semi"), "tokens", parts=known.small)
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -277,39 +299,44 @@ def near_copies(docs: DataFrame) -> DataFrame:
     rows = stored(texts.mapInArrow(_marks, "doc_id long, text_hash long, node long, n int, f0 long, bits binary"), "marks")
     nodes = rows.groupBy("node").agg(F.min("n").alias("n"), F.min("f0").alias("f0"), F.min("bits").alias("bits"), F.min(F.struct("doc_id", "text_hash")).alias("l"))
     nodes = stored(nodes.select("node", "n", "f0", "bits", "l.doc_id", "l.text_hash"), "nodes")
+    known = Nodes(nodes, texts, not rows.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty())
     # The trees: links of distinct fingerprints, and sets of one fingerprint with the first of them.
-    marks = stored(nodes.groupBy("f0").agg(F.min("node").alias("node")), "fingerprints")
+    marks = stored(nodes.groupBy("f0").agg(F.min("node").alias("node")), "fingerprints", parts=known.small)
     near = simhash.links(marks, simhash.exact_blocks(simhash.RADIUS, marks.count()))
     same = nodes.join(marks.withColumnRenamed("node", "a"), "f0").where("a <> node").select("a", F.col("node").alias("b"))
     pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     compared = near.unionByName(same).select(*pair("a", "b")).distinct()
-    links = _alike(compared, nodes, texts)
+    links = _alike(compared, known)
     # What the trees leave: prefix shingles that sets of different components share.
     n_shingles = rows.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
-    shared = stored(repeated(texts.select("doc_id", "text"), _prefixes(*frequent(texts)), n_shingles * 8, others=True), "prefixes")
-    sizes = _labelled(nodes.select("node", "n"), links)
-    tokens = _open(sizes.join(shared, sizes["node"] == shared["own"]).select("node", "n", "label", F.explode(F.array_distinct("values")).alias("token")))
+    shared = stored(repeated(texts.select("doc_id", "text"), _prefixes(*frequent(texts)), n_shingles * 8, others=True), "prefixes", parts=known.large)
+    sizes = _labelled(nodes.select("node", "n"), links, known)
+    tokens = _open(sizes.join(shared, sizes["node"] == shared["own"]).select("node", "n", "label", F.explode(F.array_distinct("values")).alias("token")), known)
     fits = "label <> other AND 5L * least(n, m) >= 4L * greatest(n, m)"
     asked = None
     for n in range(HUBS):
         order = F.xxhash64("node", F.pmod("token", F.lit(2)), F.lit(n))
         hubs = tokens.groupBy("token").agg(F.min(F.struct(order, "node", "n", "label")).alias("h"))
         hubs = hubs.select("token", F.col("h.node").alias("hub"), F.col("h.n").alias("m"), F.col("h.label").alias("other"))
-        pairs = tokens.join(stored(hubs, "hubs"), "token").where(fits).select(*pair("node", "hub")).distinct()
-        pairs = stored(pairs if asked is None else pairs.join(asked, ["a", "b"], "left_anti"), "pairs")
+        pairs = tokens.join(stored(hubs, "hubs", parts=known.small), "token").where(fits).select(*pair("node", "hub")).distinct()
+        pairs = stored(pairs if asked is None else pairs.join(asked, ["a", "b"], "left_anti"), "pairs", parts=known.small)
         if pairs.isEmpty():
             break
         asked = pairs if asked is None else asked.unionByName(pairs)
-        links = links.unionByName(_alike(pairs, nodes, texts))
-        tokens = _open(_labelled(tokens, links))
-    rest = _near_within(tokens, nodes)
-    links = links.unionByName(_alike(rest if asked is None else rest.join(asked, ["a", "b"], "left_anti"), nodes, texts, near_enough=True))
-    found = stored(_labelled(rows.select("doc_id", "text_hash", "node"), links), "labels")
-    smallest = stored(found.groupBy("label").agg(F.min("doc_id").alias("copy_of")), "smallest")
+        links = links.unionByName(_alike(pairs, known))
+        tokens = _open(_labelled(tokens, links, known), known)
+    rest = _near_within(tokens, known)
+    links = links.unionByName(_alike(rest if asked is None else rest.join(asked, ["a", "b"], "left_anti"), known, near_enough=True))
+    found = stored(_labelled(rows.select("doc_id", "text_hash", "node"), links, known), "labels", parts=known.small)
+    smallest = stored(found.groupBy("label").agg(F.min("doc_id").alias("copy_of")), "smallest", parts=known.small)
     return found.join(smallest, "label").select("doc_id", "text_hash", "copy_of")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The documents, all columns as they are, but for those with a near copy of a smaller id. Rows without an id stay."""
     gone = stored(near_copies(docs).where("doc_id <> copy_of").select(F.col("doc_id").alias("own"), F.col("text_hash").alias("own_hash")).distinct(), "gone")
-    return docs.join(gone, (docs["doc_id"].cast("long") == gone["own"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone["own_hash"]), "left_anti")
+    held = stored(sieve(gone, F.col("own"), F.col("own_hash")), "sieve")
+    key = docs["doc_id"].cast("long"), F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    # Only documents that may be among them move.
+    doubtful = sifted(docs, held, *key)
+    return sifted(docs, held, *key, among=False).union(doubtful.join(gone, (key[0] == gone["own"]) & (key[1] == gone["own_hash"]), "left_anti"))

@@ -5,7 +5,7 @@ import random
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from shelfmark.llm import copies
+from shelfmark.llm import common, components, copies
 
 
 def _shingles(text):
@@ -90,3 +90,46 @@ def test_frequent_shingles_are_counted_in_small_batches(spark, monkeypatch):
     monkeypatch.setattr(copies, "_often", sizes)
     value, _ = copies.frequent(spark.range(0, 5000, 1, 1).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text")))
     assert 0 < value.max() <= 2000
+
+
+def test_a_sieve_parts_rows_and_loses_no_key(spark):
+    rows = spark.range(20_000).select("id", F.concat(F.lit("t"), "id").alias("text"))
+    keys = rows.where("id % 9 = 0").select("id", "text")
+    held = common.sieve(keys, F.col("id"), F.col("text"))
+    among, others = ({r.id for r in common.sifted(rows, held, F.col("id"), F.col("text"), among=a).collect()} for a in (True, False))
+    assert among | others == set(range(20_000)) and not among & others
+    assert set(range(0, 20_000, 9)) <= among and len(among) < 2400
+
+
+def test_documents_that_are_no_copies_do_not_move(spark):
+    docs = spark.createDataFrame([(i, f"{i} six words that nobody else has") for i in range(60)] + [(100 + i, f"{i} six words that nobody else has") for i in range(6)], "doc_id long, text string")
+    at = []
+    had = copies.sifted
+
+    def sifted(rows, held, *key, among=True):
+        out = had(rows, held, *key, among=among)
+        at.append((among, out.count()))
+        return out
+
+    copies.sifted = sifted
+    try:
+        assert copies.drop_near_copies(docs).count() == 60
+    finally:
+        copies.sifted = had
+    assert at[-2][1] + at[-1][1] == 66 and dict(at[-2:])[True] < 20
+
+
+def test_long_unlike_sets_are_told_apart_by_their_bits(spark):
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(2500)) for _ in range(8)]
+    rows = [r.asDict() for r in spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, text_hash long").mapInArrow(copies._marks, "doc_id long, text_hash long, node long, n int, f0 long, bits binary").collect()]
+    pairs = pa.RecordBatch.from_pylist([{"a": x["node"], "b": y["node"], "n": x["n"], "m": y["n"], "x": bytes(x["bits"]), "y": bytes(y["bits"])} for x in rows for y in rows if x["node"] < y["node"]])
+    assert sum(b.num_rows for b in copies._near_enough([pairs])) == 0
+
+
+def test_rounds_of_components_write_few_files(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(components, "cut", lambda df, parts=None: seen.append(common.cut(df, parts)) or seen[-1])
+    links = spark.range(40).select("id", (F.col("id") + 1).alias("b")).toDF("a", "b")
+    assert {r.label for r in components.components(links, 2).collect()} == {0}
+    assert seen and all(df.rdd.getNumPartitions() <= 2 for df in seen)
