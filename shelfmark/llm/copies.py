@@ -37,8 +37,8 @@ FREQUENT, OFTEN, COUNTED = 100_000, 16, 1_000_000
 #: Bits that tell sets apart before they are compared. Unlike sets differ in half of them at most, so some 9,000 shingles of
 #: two sets together are too many to be told apart by them.
 BITS = 2048
-#: Nodes for each file of a table with small rows, and of one with sets; files that such tables have at least.
-SMALL_ROWS, LARGE_ROWS = (10_000, 12), (1000, 48)
+#: Nodes for each file of a table with small rows, and files that such a table may have anyway; texts of an Arrow batch.
+SMALL_ROWS, SMALL_FILES, TEXTS = 10_000, 12, 500
 #: Rounds in which open nodes are compared with one node of each shingle, before blocks of so many are with each other.
 HUBS, BLOCK = 2, 4096
 _U = np.uint64
@@ -96,7 +96,7 @@ def frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles, ascending, and in how many documents they are: those seen more than twice among some
     million of a task are summed up. Of a fixed size, whatever the corpus."""
     counted = texts.mapInArrow(_often, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "shingle").limit(FREQUENT)
-    rows = stored(counted, "frequent").toArrow()
+    rows = stored(counted, "frequent", TEXTS).toArrow()
     value, times = rows.column("shingle").to_numpy().view(_U), rows.column("n").to_numpy()
     order = np.argsort(value)
     return value[order], times[order]
@@ -233,11 +233,10 @@ def _meet_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 class Nodes:
     """What all steps know of the sets: nodes (node, n, f0, bits, doc_id, text_hash of a row), the texts (doc_id, text,
-    text_hash), whether rows among them repeat, and the files that tables of small and of large rows have."""
+    text_hash), whether rows among them repeat, and how many files a table of small rows may have."""
 
     def __init__(self, nodes: DataFrame, texts: DataFrame, again: bool):
-        self.nodes, self.texts, self.again, n = nodes, texts, again, nodes.count()
-        self.small, self.large = (max(least, n // each) for each, least in (SMALL_ROWS, LARGE_ROWS))
+        self.nodes, self.texts, self.again, self.small = nodes, texts, again, max(SMALL_FILES, nodes.count() // SMALL_ROWS)
 
 
 def _near_within(tokens: DataFrame, known: Nodes) -> DataFrame:
@@ -258,7 +257,7 @@ def _sets_of(ends: DataFrame, known: Nodes) -> DataFrame:
     key = F.col("doc_id"), F.col("text_hash")
     found = sifted(known.texts, sieve(wanted, *key), *key).join(wanted, ["doc_id", "text_hash"]).select("node", "text")
     found = found.dropDuplicates(["node"]) if known.again else found
-    sets = stored(found.mapInArrow(_whole, "node long, shingles binary, n long, wide binary"), "sets", parts=known.large)
+    sets = stored(found.mapInArrow(_whole, "node long, shingles binary, n long, wide binary"), "sets", TEXTS)
     forget(wanted)
     return sets
 
@@ -268,14 +267,14 @@ def _alike(pairs: DataFrame, known: Nodes, near_enough: bool = False) -> DataFra
     which their sizes and bits do not part (`near_enough`: as is known of these)."""
     one, two = (known.nodes.select(F.col("node").alias(c), F.col("n").alias(k), F.col("bits").alias(x)) for c, k, x in (("a", "n", "x"), ("b", "m", "y")))
     sized = pairs.join(one, "a").join(two, "b").where("5L * least(n, m) >= 4L * greatest(n, m)").select("a", "b", "n", "m", "x", "y")
-    pairs = stored(pairs if near_enough else sized.mapInArrow(_near_enough, "a long, b long"), "pairs", parts=known.large)
+    pairs = stored(pairs if near_enough else sized.mapInArrow(_near_enough, "a long, b long"), "pairs")
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     sets = _sets_of(ends, known)
     of = lambda end, n, x, column: sets.select(F.col("node").alias(end), F.col("n").alias(n), F.col(column).alias(x))
     near = pairs.join(of("b", "m", "y", "wide"), "b").join(of("a", "n", "x", "wide"), "a").select("a", "b", "n", "m", "x", "y")
-    near = stored(near.mapInArrow(_nearer, "a long, b long"), "near", 256, known.large)
+    near = stored(near.mapInArrow(_nearer, "a long, b long"), "near", 256)
     links = near.join(of("b", "m", "y", "shingles"), "b").join(of("a", "n", "x", "shingles"), "a").select("a", "b", "x", "y")
-    links = stored(links.mapInArrow(_compare, "a long, b long"), "links", 64, known.large)
+    links = stored(links.mapInArrow(_compare, "a long, b long"), "links", 64)
     forget(pairs, sets, near)
     return links
 
@@ -296,7 +295,7 @@ def _open(rows: DataFrame, known: Nodes) -> DataFrame:
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash (Spark's xxhash64 of the text), copy_of: the smallest id of the component, of every row with an id."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id IS NOT NULL").withColumn("text_hash", F.xxhash64("text"))
-    rows = stored(texts.mapInArrow(_marks, "doc_id long, text_hash long, node long, n int, f0 long, bits binary"), "marks")
+    rows = stored(texts.mapInArrow(_marks, "doc_id long, text_hash long, node long, n int, f0 long, bits binary"), "marks", TEXTS)
     nodes = rows.groupBy("node").agg(F.min("n").alias("n"), F.min("f0").alias("f0"), F.min("bits").alias("bits"), F.min(F.struct("doc_id", "text_hash")).alias("l"))
     nodes = stored(nodes.select("node", "n", "f0", "bits", "l.doc_id", "l.text_hash"), "nodes")
     known = Nodes(nodes, texts, not rows.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty())
@@ -309,7 +308,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     links = _alike(compared, known)
     # What the trees leave: prefix shingles that sets of different components share.
     n_shingles = rows.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
-    shared = stored(repeated(texts.select("doc_id", "text"), _prefixes(*frequent(texts)), n_shingles * 8, others=True), "prefixes", parts=known.large)
+    shared = stored(repeated(texts.select("doc_id", "text"), _prefixes(*frequent(texts)), n_shingles * 8, others=True), "prefixes", TEXTS)
     sizes = _labelled(nodes.select("node", "n"), links, known)
     tokens = _open(sizes.join(shared, sizes["node"] == shared["own"]).select("node", "n", "label", F.explode(F.array_distinct("values")).alias("token")), known)
     fits = "label <> other AND 5L * least(n, m) >= 4L * greatest(n, m)"
