@@ -39,6 +39,8 @@ FREQUENT, OFTEN, COUNTED = 100_000, 16, 1_000_000
 BITS = 2048
 #: Nodes for each file of a table with small rows, and files that such a table may have anyway; texts of an Arrow batch.
 SMALL_ROWS, SMALL_FILES, TEXTS = 10_000, 12, 500
+#: Bytes of text that a step of these functions holds: it takes some 25 to 45 times as much, and workers give little of it back.
+STEP_BYTES = 1 << 18
 #: Rounds in which open nodes are compared with one node of each shingle, before blocks of so many are with each other.
 HUBS, BLOCK = 2, 4096
 _U = np.uint64
@@ -82,7 +84,7 @@ def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value, times = np.unique(np.concatenate(held), return_counts=True)
         return pa.record_batch([pa.array(value[times > 2].view(np.int64)), pa.array(times[times > 2], pa.int64())], names=["shingle", "n"])
 
-    for _, data, offsets in text_chunks(batches):
+    for _, data, offsets in text_chunks(batches, STEP_BYTES):
         held.append(_sets(data, offsets)[0])
         n += len(held[-1])
         if n >= COUNTED:
@@ -107,7 +109,7 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     of its hashes whether it has an odd number of them."""
     for batch in batches:
         at = 0
-        for ids, data, offsets in text_chunks([batch]):
+        for ids, data, offsets in text_chunks([batch], STEP_BYTES):
             shingle, doc = _sets(data, offsets)
             n = np.bincount(doc, minlength=len(ids))
             ends = np.cumsum(n)
@@ -119,10 +121,11 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(value: np.ndarray, times: np.ndarray):
-    """Chunks of values for `repeated`: the prefix of each text's set, owned by its node."""
+    """Chunks of values for `repeated`: the prefix of each text's set, owned by its node. Prefixes are the smallest of the
+    rare shingles, so these are mixed again, or a fifth of the buckets would get them all."""
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
-        for _, data, offsets in text_chunks(batches):
+        for _, data, offsets in text_chunks(batches, STEP_BYTES):
             shingle, doc = _sets(data, offsets)
             n = np.bincount(doc, minlength=len(offsets) - 1)
             ends = np.cumsum(n)
@@ -132,7 +135,7 @@ def _prefixes(value: np.ndarray, times: np.ndarray):
                 count = np.where(value[near] == shingle, times[near], 0)
             place = np.arange(len(shingle)) - np.repeat(ends - n, n)
             size = n - (4 * n + 4) // 5 + 1
-            yield pa.array(_nodes(shingle, ends)), np.repeat(np.arange(len(n)), size), shingle[np.lexsort((shingle, count, doc))][place < np.repeat(size, n)]
+            yield pa.array(_nodes(shingle, ends)), np.repeat(np.arange(len(n)), size), mix(shingle[np.lexsort((shingle, count, doc))][place < np.repeat(size, n)] + _U(1))
 
     return chunks
 
@@ -140,7 +143,7 @@ def _prefixes(value: np.ndarray, times: np.ndarray):
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of texts (node, text): the set, as one binary of its hashes in order, its size, and parities of its hashes' remainders
     by a power of two of four times the size or more."""
-    for ids, data, offsets in text_chunks(batches):
+    for ids, data, offsets in text_chunks(batches, STEP_BYTES):
         shingle, doc = _sets(data, offsets)
         bounds = np.append(0, np.cumsum(np.bincount(doc, minlength=len(ids)))).tolist()
         sets = [shingle[a:b] for a, b in zip(bounds, bounds[1:])]

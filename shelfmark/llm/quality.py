@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, rolling, span_hashes, text_chunks, word_bounds
+from .common import CHUNK_BYTES, id_text, rolling, span_hashes, text_chunks, word_bounds
 
 #: Bits of the hashed feature table; words and n-grams have a half each.
 BITS = 16
@@ -129,11 +129,11 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, seed: int = 7)
     return Model(vectors @ (layer[:, 1] - layer[:, 0]), float(bias[1] - bias[0]))
 
 
-def _scorer(model: Model):
+def _scorer(model: Model, step_bytes: int = CHUNK_BYTES):
     weights, bias = model.weights, model.bias
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, data, offsets in text_chunks(batches):
+        for ids, data, offsets in text_chunks(batches, step_bytes):
             total, n = np.zeros(len(ids)), np.zeros(len(ids))
             for bucket, starts, ends in _features(data, offsets):
                 total += _sums(weights[bucket].astype(np.float64), starts, ends)
@@ -151,8 +151,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents, all columns as they are, that the model accepts; no shuffle."""
-    names, run = docs.columns, _scorer(model)
+    """The documents, all columns as they are, that the model accepts; no shuffle. In small steps, as workers hold whole rows too
+    and keep for later stages what a step took."""
+    names, run = docs.columns, _scorer(model, CHUNK_BYTES // 4)
 
     def accepted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,7 +1,9 @@
 """Near copies against brute force: every pair of similarity 0.8 or more is linked, and nothing else goes."""
 
 import random
+import tracemalloc
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -133,3 +135,31 @@ def test_rounds_of_components_write_few_files(spark, monkeypatch):
     links = spark.range(40).select("id", (F.col("id") + 1).alias("b")).toDF("a", "b")
     assert {r.label for r in components.components(links, 2).collect()} == {0}
     assert seen and all(df.rdd.getNumPartitions() <= 2 for df in seen)
+
+
+def _made_up(n, words, seed=3):
+    rng = random.Random(seed)
+    return pa.record_batch([pa.array(range(n)), pa.array([" ".join(f"w{rng.randrange(10**6)}" for _ in range(words)) for _ in range(n)])], names=["doc_id", "text"])
+
+
+def test_prefixes_fill_all_buckets_alike():
+    none = np.zeros(0, np.uint64)
+    for value, times in ((none, none.astype(np.int64)), (np.array([5], np.uint64), np.array([20]))):
+        values = np.concatenate([v for _, _, v in copies._prefixes(value, times)([_made_up(200, 300)])])
+        held = np.bincount((values >> np.uint64(60)).astype(np.int64), minlength=16)
+        assert held.max() < 1.3 * held.mean() and held.min() > 0.7 * held.mean()
+
+
+def test_a_step_over_texts_takes_little_memory():
+    texts = _made_up(250, 550)
+    assert 900_000 < texts.nbytes < 1_200_000
+    marked = texts.append_column("text_hash", pa.array(range(250)))
+    none = np.zeros(0, np.uint64)
+    for run in (lambda: copies._marks([marked]), lambda: copies._often([texts]), lambda: copies._prefixes(none, none.astype(np.int64))([texts]), lambda: copies._whole([texts])):
+        list(run())  # tables of powers are made
+        tracemalloc.start()
+        for _ in run():
+            pass
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 16e6
