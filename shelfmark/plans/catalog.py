@@ -213,7 +213,7 @@ query("duplicates_by_drive", "files", _files(lambda f: T.duplicates_by_drive(f,
 query("limit_duplicate_groups", "files", _files(lambda f: T.limit_duplicate_groups(T.duplicate_groups(f), 10), "stem", "full_path"), f", {DUPS} SELECT stem, full_path FROM (SELECT *, dense_rank() OVER (ORDER BY stem) AS k FROM d WHERE n >= 2) WHERE k <= 10")
 query("duplicates_summary", "files", _files(lambda f: T.duplicates_summary(T.duplicate_groups(f), 100), "n_groups", "n_files", "not_shown"), f", {DUPS} SELECT count(DISTINCT stem) AS n_groups, count(*) AS n_files, greatest(count(DISTINCT stem) - 100, 0) AS not_shown FROM d WHERE n >= 2")
 query("directory_sizes", "files", _files(T.directory_sizes, "directory", "size"), f"SELECT {PARENT} AS directory, CAST(sum(size) AS BIGINT) AS size FROM files WHERE NOT is_directory GROUP BY 1")
-query("sort_directories_by_size", "files", _files(lambda f: T.directory_sizes(f).orderBy(F.desc("size"), "directory").limit(25), "directory", "size"), f"SELECT {PARENT} AS directory, CAST(sum(size) AS BIGINT) AS size FROM files WHERE NOT is_directory GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25")
+query("sort_directories_by_size", "files", _files(lambda f: T.directory_sizes(f).orderBy(F.desc("size"), "directory"), "directory", "size"), f"SELECT {PARENT} AS directory, CAST(sum(size) AS BIGINT) AS size FROM files WHERE NOT is_directory GROUP BY 1 ORDER BY 2 DESC, 1")
 query("directory_counts", "files", lambda v: T.directory_counts(v("files"), v("files").where("is_directory")), f", a AS ({ANC}) SELECT d.full_path AS directory, count(a.full_path) AS n_files FROM files d LEFT JOIN a ON a.directory = d.full_path WHERE d.is_directory GROUP BY 1")
 query("files_under_directories", "files", lambda v: T.files_under_directories(v("files"), v("files").where("is_directory AND name LIKE 'NATION%'")), f", a AS ({ANC}) SELECT directory, a.full_path FROM a JOIN files d ON a.directory = d.full_path AND d.name LIKE 'NATION%'")
 INFO = f"a AS ({ANC}), s AS (SELECT {PARENT} AS directory, CAST(sum(size) AS BIGINT) AS size FROM files WHERE NOT is_directory GROUP BY 1), c AS (SELECT directory, count(*) AS n FROM a GROUP BY 1)"

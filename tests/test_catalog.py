@@ -400,3 +400,14 @@ def test_rows_are_not_sorted_to_be_written_by_volume(spark, tmp_path):
         store = spark._jsparkSession.sharedState().statusStore()
         seen.append("Sort" in store.executionsList().last().physicalPlanDescription())
     assert seen == [False, True] and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == had
+
+
+def test_every_directory_is_sorted_by_size(spark, tmp_path):
+    """As many directories as have sizes, and those of equal size by path: in the second folder every file has size 1."""
+    for name in ("nation", "customer", "orders"):
+        rows = spark.read.parquet(f"{DATA}/{name}.parquet")
+        (rows.withColumn("o_totalprice", F.lit(1.0)) if name == "orders" else rows).write.parquet(f"{tmp_path}/{name}.parquet")
+    for where in (DATA, str(tmp_path)):
+        sizes, found = ([tuple(r) for r in catalog.queries()[n](spark, where).collect()] for n in ("directory_sizes", "sort_directories_by_size"))
+        assert len(found) > 100 and found == sorted(sizes, key=lambda r: (-r[1], r[0]))
+    assert len({size for _, size in found}) < len(found)
